@@ -52,7 +52,8 @@ def instant_literal(moment: dt.datetime, type_name: str = "timestamp") -> Column
 
 def epoch_millis_text(ts: Column, data_type: T.DataType = T.TimestampType()) -> Column:
     """Milliseconds since the epoch, as the text used for batch ids."""
-    return F.floor(wall_micros(ts, data_type) / F.lit(1000)).cast("bigint").cast("string")
+    micros = wall_micros(ts, data_type)
+    return ((micros - F.pmod(micros, F.lit(1000))) / F.lit(1000)).cast("bigint").cast("string")
 
 
 def parse_iso(text: Column) -> Column:

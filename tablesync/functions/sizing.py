@@ -2,22 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import add
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side is broadcast by hint only up to this many rows, counted first.
+#: Bounds of a side that is broadcast by hint, checked by counting.
 MAX_BROADCAST_ROWS = 200_000
+MAX_BROADCAST_BYTES = 32 * 1024 * 1024
+
+
+def _row_bytes(schema: T.StructType) -> Column:
+    """Bytes of a row: the length of texts and binaries, 16 for every other value."""
+    sizes = [
+        F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) + 16
+        if isinstance(f.dataType, (T.StringType, T.BinaryType))
+        else F.lit(16)
+        for f in schema.fields
+    ]
+    return reduce(add, sizes)
+
+
+def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+    """Does ``df`` fit both bounds? Looks at no more than ``max_rows + 1`` rows."""
+    size = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(df.schema)).alias("bytes"))
+    n, total = size.first()
+    return n <= max_rows and (total or 0) <= max_bytes
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting at most ``max_rows + 1`` rows of ``df``.
+def broadcast_if_small(
+    df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES
+) -> DataFrame:
+    """Hint a broadcast only of a side whose size was counted and fits the bounds.
 
-    A larger side is returned unhinted and the join shuffles, with AQE splitting hot
-    keys. Meant for narrow sides such as a recipient list.
+    A larger side is returned unhinted: the join shuffles, with AQE splitting hot keys.
+    Meant for narrow sides such as a recipient list.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df
 
 
 def clustered_for_write(df: DataFrame, *columns: str) -> DataFrame:

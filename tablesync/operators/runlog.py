@@ -8,6 +8,7 @@ holds the execution id and the arguments of the run, output the progress entries
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Mapping, Sequence
 from datetime import datetime, timedelta
 from typing import Any
@@ -20,6 +21,7 @@ from tablesync.functions.moments import wall_micros
 from tablesync.operators.extract import column
 from tablesync.operators.upsert import dedupe_latest
 from tablesync.spec import Mode, as_utc
+from tablesync.workspace import Folder
 
 RUN_EVENT = T.StructType(
     [
@@ -38,6 +40,8 @@ RUNNING, SUCCESS, FAILURE = "RUNNING", "SUCCESS", "FAILURE"
 #: Bound of one page of a listing.
 MAX_PAGE = 100
 
+_PLAIN_NAME = re.compile(r"[A-Za-z0-9_.-]+")
+
 _ENTRY = "entity: string, processed: double, total: double, rate_rps: double, message: string"
 _OUTPUT = f"progress map<string, struct<{_ENTRY}>>"
 
@@ -62,16 +66,17 @@ def append_run_event(
         json.dumps(output) if output is not None else None,
         as_utc(created_at), as_utc(modified_at),
     )
-    spark.createDataFrame([row], RUN_EVENT).coalesce(1).write.mode("append").parquet(path)
-
+    event = spark.createDataFrame([row], RUN_EVENT).coalesce(1)
+    event.write.mode("append").partitionBy("transfer_id").parquet(path)
 
-def read_run_log(spark: SparkSession, path: str) -> DataFrame:
-    """All events; an absent log reads as empty."""
-    from tablesync.workspace import Folder
 
-    if not Folder(spark, path).exists():
+def read_run_log(spark: SparkSession, path: str, transfer_id: str | None = None) -> DataFrame:
+    """The events of all transfers or, without listing the others, of one; an absent log reads as empty."""
+    folder = f"{path}/transfer_id={transfer_id}" if _PLAIN_NAME.fullmatch(transfer_id or "") else path
+    if not Folder(spark, folder).exists():
         return spark.createDataFrame([], RUN_EVENT)
-    return spark.read.schema(RUN_EVENT).parquet(path)
+    events = spark.read.schema(RUN_EVENT).option("basePath", path).parquet(folder).select(*RUN_EVENT.names)
+    return events if transfer_id is None else events.where(F.col("transfer_id") == transfer_id)
 
 
 def current_runs(events: DataFrame) -> DataFrame:
@@ -246,6 +251,12 @@ def progress_summary(updates: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- gaps
 
 
+def _slice(at: Column, kind: T.DataType, width: timedelta) -> Column:
+    """Start of the time slice a moment lies in, in microseconds (exact integer arithmetic)."""
+    micros = wall_micros(at, kind)
+    return micros - F.pmod(micros, F.lit(width // timedelta(microseconds=1)))
+
+
 def run_gaps(runs: DataFrame, lookback: timedelta, by: str = "transfer_id", at: str = "created_at") -> DataFrame:
     """Runs that started more than ``lookback`` after the run before (``by``, ``run_at``, ``prev_run``).
 
@@ -255,11 +266,10 @@ def run_gaps(runs: DataFrame, lookback: timedelta, by: str = "transfer_id", at:
     aggregates, combined map-side: a transfer with very many runs shrinks to one row
     per slice before anything is ordered.
     """
-    width = lookback // timedelta(microseconds=1)
-    slice_no = F.floor(wall_micros(column(at), runs.schema[at].dataType) / F.lit(width))
+    slice_start = _slice(column(at), runs.schema[at].dataType, lookback)
     slices = (
         runs.where(column(at).isNotNull())
-        .groupBy(column(by).alias(by), slice_no.alias("__slice"))
+        .groupBy(column(by).alias(by), slice_start.alias("__slice"))
         .agg(F.min(column(at)).alias("run_at"), F.max(column(at)).alias("__last"))
     )
     before = F.lag("__last").over(Window.partitionBy(column(by)).orderBy("__slice"))
@@ -273,27 +283,28 @@ def run_gaps(runs: DataFrame, lookback: timedelta, by: str = "transfer_id", at:
 def window_gaps(runs: DataFrame, by: str = "transfer_id", slice_width: timedelta = timedelta(days=1)) -> DataFrame:
     """Runs whose window starts after everything covered so far (``covered_until`` < ``window_start``).
 
-    ``runs`` holds ``window_start`` and ``window_end``. The running maximum is split
-    into slices of window start: the maxima of earlier slices are carried in by a
-    join, so one group is one transfer's slice and not its whole history.
+    ``runs`` holds ``window_start`` and ``window_end`` (not before the start). Of runs
+    with one start only the first can follow a gap, so they are aggregated map-side.
+    The running maximum is split into slices of window start: the maxima of earlier
+    slices are carried in by a join, so one group is one transfer's slice and not its
+    whole history.
     """
-    width = slice_width // timedelta(microseconds=1)
-    start_kind = runs.schema["window_start"].dataType
-    tagged = runs.withColumn("__slice", F.floor(wall_micros(F.col("window_start"), start_kind) / F.lit(width)))
+    slice_start = _slice(F.col("window_start"), runs.schema["window_start"].dataType, slice_width)
     key = column(by)
+    starts = runs.groupBy(key.alias(by), slice_start.alias("__slice"), "window_start").agg(
+        F.min("window_end").alias("window_end"), F.max("window_end").alias("__end")
+    )
+    earlier = Window.partitionBy(key).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        tagged.groupBy(key.alias(by), "__slice")
+        runs.groupBy(key.alias(by), slice_start.alias("__slice"))
         .agg(F.max("window_end").alias("__end"))
-        .withColumn(
-            "__carry",
-            F.max("__end").over(Window.partitionBy(key).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)),
-        )
+        .withColumn("__carry", F.max("__end").over(earlier))
         .drop("__end")
     )
-    inside = Window.partitionBy(key, "__slice").orderBy("window_start", "window_end")
-    so_far = F.max("window_end").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    inside = Window.partitionBy(key, "__slice").orderBy("window_start")
+    so_far = F.max("__end").over(inside.rowsBetween(Window.unboundedPreceding, -1))
     return (
-        tagged.join(carried, [by, "__slice"], "left")
+        starts.join(carried, [by, "__slice"], "left")
         .withColumn("covered_until", F.greatest(so_far, F.col("__carry")))
         .where(F.col("covered_until") < F.col("window_start"))
         .select(key, "window_start", "window_end", "covered_until")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablesync.errors import DestinationStreamInvalidSchema, DuplicateKeys
-from tablesync.functions.sizing import MAX_BROADCAST_ROWS
+from tablesync.functions.sizing import is_small
 from tablesync.operators.extract import column
 from tablesync.workspace import written
 
@@ -81,10 +81,9 @@ def dedupe_sparse(df: DataFrame, keys: Sequence[str], cursor: str | None = None)
     are; if few repeat, only their rows are shuffled; otherwise all are.
     """
     repeated = written(duplicate_keys(df, keys).select(*[column(k) for k in keys]), "repeated")
-    n = repeated.count()
-    if n == 0:
+    if repeated.isEmpty():
         return df
-    if n > MAX_BROADCAST_ROWS:
+    if not is_small(repeated):
         return dedupe_latest(df, keys, cursor)
     once = df.join(F.broadcast(repeated), list(keys), "left_anti").select(*[column(n) for n in df.columns])
     many = df.join(F.broadcast(repeated), list(keys), "left_semi").select(*[column(n) for n in df.columns])

@@ -635,7 +635,7 @@ WITH u AS (SELECT user_id, event_type, CAST(json_extract_string(props, '$.k') AS
      r AS (SELECT *, CASE WHEN us > us0 THEN (k - k0) * CAST(1000000 AS DOUBLE) / (us - us0) ELSE 0.0 END AS rate
            FROM n WHERE rn = 1)
 SELECT user_id AS run_id, event_type AS entity, k AS processed, CAST(100 AS BIGINT) AS total,
-       round(k * CAST(100 AS DOUBLE) / 100, 2) AS percent, round(rate, 2) AS rate_rps,
+       round(k * CAST(100 AS DOUBLE) / 100, 2) AS percent, round(rate, 2) + 0.0 AS rate_rps,
        CASE WHEN rate > 0 THEN round((100 - k) / rate, 2) END AS eta_seconds FROM r
 """)
 def progress_summary(spark, sf_dir):

@@ -90,7 +90,7 @@ def resolve_mode(spark: SparkSession, cfg: SyncConfig, now: datetime) -> Mode:
     """The scheduled window; the first run of a transfer is a full refresh."""
     mode = window_for(cfg.destination.get("schedule") or {"frequency": DAILY, "type": "FULL_REFRESH"}, now)
     if mode.incremental and cfg.run_log:
-        runs = runlog.current_runs(runlog.read_run_log(spark, cfg.run_log))
+        runs = runlog.current_runs(runlog.read_run_log(spark, cfg.run_log, cfg.transfer_id))
         if runlog.latest_run_of(runs, cfg.transfer_id, runlog.SUCCESS).isEmpty():
             return Mode.full()
     return mode
@@ -171,15 +171,22 @@ def run_sync(
         }
         log.add(runlog.RUNNING)
         if not override and cfg.run_log:
-            runs = runlog.current_runs(runlog.read_run_log(spark, cfg.run_log))
+            runs = runlog.current_runs(runlog.read_run_log(spark, cfg.run_log, cfg.transfer_id))
             if runlog.has_run_gap(runs, cfg.transfer_id, mode):
                 raise RunGapDetected("the last successful run ended before the window of this run starts")
         sink = make_sink(spark, cfg.destination, mode, drop_after_complete)
         for dataset in read_models(spark, cfg, models, mode, ctx):
-            stages.append(fresh_folder(spark, f"stage-{ctx.batch_id}"))
-            staged = stage_dataset(dataset, stages[-1], cfg.parallel, note)
-            rows |= {s.spec.qualified_name: s.rows for s in staged}
+            if sink.single_pass and not mode.incremental:
+                # one sink that reads once: the rows go straight from source to target
+                staged = dataset
+            else:
+                stages.append(fresh_folder(spark, f"stage-{ctx.batch_id}"))
+                staged = stage_dataset(dataset, stages[-1], cfg.parallel, note)
             sink.write(staged, note)
+            targets = staged.in_schema(sink.connect.get("target_schema"))
+            for read, target in zip(staged, targets):
+                known = read.rows if read.rows is not None else sink.written[sink.entity(staged, target)]
+                rows[read.spec.qualified_name] = known
             if not drop_after_complete:
                 sink.check(staged)
     except Exception as cause:
@@ -195,7 +202,7 @@ def run_sync(
 
 def rerun(spark: SparkSession, cfg: SyncConfig, run_id: str, **options) -> RunResult:
     """Repeat a recorded run with the mode and models it had."""
-    runs = runlog.current_runs(runlog.read_run_log(spark, cfg.run_log))
+    runs = runlog.current_runs(runlog.read_run_log(spark, cfg.run_log, cfg.transfer_id))
     path = "$.arguments"
     found = (
         runs.where(F.col("run_id") == run_id)

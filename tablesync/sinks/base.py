@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from dataclasses import replace
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from tablesync.dataset import Dataset, Stream
 from tablesync.errors import IntegrityCheckFailed
@@ -26,12 +28,16 @@ class Sink:
     label = "sink"
     part_of_compound = False
 
+    #: Does a write evaluate the stream exactly once? Then it need not be staged first.
+    single_pass = False
+
     def __init__(self, spark: SparkSession, config: Mapping[str, Any] | None = None):
         self.spark = spark
         self.config = dict(config or {})
         self.connect = dict(self.config.get("connect") or {})
         self.mode = Mode.coerce(self.config.get("mode"))
         self.trial = bool(self.config.get("drop_after_complete", False))
+        self.written: dict[str, int] = {}
 
     def entity(self, dataset: Dataset, stream: Stream) -> str:
         spec = stream.spec
@@ -51,17 +57,35 @@ class Sink:
     def finish(self, stream: Stream, dataset: Dataset) -> None:
         """Remove what a trial run wrote for one stream."""
 
+    def _observed(self, stream: Stream) -> tuple[Stream, Observation]:
+        """The stream with its rows counted while they are written, in the last stage of that job."""
+        seen = Observation()
+        return replace(stream, df=stream.df.observe(seen, F.count(F.lit(1)).alias("n"))), seen
+
     def write(self, dataset: Dataset, on_progress: Callable[[Progress], None] | None = None) -> dict[str, dict]:
-        """Write all streams; returns the progress summary of each by entity."""
+        """Write all streams; returns the progress summary of each by entity.
+
+        A stream that was not staged goes to a single-pass sink directly and is counted
+        on the way; other sinks count it first.
+        """
         summaries = {}
         for stream in dataset.in_schema(self.connect.get("target_schema")):
-            rows = dataset.size(stream)
-            progress = Progress(self.entity(dataset, stream), total=rows).subscribe(on_progress)
-            if rows == 0 and self.skips_empty(stream):
-                progress.message("nothing to write")
-            else:
-                self.write_stream(stream, dataset)
+            entity = self.entity(dataset, stream)
+            if stream.rows is None and self.single_pass:
+                observed, seen = self._observed(stream)
+                progress = Progress(entity).subscribe(on_progress)
+                self.write_stream(observed, dataset)
+                rows = progress.total = int(seen.get["n"])
+                self.written[entity] = rows
                 progress.update(rows, message="written")
+            else:
+                rows = self.written[entity] = dataset.size(stream)
+                progress = Progress(entity, total=rows).subscribe(on_progress)
+                if rows == 0 and self.skips_empty(stream):
+                    progress.message("nothing to write")
+                else:
+                    self.write_stream(stream, dataset)
+                    progress.update(rows, message="written")
             summaries[progress.entity] = progress.summary()
         if self.trial and not self.part_of_compound:
             self.clean(dataset)
@@ -77,7 +101,8 @@ class Sink:
         loaded = {}
         marker = dataset.ctx.column("batch_id")
         for stream in dataset.in_schema(self.connect.get("target_schema")):
-            expected, name = dataset.size(stream), stream.spec.qualified_name
+            name, entity = stream.spec.qualified_name, self.entity(dataset, stream)
+            expected = self.written[entity] if entity in self.written else dataset.size(stream)
             target = self.target(stream, dataset)
             if target is None:
                 if expected and self.checkable:

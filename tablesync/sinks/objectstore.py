@@ -88,6 +88,10 @@ class ObjectStoreSink(Sink):
     scheme: str | None = None
     checkable = True
 
+    @property
+    def single_pass(self) -> bool:
+        return not self.connect.get("compact")
+
     def __init__(self, spark, config=None):
         super().__init__(spark, config)
         self.format = str(self.connect.get("format", "staging")).lower()

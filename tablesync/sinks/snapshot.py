@@ -28,6 +28,9 @@ from tablesync.workspace import Folder, fresh_folder, written
 PART = "sync_part"
 JOURNAL = "journal.json"
 
+#: A table cut finer than this is refused: the driver lists part folders.
+MAX_PARTS = 100_000
+
 #: Where a row lives: a function from the DataFrame to the text that names its part.
 PartOf = Callable[[DataFrame], Column]
 
@@ -140,7 +143,11 @@ class SnapshotTable:
             return self._upsert_parts(stage, keys, cursor, dedupe, guard)
         if guard != "none":
             # the guarded stage is read twice: for its keys and for its rows
-            stage, dedupe = written(prepare_stage(stage, keys, cursor, dedupe), "stage"), "none"
+            staged = fresh_folder(self.spark, "stage")
+            stage = written(prepare_stage(stage, keys, cursor, dedupe), folder=staged)
+            version = self.replace(upsert_replace(self._rows(), stage, keys, guard, cursor))
+            Folder(self.spark, staged).remove()
+            return version
         return self.replace(upsert_replace(self._rows(), stage, keys, guard, cursor, dedupe))
 
     def _touched(self, stage: DataFrame, keys: Sequence[str]) -> list[str]:
@@ -153,11 +160,15 @@ class SnapshotTable:
         if not self.stable:
             narrow = self._rows().select(*[column(k) for k in keys], PART)
             parts = parts.union(narrow.join(distinct_keys(stage, keys), list(keys), "left_semi").select(PART))
-        return sorted(r[0] for r in parts.distinct().collect())
+        names = parts.distinct().limit(MAX_PARTS + 1).collect()
+        if len(names) > MAX_PARTS:
+            raise DestinationError(f"{self.root} is cut into more than {MAX_PARTS} parts")
+        return sorted(r[0] for r in names)
 
     def _upsert_parts(self, stage, keys, cursor, dedupe, guard) -> int:
         self.recover()
-        stage = written(prepare_stage(stage, keys, cursor, dedupe), "stage")
+        staged = fresh_folder(self.spark, "stage")
+        stage = written(prepare_stage(stage, keys, cursor, dedupe), folder=staged)
         touched = self._touched(stage, keys)
         if touched:
             old = self._rows().where(F.col(PART).isin(*touched)).drop(PART)
@@ -165,6 +176,7 @@ class SnapshotTable:
             self._write(upsert_replace(old, stage, keys, guard, cursor), merged)
             self.folder.create(JOURNAL, json.dumps({"merged": merged, "touched": touched}))
             self.recover()
+        Folder(self.spark, staged).remove()
         return self.version()
 
     def recover(self) -> None:
@@ -181,6 +193,7 @@ class SnapshotTable:
         for emptied in set(journal["touched"]) - filled:
             Folder(self.spark, base).remove(f"{PART}={emptied}")
         self.folder.remove(JOURNAL)
+        merged.remove()
 
     def vacuum(self, keep: int = 2) -> None:
         """Drop versions older than the newest ``keep``; readers of those would fail."""
