@@ -43,10 +43,35 @@ def broadcast_if_small(
     return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df
 
 
-def clustered_for_write(df: DataFrame, *columns: str) -> DataFrame:
-    """Collect rows of the same output folder into few files of the advisory size.
+def clustered_for_write(df: DataFrame) -> DataFrame:
+    """Gather the rows of a selective read into few files of the advisory size."""
+    return df.hint("rebalance")
 
-    ``rebalance`` lets AQE merge small partitions and, unlike ``repartition``, split a
-    folder that holds a large share of all rows over many tasks.
+
+#: Rows of one folder that one write task takes before the folder is split.
+ROWS_PER_WRITER = 2_000_000
+
+#: No more than this many folders are split explicitly; see :func:`spread_for_write`.
+MAX_SPLIT_FOLDERS = 10_000
+
+
+def spread_for_write(df: DataFrame, by: str, counts: DataFrame, rows_per_writer: int = ROWS_PER_WRITER) -> DataFrame:
+    """Arrange rows for a write partitioned by ``by``: small folders whole, large ones over many tasks.
+
+    ``counts`` holds ``by`` and (about) how many rows each folder gets, ``n``. A folder
+    above the limit is salted with a hash of its rows into one piece per
+    ``rows_per_writer`` rows, so it neither fills one task nor scatters the folders it
+    would share a partition with. Only folders above 1/10,000 of all rows are listed,
+    of which there are fewer than 10,000, so the list is always small; AQE splits what
+    lies below.
     """
-    return df.hint("rebalance", *columns)
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
+    limit = max(rows_per_writer, (total or 0) // MAX_SPLIT_FOLDERS)
+    if (most or 0) <= limit:
+        return df.hint("rebalance", by)
+    large = counts.where(F.col("n") > limit).select(by, F.ceil(F.col("n") / rows_per_writer).alias("__pieces"))
+    hashed = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    piece = F.when(F.col("__pieces").isNotNull(), F.pmod(F.xxhash64(*hashed), F.col("__pieces"))).otherwise(F.lit(0))
+    salted = df.join(F.broadcast(large), by, "left").withColumn("__piece", piece)
+    arranged = salted.hint("rebalance", by, "__piece")
+    return arranged.select(*[F.col(f"`{c}`") for c in df.columns])

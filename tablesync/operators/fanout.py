@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablesync.functions.sizing import broadcast_if_small, clustered_for_write
+from tablesync.functions.sizing import ROWS_PER_WRITER, broadcast_if_small, spread_for_write
 from tablesync.operators.augment import augment
 from tablesync.operators.extract import column, extract
 from tablesync.spec import Bookkeeping, Mode, StreamSpec, SyncContext
@@ -41,14 +41,21 @@ def tenant_rows(
     return joined.select("tenant_id", *[column(n) for n in shaped.columns if n != "__tenant"])
 
 
-def export_all_tenants(rows: DataFrame, root: str, ctx: SyncContext, batch_size: int | None = None) -> str:
+def export_all_tenants(
+    rows: DataFrame,
+    root: str,
+    ctx: SyncContext,
+    batch_size: int | None = None,
+    rows_per_writer: int = ROWS_PER_WRITER,
+) -> str:
     """Write :func:`tenant_rows` as ``tenant_id=…/dt=…`` folders.
 
-    The rebalance gives each folder few files and splits a tenant that owns a large
-    share of the rows over many tasks.
+    Rows per tenant are counted first, on the tenant column alone, so that a tenant with
+    a large share of the rows is written by many tasks and a small one by one.
     """
-    day = ctx.synced_at.date()
-    writer = clustered_for_write(rows, "tenant_id").withColumn("dt", F.lit(day)).write.mode("append")
+    counts = rows.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n"))
+    arranged = spread_for_write(rows, "tenant_id", counts, rows_per_writer)
+    writer = arranged.withColumn("dt", F.lit(ctx.synced_at.date())).write.mode("append")
     if batch_size:
         writer = writer.option("maxRecordsPerFile", batch_size)
     writer.partitionBy("tenant_id", "dt").parquet(root)

@@ -66,6 +66,7 @@ class JdbcSink(Sink):
     vendor: str | None = None
     strategy: str | None = None
     checkable = True
+    quote = '"'  # Spark's JDBC writer creates columns quoted, too
 
     def __init__(self, spark, config=None, runner: Runner | None = None):
         super().__init__(spark, config)
@@ -114,7 +115,7 @@ class JdbcSink(Sink):
         if existing is None:
             self.insert(df.limit(0), table, "overwrite")
             if keys:
-                self.run([sql.add_primary_key(table, keys)])
+                self.run([sql.add_primary_key(table, keys, self.quote)])
         elif not schemas_compatible(df.schema, existing.schema):
             raise DestinationStreamInvalidSchema(f"the existing schema of {table} does not match the stream")
 
@@ -147,7 +148,7 @@ class UpsertJdbcSink(JdbcSink):
         return portable(prepare_stage(stream.df, spec.require_keys(), cursor, policy))
 
     def merge_statements(self, stream: Stream, stage: str, columns: Sequence[str]) -> list[str]:
-        merge = sql.Merge(self.table_name(stream), stage, columns, stream.spec.require_keys())
+        merge = sql.Merge(self.table_name(stream), stage, columns, stream.spec.require_keys(), self.quote)
         return [*merge.statements(self.strategy), sql.drop(stage)]
 
     def write_stream(self, stream: Stream, dataset: Dataset) -> None:

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from tablesync.dataset import Dataset, Stream
 from tablesync.errors import DestinationError, DestinationStreamInvalidSchema
-from tablesync.functions.sizing import clustered_for_write
+from tablesync.functions.sizing import spread_for_write
 from tablesync.functions.types import schemas_compatible
 from tablesync.operators.extract import column
 from tablesync.operators.upsert import any_null, distinct_keys, prepare_stage, upsert_replace
@@ -109,12 +109,18 @@ class SnapshotTable:
 
     # ---- writing
 
-    def _write(self, df: DataFrame, path: str) -> None:
+    def _cut(self, df: DataFrame) -> DataFrame:
+        return df.withColumn(PART, _named(self.part(df)))
+
+    def _write(self, df: DataFrame, path: str, sized_by: DataFrame | None = None) -> None:
+        """Write ``df``; ``sized_by`` holds the part of (about) every row, if that is cheaper to count."""
         if self.part is None:
             df.write.mode("overwrite").parquet(path)
             return
-        cut = df.withColumn(PART, _named(self.part(df)))
-        clustered_for_write(cut, PART).write.mode("overwrite").partitionBy(PART).parquet(path)
+        cut = self._cut(df)
+        parts = cut if sized_by is None else sized_by
+        counts = parts.groupBy(PART).agg(F.count(F.lit(1)).alias("n"))
+        spread_for_write(cut, PART, counts).write.mode("overwrite").partitionBy(PART).parquet(path)
 
     def replace(self, df: DataFrame) -> int:
         """Make ``df`` the whole content; the schema may change. Returns the new version."""
@@ -171,9 +177,10 @@ class SnapshotTable:
         stage = written(prepare_stage(stage, keys, cursor, dedupe), folder=staged)
         touched = self._touched(stage, keys)
         if touched:
-            old = self._rows().where(F.col(PART).isin(*touched)).drop(PART)
+            old = self._rows().where(F.col(PART).isin(*touched))
             merged = fresh_folder(self.spark, "merged")
-            self._write(upsert_replace(old, stage, keys, guard, cursor), merged)
+            sized_by = old.select(PART).unionByName(self._cut(stage).select(PART))
+            self._write(upsert_replace(old.drop(PART), stage, keys, guard, cursor), merged, sized_by)
             self.folder.create(JOURNAL, json.dumps({"merged": merged, "touched": touched}))
             self.recover()
         Folder(self.spark, staged).remove()

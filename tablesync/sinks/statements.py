@@ -12,14 +12,22 @@ from dataclasses import dataclass
 from tablesync.functions.identifiers import safe_identifier
 
 
+def quoted(name: str, quote: str = "") -> str:
+    return f"{quote}{safe_identifier(name)}{quote}"
+
+
 @dataclass(frozen=True)
 class Merge:
-    """Names for one merge: target and stage table, all columns, the key columns."""
+    """Names for one merge: target and stage table, all columns, the key columns.
+
+    ``quote`` surrounds column names, so that reserved words may be columns.
+    """
 
     target: str
     stage: str
     columns: Sequence[str]
     keys: Sequence[str]
+    quote: str = ""
 
     def __post_init__(self):
         if not self.keys:
@@ -27,7 +35,7 @@ class Merge:
         object.__setattr__(self, "target", safe_identifier(self.target))
         object.__setattr__(self, "stage", safe_identifier(self.stage))
         for name in ("columns", "keys"):
-            object.__setattr__(self, name, [safe_identifier(c) for c in getattr(self, name)])
+            object.__setattr__(self, name, [quoted(c, self.quote) for c in getattr(self, name)])
 
     @property
     def values(self) -> list[str]:
@@ -85,8 +93,8 @@ def empty_copy(table: str, like: str) -> str:
     )
 
 
-def add_primary_key(table: str, keys: Sequence[str]) -> str:
-    return f"ALTER TABLE {safe_identifier(table)} ADD PRIMARY KEY ({', '.join(safe_identifier(k) for k in keys)})"
+def add_primary_key(table: str, keys: Sequence[str], quote: str = "") -> str:
+    return f"ALTER TABLE {safe_identifier(table)} ADD PRIMARY KEY ({', '.join(quoted(k, quote) for k in keys)})"
 
 
 def redshift_stage(stage: str, like: str) -> str:

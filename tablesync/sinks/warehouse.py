@@ -51,6 +51,7 @@ class ConnectorSink(Sink):
     """Common part of sinks that load a stage table through a Spark connector and then merge."""
 
     format = ""
+    quote = ""
 
     def __init__(self, spark, config=None, runner: Runner | None = None):
         super().__init__(spark, config)
@@ -78,7 +79,7 @@ class ConnectorSink(Sink):
         """Create the target if absent (after dropping it on a full refresh), merge, drop the stage."""
         target, stage = self.table_name(stream), self.stage_name(stream)
         before = [] if self.mode.incremental else [sql.drop(target)]
-        merge = sql.Merge(target, stage, stream.df.columns, stream.spec.require_keys()).merge()
+        merge = sql.Merge(target, stage, stream.df.columns, stream.spec.require_keys(), self.quote).merge()
         after = [sql.drop(target)] if self.trial else []
         return [*before, sql.empty_copy(target, stage), *merge, sql.drop(stage), *after]
 
@@ -111,7 +112,7 @@ class SnowflakeSink(ConnectorSink):
 class BigQuerySink(ConnectorSink):
     """The connector writes the stage table; ``runner`` submits the merge as a query job."""
 
-    label, format = "bigquery", "bigquery"
+    label, format, quote = "bigquery", "bigquery", "`"
 
     def connector_options(self) -> dict[str, str]:
         return bigquery_options(self.connect)

@@ -1,0 +1,244 @@
+"""Sources: files, catalog, fixture, database and warehouse options, inspection, generators."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from conftest import rows
+from tablesync import get_source, get_source_by_vendor, register_source
+from tablesync.errors import SourceConnectionFailed, SourceStreamDoesNotExist, SourceStreamInvalidSchema
+from tablesync.sources import synthetic
+from tablesync.sources.base import Source, inspect_columns
+from tablesync.sources.files import CatalogSource, FileSource
+from tablesync.sources.fixture import ROWS_PER_DAY, FixtureSource
+from tablesync.sources.jdbc import JdbcSource, PostgresSource, hash_predicates, jdbc_options, jdbc_url, range_split
+from tablesync.sources.warehouse import BigQuerySource, SnowflakeSource
+from tablesync.spec import Mode, StreamSpec
+from tablesync.workspace import fresh_folder
+
+AT = dt.datetime(2025, 1, 1, 12, tzinfo=dt.timezone.utc)
+
+
+# ---- S7, S12, S13, S16, S11, S10
+
+
+def test_s7_s8_multi_stream_read(spark, small):
+    streams = [{"table": "orders", "primary_field": "o_orderkey"}, {"table": "customer", "filters": {"c_mktsegment": "BUILDING"}}]
+    source = get_source(spark, "source-files", {"connect": {"root": small}, "streams": streams, "with": {"batch_id": True}})
+    ds = source.read()
+    assert [s.spec.name for s in ds] == ["orders", "customer"]
+    assert all("sync__batch_id" in s.df.columns for s in ds)
+    counts = dict(source.counts().collect())
+    assert counts == {"orders": ds.stream("orders").df.count(), "customer": ds.stream("customer").df.count()}
+
+
+def test_s13_empty_result_keeps_its_schema(spark, small):
+    spec = {"table": "events", "cursor_field": "ts"}
+    mode = Mode.window("2010-01-01", "2010-01-02")
+    df = get_source(spark, "source-files", {"connect": {"root": small}, "streams": [spec], "mode": mode}).read().streams[0].df
+    assert df.count() == 0 and "ts" in df.columns
+
+
+def test_s16_query_in_place_of_a_table(spark, small):
+    spark.read.parquet(f"{small}/nation.parquet").createOrReplaceTempView("nation_view")
+    spec = {"table": "n", "query": "select n_nationkey id, n_name from nation_view", "filters": {"id": "3"}}
+    df = get_source(spark, "source-catalog", {"streams": [spec]}).read().streams[0].df
+    assert [r.id for r in df.collect()] == [3]
+
+
+def test_s11_missing_table_and_column(spark, small):
+    for bad in ({"table": "nope"}, {"table": "nope", "schema": "deep"}):
+        with pytest.raises(SourceStreamDoesNotExist):
+            FileSource(spark, {"connect": {"root": small}, "streams": [bad]}).read()
+    with pytest.raises(SourceStreamDoesNotExist):
+        CatalogSource(spark, {"streams": [{"table": "nope"}]}).read()
+    with pytest.raises(SourceStreamInvalidSchema):
+        FileSource(spark, {"connect": {"root": small}, "streams": [{"table": "orders", "primary_field": "x"}]}).read()
+
+
+def test_s10_connection_check(spark, small):
+    assert FileSource(spark, {"connect": {"root": small}}).test_connect()
+    with pytest.raises(SourceConnectionFailed):
+        FileSource(spark, {"connect": {"root": "/nowhere/at/all"}}).test_connect()
+    with pytest.raises(SourceConnectionFailed):
+        JdbcSource(spark, {"connect": {"url": "jdbc:none://h/db"}}).test_connect()
+
+
+@pytest.mark.parametrize("kind", ["csv", "json", "orc"])
+def test_other_file_formats(spark, kind):
+    root = fresh_folder(spark, kind)
+    spark.range(5).select("id", F.lit("x").alias("v")).write.format(kind).option("header", True).save(f"{root}/t.{kind}")
+    connect = {"root": root, "format": kind, "options": {"header": "true"}, "schemas": {"t": "id bigint, v string"}}
+    if kind == "orc":
+        connect.pop("schemas")
+    df = FileSource(spark, {"connect": connect, "streams": [{"table": "t", "primary_field": "id"}]}).read().streams[0].df
+    assert rows(df) == [(i, "x") for i in range(5)]
+
+
+# ---- S6
+
+
+def test_s6_fixture_counts(spark):
+    df = FixtureSource(spark).read().streams[0].df
+    assert df.count() == 100 and df.select("id").distinct().count() == 100
+    got = {(r[0], r[1]): r[2] for r in df.groupBy("customer_id", F.dayofmonth("updated_at")).count().collect()}
+    assert got == {(t, d): n for t, ns in ROWS_PER_DAY.items() for d, n in enumerate(ns, 1)}
+    assert dict(df.dtypes)["score"] == "bigint" and dict(df.dtypes)["open_date"] == "date"
+
+
+def test_s6_fixture_window_and_tenant(spark):
+    spec = {"table": "transfer_test", "cursor_field": "updated_at", "filters": {"customer_id": "Customer3"}}
+    source = FixtureSource(spark, {"streams": [spec], "mode": Mode.window("2025-01-05", "2025-01-06")})
+    assert source.read().streams[0].df.count() == 10
+
+
+# ---- S9
+
+
+def test_s9_inspect_files(spark, small):
+    found = {r.stream_name: r.fields for r in FileSource(spark, {"connect": {"root": small}}).inspect().collect()}
+    assert len(found) == 14
+    assert [(f.name, f.type) for f in found["region"]] == [("r_regionkey", "int"), ("r_name", "string")]
+
+
+def test_s9_inspect_information_schema(spark):
+    data = [("public", "t", "b", "text", 2), ("public", "t", "a", "int", 1), ("pg_catalog", "x", "y", "int", 1),
+            ("ds", "prj.ds.u", "c", "date", 1), ("INFORMATION_SCHEMA", "z", "z", "int", 1)]
+    df = spark.createDataFrame(data, "table_schema string, table_name string, column_name string, data_type string, ordinal_position int")
+    got = {(r[0], r[1]): [tuple(f) for f in r[2]] for r in inspect_columns(df).collect()}
+    assert got == {("public", "t"): [("a", "int"), ("b", "text")], ("ds", "u"): [("c", "date")]}
+
+
+def test_s9_inspect_catalog(spark):
+    spark.range(3).write.mode("overwrite").saveAsTable("inspected")
+    found = {(r[0], r[1]) for r in CatalogSource(spark).inspect().collect()}
+    assert ("default", "inspected") in found
+    spark.sql("drop table inspected")
+
+
+# ---- S1-S5: options only, no database is started
+
+
+BASIC = {"auth_type": "basic", "host": "h", "database": "db", "user": "u", "password": "p"}
+
+
+def test_s1_s2_urls_and_options():
+    assert jdbc_url(BASIC, "postgresql") == "jdbc:postgresql://h:5432/db"
+    assert jdbc_url({**BASIC, "port": 1}, "redshift") == "jdbc:redshift://h:1/db"
+    options = jdbc_options(BASIC, "postgresql")
+    assert options == {"url": "jdbc:postgresql://h:5432/db", "user": "u", "password": "p", "driver": "org.postgresql.Driver"}
+    with pytest.raises(ValueError):
+        jdbc_url({"host": "h"}, "postgresql")
+    with pytest.raises(ValueError):
+        jdbc_url({"host": "h"})
+
+
+def test_s1_auth_namespace_and_fetch_size(spark):
+    source = PostgresSource(spark, {"connect": {**BASIC, "chunk_size": 5000}})
+    assert source.namespace == "db" and source.options()["fetchsize"] == "5000"
+    assert PostgresSource(spark, {"connect": BASIC}).options()["fetchsize"] == "1024"
+    for vendor in ("source-postgresql", "source-redshift"):
+        with pytest.raises(ValueError):
+            get_source(spark, vendor, {"connect": {**BASIC, "auth_type": "oauth"}})
+
+
+def test_s1_reads_are_split_over_the_window(spark):
+    mode = Mode.window("2025-01-01", "2025-01-02")
+    source = PostgresSource(spark, {"connect": {**BASIC, "slices": 8}, "mode": mode})
+    schema = T.StructType.fromDDL("id string, at timestamp")
+    got = source.split(StreamSpec("t", "s", "id", "at"), schema, mode)
+    assert got == range_split("at", "2025-01-01 00:00:00.000000", "2025-01-02 00:00:00.000000", 8)
+
+
+def test_s1_full_refresh_splits_on_the_key_range(spark, monkeypatch):
+    source = PostgresSource(spark, {"connect": BASIC})
+    monkeypatch.setattr(source, "_load", lambda extra: spark.range(10, 90))
+    spec, schema = StreamSpec("t", "s", "id"), T.StructType.fromDDL("id bigint")
+    assert source.split(spec, schema, Mode.full()) == range_split("id", 10, 89, 16)
+    assert source.split(spec, T.StructType.fromDDL("id string"), Mode.full()) == {}
+
+
+def test_s1_text_keys_are_split_by_hash():
+    clauses = hash_predicates("id", 3, "postgresql")
+    assert len(clauses) == 3 and clauses[0].endswith("= 0 or id is null") and clauses[2].endswith("= 2")
+    with pytest.raises(ValueError):
+        hash_predicates("id", 3, "athena")
+
+
+def test_s3_snowflake_options(spark):
+    connect = {"auth_type": "access_token", "user": "u", "access_token": "t", "account": "a", "database": "d", "warehouse": "w"}
+    source = SnowflakeSource(spark, {"connect": connect})
+    assert source.namespace == "d" and source.options["sfSchema"] == "public" and source.options["sfPassword"] == "t"
+    for name in ("user", "access_token", "account", "database", "warehouse"):
+        with pytest.raises(ValueError):
+            SnowflakeSource(spark, {"connect": {k: v for k, v in connect.items() if k != name}})
+
+
+def test_s4_bigquery_options(spark):
+    connect = {"auth_type": "service_account", "project_id": "p", "service_account": "{}"}
+    source = BigQuerySource(spark, {"connect": connect})
+    assert source.options == {"parentProject": "p", "credentials": "e30="}
+    assert source.table_name(StreamSpec("t", "ds")) == "p.ds.t"
+    with pytest.raises(ValueError):
+        BigQuerySource(spark, {"connect": {**connect, "auth_type": "basic"}})
+
+
+def test_s5_q1_generic_vendors_have_a_source(spark):
+    for vendor in ("mysql", "athena"):
+        source = get_source(spark, get_source_by_vendor(vendor), {"connect": {"url": "jdbc:x://h/db"}})
+        assert source.options()["url"] == "jdbc:x://h/db"
+
+
+def test_o10_e2_own_source(spark):
+    class Mine(Source):
+        def table(self, spec):
+            return self.spark.range(4)
+
+    register_source("source-mine", Mine, "mine")
+    ds = get_source(spark, get_source_by_vendor("mine"), {"streams": [{"table": "t"}]}).read()
+    assert ds.streams[0].df.count() == 4
+
+
+# ---- S14, S15
+
+
+def test_s14_tables_have_their_columns(spark):
+    leads = synthetic.leads(spark, 200, AT)
+    assert leads.dtypes == [
+        ("id", "int"), ("customer_id", "string"), ("last_modified", "timestamp"), ("lead_source", "string"),
+        ("campaign_id", "int"), ("lifecycle_stage", "string"), ("lead_status", "string"), ("lead_score", "int"),
+        ("is_converted", "boolean"), ("created_at", "timestamp"),
+    ]
+    campaigns = synthetic.campaigns(spark, 200, AT)
+    assert dict(campaigns.dtypes)["budget"] == "decimal(12,2)"
+    assert campaigns.where("end_date < date_add(start_date, 30) or budget < 1000 or budget > 50000").count() == 0
+    touches = synthetic.attribution(spark, 200, AT)
+    assert dict(touches.dtypes)["attribution_value"] == "decimal(5,2)"
+    assert touches.where("attribution_value < 0.05 or attribution_value > 1 or touchpoint_time > last_modified").count() == 0
+    assert leads.where("lead_score < 0 or lead_score > 100").count() == 0
+
+
+def test_s14_rows_do_not_depend_on_partitioning(spark):
+    assert rows(synthetic.leads(spark, 300, AT, slices=1)) == rows(synthetic.leads(spark, 300, AT, slices=7))
+
+
+def test_s15_large_leads_csv(spark):
+    start, end = dt.datetime(2025, 7, 1), dt.datetime(2025, 7, 2)
+    df = synthetic.large_leads(spark, 1000, start, end)
+    path = synthetic.write_leads_csv(df, fresh_folder(spark, "csv"))
+    back = spark.read.option("header", True).csv(path)
+    assert back.columns == ["id", "created_at", "updated_at", "customer_id", "name", "email", "score", "notes"]
+    assert back.count() == back.select("id").distinct().count() == 1000
+    assert df.where("created_at < '2025-07-01' or created_at >= '2025-07-03'").count() == 0
+    assert df.where("updated_at < created_at or updated_at > created_at + interval 1 day").count() == 0
+    assert df.select("customer_id").distinct().count() == 3
+    with pytest.raises(ValueError):
+        synthetic.large_leads(spark, 1, end, start)
+
+
+def test_s15_tenant_slices_add_up(spark):
+    df = synthetic.large_leads(spark, 2000, dt.datetime(2025, 7, 1), dt.datetime(2025, 7, 2))
+    per_tenant = [df.where(F.col("customer_id") == f"Customer{i}").count() for i in (1, 2, 3)]
+    assert sum(per_tenant) == 2000 and min(per_tenant) > 500

@@ -1,0 +1,197 @@
+"""Whole runs: window, gap, first run, rerun, several sources, failures, self-test, fan-out."""
+
+import datetime as dt
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import rows
+from tablesync.operators import runlog
+from tablesync.operators.fanout import export_all_tenants, tenant_rows
+from tablesync.plans.transfer import (
+    SyncConfig, adhoc_mode, check_source, inspect_source, rerun, run_sync, self_test,
+)
+from tablesync.sinks.snapshot import SnapshotTable
+from tablesync.spec import DAILY, Bookkeeping, Mode, ModelSpec, StreamSpec, SyncContext
+from tablesync.workspace import Folder, fresh_folder, shared_folder
+
+FIXTURE = ModelSpec("m1", "mem", "fixture", "transfer_test", "id", "customer_id", "updated_at")
+
+
+@pytest.fixture
+def folder(spark):
+    return fresh_folder(spark, "transfer")
+
+
+def config(folder, small, models=(FIXTURE,), tenant="Customer1", **kw):
+    return SyncConfig(
+        "t1", tenant, list(models),
+        {"mem": {"vendor_type": "memory", "connection_info": {}}, "files": {"vendor_type": "files", "connection_info": {"root": small}}},
+        {"vendor_type": "snapshot", "connection_info": {"root": f"{folder}/target"}, "schedule": {"frequency": DAILY}},
+        run_log=f"{folder}/runs", **kw,
+    )
+
+
+def log(spark, folder):
+    return runlog.current_runs(runlog.read_run_log(spark, f"{folder}/runs"))
+
+
+def test_o1_o4_o7_first_run_then_increment(spark, folder, small):
+    cfg = config(folder, small)
+    first = run_sync(spark, cfg, now="2025-01-02T00:01:00")
+    assert first.ok and not first.mode.incremental and first.rows == {"fixture.transfer_test": 29}
+    second = run_sync(spark, cfg, now="2025-01-03T00:01:00")
+    assert second.ok, second.error
+    assert second.mode == Mode.window("2025-01-01T21:00", "2025-01-03")
+    assert second.rows == {"fixture.transfer_test": 7}
+    target = SnapshotTable(spark, f"{folder}/target/fixture/transfer_test").read()
+    assert target.count() == 29 and "customer_id" not in target.columns
+    assert target.where(F.col("sync__batch_id") == "1735862460000").count() == 7
+    states = log(spark, folder)
+    assert rows(states.groupBy("status").count()) == [("SUCCESS", 2)]
+    assert rows(runlog.rows_transferred(states).select("rows_transferred")) == [(29,), (7,)]
+
+
+def test_w4_gap_fails_the_run_and_is_recorded(spark, folder, small):
+    cfg = config(folder, small)
+    assert run_sync(spark, cfg, now="2025-01-02T00:01:00").ok
+    late = run_sync(spark, cfg, now="2025-01-09T00:01:00")
+    assert not late.ok and "RunGapDetected" in late.error
+    assert runlog.latest_run_of(log(spark, folder), "t1").first().status == "FAILURE"
+    assert run_sync(spark, cfg, Mode.window("2025-01-01", "2025-01-09"), now="2025-01-09T00:02:00").ok, "an override skips the check"
+
+
+def test_o6_rerun_repeats_mode_and_models(spark, folder, small):
+    cfg = config(folder, small)
+    original = run_sync(spark, cfg, Mode.window("2025-01-03", "2025-01-04"), ["m1"], now="2025-02-01")
+    again = rerun(spark, cfg, original.run_id, now="2025-02-02")
+    assert again.ok and again.mode == original.mode and again.rows == original.rows == {"fixture.transfer_test": 7}
+    with pytest.raises(KeyError):
+        rerun(spark, cfg, "nope")
+
+
+def test_o5_adhoc_mode_defaults():
+    now = dt.datetime(2025, 1, 10, 12, tzinfo=dt.timezone.utc)
+    mode = adhoc_mode(period="HOURLY", now=now)
+    assert (mode.start, mode.end) == (now - dt.timedelta(hours=1, minutes=15), now)
+    assert adhoc_mode("FULL_REFRESH") == Mode.full()
+    assert adhoc_mode(start="2025-01-01", end="2025-01-03").start.day == 1
+
+
+def test_s8_several_sources_and_model_choice(spark, folder, small):
+    events = ModelSpec("m2", "files", "", "events", "event_id", "event_type", "ts")
+    cfg = config(folder, small, [FIXTURE, events], "click")
+    result = run_sync(spark, cfg, Mode.full(), now="2025-02-01")
+    assert result.ok, result.error
+    n = spark.read.parquet(f"{small}/events.parquet").where("event_type = 'click'").count()
+    assert result.rows == {"fixture.transfer_test": 0, "events": n}
+    assert run_sync(spark, cfg, Mode.full(), ["m2"], now="2025-02-02").rows == {"events": n}
+
+
+def test_single_pass_targets_are_written_without_stage(spark, folder, small):
+    events = ModelSpec("m2", "files", "", "events", "event_id", "event_type", "ts")
+    cfg = config(folder, small, [events], "click")
+    cfg = SyncConfig(**{**cfg.__dict__, "destination": {"vendor_type": "files", "connection_info": {"root": folder, "format": "hive"}}})
+    result = run_sync(spark, cfg, Mode.full(), now="2025-02-01")
+    assert result.ok, result.error
+    assert result.rows["events"] == spark.read.parquet(f"{folder}/events").count() > 0
+
+
+def test_q22_stages_are_removed(spark, folder, small):
+    run_sync(spark, config(folder, small), Mode.full(), now="2031-01-01")
+    names = Folder(spark, f"{shared_folder(spark)}/tablesync").names()
+    assert not [n for n in names if n.startswith("stage-1924992000000")]
+
+
+def test_failures_are_recorded_with_cause(spark, folder, small):
+    bad = ModelSpec("m2", "files", "", "no_such_table", "id", "tenant", "ts")
+    result = run_sync(spark, config(folder, small, [bad]), Mode.full(), now="2025-02-01", execution_id="retry:42", retry_count=2)
+    assert not result.ok and "SourceStreamDoesNotExist" in result.error
+    row = log(spark, folder).first()
+    meta = json.loads(row.meta)
+    assert (meta["execution_id"], meta["retry_count"]) == ("42", 2)
+    assert "no_such_table" in json.loads(row.output)["cause"]
+
+
+def test_o3_drift_is_noted(spark, folder, small):
+    assert run_sync(spark, config(folder, small), now="2025-01-02T05:00:00").drifted
+    meta = json.loads(log(spark, folder).first().meta)
+    assert meta["drifted"] is True
+
+
+@pytest.mark.parametrize("vendor", ["snapshot", "files", "console"])
+def test_o8_self_test_leaves_nothing(spark, folder, vendor, capsys):
+    result = self_test(spark, {"vendor_type": vendor, "connection_info": {"root": folder}})
+    assert result.ok, result.error
+    assert result.rows == {"fixture.transfer_test": 7}
+    left = [n for n in Folder(spark, f"{folder}/fixture").names() + Folder(spark, folder).names() if "trial" in n or "transfer" in n]
+    assert not left
+
+
+def test_o9_s10_inspect_and_check(spark, small):
+    source = {"vendor_type": "files", "connection_info": {"root": small}}
+    assert check_source(spark, source) == (True, "connection successful")
+    assert not check_source(spark, {"vendor_type": "files", "connection_info": {"root": "/nowhere"}})[0]
+    assert inspect_source(spark, source).where("stream_name = 'events'").count() == 1
+
+
+def test_e3_progress_reaches_the_caller(spark, folder, small):
+    seen = []
+    run_sync(spark, config(folder, small), Mode.full(), now="2025-02-01", on_progress=lambda p: seen.append(p.entity))
+    assert any(e.startswith("source+") for e in seen) and any(e.startswith("destination+") for e in seen)
+
+
+# ---- J7
+
+
+def fanned(spark, folder, events, tenants, ctx=SyncContext.at("2025-01-10")):
+    recipients = spark.createDataFrame([(t,) for t in tenants], "tenant_id string")
+    out = tenant_rows(events, recipients, StreamSpec("events", "", "event_id", "ts"), "event_type", ctx=ctx,
+                      marks=Bookkeeping(batch_id=True))
+    return export_all_tenants(out, folder, ctx)
+
+
+def test_j7_fanout_equals_one_export_per_tenant(spark, folder, events):
+    root = fanned(spark, folder, events, ["click", "purchase", "nobody"])
+    got = spark.read.parquet(root)
+    assert {r[0] for r in got.select("tenant_id").distinct().collect()} == {"click", "purchase"}
+    for tenant in ("click", "purchase"):
+        one = events.where(F.col("event_type") == tenant).select("event_id", "value")
+        assert rows(got.where(F.col("tenant_id") == tenant).select("event_id", "value")) == rows(one)
+    assert "event_type" not in got.columns
+
+
+def test_j7_all_tenants_add_up_to_the_table(spark, folder, events):
+    tenants = [r[0] for r in events.select("event_type").distinct().collect()]
+    assert spark.read.parquet(fanned(spark, folder, events, tenants)).count() == events.count()
+
+
+def test_j7_repeated_recipients_and_number_tenants(spark, folder, events):
+    recipients = spark.createDataFrame([("1",), ("1",), ("x",), ("02",)], "tenant_id string")
+    out = tenant_rows(events, recipients, StreamSpec("events", "", "event_id"), "user_id")
+    want = events.where("user_id in (1, 2)").count()
+    assert out.count() == want and {r[0] for r in out.select("tenant_id").distinct().collect()} <= {"1", "02"}
+
+
+def test_j7_a_hot_tenant_is_written_by_several_tasks(spark, folder):
+    """One tenant owns nine of ten rows; it is split, and the small tenants still get one file each."""
+    rows_ = spark.range(0, 200_000, 1, 8).select(
+        "id", F.when(F.col("id") % 10 > 0, "hot").otherwise(F.concat(F.lit("t"), F.col("id") % 100)).alias("tenant"),
+        F.sha2(F.col("id").cast("string"), 256).alias("v"),
+    )
+    recipients = rows_.select(F.col("tenant").alias("tenant_id")).distinct()
+    out = tenant_rows(rows_, recipients, StreamSpec("x", "", "id"), "tenant")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        root = export_all_tenants(out, folder, SyncContext.at("2025-01-10"), rows_per_writer=10_000)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    per_file = spark.read.parquet(root).groupBy("tenant_id", F.input_file_name()).count()
+    files = {r.tenant_id: (r.files, r.most) for r in per_file.groupBy("tenant_id").agg(
+        F.count(F.lit(1)).alias("files"), F.max("count").alias("most")).collect()}
+    assert len(files) == 11 and files["hot"][0] >= 8 and files["hot"][1] < 60_000
+    assert all(n == (1, 2000) for t, n in files.items() if t != "hot")
+    assert spark.read.parquet(root).count() == 200_000
