@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Mapping, Sequence
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -316,14 +316,22 @@ def recorded_window_end(meta: Column) -> Column:
     return F.try_to_timestamp(F.get_json_object(meta, "$.arguments.mode.end"))
 
 
-def has_run_gap(runs: DataFrame, transfer_id: str, mode: Mode) -> bool:
-    """Does the window of a scheduled run start after the last successful run ended?
+def last_reach(runs: DataFrame, transfer_id: str) -> datetime | None:
+    """How far the last successful run of a transfer copied: its recorded window end, or its start time.
 
-    The reach of the last success is its recorded window end, or its start time.
-    Full refreshes and first runs have no gap.
+    None before the first success. SUCCESS is final, so raw events serve as well as
+    current states.
     """
-    if not mode.incremental:
-        return False
-    last = latest_run_of(runs, transfer_id, SUCCESS)
     reach = F.coalesce(recorded_window_end(F.col("meta")), F.col("created_at"))
-    return not last.where(reach < F.lit(mode.start)).isEmpty()
+    last = latest_run_of(runs, transfer_id, SUCCESS).select(F.unix_micros(reach)).first()
+    return None if last is None else datetime.fromtimestamp(0, timezone.utc) + timedelta(microseconds=last[0])
+
+
+def starts_after(mode: Mode, reach: datetime | None) -> bool:
+    """Does a window leave a hole after ``reach``? Full refreshes and first runs never do."""
+    return mode.incremental and reach is not None and reach < mode.start
+
+
+def has_run_gap(runs: DataFrame, transfer_id: str, mode: Mode) -> bool:
+    """Does the window of a scheduled run start after the last successful run ended?"""
+    return mode.incremental and starts_after(mode, last_reach(runs, transfer_id))

@@ -74,6 +74,12 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return counted.where("n > 1")
 
 
+def surplus_rows(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows beyond the first of each key, 0 if keys are unique; moves only keys, counted map-side."""
+    extra = duplicate_keys(df, keys).agg(F.sum(F.col("n") - 1)).first()[0]
+    return int(extra or 0)
+
+
 def dedupe_sparse(df: DataFrame, keys: Sequence[str], cursor: str | None = None) -> DataFrame:
     """:func:`dedupe_latest` for stages on disk whose keys are nearly unique, as keys should be.
 
@@ -118,9 +124,12 @@ def _aligned(target: DataFrame, stage: DataFrame) -> DataFrame:
     return stage.select(*[column(n).cast(target.schema[n].dataType).alias(n) for n in target.columns])
 
 
-def unmatched(target: DataFrame, stage: DataFrame, keys: Sequence[str]) -> DataFrame:
+def unmatched(target: DataFrame, stage: DataFrame, keys: Sequence[str], unique: bool = False) -> DataFrame:
     """Target rows whose key is not staged; rows with a NULL key always stay.
 
+    Stage keys are made distinct first (map-side, then by key), unless they are known to
+    be ``unique``.
+
     The helper column repeats the key hash, except on NULL-key rows of the target, where
     it is a hash of the other columns: those rows land anywhere and meet nothing.
     """
@@ -130,7 +139,8 @@ def unmatched(target: DataFrame, stage: DataFrame, keys: Sequence[str]) -> DataF
     ] or [F.monotonically_increasing_id()]
     row_hash = F.pmod(F.xxhash64(*others), F.lit(SPREAD))
     left = target.withColumn("__spread", F.when(any_null(keys), row_hash).otherwise(key_hash))
-    right = stage.where(none_null(keys)).select(*[column(k) for k in keys], key_hash.alias("__spread")).distinct()
+    right = stage.where(none_null(keys)).select(*[column(k) for k in keys], key_hash.alias("__spread"))
+    right = right if unique else right.distinct()
     return left.join(right, [*keys, "__spread"], "left_anti").select(*[column(n) for n in target.columns])
 
 
@@ -160,24 +170,26 @@ def upsert_replace(
     guard: str = "none",
     cursor: str | None = None,
     dedupe: str = "none",
+    unique: bool = False,
 ) -> DataFrame:
     """Matched rows are replaced as a whole, unmatched stage rows are added.
 
     ``guard='cursor'`` replaces a row only by one that is not older, which makes
     replays and late batches safe in any order. ``dedupe`` is the policy of
-    :func:`prepare_stage`. Without guard the anti join reads only the keys of the raw
-    stage, so the deduplication runs once, for the appended rows.
+    :func:`prepare_stage`; ``unique`` tells that no stage key repeats. Without guard the
+    anti join reads only the keys of the raw stage, so the deduplication runs once, for
+    the appended rows.
     """
     raw = _aligned(target, stage)
     rows = prepare_stage(raw, keys, cursor, dedupe)
     if guard == "none":
-        return unmatched(target, raw, keys).unionByName(rows)
+        return unmatched(target, raw, keys, unique).unionByName(rows)
     if guard != "cursor":
         raise ValueError(f"unknown guard: {guard}")
     if cursor is None:
         raise ValueError("guard='cursor' needs the cursor column")
     fresh = not_older(target, rows, keys, cursor)
-    return unmatched(target, fresh, keys).unionByName(fresh)
+    return unmatched(target, fresh, keys, unique).unionByName(fresh)
 
 
 def upsert_delete_insert(target: DataFrame, stage: DataFrame, keys: Sequence[str]) -> DataFrame:

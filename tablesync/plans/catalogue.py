@@ -285,7 +285,7 @@ def upsert_idempotent(spark, sf_dir):
     target.replace(extract(events, EVENTS, _until("2024-01-20")))
     stage = extract(events, EVENTS, _from("2024-01-18"))
     for _ in range(2):
-        target.upsert(stage, ["event_id"], "ts", dedupe="sparse")
+        target.upsert(stage, ["event_id"], "ts")
     return target.read().agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("n_keys"))
 
 
@@ -303,7 +303,7 @@ def upsert_parts(spark, sf_dir):
     target.replace(extract(events, EVENTS, _until("2024-01-20")))
     stage = extract(events, EVENTS, _from("2024-01-18")).withColumn("value", F.col("value") + 1)
     stage = stage.withColumn("ts", F.col("ts") + F.lit(timedelta(days=40)))
-    target.upsert(stage, ["event_id"], "ts", dedupe="sparse")
+    target.upsert(stage, ["event_id"], "ts")
     return target.read()
 
 

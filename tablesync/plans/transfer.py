@@ -86,14 +86,20 @@ class _RunLog:
             )
 
 
-def resolve_mode(spark: SparkSession, cfg: SyncConfig, now: datetime) -> Mode:
-    """The scheduled window; the first run of a transfer is a full refresh."""
-    mode = window_for(cfg.destination.get("schedule") or {"frequency": DAILY, "type": "FULL_REFRESH"}, now)
-    if mode.incremental and cfg.run_log:
-        runs = runlog.current_runs(runlog.read_run_log(spark, cfg.run_log, cfg.transfer_id))
-        if runlog.latest_run_of(runs, cfg.transfer_id, runlog.SUCCESS).isEmpty():
-            return Mode.full()
-    return mode
+#: What a destination without schedule does.
+UNSCHEDULED = {"frequency": DAILY, "type": "FULL_REFRESH"}
+
+
+def resolve_mode(spark: SparkSession, cfg: SyncConfig, now: datetime) -> tuple[Mode, bool]:
+    """Mode of a scheduled run, and whether rows before its window were never copied.
+
+    The first run of a transfer is a full refresh.
+    """
+    mode = window_for(cfg.destination.get("schedule") or UNSCHEDULED, now)
+    if not mode.incremental or not cfg.run_log:
+        return mode, False
+    reach = runlog.last_reach(runlog.read_run_log(spark, cfg.run_log, cfg.transfer_id), cfg.transfer_id)
+    return (Mode.full(), False) if reach is None else (mode, runlog.starts_after(mode, reach))
 
 
 def read_models(spark: SparkSession, cfg: SyncConfig, models: Sequence[ModelSpec], mode: Mode, ctx: SyncContext):
@@ -121,7 +127,6 @@ def make_sink(spark: SparkSession, destination: Mapping[str, Any], mode: Mode, t
         "drop_after_complete": trial,
         "connect": destination["connection_info"],
         "batch_size": destination.get("batch_size"),
-        "staged": True,
     }
     return get_destination(spark, get_destination_by_vendor(destination["vendor_type"]), config)
 
@@ -157,8 +162,12 @@ def run_sync(
     stages: list[str] = []
     log = _RunLog(spark, cfg, {"execution_id": (execution_id or uuid.uuid4().hex).split(":")[-1]}, now)
     try:
-        mode = mode or resolve_mode(spark, cfg, now)
         models = [m for m in cfg.models if model_ids is None or m.model_id in set(model_ids)]
+        gap = False
+        if not override:
+            mode, gap = resolve_mode(spark, cfg, now)
+        elif mode is None:
+            mode = window_for(schedule or UNSCHEDULED, now)
         log.meta |= {
             "retry_count": retry_count,
             "drifted": late,
@@ -170,10 +179,8 @@ def run_sync(
             },
         }
         log.add(runlog.RUNNING)
-        if not override and cfg.run_log:
-            runs = runlog.current_runs(runlog.read_run_log(spark, cfg.run_log, cfg.transfer_id))
-            if runlog.has_run_gap(runs, cfg.transfer_id, mode):
-                raise RunGapDetected("the last successful run ended before the window of this run starts")
+        if gap:
+            raise RunGapDetected("the last successful run ended before the window of this run starts")
         sink = make_sink(spark, cfg.destination, mode, drop_after_complete)
         for dataset in read_models(spark, cfg, models, mode, ctx):
             if sink.single_pass and not mode.incremental:

@@ -21,7 +21,7 @@ from tablesync.errors import DestinationError, DestinationStreamInvalidSchema
 from tablesync.functions.sizing import spread_for_write
 from tablesync.functions.types import schemas_compatible
 from tablesync.operators.extract import column
-from tablesync.operators.upsert import any_null, distinct_keys, prepare_stage, upsert_replace
+from tablesync.operators.upsert import distinct_keys, prepare_stage, surplus_rows, upsert_replace
 from tablesync.sinks.base import Sink
 from tablesync.workspace import Folder, fresh_folder, written
 
@@ -140,21 +140,31 @@ class SnapshotTable:
         cursor: str | None = None,
         dedupe: str = "latest",
         guard: str = "none",
+        on_disk: bool = False,
+        unique: bool = False,
     ) -> int:
-        """Merge a stage by key; creates the table if it does not exist. Returns the version."""
+        """Merge a stage by key; creates the table if it does not exist. Returns the version.
+
+        ``on_disk`` tells that reading the stage again is cheap, so it is not copied;
+        ``unique`` that no key of it repeats.
+        """
         if not self.exists():
             return self.replace(prepare_stage(stage, keys, cursor, dedupe))
         self.check_schema(stage.schema)
-        if self.part is not None:
-            return self._upsert_parts(stage, keys, cursor, dedupe, guard)
-        if guard != "none":
-            # the guarded stage is read twice: for its keys and for its rows
-            staged = fresh_folder(self.spark, "stage")
-            stage = written(prepare_stage(stage, keys, cursor, dedupe), folder=staged)
-            version = self.replace(upsert_replace(self._rows(), stage, keys, guard, cursor))
-            Folder(self.spark, staged).remove()
-            return version
-        return self.replace(upsert_replace(self._rows(), stage, keys, guard, cursor, dedupe))
+        if self.part is None and guard == "none":
+            return self.replace(upsert_replace(self._rows(), stage, keys, guard, cursor, dedupe, unique))
+        # the stage is read several times: for its parts, its keys and its rows
+        copy = None if on_disk and dedupe == "none" else fresh_folder(self.spark, "stage")
+        if copy is not None:
+            stage = written(prepare_stage(stage, keys, cursor, dedupe), folder=copy)
+        unique = unique or dedupe != "none"
+        if self.part is None:
+            self.replace(upsert_replace(self._rows(), stage, keys, guard, cursor, unique=unique))
+        else:
+            self._upsert_parts(stage, keys, cursor, guard, unique)
+        if copy is not None:
+            Folder(self.spark, copy).remove()
+        return self.version()
 
     def _touched(self, stage: DataFrame, keys: Sequence[str]) -> list[str]:
         """Parts that receive stage rows or, unless stable, hold old rows of their keys.
@@ -171,20 +181,18 @@ class SnapshotTable:
             raise DestinationError(f"{self.root} is cut into more than {MAX_PARTS} parts")
         return sorted(r[0] for r in names)
 
-    def _upsert_parts(self, stage, keys, cursor, dedupe, guard) -> int:
+    def _upsert_parts(
+        self, stage: DataFrame, keys: Sequence[str], cursor: str | None, guard: str, unique: bool
+    ) -> None:
         self.recover()
-        staged = fresh_folder(self.spark, "stage")
-        stage = written(prepare_stage(stage, keys, cursor, dedupe), folder=staged)
         touched = self._touched(stage, keys)
         if touched:
             old = self._rows().where(F.col(PART).isin(*touched))
             merged = fresh_folder(self.spark, "merged")
             sized_by = old.select(PART).unionByName(self._cut(stage).select(PART))
-            self._write(upsert_replace(old.drop(PART), stage, keys, guard, cursor), merged, sized_by)
+            self._write(upsert_replace(old.drop(PART), stage, keys, guard, cursor, unique=unique), merged, sized_by)
             self.folder.create(JOURNAL, json.dumps({"merged": merged, "touched": touched}))
             self.recover()
-        Folder(self.spark, staged).remove()
-        return self.version()
 
     def recover(self) -> None:
         """Swap in the parts named by the journal, if there is one; safe to repeat."""
@@ -243,12 +251,16 @@ class SnapshotSink(Sink):
     """Upsert sink over :class:`SnapshotTable`: tables at ``root/schema/table``.
 
     ``connect``: ``root``; ``dedupe`` and ``guard`` policies; and how to cut tables,
-    ``part_date`` (``column`` and ``pattern``) or ``part_buckets`` (a number).
+    ``part_date`` (``name`` of a date column and ``pattern``) or ``part_buckets`` (a number).
     """
 
     label = "snapshot"
     checkable = True
 
+    def __init__(self, spark, config=None):
+        super().__init__(spark, config)
+        self.surplus: dict[str, int] = {}
+
     def table(self, stream: Stream) -> SnapshotTable:
         spec = stream.spec
         path = "/".join(p for p in (self.connect["root"].rstrip("/"), spec.schema_name, spec.name) if p)
@@ -261,27 +273,31 @@ class SnapshotSink(Sink):
             part = part_by_date(**self.connect["part_date"])
         return SnapshotTable(self.spark, path, part, stable)
 
-    @property
-    def dedupe(self) -> str:
-        return self.connect.get("dedupe", "sparse" if self.config.get("staged") else "latest")
-
     def write_stream(self, stream: Stream, dataset: Dataset) -> None:
         table, spec = self.table(stream), stream.spec
-        if not self.mode.incremental:
-            rows = prepare_stage(stream.df, spec.keys, spec.cursor_field, self.dedupe) if spec.keys else stream.df
-            table.replace(rows)
-            return
-        keys = spec.require_keys()
+        keys = spec.require_keys() if self.mode.incremental else spec.keys
         cursor = spec.cursor_field if spec.cursor_field in stream.df.columns else None
-        table.upsert(stream.df, keys, cursor, self.dedupe, self.connect.get("guard", "none"))
+        policy, staged = self.connect.get("dedupe", "latest"), stream.rows is not None
+        if keys and staged and policy == "latest":
+            # keys of a sound source are unique: a count of the keys alone usually spares the sort of all rows
+            self.surplus[spec.qualified_name] = surplus_rows(stream.df, keys)
+            policy = "sparse" if self.surplus[spec.qualified_name] else "none"
+        unique = self.surplus.get(spec.qualified_name) == 0
+        if self.mode.incremental:
+            guard = self.connect.get("guard", "none")
+            table.upsert(stream.df, keys, cursor, policy, guard, on_disk=staged, unique=unique)
+        else:
+            table.replace(prepare_stage(stream.df, keys, cursor, policy) if keys else stream.df)
 
     def expected_rows(self, stream: Stream, staged: int) -> int | None:
         spec = stream.spec
         if self.connect.get("guard", "none") != "none" and self.mode.incremental:
             return None
-        if not spec.keys or self.dedupe == "none" or not staged:
+        if not spec.keys or not staged or self.connect.get("dedupe", "latest") == "none":
             return staged
-        return distinct_keys(stream.df, spec.keys).count() + stream.df.where(any_null(spec.keys)).count()
+        if spec.qualified_name not in self.surplus:
+            self.surplus[spec.qualified_name] = surplus_rows(stream.df, spec.keys)
+        return staged - self.surplus[spec.qualified_name]
 
     def target(self, stream: Stream, dataset: Dataset) -> DataFrame | None:
         table = self.table(stream)
