@@ -64,14 +64,14 @@ def full_sync(spark: SparkSession, table: str, key, cursor: str, vendor: str, **
 class Upsert:
     """A full target and the window that holds the newest tenth of the cursor range."""
 
-    def __init__(self, spark: SparkSession, table: str, key: str, cursor: str, **connect):
+    def __init__(self, spark: SparkSession, table: str, key, cursor: str, **connect):
         self.spark, self.connect = spark, {"root": fresh_folder(spark, "bench-target"), **connect}
         self.stream = {"table": table, "primary_field": key, "cursor_field": cursor}
         low, high = spark.read.parquet(f"{SF_DIR}/{table}.parquet").agg(F.min(cursor), F.max(cursor)).first()
         self.window = Mode.window(high - (high - low) * 0.1, high + timedelta(microseconds=1))
         full = self._read(Mode.full(), datetime(2025, 1, 10))
         self._sink(Mode.full()).write(full)
-        self.rows = full.streams[0].rows
+        self.rows = self._sink(Mode.full()).target(full.streams[0], full).count()
 
     def _read(self, mode: Mode, at: datetime):
         config = {"connect": {"root": SF_DIR}, "streams": [self.stream], "mode": mode, "dt": at, "with": MARKS}
@@ -121,8 +121,9 @@ def main() -> None:
     timed("full_refresh_staging_lineitem", lambda: full_sync(spark, "lineitem", lines, "l_shipdate", "destination-files"))
     timed("full_refresh_snapshot_lineitem", lambda: full_sync(spark, "lineitem", lines, "l_shipdate", "destination-snapshot"))
     timed("full_refresh_snapshot_orders", lambda: full_sync(spark, "orders", "o_orderkey", "o_orderdate", "destination-snapshot"))
-    for table, key, cursor in (("orders", "o_orderkey", "o_orderdate"), ("events", "event_id", "ts")):
-        pattern = "yyyy" if table == "orders" else "yyyy-MM-dd"
+    targets = (("orders", "o_orderkey", "o_orderdate"), ("events", "event_id", "ts"), ("lineitem", lines, "l_shipdate"))
+    for table, key, cursor in targets:
+        pattern = "yyyy-MM-dd" if table == "events" else "yyyy"
         for kind, connect in (("plain", {}), ("parts", {"part_date": {"name": cursor, "pattern": pattern}})):
             target = Upsert(spark, table, key, cursor, **connect)
             timed(f"incremental_{kind}_{table}", target.run)

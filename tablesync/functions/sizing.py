@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablesync.functions.types import comparable
+
 #: Bounds of a side that is broadcast by hint, checked by counting.
 MAX_BROADCAST_ROWS = 200_000
 MAX_BROADCAST_BYTES = 32 * 1024 * 1024
@@ -70,7 +72,7 @@ def spread_for_write(df: DataFrame, by: str, counts: DataFrame, rows_per_writer:
     if (most or 0) <= limit:
         return df.hint("rebalance", by)
     large = counts.where(F.col("n") > limit).select(by, F.ceil(F.col("n") / rows_per_writer).alias("__pieces"))
-    hashed = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    hashed = [F.col(f"`{f.name}`") for f in df.schema.fields if comparable(f.dataType)]
     piece = F.when(F.col("__pieces").isNotNull(), F.pmod(F.xxhash64(*hashed), F.col("__pieces"))).otherwise(F.lit(0))
     salted = df.join(F.broadcast(large), by, "left").withColumn("__piece", piece)
     arranged = salted.hint("rebalance", by, "__piece")

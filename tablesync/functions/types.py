@@ -40,6 +40,24 @@ _TIMESTAMPS = (T.TimestampType, T.TimestampNTZType)
 _NESTED = (T.ArrayType, T.MapType, T.StructType)
 
 
+def contains(data_type: T.DataType, *kinds: type[T.DataType]) -> bool:
+    """Does a type have one of ``kinds`` at any depth?"""
+    if isinstance(data_type, kinds):
+        return True
+    if isinstance(data_type, T.ArrayType):
+        return contains(data_type.elementType, *kinds)
+    if isinstance(data_type, T.MapType):
+        return contains(data_type.keyType, *kinds) or contains(data_type.valueType, *kinds)
+    if isinstance(data_type, T.StructType):
+        return any(contains(f.dataType, *kinds) for f in data_type.fields)
+    return False
+
+
+def comparable(data_type: T.DataType) -> bool:
+    """Can values of the type be ordered and hashed? Maps and variants cannot."""
+    return not contains(data_type, T.MapType, T.VariantType)
+
+
 def build_schema(columns: Iterable[tuple[str, Any]]) -> T.StructType:
     """Schema from (name, declared type) pairs; unknown declared types raise ``ValueError``."""
     fields = []

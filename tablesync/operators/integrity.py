@@ -8,8 +8,9 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablesync.errors import IntegrityCheckFailed
+from tablesync.errors import DestinationError, IntegrityCheckFailed
 from tablesync.operators.extract import column
+from tablesync.spec import SyncContext
 
 
 def batch_count(target: DataFrame, batch_id: str, batch_column: str = "sync__batch_id") -> int:
@@ -61,3 +62,18 @@ def foreign_rows(rows: DataFrame, tenant_column: str, allowed: Sequence[Any]) ->
     """Rows an export must not contain: another tenant's, or without tenant."""
     tenant = column(tenant_column)
     return rows.where(tenant.isNull() | ~tenant.isin(*allowed))
+
+
+def holds_batch(there: DataFrame, df: DataFrame, ctx: SyncContext) -> bool:
+    """Does an append-only target hold this batch already? A part of it is an error.
+
+    Rows without batch id cannot tell. The batch id is constant within a file, so the
+    scan skips the files of other batches by their statistics.
+    """
+    marker = ctx.column("batch_id")
+    if marker not in df.columns:
+        return False
+    found = there.where(column(marker) == ctx.batch_id).count()
+    if found and found != df.count():
+        raise DestinationError(f"the target holds {found} rows of batch {ctx.batch_id}, not all of them")
+    return found > 0

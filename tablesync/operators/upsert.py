@@ -15,18 +15,15 @@ from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tablesync.errors import DestinationStreamInvalidSchema, DuplicateKeys
 from tablesync.functions.sizing import is_small
+from tablesync.functions.types import comparable
 from tablesync.operators.extract import column
 from tablesync.workspace import written
 
 SPREAD = 1024
 
-_UNORDERED = (T.MapType, T.VariantType)
-
-
 def any_null(keys: Sequence[str]) -> Column:
     return reduce(or_, [column(k).isNull() for k in keys])
 
@@ -45,7 +42,7 @@ def _total_order(df: DataFrame, keys: Sequence[str], cursor: str | None) -> list
     first = [column(cursor).desc_nulls_last()] if cursor else []
     rest = [f for f in df.schema.fields if f.name not in {*keys, cursor}]
     ties = [
-        (F.to_json(column(f.name)) if isinstance(f.dataType, _UNORDERED) else column(f.name)).asc_nulls_last()
+        (column(f.name) if comparable(f.dataType) else F.to_json(column(f.name))).asc_nulls_last()
         for f in rest
     ]
     return (first + ties) or [column(keys[0]).asc()]
@@ -121,6 +118,8 @@ def _aligned(target: DataFrame, stage: DataFrame) -> DataFrame:
         raise DestinationStreamInvalidSchema(
             f"stage columns {sorted(stage.columns)} differ from target columns {sorted(target.columns)}"
         )
+    if [(f.name, f.dataType) for f in target.schema] == [(f.name, f.dataType) for f in stage.schema]:
+        return stage
     return stage.select(*[column(n).cast(target.schema[n].dataType).alias(n) for n in target.columns])
 
 
@@ -134,9 +133,8 @@ def unmatched(target: DataFrame, stage: DataFrame, keys: Sequence[str], unique:
     it is a hash of the other columns: those rows land anywhere and meet nothing.
     """
     key_hash = F.pmod(F.xxhash64(*[column(k) for k in keys]), F.lit(SPREAD))
-    others = [
-        column(f.name) for f in target.schema.fields if f.name not in keys and not isinstance(f.dataType, _UNORDERED)
-    ] or [F.monotonically_increasing_id()]
+    others = [column(f.name) for f in target.schema.fields if f.name not in keys and comparable(f.dataType)]
+    others = others or [F.lit(0)]
     row_hash = F.pmod(F.xxhash64(*others), F.lit(SPREAD))
     left = target.withColumn("__spread", F.when(any_null(keys), row_hash).otherwise(key_hash))
     right = stage.where(none_null(keys)).select(*[column(k) for k in keys], key_hash.alias("__spread"))

@@ -11,7 +11,7 @@ from tablesync.dataset import Dataset, Stream
 from tablesync.errors import DestinationConnectionFailed, DestinationError, DestinationStreamInvalidSchema
 from tablesync.functions.identifiers import safe_identifier
 from tablesync.functions.types import normalise, schemas_compatible
-from tablesync.operators.upsert import prepare_stage
+from tablesync.operators.upsert import prepare_stage, surplus_rows
 from tablesync.sinks import statements as sql
 from tablesync.sinks.base import Sink
 from tablesync.sources.jdbc import jdbc_options, require_auth
@@ -163,7 +163,7 @@ class UpsertJdbcSink(JdbcSink):
     def expected_rows(self, stream: Stream, staged: int) -> int | None:
         if self.connect.get("dedupe", "latest") == "none" or self.strategy == "delete_insert":
             return staged
-        return stream.df.select(*stream.spec.keys).distinct().count() if staged else 0
+        return staged - surplus_rows(stream.df, stream.spec.keys) if staged else 0
 
 
 class PostgresSink(UpsertJdbcSink):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tablesync.dataset import Dataset, Stream
 from tablesync.errors import DestinationError
 from tablesync.functions.sizing import clustered_for_write
-from tablesync.operators.extract import column
+from tablesync.operators.integrity import holds_batch
 from tablesync.sinks.base import Sink
 from tablesync.spec import StreamSpec, SyncContext
 from tablesync.workspace import Folder
@@ -65,14 +65,10 @@ def write_hive(
     """
     path = hive_root(root, spec)
     day = ctx.synced_at.date()
-    marker = ctx.column("batch_id")
-    if marker in df.columns and Folder(df.sparkSession, path).exists(f"dt={day}"):
+    if Folder(df.sparkSession, path).exists(f"dt={day}"):
         there = df.sparkSession.read.schema(df.schema).parquet(f"{path}/dt={day}")
-        found = there.where(column(marker) == ctx.batch_id).count()
-        if found and found == df.count():
+        if holds_batch(there, df, ctx):
             return path
-        if found:
-            raise DestinationError(f"{path}/dt={day} holds part of batch {ctx.batch_id}")
     _writer(df.withColumn("dt", F.lit(day)), "append", batch_size, compression).partitionBy("dt").parquet(path)
     return path
 

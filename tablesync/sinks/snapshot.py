@@ -74,12 +74,22 @@ class SnapshotTable:
     def _path(self, version: int) -> str:
         return f"{self.root}/data/v{version:08d}"
 
+    def _current(self) -> tuple[int, T.StructType]:
+        """Number and schema of the current version."""
+        version = self.version()
+        if not version:
+            raise DestinationError(f"{self.root} does not exist")
+        commit = json.loads(self.folder.text(f"commits/v{version:08d}.json"))
+        if commit["cut"] != (self.part is not None):
+            raise DestinationError(f"{self.root} is {'' if commit['cut'] else 'not '}cut into parts")
+        return version, T.StructType.fromJson(commit["schema"])
+
     def schema(self) -> T.StructType:
-        commit = json.loads(self.folder.text(f"commits/v{self.version():08d}.json"))
-        return T.StructType.fromJson(commit["schema"])
+        return self._current()[1]
 
     def _commit(self, version: int, schema: T.StructType) -> None:
-        text = json.dumps({"version": version, "schema": schema.jsonValue()})
+        commit = {"version": version, "cut": self.part is not None, "schema": schema.jsonValue()}
+        text = json.dumps(commit)
         try:
             self.folder.create(f"commits/v{version:08d}.json", text)
         except Exception as cause:
@@ -92,13 +102,13 @@ class SnapshotTable:
 
     def _rows(self) -> DataFrame:
         """The current version, with the part column if the table is cut."""
-        schema = self.schema() if self.part is None else self._with_part(self.schema())
-        return self.spark.read.schema(schema).parquet(self._path(self.version()))
+        version, schema = self._current()
+        if self.part is not None:
+            schema = self._with_part(schema)
+        return self.spark.read.schema(schema).parquet(self._path(version))
 
     def read(self, parts: Sequence[str] | None = None) -> DataFrame:
         """The current rows; ``parts`` prunes to some parts."""
-        if not self.exists():
-            raise DestinationError(f"{self.root} does not exist")
         if self.part is None:
             return self._rows()
         self.recover()
@@ -129,8 +139,8 @@ class SnapshotTable:
         self._commit(version, df.schema)
         return version
 
-    def check_schema(self, schema: T.StructType) -> None:
-        if not schemas_compatible(schema, self.schema()):
+    def check_schema(self, schema: T.StructType, existing: T.StructType) -> None:
+        if not schemas_compatible(schema, existing):
             raise DestinationStreamInvalidSchema(f"the existing schema of {self.root} does not match the stream")
 
     def upsert(
@@ -150,23 +160,25 @@ class SnapshotTable:
         """
         if not self.exists():
             return self.replace(prepare_stage(stage, keys, cursor, dedupe))
-        self.check_schema(stage.schema)
+        self.recover()
+        rows = self._rows()
+        self.check_schema(stage.schema, rows.drop(PART).schema)
         if self.part is None and guard == "none":
-            return self.replace(upsert_replace(self._rows(), stage, keys, guard, cursor, dedupe, unique))
+            return self.replace(upsert_replace(rows, stage, keys, guard, cursor, dedupe, unique))
         # the stage is read several times: for its parts, its keys and its rows
         copy = None if on_disk and dedupe == "none" else fresh_folder(self.spark, "stage")
         if copy is not None:
             stage = written(prepare_stage(stage, keys, cursor, dedupe), folder=copy)
         unique = unique or dedupe != "none"
         if self.part is None:
-            self.replace(upsert_replace(self._rows(), stage, keys, guard, cursor, unique=unique))
+            self.replace(upsert_replace(rows, stage, keys, guard, cursor, unique=unique))
         else:
-            self._upsert_parts(stage, keys, cursor, guard, unique)
+            self._upsert_parts(rows, stage, keys, cursor, guard, unique)
         if copy is not None:
             Folder(self.spark, copy).remove()
         return self.version()
 
-    def _touched(self, stage: DataFrame, keys: Sequence[str]) -> list[str]:
+    def _touched(self, rows: DataFrame, stage: DataFrame, keys: Sequence[str]) -> list[str]:
         """Parts that receive stage rows or, unless stable, hold old rows of their keys.
 
         The list is no longer than the number of part folders, which the driver lists
@@ -174,7 +186,7 @@ class SnapshotTable:
         """
         parts = stage.select(_named(self.part(stage)).alias(PART))
         if not self.stable:
-            narrow = self._rows().select(*[column(k) for k in keys], PART)
+            narrow = rows.select(*[column(k) for k in keys], PART)
             parts = parts.union(narrow.join(distinct_keys(stage, keys), list(keys), "left_semi").select(PART))
         names = parts.distinct().limit(MAX_PARTS + 1).collect()
         if len(names) > MAX_PARTS:
@@ -182,12 +194,11 @@ class SnapshotTable:
         return sorted(r[0] for r in names)
 
     def _upsert_parts(
-        self, stage: DataFrame, keys: Sequence[str], cursor: str | None, guard: str, unique: bool
+        self, rows: DataFrame, stage: DataFrame, keys: Sequence[str], cursor: str | None, guard: str, unique: bool
     ) -> None:
-        self.recover()
-        touched = self._touched(stage, keys)
+        touched = self._touched(rows, stage, keys)
         if touched:
-            old = self._rows().where(F.col(PART).isin(*touched))
+            old = rows.where(F.col(PART).isin(*touched))
             merged = fresh_folder(self.spark, "merged")
             sized_by = old.select(PART).unionByName(self._cut(stage).select(PART))
             self._write(upsert_replace(old.drop(PART), stage, keys, guard, cursor, unique=unique), merged, sized_by)
@@ -199,10 +210,11 @@ class SnapshotTable:
         if not self.folder.exists(JOURNAL):
             return
         journal = json.loads(self.folder.text(JOURNAL))
-        base, merged = self._path(self.version()), Folder(self.spark, journal["merged"])
+        version, schema = self._current()
+        base, merged = self._path(version), Folder(self.spark, journal["merged"])
         filled = {n.removeprefix(f"{PART}=") for n in merged.names() if n.startswith(f"{PART}=")}
         if filled:
-            rows = self.spark.read.schema(self._with_part(self.schema())).parquet(merged.path)
+            rows = self.spark.read.schema(self._with_part(schema)).parquet(merged.path)
             writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             writer.partitionBy(PART).parquet(base)
         for emptied in set(journal["touched"]) - filled:

@@ -131,3 +131,14 @@ def test_p6_drops_by_name_in_any_order(stream):
 def test_p8_e1_computed_columns_see_the_raw_row(stream):
     out = augment(stream, CTX, drop=["n"], extra={"twice": lambda raw: F.col("n") * 2})
     assert rows(out.select("id", "twice"))[:2] == [(1, 2), (2, 4)]
+
+
+def test_e1_a_pandas_udf_may_compute_a_column(stream):
+    import pandas as pd
+
+    @F.pandas_udf("bigint")
+    def plus_one(v: pd.Series) -> pd.Series:
+        return v + 1
+
+    out = augment(stream, CTX, extra={"next": lambda raw: plus_one(F.col("id"))})
+    assert rows(out.select("next")) == [(i,) for i in range(2, 7)]

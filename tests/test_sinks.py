@@ -380,3 +380,21 @@ def test_e3_progress_subscribers(spark, folder):
     sink.write(dataset(Stream(SPEC, marked(spark), rows=10)), lambda p: seen.append((p.processed, p.total)))
     assert seen[0] == (0, 10) and seen[-1] == (10, 10)
     json.dumps(sink.written)
+
+
+def test_a_table_keeps_its_kind(spark, folder):
+    parted(spark, folder)
+    with pytest.raises(DestinationError, match="cut into parts"):
+        SnapshotTable(spark, folder).read()
+
+
+def test_surplus_copies_are_expected_to_vanish(spark, folder):
+    df = spark.range(30).select((F.col("id") % 20).alias("id"), F.lit("b1").alias("sync__batch_id"))
+    spec = StreamSpec("t", "s", "id")
+    sink = SnapshotSink(spark, {"connect": {"root": folder}})
+    staged = stage_dataset(dataset(Stream(spec, df)))
+    sink.write(staged)
+    assert sink.check(staged) == {"s.t": 20}
+    kept = SnapshotSink(spark, {"connect": {"root": f"{folder}/all", "dedupe": "none"}})
+    kept.write(staged)
+    assert kept.check(staged) == {"s.t": 30}

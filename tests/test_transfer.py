@@ -167,6 +167,12 @@ def test_j7_all_tenants_add_up_to_the_table(spark, folder, events):
     assert spark.read.parquet(fanned(spark, folder, events, tenants)).count() == events.count()
 
 
+def test_j7_a_repeated_batch_adds_nothing(spark, folder, events):
+    for _ in range(2):
+        root = fanned(spark, folder, events, ["click"])
+    assert spark.read.parquet(root).count() == events.where("event_type = 'click'").count()
+
+
 def test_j7_repeated_recipients_and_number_tenants(spark, folder, events):
     recipients = spark.createDataFrame([("1",), ("1",), ("x",), ("02",)], "tenant_id string")
     out = tenant_rows(events, recipients, StreamSpec("events", "", "event_id"), "user_id")

@@ -174,3 +174,11 @@ def test_target_is_not_shuffled_for_a_small_stage(spark, small):
     merged.collect()
     final = plan_of(merged)
     assert "BroadcastHashJoin" in final.split("Initial Plan")[0] or "BroadcastHashJoin" in final
+
+
+def test_nested_columns_survive_dedupe_and_upsert(spark):
+    df = spark.sql("select id k, id % 3 at, map('a', id) m, named_struct('x', map(1, id)) s, array(id) xs from range(9)")
+    twice = df.unionByName(df.withColumn("at", df.at + 1))
+    latest = dedupe_latest(twice, ["k"], "at")
+    assert latest.count() == 9 and latest.agg(F.sum("at")).first()[0] == 18
+    assert upsert_replace(df, latest, ["k"]).count() == 9
