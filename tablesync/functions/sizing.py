@@ -27,11 +27,18 @@ def _row_bytes(schema: T.StructType) -> Column:
     return reduce(add, sizes)
 
 
-def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
-    """Does ``df`` fit both bounds? Looks at no more than ``max_rows + 1`` rows."""
+def measure(
+    df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES
+) -> tuple[int, bool]:
+    """Rows of ``df``, counted up to ``max_rows + 1``, and whether it fits both bounds."""
     size = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(df.schema)).alias("bytes"))
     n, total = size.first()
-    return n <= max_rows and (total or 0) <= max_bytes
+    return n, n <= max_rows and (total or 0) <= max_bytes
+
+
+def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+    """Does ``df`` fit both bounds?"""
+    return measure(df, max_rows, max_bytes)[1]
 
 
 def broadcast_if_small(

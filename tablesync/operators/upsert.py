@@ -17,10 +17,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablesync.errors import DestinationStreamInvalidSchema, DuplicateKeys
-from tablesync.functions.sizing import is_small
+from tablesync.functions.sizing import measure
 from tablesync.functions.types import comparable
 from tablesync.operators.extract import column
-from tablesync.workspace import written
 
 SPREAD = 1024
 
@@ -83,13 +82,14 @@ def dedupe_sparse(df: DataFrame, keys: Sequence[str], cursor: str | None = None)
     Counting rows per key moves only the keys. If none repeats, the rows stay where they
     are; if few repeat, only their rows are shuffled; otherwise all are.
     """
-    repeated = written(duplicate_keys(df, keys).select(*[column(k) for k in keys]), "repeated")
-    if repeated.isEmpty():
+    repeated = duplicate_keys(df, keys).select(*[column(k) for k in keys])
+    n, small = measure(repeated)
+    if n == 0:
         return df
-    if not is_small(repeated):
+    if not small:
         return dedupe_latest(df, keys, cursor)
-    once = df.join(F.broadcast(repeated), list(keys), "left_anti").select(*[column(n) for n in df.columns])
-    many = df.join(F.broadcast(repeated), list(keys), "left_semi").select(*[column(n) for n in df.columns])
+    once = df.join(F.broadcast(repeated), list(keys), "left_anti").select(*[column(c) for c in df.columns])
+    many = df.join(F.broadcast(repeated), list(keys), "left_semi").select(*[column(c) for c in df.columns])
     return once.unionByName(dedupe_latest(many, keys, cursor))
 
 

@@ -121,12 +121,15 @@ def read_models(spark: SparkSession, cfg: SyncConfig, models: Sequence[ModelSpec
         yield get_source(spark, get_source_by_vendor(source["vendor_type"]), config).read()
 
 
-def make_sink(spark: SparkSession, destination: Mapping[str, Any], mode: Mode, trial: bool) -> Sink:
+def make_sink(
+    spark: SparkSession, destination: Mapping[str, Any], mode: Mode, trial: bool, parallel: int = 1
+) -> Sink:
     config = {
         "mode": mode,
         "drop_after_complete": trial,
         "connect": destination["connection_info"],
         "batch_size": destination.get("batch_size"),
+        "parallel": parallel,
     }
     return get_destination(spark, get_destination_by_vendor(destination["vendor_type"]), config)
 
@@ -181,7 +184,7 @@ def run_sync(
         log.add(runlog.RUNNING)
         if gap:
             raise RunGapDetected("the last successful run ended before the window of this run starts")
-        sink = make_sink(spark, cfg.destination, mode, drop_after_complete)
+        sink = make_sink(spark, cfg.destination, mode, drop_after_complete, cfg.parallel)
         for dataset in read_models(spark, cfg, models, mode, ctx):
             if sink.single_pass and not mode.incremental:
                 # one sink that reads once: the rows go straight from source to target

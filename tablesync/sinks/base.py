@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 from typing import Any
 
@@ -66,31 +67,34 @@ class Sink:
         """Write all streams; returns the progress summary of each by entity.
 
         A stream that was not staged goes to a single-pass sink directly and is counted
-        on the way; other sinks count it first.
+        on the way; other sinks count it first. ``config['parallel']`` streams are
+        written at a time.
         """
-        summaries = {}
-        for stream in dataset.in_schema(self.connect.get("target_schema")):
-            entity = self.entity(dataset, stream)
-            if stream.rows is None and self.single_pass:
-                observed, seen = self._observed(stream)
-                progress = Progress(entity).subscribe(on_progress)
-                self.write_stream(observed, dataset)
-                rows = progress.total = int(seen.get["n"])
-                self.written[entity] = rows
-                progress.update(rows, message="written")
-            else:
-                rows = self.written[entity] = dataset.size(stream)
-                progress = Progress(entity, total=rows).subscribe(on_progress)
-                if rows == 0 and self.skips_empty(stream):
-                    progress.message("nothing to write")
-                else:
-                    self.write_stream(stream, dataset)
-                    progress.update(rows, message="written")
-            summaries[progress.entity] = progress.summary()
+        streams = list(dataset.in_schema(self.connect.get("target_schema")))
+        with ThreadPoolExecutor(max_workers=max(1, int(self.config.get("parallel", 1)))) as pool:
+            summaries = dict(pool.map(lambda s: self._write_one(s, dataset, on_progress), streams))
         if self.trial and not self.part_of_compound:
             self.clean(dataset)
         return summaries
 
+    def _write_one(self, stream: Stream, dataset: Dataset, on_progress) -> tuple[str, dict]:
+        entity = self.entity(dataset, stream)
+        if stream.rows is None and self.single_pass:
+            observed, seen = self._observed(stream)
+            progress = Progress(entity).subscribe(on_progress)
+            self.write_stream(observed, dataset)
+            rows = progress.total = self.written[entity] = int(seen.get["n"])
+            progress.update(rows, message="written")
+        else:
+            rows = self.written[entity] = dataset.size(stream)
+            progress = Progress(entity, total=rows).subscribe(on_progress)
+            if rows == 0 and self.skips_empty(stream):
+                progress.message("nothing to write")
+            else:
+                self.write_stream(stream, dataset)
+                progress.update(rows, message="written")
+        return entity, progress.summary()
+
     def clean(self, dataset: Dataset) -> None:
         """Remove what a trial run wrote."""
         for stream in dataset.in_schema(self.connect.get("target_schema")):

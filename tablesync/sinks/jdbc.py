@@ -153,12 +153,18 @@ class UpsertJdbcSink(JdbcSink):
 
     def write_stream(self, stream: Stream, dataset: Dataset) -> None:
         df, table = self.stage_rows(stream), self.table_name(stream)
-        if not self.mode.incremental:
-            self.run([sql.drop(table)])
-        self.ensure_table(df, table, stream.spec.keys)
         stage = self.stage_name(stream, dataset)
-        self.insert(df, stage, "overwrite")
-        self.run(self.merge_statements(stream, stage, df.columns))
+        if self.mode.incremental:
+            self.ensure_table(df, table, stream.spec.keys)
+            finish = self.merge_statements(stream, stage, df.columns)
+        else:
+            finish = sql.swap_in(stage, table, stream.spec.require_keys(), self.quote)
+        try:
+            self.insert(df, stage, "overwrite")
+            self.run(finish)
+        except Exception:
+            self.run([sql.drop(stage)])
+            raise
 
     def expected_rows(self, stream: Stream, staged: int) -> int | None:
         if self.connect.get("dedupe", "latest") == "none" or self.strategy == "delete_insert":

@@ -6,7 +6,6 @@ from collections.abc import Mapping
 from typing import Any
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tablesync.dataset import Dataset, Stream
 from tablesync.errors import DestinationError
@@ -58,18 +57,17 @@ def write_hive(
     df: DataFrame, root: str, spec: StreamSpec, ctx: SyncContext,
     batch_size: int | None = None, compression: str = "snappy",
 ) -> str:
-    """Append one batch below the ``dt`` folder of its sync date.
+    """Append one batch to the ``dt`` folder of its sync date, a map-only job.
 
     If the rows carry the batch id and the folder already holds this batch complete, a
     repeated run adds nothing.
     """
     path = hive_root(root, spec)
-    day = ctx.synced_at.date()
-    if Folder(df.sparkSession, path).exists(f"dt={day}"):
-        there = df.sparkSession.read.schema(df.schema).parquet(f"{path}/dt={day}")
-        if holds_batch(there, df, ctx):
+    folder = f"{path}/dt={ctx.synced_at.date()}"
+    if Folder(df.sparkSession, folder).exists():
+        if holds_batch(df.sparkSession.read.schema(df.schema).parquet(folder), df, ctx):
             return path
-    _writer(df.withColumn("dt", F.lit(day)), "append", batch_size, compression).partitionBy("dt").parquet(path)
+    _writer(df, "append", batch_size, compression).parquet(folder)
     return path
 
 

@@ -93,6 +93,12 @@ def empty_copy(table: str, like: str) -> str:
     )
 
 
+def swap_in(stage: str, target: str, keys: Sequence[str], quote: str = "") -> list[str]:
+    """Replace the target by a loaded stage; in one transaction readers see the old or the new table."""
+    rename = f"ALTER TABLE {safe_identifier(stage)} RENAME TO {safe_identifier(target).split('.')[-1]}"
+    return [drop(target), rename, add_primary_key(target, keys, quote)]
+
+
 def add_primary_key(table: str, keys: Sequence[str], quote: str = "") -> str:
     return f"ALTER TABLE {safe_identifier(table)} ADD PRIMARY KEY ({', '.join(quoted(k, quote) for k in keys)})"
 

@@ -97,6 +97,11 @@ def test_p14_normalise(spark):
     assert flat.select(F.unix_micros("g")).first()[0] == int(dt.datetime(2025, 1, 1, 8, tzinfo=UTC).timestamp()) * 10**6 + 123456
 
 
+def test_p14_times_and_variants_become_text(spark):
+    df = normalise(spark.sql("""select time'10:11:12.5' t, parse_json('{"a": 1}') v"""))
+    assert df.dtypes == [("t", "string"), ("v", "string")] and df.first() == ("10:11:12.5", '{"a":1}')
+
+
 # ---- P12, F1, F2
 
 

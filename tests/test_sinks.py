@@ -58,6 +58,23 @@ def test_k7_hive_layout(spark, folder):
     assert rows(got) == [(dt.date(2025, 1, 10), 10), (dt.date(2025, 1, 11), 5)]
 
 
+def test_k7_append_is_a_map_only_job(spark, folder):
+    spark.sparkContext.setJobGroup("hive", "hive")
+    write_hive(spark.range(0, 1000, 1, 4), folder, SPEC, CTX)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("hive")
+    stages = [s for j in jobs for s in spark.sparkContext.statusTracker().getJobInfo(j).stageIds]
+    spark.sparkContext.setJobGroup("", "")
+    assert len(stages) == 1
+
+
+def test_streams_are_written_in_parallel(spark, folder):
+    streams = [Stream(StreamSpec(f"t{i}", "s"), marked(spark, i + 1)) for i in range(5)]
+    sink = ObjectStoreSink(spark, {"connect": {"root": folder}, "parallel": 3})
+    ds = dataset(*streams)
+    sink.write(ds)
+    assert sink.check(ds) == {f"s.t{i}": i + 1 for i in range(5)}
+
+
 def test_k7_repeated_batch_adds_nothing(spark, folder):
     path = write_hive(marked(spark), folder, SPEC, CTX)
     write_hive(marked(spark), folder, SPEC, CTX)

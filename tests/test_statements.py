@@ -125,6 +125,23 @@ def test_k2_postgres_upsert_end_to_end(spark):
     assert any('ADD PRIMARY KEY ("id")' in c for c in duck.commands)
 
 
+def test_k2_a_failed_load_leaves_no_stage_behind(spark):
+    duck = OnDuck(duckdb.connect())
+    duck.con.execute("create table main.users as select 7::bigint as id")
+    sink = duck.attach(PostgresSink(spark, {"connect": BASIC, "mode": Mode.full()}, duck.run), spark)
+    load = sink.insert
+
+    def broken(df, table, mode):
+        load(df, table, mode)
+        raise OSError("lost connection")
+
+    sink.insert = broken
+    with pytest.raises(OSError):
+        sink.write(dataset(spark, [(1, "a", 1)], Mode.full()))
+    assert duck.con.execute("select table_name from duckdb_tables()").fetchall() == [("users",)]
+    assert duck.con.execute("select id from main.users").fetchall() == [(7,)]
+
+
 def test_k15_existing_table_must_fit(spark):
     duck = OnDuck(duckdb.connect())
     duck.con.execute("create table main.users as select 1::bigint as id, 'x' as other")
