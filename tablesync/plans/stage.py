@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, Observation
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from tablesync.dataset import Dataset, Stream
 from tablesync.functions.sizing import clustered_for_write
 from tablesync.progress import Progress
-from tablesync.workspace import Folder, fresh_folder
+from tablesync.workspace import Folder, fresh_folder, in_parallel
 
 
 def stage_snapshot(df: DataFrame, path: str, compact: bool = False) -> tuple[DataFrame, int]:
@@ -45,9 +44,7 @@ def stage_dataset(dataset: Dataset, folder: str | None = None, parallel: int = 4
         Progress(entity, total=rows).subscribe(on_progress).update(rows, message="staged")
         return replace(stream, df=df, rows=rows)
 
-    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
-        staged = tuple(pool.map(stage, enumerate(dataset.streams)))
-    return replace(dataset, streams=staged)
+    return replace(dataset, streams=tuple(in_parallel(spark, stage, enumerate(dataset.streams), parallel)))
 
 
 def drop_stage(spark, folder: str) -> None:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 from typing import Any
 
@@ -15,6 +14,7 @@ from tablesync.errors import IntegrityCheckFailed
 from tablesync.operators.integrity import batch_count
 from tablesync.progress import Progress
 from tablesync.spec import Mode
+from tablesync.workspace import in_parallel
 
 
 class Sink:
@@ -71,8 +71,8 @@ class Sink:
         written at a time.
         """
         streams = list(dataset.in_schema(self.connect.get("target_schema")))
-        with ThreadPoolExecutor(max_workers=max(1, int(self.config.get("parallel", 1)))) as pool:
-            summaries = dict(pool.map(lambda s: self._write_one(s, dataset, on_progress), streams))
+        workers = int(self.config.get("parallel", 1))
+        summaries = dict(in_parallel(self.spark, lambda s: self._write_one(s, dataset, on_progress), streams, workers))
         if self.trial and not self.part_of_compound:
             self.clean(dataset)
         return summaries

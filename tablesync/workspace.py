@@ -4,9 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+R = TypeVar("R")
+
 #: Runtime SQL settings every sync expects; all can be set on a running session.
 SQL_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -52,6 +59,13 @@ def written(df: DataFrame, label: str = "cut", folder: str | None = None) -> Dat
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_parallel(spark: SparkSession, fn: Callable[[T], R], items: Iterable[T], workers: int) -> list[R]:
+    """Run independent Spark jobs from a few threads that share the caller's job group and pool."""
+    task = inheritable_thread_target(spark)(fn)
+    with ThreadPoolExecutor(max_workers=max(1, workers)) as pool:
+        return list(pool.map(task, items))
+
+
 class Folder:
     """The few Hadoop file-system calls the sinks need, on any scheme Spark can write."""
 
