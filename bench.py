@@ -103,13 +103,17 @@ def main() -> None:
     seconds: dict[str, float] = {}
     rates: dict[str, float] = {}
 
+    shuffled: dict[str, int] = {}
+    totals = spark.sparkContext._jsc.sc().statusStore().executorSummary
+
     def timed(name: str, work: Callable[[], int | None]) -> None:
         best = None
         for _ in range(REPEATS):
-            start = time.perf_counter()
+            bytes_before, start = totals("driver").totalShuffleWrite(), time.perf_counter()
             rows = work()
             took = time.perf_counter() - start
             best = took if best is None else min(best, took)
+            shuffled[name] = totals("driver").totalShuffleWrite() - bytes_before
         seconds[name] = round(best, 3)
         if rows:
             rates[name] = round(rows / best)
@@ -153,6 +157,7 @@ def main() -> None:
         "unit": "sec",
         "queries": seconds,
         "rows_per_second": rates,
+        "shuffle_bytes": shuffled,
         "repeats": REPEATS,
         "slowest_sync_vs_baseline": round(slowest / BASELINE_ROWS_PER_SECOND, 2),
         "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf"),

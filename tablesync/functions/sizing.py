@@ -52,9 +52,18 @@ def broadcast_if_small(
     return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df
 
 
+#: A read below this estimate has so few tasks that their files need no gathering.
+GATHER_ABOVE_BYTES = 1024 * 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's estimate of a plan's size; for a filtered scan without statistics, that of its files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def clustered_for_write(df: DataFrame) -> DataFrame:
-    """Gather the rows of a selective read into few files of the advisory size."""
-    return df.hint("rebalance")
+    """Gather the rows of a selective read of many files into few files of the advisory size."""
+    return df.hint("rebalance") if estimated_bytes(df) > GATHER_ABOVE_BYTES else df
 
 
 #: Rows of one folder that one write task takes before the folder is split.

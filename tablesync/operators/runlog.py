@@ -42,8 +42,8 @@ MAX_PAGE = 100
 
 _PLAIN_NAME = re.compile(r"[A-Za-z0-9_.-]+")
 
-_ENTRY = "entity: string, processed: double, total: double, rate_rps: double, message: string"
-_OUTPUT = f"progress map<string, struct<{_ENTRY}>>"
+_ENTRY = "entity string, processed double, total double, rate_rps double, message string"
+_OUTPUT = "progress map<string, string>"
 
 
 # ---------------------------------------------------------------- writing and reading
@@ -159,7 +159,9 @@ def distinct_sources(models: DataFrame, by: Sequence[str] = ("source_id",)) -> D
 
 
 def _entries(output: Column) -> Column:
-    return F.map_values(F.from_json(output, _OUTPUT).getField("progress"))
+    """The progress entries as an array; each is parsed by itself, so a malformed one spoils no other."""
+    texts = F.map_values(F.from_json(output, _OUTPUT).getField("progress"))
+    return F.transform(texts, lambda text: F.from_json(text, _ENTRY))
 
 
 def _stream_of(entity: Column) -> Column:

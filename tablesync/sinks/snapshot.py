@@ -28,6 +28,9 @@ from tablesync.workspace import Folder, fresh_folder, written
 PART = "sync_part"
 JOURNAL = "journal.json"
 
+#: Up to this share of repeated rows, only the rows of repeated keys are sorted.
+SPARSE_SHARE = 0.05
+
 #: A table cut finer than this is refused: the driver lists part folders.
 MAX_PARTS = 100_000
 
@@ -292,8 +295,9 @@ class SnapshotSink(Sink):
         policy, staged = self.connect.get("dedupe", "latest"), stream.rows is not None
         if keys and staged and policy == "latest":
             # keys of a sound source are unique: a count of the keys alone usually spares the sort of all rows
-            self.surplus[spec.qualified_name] = surplus_rows(stream.df, keys)
-            policy = "sparse" if self.surplus[spec.qualified_name] else "none"
+            surplus = self.surplus[spec.qualified_name] = surplus_rows(stream.df, keys)
+            if surplus <= stream.rows * SPARSE_SHARE:
+                policy = "sparse" if surplus else "none"
         unique = self.surplus.get(spec.qualified_name) == 0
         if self.mode.incremental:
             guard = self.connect.get("guard", "none")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 
 from tablesync.errors import SourceConnectionFailed
@@ -44,8 +45,14 @@ class FileSource(Source):
     def inspect(self) -> DataFrame:
         suffix = self.connect.get("suffix", f".{self.format}")
         names = [n for n in Folder(self.spark, self.connect["root"]).names() if n[0] not in "._"]
-        tables = [n.removesuffix(suffix) for n in names]
-        return inspect_schemas(self.spark, [("", t, self.table(StreamSpec(t)).schema) for t in tables])
+        found = []
+        for name in names:
+            table = name.removesuffix(suffix)
+            try:
+                found.append(("", table, self.table(StreamSpec(table)).schema))
+            except AnalysisException:
+                continue  # not a table of this format
+        return inspect_schemas(self.spark, found)
 
 
 class CatalogSource(Source):

@@ -6,7 +6,7 @@ import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timedelta, timezone
-from typing import Any
+from typing import Any, ClassVar
 
 from tablesync.errors import StreamError
 
@@ -48,6 +48,13 @@ def as_utc(value: datetime | str) -> datetime:
 class Mode:
     """Replication mode: a full refresh, or the half-open window ``[start, end)``."""
 
+    FULL_REFRESH: ClassVar[str] = FULL_REFRESH
+    INCREMENTAL: ClassVar[str] = INCREMENTAL
+    WEEKLY: ClassVar[str] = WEEKLY
+    DAILY: ClassVar[str] = DAILY
+    SIXHOURLY: ClassVar[str] = SIXHOURLY
+    HOURLY: ClassVar[str] = HOURLY
+
     type: str = FULL_REFRESH
     period: str = DAILY
     start: datetime | None = None

@@ -49,6 +49,12 @@ def test_p3_filters_are_anded_and_cast_to_the_column(stream):
     assert ids(extract(stream, StreamSpec("t", "s", "id", filters={"tenant": "a", "n": "2"}))) == [2]
 
 
+def test_q16_boolean_filters(spark):
+    df = spark.createDataFrame([(1, True), (2, False)], "id int, ok boolean")
+    assert ids(extract(df, StreamSpec("t", "", "id", filters={"ok": True}))) == [1]
+    assert ids(extract(df, StreamSpec("t", "", "id", filters={"ok": False}))) == [2]
+
+
 def test_p4_none_matches_nothing(stream):
     assert ids(extract(stream, StreamSpec("t", "s", "id", filters={"tenant": None}))) == []
 

@@ -130,3 +130,11 @@ def test_staging_counts_in_the_writing_job(spark, events):
     jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("stage")
     spark.sparkContext.setJobGroup("", "")
     assert len(jobs) == 1 and staged.streams[0].rows == events.count()
+
+
+def test_only_large_reads_are_gathered(spark, events, monkeypatch):
+    from tablesync.functions import sizing
+
+    assert sizing.clustered_for_write(events) is events
+    monkeypatch.setattr(sizing, "GATHER_ABOVE_BYTES", 1000)
+    assert "Exchange" in tree(sizing.clustered_for_write(events))

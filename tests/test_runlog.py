@@ -115,6 +115,7 @@ def test_a5_distinct_sources(spark):
         ({"progress": {"a": {"entity": "destination+s3://n/s/t", "processed": 5}, "b": {"entity": "destination+db://n/s/t", "processed": 5},
                        "c": {"entity": "destination+s3://n/s/u", "processed": 2}}}, 7, 12),
         ({"progress": {"a": {"entity": "destination", "total": 5}}}, 0, 0),
+        ({"progress": {"a": 7, "b": {"entity": "destination", "processed": 3}, "c": {"entity": 9, "processed": 4}}}, 3, 3),
     ],
 )
 def test_a3_q9_rows_transferred(spark, output, want, compat):

@@ -129,7 +129,8 @@ def test_k8_credentials_become_file_system_settings():
 # ---- K13
 
 
-def test_k13_stage_counts_while_writing(spark, folder):
+def test_k13_stage_counts_while_writing(spark, folder, monkeypatch):
+    monkeypatch.setattr("tablesync.functions.sizing.GATHER_ABOVE_BYTES", 0)
     df, n = stage_snapshot(spark.range(1000), f"{folder}/a")
     assert n == df.count() == 1000
     df, n = stage_snapshot(spark.range(0), f"{folder}/b")

@@ -103,6 +103,13 @@ def test_s9_inspect_files(spark, small):
     assert [(f.name, f.type) for f in found["region"]] == [("r_regionkey", "int"), ("r_name", "string")]
 
 
+def test_s9_folders_that_are_no_tables_are_skipped(spark):
+    root = fresh_folder(spark, "mixed")
+    spark.range(1).write.parquet(f"{root}/good")
+    spark.range(1).select(F.col("id").cast("string")).write.text(f"{root}/texts")
+    assert [r.stream_name for r in FileSource(spark, {"connect": {"root": root}}).inspect().collect()] == ["good"]
+
+
 def test_s9_inspect_information_schema(spark):
     data = [("public", "t", "b", "text", 2), ("public", "t", "a", "int", 1), ("pg_catalog", "x", "y", "int", 1),
             ("ds", "prj.ds.u", "c", "date", 1), ("INFORMATION_SCHEMA", "z", "z", "int", 1)]
