@@ -52,9 +52,10 @@ def slot_end_column(frequency: str, now: Column, kind: T.DataType, hour: Any = 0
         return F.coalesce(v if isinstance(v, Column) else F.lit(v), F.lit(0)).cast("int")
 
     hour, minute = number(hour), number(minute)
+    # not date_trunc: it would read a naive timestamp as a wall clock of the session zone
+    day = F.to_date(now).cast(kind)
     if frequency == HOURLY:
-        return F.date_trunc("hour", now).cast(kind) + minutes(minute)
-    day = F.date_trunc("day", now).cast(kind)
+        return day + minutes(F.hour(now) * 60 + minute)
     if frequency == SIXHOURLY:
         slot = day + minutes(F.floor(F.hour(now) / 6).cast("int") * 360 + minute)
         return F.when(slot <= now, slot).otherwise(slot - F.lit(timedelta(hours=6)))

@@ -231,3 +231,47 @@ def test_k4_bigquery_options(spark):
         BigQuerySink(spark, {"connect": {**connect, "service_account": "{"}})
     with pytest.raises(DestinationError):
         BigQuerySink(spark, {"connect": connect}).write_stream(stream, None)
+
+
+class FakeJvm:
+    """Stands in for the JVM side of a JDBC connection and notes what is called."""
+
+    def __init__(self, fail_on=None):
+        self.calls, self.fail_on = [], fail_on
+
+    def __getattr__(self, name):
+        if name in ("java", "sql", "lang", "util", "Class", "DriverManager"):
+            return self
+        return lambda *args: self._call(name, *args)
+
+    def _call(self, name, *args):
+        self.calls.append((name, *[a for a in args if not isinstance(a, FakeJvm)]))
+        if name == "execute" and self.fail_on in args:
+            raise OSError("rejected")
+        return self
+
+
+def runner_on(jvm):
+    from types import SimpleNamespace
+
+    from tablesync.sinks.jdbc import driver_runner
+
+    spark = SimpleNamespace(sparkContext=SimpleNamespace(_jvm=jvm))
+    return driver_runner(spark, {"url": "jdbc:x", "user": "u", "password": "p", "driver": "d.D"})
+
+
+def test_k2_statements_run_in_one_transaction():
+    jvm = FakeJvm()
+    runner_on(jvm)(["a", "b"])
+    names = [c[0] for c in jvm.calls]
+    assert ("forName", "d.D") in jvm.calls and ("setProperty", "user", "u") in jvm.calls
+    assert ("setAutoCommit", False) in jvm.calls and names.count("execute") == 2
+    assert names[-2:] == ["commit", "close"] and "rollback" not in names
+
+
+def test_k2_a_rejected_statement_rolls_back():
+    jvm = FakeJvm(fail_on="b")
+    with pytest.raises(OSError):
+        runner_on(jvm)(["a", "b", "c"])
+    names = [c[0] for c in jvm.calls]
+    assert names[-2:] == ["rollback", "close"] and "commit" not in names and names.count("execute") == 2
