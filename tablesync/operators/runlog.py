@@ -298,8 +298,8 @@ def window_gaps(runs: DataFrame, by: str = "transfer_id", slice_width: timedelta
     )
     earlier = Window.partitionBy(key).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        runs.groupBy(key.alias(by), slice_start.alias("__slice"))
-        .agg(F.max("window_end").alias("__end"))
+        starts.groupBy(key.alias(by), "__slice")
+        .agg(F.max("__end").alias("__end"))
         .withColumn("__carry", F.max("__end").over(earlier))
         .drop("__end")
     )

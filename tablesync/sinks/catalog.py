@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tablesync.dataset import Dataset, Stream
+from tablesync.errors import DestinationError
 from tablesync.sinks.base import Sink
 from tablesync.sinks.objectstore import ObjectStoreSink
 
@@ -12,14 +13,17 @@ from tablesync.sinks.objectstore import ObjectStoreSink
 def register_table(spark: SparkSession, name: str, path: str, partitioned: bool = False) -> DataFrame:
     """Point the table ``name`` at a Parquet folder, replacing an older registration.
 
-    Registering never touches data. With ``partitioned`` the folders below the path are
-    picked up as partitions.
+    Registering never touches data; a table that owns its data is not replaced. With
+    ``partitioned`` the folders below the path are picked up as partitions.
     """
     parts = [f"`{p}`" for p in name.split(".")]
     if len(parts) > 1:
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {'.'.join(parts[:-1])}")
     quoted = ".".join(parts)
-    spark.sql(f"DROP TABLE IF EXISTS {quoted}")
+    if spark.catalog.tableExists(quoted):
+        if spark.catalog.getTable(quoted).tableType != "EXTERNAL":
+            raise DestinationError(f"{name} is not an external table")
+        spark.sql(f"DROP TABLE {quoted}")
     spark.catalog.createTable(quoted, path=path, source="parquet")
     if partitioned:
         spark.catalog.recoverPartitions(quoted)

@@ -339,6 +339,15 @@ def test_k11_register_hive_table(spark, folder):
     spark.sql("drop table leads_reg")
 
 
+def test_k11_tables_that_own_their_data_are_not_replaced(spark, folder):
+    path = write_staging(marked(spark), folder, "ns", SPEC, CTX)
+    marked(spark, 3).write.mode("overwrite").saveAsTable("owned")
+    with pytest.raises(DestinationError):
+        register_table(spark, "owned", path)
+    assert spark.table("owned").count() == 3
+    spark.sql("drop table owned")
+
+
 def test_k12_compound_store_and_catalog(spark, folder):
     config = {"connect": {"root": folder}}
     store = ObjectStoreSink(spark, config)
