@@ -69,6 +69,9 @@ def clustered_for_write(df: DataFrame) -> DataFrame:
 #: Rows of one folder that one write task takes before the folder is split.
 ROWS_PER_WRITER = 2_000_000
 
+#: A write below this estimate is not worth counting its folders first.
+SMALL_WRITE_BYTES = 128 * 1024 * 1024
+
 #: No more than this many folders are split explicitly; see :func:`spread_for_write`.
 MAX_SPLIT_FOLDERS = 10_000
 
@@ -81,8 +84,10 @@ def spread_for_write(df: DataFrame, by: str, counts: DataFrame, rows_per_writer:
     ``rows_per_writer`` rows, so it neither fills one task nor scatters the folders it
     would share a partition with. Only folders above 1/10,000 of all rows are listed,
     of which there are fewer than 10,000, so the list is always small; AQE splits what
-    lies below.
+    lies below. A write that is small as a whole is arranged without counting.
     """
+    if estimated_bytes(df) <= SMALL_WRITE_BYTES:
+        return df.hint("rebalance", by)
     total, most = counts.agg(F.sum("n"), F.max("n")).first()
     limit = max(rows_per_writer, (total or 0) // MAX_SPLIT_FOLDERS)
     if (most or 0) <= limit:

@@ -13,7 +13,6 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesync.dataset import Dataset, Stream
 from tablesync.functions import moments
 from tablesync.functions.identifiers import safe_identifier_column
 from tablesync.functions.types import normalise, schemas_compatible

@@ -12,12 +12,12 @@ from tablesync.operators.upsert import prepare_stage
 from tablesync.sinks import statements as sql
 from tablesync.sinks.base import Sink
 from tablesync.sinks.jdbc import Runner, UpsertJdbcSink, portable
-from tablesync.sinks.objectstore import ObjectStoreSink, S3Sink, bucket_root, staging_path
+from tablesync.sinks.objectstore import ObjectStoreSink, bucket_root, staging_path
 from tablesync.sources.warehouse import bigquery_options, snowflake_options
 
 
 class RedshiftSink(UpsertJdbcSink):
-    """Loads the batch an :class:`S3Sink` staged with COPY, then deletes and inserts by key.
+    """Loads the batch an S3 sink staged with COPY, then deletes and inserts by key.
 
     ``connect`` adds ``s3_bucket``, ``s3_prefix``, ``s3_region`` and ``iam_role``.
     """
@@ -156,6 +156,3 @@ class SnowflakeStageSink(ObjectStoreSink):
             f"COPY INTO {table} FROM @{stage}/{folder}/ FILE_FORMAT = (TYPE = PARQUET) "
             f"MATCH_BY_COLUMN_NAME = CASE_INSENSITIVE"
         )
-
-
-__all__ = ["BigQuerySink", "RedshiftSink", "S3Sink", "SnowflakeSink", "SnowflakeStageSink"]

@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablesync.errors import SourceStreamDoesNotExist, SyncError
 from tablesync.functions.identifiers import safe_identifier
+from tablesync.operators.extract import validate
 from tablesync.sources.base import Source, inspect_columns
 from tablesync.spec import Mode, StreamSpec
 
@@ -123,8 +126,6 @@ class JdbcSource(Source):
         df = self._load(source)
         if spec.query or int(self.connect.get("slices", DEFAULT_SLICES)) <= 1:
             return df
-        from tablesync.operators.extract import validate
-
         validate(df.schema, spec, self.mode)
         split = self.split(spec, df.schema, self.mode)
         if split:
@@ -139,18 +140,12 @@ class JdbcSource(Source):
         return df
 
     def raw(self, spec: StreamSpec) -> DataFrame:
-        from pyspark.errors import AnalysisException
-
-        from tablesync.errors import SourceConnectionFailed, SourceStreamDoesNotExist, SyncError
-
         try:
             return self.table(spec)
         except (AnalysisException, SyncError):
             raise
         except Exception as cause:
-            self.test_connect()
-            if isinstance(cause, SourceConnectionFailed):
-                raise
+            self.test_connect()  # raises if the database is the problem, not the table
             raise SourceStreamDoesNotExist(f"no such table: {spec.qualified_name}") from cause
 
     def probe(self) -> None:

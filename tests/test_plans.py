@@ -98,7 +98,8 @@ def test_fanout_falls_back_to_a_shuffle_for_many_recipients(spark, events, no_br
     assert "SortMergeJoin" in tree(out) and out.count() == events.count()
 
 
-def test_large_folders_are_salted_and_small_ones_are_not(spark):
+def test_large_folders_are_salted_and_small_ones_are_not(spark, monkeypatch):
+    monkeypatch.setattr("tablesync.functions.sizing.SMALL_WRITE_BYTES", 0)
     df = spark.range(1000).select("id", F.when(F.col("id") < 900, "hot").otherwise("cold").alias("p"))
     counts = df.groupBy("p").count().withColumnRenamed("count", "n")
     plain = spread_for_write(df, "p", counts, 2000)

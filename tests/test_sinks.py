@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from conftest import rows
 from tablesync import get_destination, get_destination_by_vendor, register_sink
 from tablesync.dataset import Dataset, Stream
 from tablesync.errors import DestinationError, DestinationStreamInvalidSchema, IntegrityCheckFailed, StreamError
+from tablesync.functions.sizing import spread_for_write
 from tablesync.plans.stage import stage_dataset, stage_snapshot
 from tablesync.sinks.base import Sink
 from tablesync.sinks.catalog import CatalogSink, register_table
@@ -261,7 +263,10 @@ def test_journal_is_replayed_after_a_crash(spark, folder, monkeypatch):
     assert not again.folder.exists(JOURNAL)
 
 
-def test_parts_and_plain_table_agree(spark, folder):
+@pytest.mark.parametrize("counted_above", [0, 1 << 40])
+def test_parts_and_plain_table_agree(spark, folder, monkeypatch, counted_above):
+    monkeypatch.setattr("tablesync.functions.sizing.SMALL_WRITE_BYTES", counted_above)
+    monkeypatch.setattr("tablesync.sinks.snapshot.spread_for_write", partial(spread_for_write, rows_per_writer=5))
     plain, cut = SnapshotTable(spark, f"{folder}/a"), SnapshotTable(spark, f"{folder}/b", part_by_hash(["id"], 4), stable=True)
     base = spark.range(40).select("id", (F.col("id") % 7).alias("at"), F.lit("t").alias("v"))
     stages = [base.where("id % 3 = 0").withColumn("at", F.col("at") + 1).withColumn("v", F.lit("s")),

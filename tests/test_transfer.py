@@ -180,8 +180,9 @@ def test_j7_repeated_recipients_and_number_tenants(spark, folder, events):
     assert out.count() == want and {r[0] for r in out.select("tenant_id").distinct().collect()} <= {"1", "02"}
 
 
-def test_j7_a_hot_tenant_is_written_by_several_tasks(spark, folder):
+def test_j7_a_hot_tenant_is_written_by_several_tasks(spark, folder, monkeypatch):
     """One tenant owns nine of ten rows; it is split, and the small tenants still get one file each."""
+    monkeypatch.setattr("tablesync.functions.sizing.SMALL_WRITE_BYTES", 0)
     rows_ = spark.range(0, 200_000, 1, 8).select(
         "id", F.when(F.col("id") % 10 > 0, "hot").otherwise(F.concat(F.lit("t"), F.col("id") % 100)).alias("tenant"),
         F.sha2(F.col("id").cast("string"), 256).alias("v"),
