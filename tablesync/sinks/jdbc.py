@@ -112,7 +112,8 @@ class JdbcSink(Sink):
         """Create the target with its primary key, or check that the existing one fits."""
         existing = self.load(table)
         if existing is None:
-            self.insert(df.limit(0), table, "overwrite")
+            # not "overwrite": a table that merely could not be read must not be truncated
+            self.insert(df.limit(0), table, "errorifexists")
             if keys:
                 self.run([sql.add_primary_key(table, keys, self.quote)])
         elif not schemas_compatible(df.schema, existing.schema):

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 
 from tablesync.errors import SourceConnectionFailed
@@ -50,7 +51,7 @@ class FileSource(Source):
             table = name.removesuffix(suffix)
             try:
                 found.append(("", table, self.table(StreamSpec(table)).schema))
-            except AnalysisException:
+            except (PySparkException, Py4JJavaError):
                 continue  # not a table of this format
         return inspect_schemas(self.spark, found)
 

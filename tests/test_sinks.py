@@ -69,6 +69,14 @@ def test_k7_append_is_a_map_only_job(spark, folder):
     assert len(stages) == 1
 
 
+def test_k7_a_repeated_unstaged_batch_is_counted_not_written(spark, folder):
+    for _ in range(2):
+        sink = ObjectStoreSink(spark, {"connect": {"root": folder, "format": "hive"}})
+        ds = dataset(Stream(SPEC, marked(spark)))
+        sink.write(ds)
+        assert sink.check(ds) == {"crm.leads": 10}
+
+
 def test_streams_are_written_in_parallel(spark, folder):
     streams = [Stream(StreamSpec(f"t{i}", "s"), marked(spark, i + 1)) for i in range(5)]
     sink = ObjectStoreSink(spark, {"connect": {"root": folder}, "parallel": 3})

@@ -94,8 +94,8 @@ class OnDuck:
         def insert(df, table, mode):
             frame = df.toArrow()
             self.con.register("incoming", frame)
-            if mode == "overwrite":
-                self.con.execute(f"create or replace table {table} as select * from incoming")
+            create = "create or replace table" if mode == "overwrite" else "create table"
+            self.con.execute(f"{create} {table} as select * from incoming")
             self.con.unregister("incoming")
 
         sink.load, sink.insert = load, insert
@@ -150,6 +150,17 @@ def test_k15_existing_table_must_fit(spark):
         sink.write(dataset(spark, [(1, "a", 1)], WINDOW))
 
 
+@pytest.mark.parametrize(("kind", "mode"), [(PostgresSink, WINDOW), (JdbcSink, Mode.full())])
+def test_an_unreadable_table_is_not_truncated(spark, kind, mode):
+    duck = OnDuck(duckdb.connect())
+    duck.con.execute("create table main.users as select 7::bigint as id")
+    sink = duck.attach(kind(spark, {"connect": BASIC, "mode": mode}, duck.run), spark)
+    sink.load = lambda table: None
+    with pytest.raises(duckdb.CatalogException):
+        sink.write(dataset(spark, [(1, "a", 1)], mode))
+    assert duck.con.execute("select id from main.users").fetchall() == [(7,)]
+
+
 def test_k19_trial_drops_its_own_table(spark):
     duck = OnDuck(duckdb.connect())
     duck.con.execute("create table main.users as select 7::bigint as id")
