@@ -36,7 +36,8 @@ class Source:
     """A place tables are read from.
 
     ``config`` may hold ``connect`` (where and how), ``mode``, ``streams`` (one dict per
-    table), ``with`` (bookkeeping columns), ``dt`` (time of the run) and ``types``
+    table), ``with`` (bookkeeping columns), ``extra`` (constant or computed columns, see
+    :func:`tablesync.operators.augment.augment`), ``dt`` (time of the run) and ``types``
     (options of :func:`tablesync.functions.types.normalise`). Subclasses implement
     :meth:`table` and :meth:`inspect`.
     """
@@ -90,7 +91,7 @@ class Source:
     def stream(self, spec: StreamSpec) -> Stream:
         """One stream as a lazy plan: predicates, projection, bookkeeping, type normalisation."""
         rows = extract(self.raw(spec), spec, self.mode)
-        shaped = augment(rows, self.ctx, self.marks, spec.drop_fields)
+        shaped = augment(rows, self.ctx, self.marks, spec.drop_fields, self.config.get("extra"))
         return Stream(spec, normalise(shaped, **self.config.get("types", {})))
 
     def read(self) -> Dataset:

@@ -34,6 +34,15 @@ def test_s7_s8_multi_stream_read(spark, small):
     assert counts == {"orders": ds.stream("orders").df.count(), "customer": ds.stream("customer").df.count()}
 
 
+def test_p7_p8_extra_columns_of_a_source(spark, small):
+    extra = {"origin": ("string", "crm"), "twice": lambda raw: F.col("r_regionkey") * 2}
+    streams = [{"table": "region", "drop_fields": ["r_name"]}]
+    source = FileSource(spark, {"connect": {"root": small}, "streams": streams, "extra": extra, "with": {"version": "1"}})
+    df = source.read().streams[0].df
+    assert df.columns == ["r_regionkey", "origin", "twice", "sync__version"]
+    assert rows(df)[3] == (3, "crm", 6, "1")
+
+
 def test_s13_empty_result_keeps_its_schema(spark, small):
     spec = {"table": "events", "cursor_field": "ts"}
     mode = Mode.window("2010-01-01", "2010-01-02")
