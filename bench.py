@@ -150,7 +150,6 @@ def main() -> None:
     timed("run_log_event", lambda: runlog.append_run_event(
         spark, staged_log, "r", "t", "RUNNING", {}, None, datetime(2025, 1, 1), datetime(2025, 1, 1)))
 
-    slowest = min(rates.values())
     print(json.dumps({
         "metric": "total wall time of headline syncs and operators",
         "value": round(sum(seconds.values()), 3),
@@ -159,7 +158,7 @@ def main() -> None:
         "rows_per_second": rates,
         "shuffle_bytes": shuffled,
         "repeats": REPEATS,
-        "slowest_sync_vs_baseline": round(slowest / BASELINE_ROWS_PER_SECOND, 2),
+        "sync_rate_vs_baseline": {name: round(rate / BASELINE_ROWS_PER_SECOND, 2) for name, rate in rates.items()},
         "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf"),
     }))
 

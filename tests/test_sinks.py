@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+from decimal import Decimal
 from functools import partial
 
 import pytest
@@ -149,6 +150,30 @@ def test_k13_stage_counts_while_writing(spark, folder, monkeypatch):
     assert n == df.count() == 100
 
 
+def test_k13_values_of_all_types_survive_the_stage(spark, folder):
+    ddl = ("id bigint, name string, age bigint, salary double, is_active boolean, birth_date date, created_at timestamp, "
+           "seen timestamp_ntz, metadata string, binary_data binary, amount decimal(12,2), tags array<string>")
+    utc = dt.timezone.utc
+    data = [
+        (1, "ä", 30, 1.5, True, dt.date(1990, 2, 28), dt.datetime(2025, 1, 1, 1, 2, 3, 456789, utc), dt.datetime(2025, 1, 1),
+         '{"k": 1}', bytearray(b"\x00\xff"), Decimal("12.30"), ["a", None]),
+        (2, "", 0, float("-inf"), False, dt.date(1, 1, 1), dt.datetime(9999, 12, 31, tzinfo=utc), dt.datetime(1900, 1, 1),
+         "", bytearray(), Decimal("-0.01"), []),
+        (3, *[None] * 11),
+    ]
+    df = spark.createDataFrame(data, ddl)
+    staged, n = stage_snapshot(df, f"{folder}/all")
+    assert n == 3 and staged.schema.simpleString() == df.schema.simpleString()
+    assert sorted(staged.collect()) == sorted(df.collect())
+
+
+def test_k13_wide_streams(spark, folder):
+    kinds = [F.col("id"), F.col("id").cast("string"), F.col("id") / 2, F.col("id") % 2 == 0]
+    wide = spark.range(500).select("id", *[kinds[i % 4].alias(f"c{i}") for i in range(50)])
+    staged, n = stage_snapshot(wide, f"{folder}/wide")
+    assert n == 500 and staged.exceptAll(wide).isEmpty()
+
+
 def test_q18_streams_of_two_schemas_do_not_collide(spark):
     a, b = StreamSpec("t", "x"), StreamSpec("t", "y")
     staged = stage_dataset(dataset(Stream(a, spark.range(3)), Stream(b, spark.range(5))))
