@@ -5,6 +5,7 @@ from __future__ import annotations
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from tablesync.errors import SourceConnectionFailed
 from tablesync.sources.base import SYSTEM_SCHEMAS, Source, inspect_schemas
@@ -43,16 +44,25 @@ class FileSource(Source):
         if not Folder(self.spark, self.connect["root"]).exists():
             raise SourceConnectionFailed(f"no such folder: {self.connect['root']}")
 
-    def inspect(self) -> DataFrame:
+    def _tables(self, schema_name: str) -> tuple[list[tuple[str, str, T.StructType]], list[str]]:
+        """Readable tables of one folder, and the names that are no tables of this format."""
         suffix = self.connect.get("suffix", f".{self.format}")
-        names = [n for n in Folder(self.spark, self.connect["root"]).names() if n[0] not in "._"]
-        found = []
-        for name in names:
-            table = name.removesuffix(suffix)
+        found, others = [], []
+        for name in Folder(self.spark, self._folder(schema_name)).names():
+            if name[0] in "._":
+                continue
+            spec = StreamSpec(name.removesuffix(suffix), schema_name)
             try:
-                found.append(("", table, self.table(StreamSpec(table)).schema))
+                found.append((schema_name, spec.name, self.table(spec).schema))
             except (PySparkException, Py4JJavaError):
-                continue  # not a table of this format
+                others.append(name)
+        return found, others
+
+    def inspect(self) -> DataFrame:
+        """Tables below the root and, one level down, below schema folders."""
+        found, others = self._tables("")
+        for folder in others:
+            found += self._tables(folder)[0]
         return inspect_schemas(self.spark, found)
 
 

@@ -7,7 +7,6 @@ from typing import Any
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablesync.errors import SourceStreamDoesNotExist, SyncError
@@ -80,7 +79,7 @@ class JdbcSource(Source):
     """Any database with a JDBC driver: ``connect`` holds ``url`` or host/port/database, user, password.
 
     ``chunk_size`` is the fetch size, ``slices`` the number of parallel reads. The window,
-    tenant filter, projection and counts are pushed into the database by Spark.
+    tenant filter and projection are pushed into the database by Spark.
     """
 
     vendor: str | None = None
@@ -97,7 +96,7 @@ class JdbcSource(Source):
 
     def options(self) -> dict[str, str]:
         fetch = str(self.connect.get("chunk_size", DEFAULT_FETCH))
-        return {**jdbc_options(self.connect, self.vendor), "fetchsize": fetch, "pushDownAggregate": "true"}
+        return {**jdbc_options(self.connect, self.vendor), "fetchsize": fetch}
 
     def table_name(self, spec: StreamSpec) -> str:
         return safe_identifier(spec.qualified_name)
@@ -110,10 +109,10 @@ class JdbcSource(Source):
             lower, upper = (m.strftime("%Y-%m-%d %H:%M:%S.%f") for m in (mode.start, mode.end))
             return range_split(cursor, lower, upper, slices)
         if len(spec.keys) == 1 and isinstance(schema[spec.keys[0]].dataType, _RANGE_TYPES):
-            bounds = self._load({"dbtable": self.table_name(spec)}).agg(
-                F.min(spec.keys[0]).alias("lo"), F.max(spec.keys[0]).alias("hi")
-            )
-            low, high = bounds.first()
+            # as a query, so that the database aggregates and only one row travels
+            key = safe_identifier(spec.keys[0])
+            bounds = f"select min({key}) as lo, max({key}) as hi from {self.table_name(spec)}"
+            low, high = self._load({"query": bounds}).first()
             if low is not None and low != high:
                 return range_split(spec.keys[0], low, high, slices)
         return {}

@@ -116,7 +116,9 @@ def test_s9_folders_that_are_no_tables_are_skipped(spark):
     root = fresh_folder(spark, "mixed")
     spark.range(1).write.parquet(f"{root}/good")
     spark.range(1).select(F.col("id").cast("string")).write.text(f"{root}/texts")
-    assert [r.stream_name for r in FileSource(spark, {"connect": {"root": root}}).inspect().collect()] == ["good"]
+    spark.range(1).write.parquet(f"{root}/crm/leads.parquet")
+    found = FileSource(spark, {"connect": {"root": root}}).inspect().select("schema_name", "stream_name")
+    assert rows(found) == [("", "good"), ("crm", "leads")]
 
 
 def test_s9_inspect_information_schema(spark):
@@ -170,9 +172,16 @@ def test_s1_reads_are_split_over_the_window(spark):
 
 def test_s1_full_refresh_splits_on_the_key_range(spark, monkeypatch):
     source = PostgresSource(spark, {"connect": BASIC})
-    monkeypatch.setattr(source, "_load", lambda extra: spark.range(10, 90))
+    asked = []
+
+    def load(extra):
+        asked.append(extra)
+        return spark.range(10, 90).agg(F.min("id"), F.max("id"))
+
+    monkeypatch.setattr(source, "_load", load)
     spec, schema = StreamSpec("t", "s", "id"), T.StructType.fromDDL("id bigint")
     assert source.split(spec, schema, Mode.full()) == range_split("id", 10, 89, 16)
+    assert asked == [{"query": "select min(id) as lo, max(id) as hi from s.t"}]
     assert source.split(spec, T.StructType.fromDDL("id string"), Mode.full()) == {}
 
 
