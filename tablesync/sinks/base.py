@@ -72,10 +72,12 @@ class Sink:
         """
         streams = list(dataset.in_schema(self.connect.get("target_schema")))
         workers = int(self.config.get("parallel", 1))
-        summaries = dict(in_parallel(self.spark, lambda s: self._write_one(s, dataset, on_progress), streams, workers))
-        if self.trial and not self.part_of_compound:
-            self.clean(dataset)
-        return summaries
+        try:
+            one = lambda s: self._write_one(s, dataset, on_progress)
+            return dict(in_parallel(self.spark, one, streams, workers))
+        finally:
+            if self.trial and not self.part_of_compound:
+                self.clean(dataset)
 
     def _write_one(self, stream: Stream, dataset: Dataset, on_progress) -> tuple[str, dict]:
         entity = self.entity(dataset, stream)
@@ -83,7 +85,8 @@ class Sink:
             observed, seen = self._observed(stream)
             progress = Progress(entity).subscribe(on_progress)
             self.write_stream(observed, dataset)
-            rows = progress.total = self.written[entity] = int(seen.get["n"])
+            # a plan that is empty for certain may be written without being observed
+            rows = progress.total = self.written[entity] = int(seen.get.get("n", 0))
             progress.update(rows, message="written")
         else:
             rows = self.written[entity] = dataset.size(stream)

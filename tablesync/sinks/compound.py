@@ -24,10 +24,12 @@ class CompoundSink(Sink):
 
     def write(self, dataset: Dataset, on_progress: Callable[[Progress], None] | None = None) -> dict[str, dict]:
         summaries = {}
-        for sink in self.sinks:
-            summaries |= sink.write(dataset, on_progress)
-        if self.trial and not self.part_of_compound:
-            self.clean(dataset)
+        try:
+            for sink in self.sinks:
+                summaries |= sink.write(dataset, on_progress)
+        finally:
+            if self.trial and not self.part_of_compound:
+                self.clean(dataset)
         return summaries
 
     def clean(self, dataset: Dataset) -> None:

@@ -150,6 +150,33 @@ def test_k13_stage_counts_while_writing(spark, folder, monkeypatch):
     assert n == df.count() == 100
 
 
+@pytest.mark.parametrize("empty", ["where false", "no rows", "empty scan"])
+def test_empty_plans_are_counted(spark, folder, empty):
+    spark.range(3).write.parquet(f"{folder}/src")
+    df = {
+        "where false": spark.range(3).where("false"),
+        "no rows": spark.createDataFrame([], "id bigint"),
+        "empty scan": spark.read.parquet(f"{folder}/src").where("id > 99"),
+    }[empty]
+    assert stage_snapshot(df, f"{folder}/stage")[1] == 0
+    sink = ObjectStoreSink(spark, {"connect": {"root": folder}})
+    ds = dataset(Stream(SPEC, df.withColumn("sync__batch_id", F.lit("b1"))))
+    sink.write(ds)
+    assert sink.check(ds) == {"crm.leads": 0}
+
+
+def test_k19_a_failed_trial_leaves_nothing(spark, folder):
+    class Fails(ObjectStoreSink):
+        def write_stream(self, stream, ds):
+            super().write_stream(stream, ds)
+            raise OSError("full")
+
+    sink = Fails(spark, {"connect": {"root": folder}, "drop_after_complete": True})
+    with pytest.raises(OSError):
+        sink.write(dataset(Stream(SPEC, marked(spark))))
+    assert Folder(spark, folder).names() == []
+
+
 def test_k13_values_of_all_types_survive_the_stage(spark, folder):
     ddl = ("id bigint, name string, age bigint, salary double, is_active boolean, birth_date date, created_at timestamp, "
            "seen timestamp_ntz, metadata string, binary_data binary, amount decimal(12,2), tags array<string>")
