@@ -36,7 +36,7 @@ def _plain_number(text: Column) -> Column:
     rewritten = (
         F.when(exponent.between(0, 15), whole).when(exponent == -4, small).otherwise(scientific)
     )
-    return F.when(exponent.isNull(), text).otherwise(F.concat(sign, rewritten))
+    return F.when(text.contains("E"), F.concat(sign, rewritten)).otherwise(text)
 
 
 def rendered(name: str, data_type: T.DataType) -> Column:
