@@ -7,10 +7,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tablesync.plans import catalogue
 from tools.compare import canonical
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+QUERIES = catalogue.QUERIES
+ORACLE = catalogue.ORACLE
 
 
 @pytest.fixture(scope="module")
