@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablesync.functions.sizing import broadcast_if_small
-from tablesync.llm.common import WORD
+from tablesync.llm.common import WORD, row_key, unused
 from tablesync.workspace import written
 
 #: Weights of the sources in code point order, repeating.
@@ -46,9 +46,10 @@ BUCKET_ROWS, RUN = 2_000, 4_096
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``source``, ``size`` (words of the whole text) and the shuffle hash ``h`` of every document."""
+    """``doc_id``, ``row`` (row key), ``source``, ``size`` (words of the whole text) and the shuffle hash ``h`` of every document."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
+        row_key(docs).alias("row"),
         "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")).alias("h"),
@@ -101,12 +102,12 @@ def schedule(per: DataFrame, total: int, slots: int = SLOTS) -> DataFrame:
     return ranked.select("sid", (F.col("base") + F.col("inner")).alias("rank"), "slot")
 
 
-def mix(
+def placed(
     docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_REPEATS, slots: int = SLOTS
 ) -> DataFrame:
     """Every document with what the mix takes of it.
 
-    ``doc_id``, ``size``, ``source_size``, ``target`` (of its source), ``taken`` (words, repeats counted)
+    ``doc_id``, ``row`` (row key), ``size``, ``source_size``, ``target`` (of its source), ``taken`` (words, repeats counted)
     and ``first_slot``: the slot of the schedule that takes the block of its first word, -1 if none does.
     """
     spark = docs.sparkSession
@@ -118,27 +119,46 @@ def mix(
     filled = plan.groupBy("sid").agg(F.count(F.lit(1)).alias("filled"))
     per = per.join(filled, "sid", "left").withColumn("reach", F.coalesce(F.col("filled"), F.lit(0)) * block)
     per = per.withColumnRenamed("source", "its")
-    placed = sizes.join(broadcast_if_small(per), F.col("source").eqNullSafe(F.col("its")))
+    at = sizes.join(broadcast_if_small(per), F.col("source").eqNullSafe(F.col("its")))
 
     digits = min(8, max(1, math.ceil(math.log(max(1, rows / BUCKET_ROWS), 16))))
-    placed = placed.withColumn("bucket", F.substring("h", 1, digits))
+    at = at.withColumn("bucket", F.substring("h", 1, digits))
     inside = Window.partitionBy("sid", "bucket").orderBy("h", F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = placed.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
+    buckets = at.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
     buckets = buckets.select("sid", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    placed = placed.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(buckets, ["sid", "bucket"])
-    placed = placed.withColumn("start", F.col("base") + F.col("inner"))
+    at = at.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(buckets, ["sid", "bucket"])
+    at = at.withColumn("start", F.col("base") + F.col("inner"))
 
     def words(turn: int):
         rest = F.col("reach") - F.col("start") - F.lit(turn) * F.col("source_size")
         return F.greatest(F.lit(0), F.least(rest, F.col("size")))
 
     taken = sum((words(turn) for turn in range(1, repeats)), words(0))
-    placed = placed.withColumn("taken", taken.cast("long"))
+    at = at.withColumn("taken", taken.cast("long"))
     rank = F.when(F.col("size") > 0, F.floor(F.col("start") / block)).otherwise(F.lit(-1) - F.abs(F.xxhash64("h") % RUN))
     first = plan.select("sid", "rank", F.col("slot").alias("first_slot"))
-    out = placed.withColumn("rank", rank).join(first, ["sid", "rank"], "left")
-    return out.select("doc_id", "size", "source_size", "target", "taken", F.coalesce("first_slot", F.lit(-1)).alias("first_slot"))
+    out = at.withColumn("rank", rank).join(first, ["sid", "rank"], "left")
+    return out.select("doc_id", "row", "size", "source_size", "target", "taken", F.coalesce("first_slot", F.lit(-1)).alias("first_slot"))
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """One row per document: ``doc_id``, ``size``, ``source_size``, ``target``, ``taken``, ``first_slot``."""
+    return placed(docs).drop("row")
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The documents that the mix takes words of, with ``size``, ``taken`` and ``first_slot``.
+
+    Rows of equal id and text share a decision: that of the one taken most. The three columns replace
+    columns of their names.
+    """
+    plan = placed(docs).groupBy("row").agg(F.max("size").alias("size"), F.max("taken").alias("taken"), F.max("first_slot").alias("first_slot"))
+    own = [c for c in docs.columns if c.lower() not in ("size", "taken", "first_slot")]
+    (key,) = unused(docs, "row_key")
+    rows = docs.select(*[F.col(f"`{c}`") for c in own], row_key(docs).alias(key))
+    out = rows.join(plan.where("taken > 0").withColumnRenamed("row", key), key)
+    return out.select(*[F.col(f"`{c}`") for c in own], "size", "taken", "first_slot")
 
 
 SQL = f"""

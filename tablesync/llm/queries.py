@@ -4,20 +4,58 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablesync.llm import mixing
+from tablesync.llm import decontaminate, langid, licenses, linededup, mixing, neardup, quality
 from tablesync.llm.common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices of every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines of recurring templates."""
+    return linededup.dedupe_lines(table(spark, sf_dir, "documents"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of all documents takes of each."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
+    "op3_near_duplicates": op3_near_duplicates,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_decontaminate": op5_decontaminate,
+    "op7_language_id": op7_language_id,
+    "op9_quality": op9_quality,
     "op10_mix_sources": op10_mix_sources,
 }
 
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute force.
 ORACLE = {
+    "op1_license_scan": licenses.SQL,
+    "op4_line_dedup": linededup.SQL,
     "op10_mix_sources": mixing.SQL,
 }
