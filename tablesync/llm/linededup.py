@@ -8,7 +8,7 @@ positions or more belongs to it; any other line is a template of its own. Lines
 recurs across documents are dropped, wherever they stand.
 
 A template recurs if it stands in three or more unrelated documents. Documents are related if they
-share the least hash among their leaves, as copies with some edits mostly do; and a template whose
+share the least hash among their lines' leading tokens, as copies with some edits mostly do; and a template whose
 documents are nearly all related to each other (fewer than a quarter as many kinds as texts) is no
 boilerplate but the text of a group of copies. Likewise a document with 80 % of its tokens or more in
 recurring lines is a copy as a whole. Copies are left to near-duplicate removal and are not emptied
@@ -65,18 +65,19 @@ def parsed(docs: DataFrame) -> DataFrame:
 
 def hashed(docs: DataFrame) -> DataFrame:
     """A row per line of six tokens or more: ``row``, ``copy``, ``all`` (tokens of the document),
-    ``kind`` (least leaf hash of the document), ``no``, ``leaf``, ``line`` (hash) and ``n`` (tokens).
+    ``kind`` (least hash of its lines' leading tokens), ``no``, ``leaf``, ``line`` (hash) and ``n`` (tokens).
     """
 
     def entry(tokens: Column, no: Column) -> Column:
         leaf = F.when(F.size(tokens) >= MIN_TOKENS, F.substring(F.md5(_path(tokens).cast("binary")), 1, 16))
-        return F.struct(no.alias("no"), leaf.alias("leaf"), F.xxhash64(tokens).alias("line"), F.size(tokens).alias("n"))
+        lead = F.substring(F.md5(F.concat_ws(" ", F.slice(tokens, 1, DEPTH)).cast("binary")), 1, 16)
+        return F.struct(no.alias("no"), leaf.alias("leaf"), F.xxhash64(tokens).alias("line"), F.size(tokens).alias("n"), lead.alias("lead"))
 
     rows = parsed(docs).select("row", "copy", F.transform("lines", entry).alias("lines"))
     total = F.aggregate("lines", F.lit(0).cast("long"), lambda sum_, x: sum_ + x["n"])
     rows = rows.withColumn("all", total)
     rows = rows.withColumn("lines", F.filter("lines", lambda x: x["leaf"].isNotNull()))
-    rows = rows.select("row", "copy", "all", F.array_min(F.col("lines.leaf")).alias("kind"), F.explode("lines").alias("l"))
+    rows = rows.select("row", "copy", "all", F.array_min(F.col("lines.lead")).alias("kind"), F.explode("lines").alias("l"))
     return rows.select("row", "copy", "all", "kind", "l.no", "l.leaf", "l.line", "l.n")
 
 
@@ -157,7 +158,7 @@ tok AS (SELECT doc_id, text, no, {_TOK.format("s")} AS tokens FROM split),
 total AS (SELECT doc_id, text, sum(len(tokens)) AS total FROM tok GROUP BY ALL),
 lines AS (SELECT *, substr(md5(array_to_string(list_concat([CAST(len(tokens) AS VARCHAR)], tokens[1:{DEPTH}]), ' ')), 1, 16) AS leaf
           FROM tok WHERE len(tokens) >= {MIN_TOKENS}),
-kinds AS (SELECT *, min(leaf) OVER (PARTITION BY doc_id, text) AS kind FROM lines),
+kinds AS (SELECT *, min(substr(md5(array_to_string(tokens[1:{DEPTH}], ' ')), 1, 16)) OVER (PARTITION BY doc_id, text) AS kind FROM lines),
 leaves AS (SELECT leaf FROM kinds GROUP BY leaf HAVING count(DISTINCT kind) >= {MIN_KINDS}),
 tokrows AS (SELECT l.leaf, l.tokens FROM lines l JOIN documents d ON d.doc_id IS NOT DISTINCT FROM l.doc_id AND d.text = l.text
             WHERE l.leaf IN (SELECT leaf FROM leaves)),

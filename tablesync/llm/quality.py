@@ -3,7 +3,8 @@
 Every line of a document is labelled good or bad. A line's features are counts of its own (letters,
 capitals, digits, symbols, repeated words, ...) and some of the line before and after. A line's label
 depends on its features and on its neighbours' labels. Forward and backward sums give each line's
-probability of being good; their mean, weighted by line length, is the document's quality.
+probability of being good; their mean, weighted by line length, is the document's quality, which a
+logistic curve turns into the probability of label 1.
 
 Learning: the lines of a labelled document take its label. At most 4,000 labelled documents (the
 first by a hash of the id) give chains of at most 32 lines, of which at most 8,000 (the first by a
@@ -49,6 +50,7 @@ _OF = {
 OWN = 2 + len(_OF) + 4
 #: Of a neighbour: letters, capitals, bars, bangs, symbols, adjacent repeats.
 SHARED = (2, 3, 7, 8, 9, 11)
+LENGTH = 1  # the feature that holds the logarithm of a line's length
 WIDTH = OWN + 2 * (len(SHARED) + 1)
 
 
@@ -79,11 +81,12 @@ def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Field:
-    """Weights of line features (for good against bad) and of the four label pairs (from, to)."""
+    """Weights of line features (for good against bad) and of the four label pairs (from, to); ``curve``: slope, offset."""
 
     def __init__(self, weights: np.ndarray | None = None, pairs: np.ndarray | None = None):
         self.weights = np.zeros(WIDTH) if weights is None else weights
         self.pairs = np.zeros((2, 2)) if pairs is None else pairs
+        self.curve = (1.0, 0.0)
 
     def marginals(self, rows: np.ndarray) -> np.ndarray:
         """The probability of good, for every line of one document."""
@@ -105,9 +108,31 @@ class Field:
 
     def score(self, text: bytes | None) -> float:
         rows, lengths = features(text or b"")
+        slope, offset = self.curve
+        return float(1 / (1 + np.exp(-(slope * _logit(self.quality(rows, lengths)) + offset))))
+
+    def quality(self, rows: np.ndarray, lengths: np.ndarray) -> float:
+        """The mean probability of good, weighted by line length."""
         good = self.marginals(rows)
-        value = float(good @ lengths / lengths.sum()) if lengths.sum() else float(good.mean())
-        return min(1.0, max(0.0, value))
+        return float(good @ lengths / lengths.sum()) if lengths.sum() else float(good.mean())
+
+
+def _logit(share: float) -> float:
+    return math.log((share + 1e-6) / (1 - share + 1e-6))
+
+
+def curve(shares: list[float], labels: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the logistic curve from mean probabilities to labels, by damped Newton steps."""
+    if len(set(labels.tolist())) < 2:
+        return 1.0, 0.0
+    x = np.stack([np.array([_logit(s) for s in shares]), np.ones(len(shares))], axis=1)
+    at = np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ at, -30, 30)))
+        slope = x.T @ (labels - p) - 0.01 * (at - [1.0, 0.0])
+        bend = (x * (p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(2)
+        at = at + np.clip(np.linalg.solve(bend, slope), -2, 2)
+    return max(float(at[0]), 1e-3), float(at[1])
 
 
 def fit(rows: np.ndarray, real: np.ndarray, labels: np.ndarray) -> Field:
@@ -172,13 +197,23 @@ def learned(docs: DataFrame, labels: DataFrame) -> Field:
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
     chains = texts.select("doc_id", "quality", "text").mapInArrow(_chains, "doc_id long, at int, quality int, rows binary")
-    sample = chains.orderBy(F.xxhash64("doc_id", "at"), "doc_id", "at", "rows").limit(SAMPLE_CHAINS).select("quality", "rows")
+    sample = chains.orderBy(F.xxhash64("doc_id", "at"), "doc_id", "at", "rows").limit(SAMPLE_CHAINS).select("doc_id", "quality", "rows")
     found = sample.toArrow()
     lists = [np.frombuffer(x, np.float32).reshape(-1, WIDTH) for x in found.column("rows").to_pylist()]
     rows, real = np.zeros((len(lists), CHAIN, WIDTH), np.float32), np.zeros((len(lists), CHAIN), bool)
     for i, x in enumerate(lists):
         rows[i, : len(x)], real[i, : len(x)] = x, True
-    return fit(rows, real, np.array(found.column("quality").to_pylist(), np.int64))
+    labels = np.array(found.column("quality").to_pylist(), np.int64)
+    field = fit(rows, real, labels)
+    by_doc: dict[int, list[int]] = {}
+    for i, doc in enumerate(found.column("doc_id").to_pylist()):
+        by_doc.setdefault(doc, []).append(i)
+    shares = []
+    for parts in by_doc.values():
+        own = np.concatenate([lists[i] for i in parts])
+        shares.append(field.quality(own, np.expm1(own[:, LENGTH] * 8)))
+    field.curve = curve(shares, labels[[parts[0] for parts in by_doc.values()]])
+    return field
 
 
 def scored(docs: DataFrame, field: Field) -> DataFrame:
