@@ -494,7 +494,7 @@ def streaming_upsert(spark, sf_dir):
     """Three feeds, the newest first: late rows must not overwrite newer ones."""
     folder = fresh_folder(spark, "stream")
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value")
-    target = SnapshotTable(spark, f"{folder}/target", part_by_hash(["user_id"], 8), stable=True)
+    target = SnapshotTable(spark, f"{folder}/target", part_by_hash(["user_id"], 8))
     slices = (_from("2024-01-21"), Mode.window("2024-01-11", "2024-01-21"), _until("2024-01-11"))
     for window in slices:
         extract(rows, EVENTS, window).write.mode("append").parquet(f"{folder}/feed")

@@ -1,16 +1,22 @@
-"""Upsert targets in plain Parquet: a versioned snapshot, optionally cut into parts.
+"""Upsert targets in plain Parquet: immutable part folders and a manifest per version.
 
-A full refresh, or an upsert of an uncut table, writes a new version next to the old
-one; a commit file then makes it current, so readers never see half a table. A table
-cut into parts rewrites only the parts an upsert touches: the merged parts are written
-to the shared folder first, a journal file names them, and a second job swaps them in.
-After a crash the journal is replayed; nothing is lost in between.
+Every write goes to a new folder of its own name. A commit file then names, for every part
+of the table, the folder that holds it; parts that a version leaves alone stay with the
+folder of an older one. Creating the commit file is the only switch: readers see the old
+version or the new one, a run that loses the race has touched nothing of the winner's, and
+what a crashed run leaves behind is named by no commit. Readers never write.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import json
-from collections.abc import Callable, Sequence
+import math
+import time
+import uuid
+from collections.abc import Sequence
+from dataclasses import asdict, dataclass, field
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,50 +24,104 @@ from pyspark.sql import types as T
 
 from tablesync.dataset import Dataset, Stream
 from tablesync.errors import DestinationError, DestinationStreamInvalidSchema
-from tablesync.functions.sizing import spread_for_write
+from tablesync.functions.sizing import estimated_bytes, spread_for_write
 from tablesync.functions.types import schemas_compatible
 from tablesync.operators.extract import column
-from tablesync.operators.upsert import distinct_keys, prepare_stage, surplus_rows, upsert_replace
+from tablesync.operators.upsert import distinct_keys, gathered, prepare_stage, surplus_rows, upsert_replace
 from tablesync.sinks.base import Sink
 from tablesync.workspace import Folder, fresh_folder, written
 
 PART = "sync_part"
-JOURNAL = "journal.json"
 
 #: Up to this share of repeated rows, only the rows of repeated keys are sorted.
 SPARSE_SHARE = 0.05
 
-#: A table cut finer than this is refused: the driver lists part folders.
-MAX_PARTS = 100_000
+#: A keyed table without a cut of its own is cut by a hash of its key into parts of about this size.
+PART_BYTES = 256 * 1024 * 1024
 
-#: Where a row lives: a function from the DataFrame to the text that names its part.
-PartOf = Callable[[DataFrame], Column]
+#: With this many staged rows per hash part, all parts are taken as touched without looking.
+ROWS_TOUCH_ALL = 16
 
+#: Versions that are kept, and hours for which readers may still use an older one.
+KEEP_VERSIONS, KEEP_HOURS = 2, 24
 
-def part_by_date(name: str, pattern: str = "yyyy-MM") -> PartOf:
+
+@dataclass(frozen=True)
+class Cut:
+    """Where a row lives: by a hash of ``columns`` into ``parts``, or by a formatted date column."""
+
+    kind: str
+    columns: tuple[str, ...]
+    parts: int = 0
+    pattern: str = ""
+
+    def of(self, df: DataFrame) -> Column:
+        """The part of a row, as a plain folder name."""
+        if self.kind == "hash":
+            part = F.pmod(F.xxhash64(*[column(c) for c in self.columns]), F.lit(self.parts)).cast("string")
+        else:
+            part = F.date_format(column(self.columns[0]), self.pattern)
+        return F.coalesce(F.regexp_replace(part, "[^A-Za-z0-9_.-]", "_"), F.lit("none"))
+
+    def stable(self, keys: Sequence[str]) -> bool:
+        """Does a key always stay in its part?"""
+        return self.kind == "hash" and set(self.columns) <= set(keys)
+
+
+def part_by_date(name: str, pattern: str = "yyyy-MM") -> Cut:
     """Parts by a formatted date column, e.g. one per month."""
-    return lambda df: F.date_format(column(name), pattern)
+    return Cut("date", (name,), pattern=pattern)
 
 
-def part_by_hash(keys: Sequence[str], parts: int) -> PartOf:
+def part_by_hash(keys: Sequence[str], parts: int) -> Cut:
     """Parts by a hash of the key: a key never moves, whatever else changes in its row."""
-    return lambda df: F.pmod(F.xxhash64(*[column(k) for k in keys]), F.lit(parts)).cast("string")
+    return Cut("hash", tuple(keys), parts)
+
+
+def hash_parts_for(df: DataFrame, keys: Sequence[str]) -> Cut:
+    """Hash parts of about :data:`PART_BYTES`, by Spark's estimate of the rows."""
+    return part_by_hash(keys, max(1, math.ceil(estimated_bytes(df) / PART_BYTES)))
 
 
-def _named(part: Column) -> Column:
-    """The part as a plain folder name."""
-    return F.coalesce(F.regexp_replace(part.cast("string"), "[^A-Za-z0-9_.-]", "_"), F.lit("none"))
+@dataclass
+class Version:
+    """A commit: the schema, the cut, and for every part its folder and the bounds of its first key, if known."""
+
+    number: int
+    schema: T.StructType
+    cut: Cut | None
+    parts: dict[str, str] = field(default_factory=dict)
+    bounds: dict[str, list] = field(default_factory=dict)
+
+    def text(self) -> str:
+        return json.dumps({
+            "version": self.number, "schema": self.schema.jsonValue(), "cut": asdict(self.cut) if self.cut else None,
+            "parts": self.parts, "bounds": self.bounds,
+        })
+
+    @classmethod
+    def load(cls, text: str) -> Version:
+        commit = json.loads(text)
+        cut = commit["cut"] and Cut(**{**commit["cut"], "columns": tuple(commit["cut"]["columns"])})
+        return cls(commit["version"], T.StructType.fromJson(commit["schema"]), cut, commit["parts"], commit["bounds"])
+
+
+def _plain(value: Any) -> Any:
+    """A bound as JSON can hold it; None if its order would be lost."""
+    if isinstance(value, (dt.date, dt.datetime)):
+        return value.isoformat()
+    return value if isinstance(value, (int, str)) and not isinstance(value, bool) else None
 
 
 class SnapshotTable:
     """A Parquet table under ``root`` that supports full replacement and upsert.
 
-    ``part`` cuts the table; ``stable`` promises that the part of a key never changes,
-    so an upsert need not look for the old place of its keys.
+    ``cut`` says how a new table is cut into parts. A table keeps its cut until it is
+    replaced; readers need not know it.
     """
 
-    def __init__(self, spark: SparkSession, root: str, part: PartOf | None = None, stable: bool = False):
-        self.spark, self.root, self.part, self.stable = spark, root.rstrip("/"), part, stable
+    def __init__(self, spark: SparkSession, root: str, cut: Cut | None = None):
+        self.spark, self.root, self.cut = spark, root.rstrip("/"), cut
         self.folder = Folder(spark, self.root)
 
     # ---- versions
@@ -74,73 +134,75 @@ class SnapshotTable:
     def exists(self) -> bool:
         return self.version() > 0
 
-    def _path(self, version: int) -> str:
-        return f"{self.root}/data/v{version:08d}"
+    def _load(self, number: int) -> Version:
+        return Version.load(self.folder.text(f"commits/v{number:08d}.json"))
 
-    def _current(self) -> tuple[int, T.StructType]:
-        """Number and schema of the current version."""
-        version = self.version()
-        if not version:
+    def current(self) -> Version:
+        number = self.version()
+        if not number:
             raise DestinationError(f"{self.root} does not exist")
-        commit = json.loads(self.folder.text(f"commits/v{version:08d}.json"))
-        if commit["cut"] != (self.part is not None):
-            raise DestinationError(f"{self.root} is {'' if commit['cut'] else 'not '}cut into parts")
-        return version, T.StructType.fromJson(commit["schema"])
+        return self._load(number)
 
     def schema(self) -> T.StructType:
-        return self._current()[1]
+        return self.current().schema
 
-    def _commit(self, version: int, schema: T.StructType) -> None:
-        commit = {"version": version, "cut": self.part is not None, "schema": schema.jsonValue()}
-        text = json.dumps(commit)
+    def _commit(self, version: Version) -> int:
+        """Make a version the current one; its new folders go if another run was first."""
         try:
-            self.folder.create(f"commits/v{version:08d}.json", text)
+            self.folder.create(f"commits/v{version.number:08d}.json", version.text())
         except Exception as cause:
-            raise DestinationError(f"version {version} of {self.root} was committed by another run") from cause
+            raise DestinationError(f"version {version.number} of {self.root} was committed by another run") from cause
+        return version.number
 
     # ---- reading
 
-    def _with_part(self, schema: T.StructType) -> T.StructType:
-        return T.StructType([*schema.fields, T.StructField(PART, T.StringType())])
+    def _path(self, version: Version, part: str) -> str:
+        folder = f"{self.root}/data/{version.parts[part]}"
+        return f"{folder}/{PART}={part}" if version.cut else folder
 
-    def _rows(self) -> DataFrame:
-        """The current version, with the part column if the table is cut."""
-        version, schema = self._current()
-        if self.part is not None:
-            schema = self._with_part(schema)
-        return self.spark.read.schema(schema).parquet(self._path(version))
+    def _read(self, version: Version, parts: Sequence[str] | None = None) -> DataFrame:
+        paths = [self._path(version, p) for p in sorted(version.parts if parts is None else parts)]
+        if not paths:
+            return self.spark.createDataFrame([], version.schema)
+        return self.spark.read.schema(version.schema).parquet(*paths)
 
     def read(self, parts: Sequence[str] | None = None) -> DataFrame:
         """The current rows; ``parts`` prunes to some parts."""
-        if self.part is None:
-            return self._rows()
-        self.recover()
-        rows = self._rows()
-        if parts is not None:
-            rows = rows.where(F.col(PART).isin(*parts))
-        return rows.drop(PART)
+        version = self.current()
+        return self._read(version, None if parts is None else [p for p in parts if p in version.parts])
 
     # ---- writing
 
-    def _cut(self, df: DataFrame) -> DataFrame:
-        return df.withColumn(PART, _named(self.part(df)))
-
-    def _write(self, df: DataFrame, path: str, sized_by: DataFrame | None = None) -> None:
-        """Write ``df``; ``sized_by`` holds the part of (about) every row, if that is cheaper to count."""
-        if self.part is None:
-            df.write.mode("overwrite").parquet(path)
-            return
-        cut = self._cut(df)
-        parts = cut if sized_by is None else sized_by
-        counts = parts.groupBy(PART).agg(F.count(F.lit(1)).alias("n"))
-        spread_for_write(cut, PART, counts).write.mode("overwrite").partitionBy(PART).parquet(path)
-
-    def replace(self, df: DataFrame) -> int:
-        """Make ``df`` the whole content; the schema may change. Returns the new version."""
-        version = self.version() + 1
-        self._write(df, self._path(version))
-        self._commit(version, df.schema)
-        return version
+    def _write(self, df: DataFrame, cut: Cut | None, sized_by: DataFrame | None = None) -> dict[str, str]:
+        """Write ``df`` to a new folder; returns the parts in it. ``sized_by`` has the part of (about) every row."""
+        name = f"{int(time.time())}-{uuid.uuid4().hex}"
+        path = f"{self.root}/data/{name}"
+        if cut is None:
+            df.write.parquet(path)
+            return {"": name}
+        if cut.kind == "hash" and cut.parts == 1:
+            df.write.parquet(f"{path}/{PART}=0")
+            return {"0": name}
+        rows = df.withColumn(PART, cut.of(df))
+        counts = (rows if sized_by is None else sized_by).groupBy(PART).agg(F.count(F.lit(1)).alias("n"))
+        spread_for_write(rows, PART, counts).write.partitionBy(PART).parquet(path)
+        found = Folder(self.spark, path).names()
+        return {n.removeprefix(f"{PART}="): name for n in found if n.startswith(f"{PART}=")}
+
+    def _bounds(self, version: Version, parts: Sequence[str], keys: Sequence[str]) -> dict[str, list]:
+        """Least and greatest first key of new parts, for cuts that must be searched for old rows of a key."""
+        if not version.cut or not keys or version.cut.stable(keys) or not parts:
+            return {}
+        rows = self._read(version, parts)
+        found = rows.groupBy(version.cut.of(rows).alias(PART)).agg(F.min(column(keys[0])), F.max(column(keys[0]))).collect()
+        return {p: [_plain(lo), _plain(hi)] for p, lo, hi in found if _plain(lo) is not None and _plain(hi) is not None}
+
+    def replace(self, df: DataFrame, keys: Sequence[str] = ()) -> int:
+        """Make ``df`` the whole content; schema and cut may change. Returns the new version."""
+        version = Version(self.version() + 1, df.schema, self.cut)
+        version.parts = self._write(df, self.cut)
+        version.bounds = self._bounds(version, list(version.parts), keys)
+        return self._commit(version)
 
     def check_schema(self, schema: T.StructType, existing: T.StructType) -> None:
         if not schemas_compatible(schema, existing):
@@ -155,81 +217,95 @@ class SnapshotTable:
         guard: str = "none",
         on_disk: bool = False,
         unique: bool = False,
+        rows: int | None = None,
     ) -> int:
         """Merge a stage by key; creates the table if it does not exist. Returns the version.
 
         ``on_disk`` tells that reading the stage again is cheap, so it is not copied;
-        ``unique`` that no key of it repeats.
+        ``unique`` that no key of it repeats; ``rows`` how many it has.
         """
         if not self.exists():
-            return self.replace(prepare_stage(stage, keys, cursor, dedupe))
-        self.recover()
-        rows = self._rows()
-        self.check_schema(stage.schema, rows.drop(PART).schema)
-        if self.part is None and guard == "none":
-            return self.replace(upsert_replace(rows, stage, keys, guard, cursor, dedupe, unique))
-        # the stage is read several times: for its parts, its keys and its rows
-        copy = None if on_disk and dedupe == "none" else fresh_folder(self.spark, "stage")
-        if copy is not None:
+            return self.replace(prepare_stage(stage, keys, cursor, dedupe), keys)
+        old = self.current()
+        if self.cut is not None and self.cut != old.cut:
+            raise DestinationError(f"{self.root} is cut by {old.cut}, not by {self.cut}; a full refresh can change that")
+        self.check_schema(stage.schema, old.schema)
+        # a guarded upsert and one into several parts read the stage more than once
+        again = guard != "none" or old.cut is not None and old.cut.parts != 1
+        copy = None
+        if again and not (on_disk and dedupe == "none"):
+            copy = fresh_folder(self.spark, "stage")
             stage = written(prepare_stage(stage, keys, cursor, dedupe), folder=copy)
-        unique = unique or dedupe != "none"
-        if self.part is None:
-            self.replace(upsert_replace(rows, stage, keys, guard, cursor, unique=unique))
-        else:
-            self._upsert_parts(rows, stage, keys, cursor, guard, unique)
+            unique, dedupe = unique or dedupe != "none", "none"
+        touched = self._touched(old, stage, keys, rows)
+        new = Version(old.number + 1, old.schema, old.cut)
+        merged = upsert_replace(self._read(old, touched), stage, keys, guard, cursor, dedupe, unique)
+        sized_by = None
+        if old.cut is not None and old.cut.parts != 1:
+            before = self._read(old, touched)
+            sized_by = before.select(old.cut.of(before).alias(PART)).unionByName(stage.select(old.cut.of(stage).alias(PART)))
+        fresh = self._write(merged, old.cut, sized_by)
+        new.parts = {p: f for p, f in old.parts.items() if p not in touched} | fresh
+        new.bounds = {p: b for p, b in old.bounds.items() if p in new.parts and p not in fresh}
+        new.bounds |= self._bounds(new, list(fresh), keys)
+        number = self._commit(new)
         if copy is not None:
             Folder(self.spark, copy).remove()
-        return self.version()
+        return number
 
-    def _touched(self, rows: DataFrame, stage: DataFrame, keys: Sequence[str]) -> list[str]:
-        """Parts that receive stage rows or, unless stable, hold old rows of their keys.
+    def _touched(self, old: Version, stage: DataFrame, keys: Sequence[str], rows: int | None) -> set[str]:
+        """Parts that receive stage rows or hold old rows of their keys, among those that exist.
 
-        The list is no longer than the number of part folders, which the driver lists
-        for every scan anyway.
+        What comes to the driver are part names, of which the manifest has no more. Parts whose key bounds
+        the stage does not meet are not searched.
+        """
+        if old.cut is None or len(old.parts) == 1 and old.cut.stable(keys):
+            return set(old.parts)
+        if old.cut.stable(keys) and (rows or 0) >= ROWS_TOUCH_ALL * old.cut.parts:
+            return set(old.parts)
+        key = column(keys[0])
+        narrow = gathered(stage.select(old.cut.of(stage).alias(PART), key.alias("key")), rows)
+        names, low, high = narrow.agg(F.collect_set(PART), F.min("key"), F.max("key")).first()
+        touched = set(names) & set(old.parts)
+        if old.cut.stable(keys):
+            return touched
+        low, high = _plain(low), _plain(high)
+
+        def may_hold(part: str) -> bool:
+            bounds = old.bounds.get(part)
+            return not bounds or low is None or high is None or (bounds[0] <= high and low <= bounds[1])
+
+        search = [p for p in old.parts if p not in touched and may_hold(p)]
+        if search:
+            there = self._read(old, search)
+            there = there.select(*[column(k) for k in keys], old.cut.of(there).alias(PART))
+            hits = there.join(distinct_keys(stage, keys), list(keys), "left_semi").select(PART).distinct()
+            touched |= {r[0] for r in hits.collect()}
+        return touched
+
+    def vacuum(self, keep: int = KEEP_VERSIONS, hours: float = KEEP_HOURS) -> None:
+        """Drop versions beyond the newest ``keep`` that were replaced ``hours`` ago, then folders that no version names.
+
+        Folders carry the time of their writing, so those of a run in progress stay.
         """
-        parts = stage.select(_named(self.part(stage)).alias(PART))
-        if not self.stable:
-            narrow = rows.select(*[column(k) for k in keys], PART)
-            parts = parts.union(narrow.join(distinct_keys(stage, keys), list(keys), "left_semi").select(PART))
-        names = parts.distinct().limit(MAX_PARTS + 1).collect()
-        if len(names) > MAX_PARTS:
-            raise DestinationError(f"{self.root} is cut into more than {MAX_PARTS} parts")
-        return sorted(r[0] for r in names)
-
-    def _upsert_parts(
-        self, rows: DataFrame, stage: DataFrame, keys: Sequence[str], cursor: str | None, guard: str, unique: bool
-    ) -> None:
-        touched = self._touched(rows, stage, keys)
-        if touched:
-            old = rows.where(F.col(PART).isin(*touched))
-            merged = fresh_folder(self.spark, "merged")
-            sized_by = old.select(PART).unionByName(self._cut(stage).select(PART))
-            self._write(upsert_replace(old.drop(PART), stage, keys, guard, cursor, unique=unique), merged, sized_by)
-            self.folder.create(JOURNAL, json.dumps({"merged": merged, "touched": touched}))
-            self.recover()
-
-    def recover(self) -> None:
-        """Swap in the parts named by the journal, if there is one; safe to repeat."""
-        if not self.folder.exists(JOURNAL):
-            return
-        journal = json.loads(self.folder.text(JOURNAL))
-        version, schema = self._current()
-        base, merged = self._path(version), Folder(self.spark, journal["merged"])
-        filled = {n.removeprefix(f"{PART}=") for n in merged.names() if n.startswith(f"{PART}=")}
-        if filled:
-            rows = self.spark.read.schema(self._with_part(schema)).parquet(merged.path)
-            writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            writer.partitionBy(PART).parquet(base)
-        for emptied in set(journal["touched"]) - filled:
-            Folder(self.spark, base).remove(f"{PART}={emptied}")
-        self.folder.remove(JOURNAL)
-        merged.remove()
-
-    def vacuum(self, keep: int = 2) -> None:
-        """Drop versions older than the newest ``keep``; readers of those would fail."""
-        for old in range(1, self.version() - keep + 1):
-            self.folder.remove(f"data/v{old:08d}")
-            self.folder.remove(f"commits/v{old:08d}.json")
+        last, limit = self.version(), time.time() - hours * 3600
+        kept = {}
+        for name in self.folder.names("commits"):
+            number = int(name.removesuffix(".json")[1:])
+            kept[number] = self._load(number)
+
+        def born(version: Version) -> float:
+            return max((int(f.partition("-")[0]) for f in version.parts.values()), default=0)
+
+        for number in sorted(kept):
+            after = kept.get(number + 1)
+            if number <= last - keep and (after is None or born(after) <= limit):
+                self.folder.remove(f"commits/v{number:08d}.json")
+                del kept[number]
+        named = {f for v in kept.values() for f in v.parts.values()}
+        for name in self.folder.names("data"):
+            if name not in named and int(name.partition("-")[0]) <= limit:
+                self.folder.remove(f"data/{name}")
 
     def drop(self) -> None:
         self.folder.remove()
@@ -266,7 +342,9 @@ class SnapshotSink(Sink):
     """Upsert sink over :class:`SnapshotTable`: tables at ``root/schema/table``.
 
     ``connect``: ``root``; ``dedupe`` and ``guard`` policies; and how to cut tables,
-    ``part_date`` (``name`` of a date column and ``pattern``) or ``part_buckets`` (a number).
+    ``part_date`` (``name`` of a date column and ``pattern``) or ``part_buckets`` (a number of hash
+    parts). A table with keys is otherwise cut by their hash, into parts of 256 MiB at its first
+    load or full refresh. ``keep_hours``: how long readers may use a replaced version.
     """
 
     label = "snapshot"
@@ -281,12 +359,12 @@ class SnapshotSink(Sink):
         path = "/".join(p for p in (self.connect["root"].rstrip("/"), spec.schema_name, spec.name) if p)
         if self.trial:
             path += ".trial"
-        part, stable = None, False
+        cut = None
         if self.connect.get("part_buckets"):
-            part, stable = part_by_hash(spec.require_keys(), int(self.connect["part_buckets"])), True
+            cut = part_by_hash(spec.require_keys(), int(self.connect["part_buckets"]))
         elif self.connect.get("part_date"):
-            part = part_by_date(**self.connect["part_date"])
-        return SnapshotTable(self.spark, path, part, stable)
+            cut = part_by_date(**self.connect["part_date"])
+        return SnapshotTable(self.spark, path, cut)
 
     def write_stream(self, stream: Stream, dataset: Dataset) -> None:
         table, spec = self.table(stream), stream.spec
@@ -295,15 +373,19 @@ class SnapshotSink(Sink):
         policy, staged = self.connect.get("dedupe", "latest"), stream.rows is not None
         if keys and staged and policy == "latest":
             # keys of a sound source are unique: a count of the keys alone usually spares the sort of all rows
-            surplus = self.surplus[spec.qualified_name] = surplus_rows(stream.df, keys)
+            surplus = self.surplus[spec.qualified_name] = surplus_rows(stream.df, keys, stream.rows)
             if surplus <= stream.rows * SPARSE_SHARE:
                 policy = "sparse" if surplus else "none"
         unique = self.surplus.get(spec.qualified_name) == 0
+        if table.cut is None and keys and not (self.mode.incremental and table.exists()):
+            table.cut = hash_parts_for(stream.df, keys)
         if self.mode.incremental:
             guard = self.connect.get("guard", "none")
-            table.upsert(stream.df, keys, cursor, policy, guard, on_disk=staged, unique=unique)
+            table.upsert(stream.df, keys, cursor, policy, guard, on_disk=staged, unique=unique, rows=stream.rows)
         else:
-            table.replace(prepare_stage(stream.df, keys, cursor, policy) if keys else stream.df)
+            table.replace(prepare_stage(stream.df, keys, cursor, policy) if keys else stream.df, keys)
+        if not self.trial:
+            table.vacuum(hours=float(self.connect.get("keep_hours", KEEP_HOURS)))
 
     def expected_rows(self, stream: Stream, staged: int) -> int | None:
         spec = stream.spec
@@ -312,7 +394,7 @@ class SnapshotSink(Sink):
         if not spec.keys or not staged or self.connect.get("dedupe", "latest") == "none":
             return staged
         if spec.qualified_name not in self.surplus:
-            self.surplus[spec.qualified_name] = surplus_rows(stream.df, spec.keys)
+            self.surplus[spec.qualified_name] = surplus_rows(stream.df, spec.keys, staged)
         return staged - self.surplus[spec.qualified_name]
 
     def target(self, stream: Stream, dataset: Dataset) -> DataFrame | None:

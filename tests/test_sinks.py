@@ -21,7 +21,8 @@ from tablesync.sinks.console import ConsoleSink
 from tablesync.sinks.objectstore import (
     ObjectStoreSink, bucket_root, hadoop_settings, hive_root, staging_path, write_hive, write_staging,
 )
-from tablesync.sinks.snapshot import JOURNAL, SnapshotSink, SnapshotTable, part_by_date, part_by_hash, write_snapshot
+from tablesync.sinks import snapshot
+from tablesync.sinks.snapshot import SnapshotSink, SnapshotTable, hash_parts_for, part_by_date, part_by_hash, write_snapshot
 from tablesync.sources.fixture import FixtureSource
 from tablesync.spec import Mode, StreamSpec, SyncContext
 from tablesync.workspace import Folder, fresh_folder
@@ -249,7 +250,7 @@ def test_k17_snapshot_upsert_is_idempotent(spark, folder):
     want = [(i, "t") for i in range(5)] + [(i, "s") for i in range(5, 15)]
     assert rows(table.read()) == sorted(want, key=lambda t: str(t[0]))
     assert table.version() == 4
-    table.vacuum(keep=1)
+    table.vacuum(keep=1, hours=0)
     assert table.read().count() == 15
 
 
@@ -267,26 +268,76 @@ def test_k15_upsert_refuses_another_schema(spark, folder):
         table.upsert(spark.range(3).withColumn("extra", F.lit(1)), ["id"])
 
 
-def test_two_runs_cannot_commit_the_same_version(spark, folder):
-    table = SnapshotTable(spark, folder)
-    table.replace(spark.range(1))
-    with pytest.raises(DestinationError):
-        table._commit(1, spark.range(1).schema)
+def values(spark, n, v):
+    return spark.range(n).select("id", F.lit(v).alias("v"))
 
 
-def test_unfinished_versions_are_invisible(spark, folder):
-    table = SnapshotTable(spark, folder)
-    table.replace(spark.range(3))
-    spark.range(99).write.parquet(table._path(2))
-    assert table.read().count() == 3
-    table.replace(spark.range(4))
-    assert table.read().count() == 4
+@pytest.mark.parametrize("cut", [None, part_by_hash(["id"], 3)])
+def test_a_losing_writer_leaves_the_winners_rows(spark, folder, monkeypatch, cut):
+    table, other = SnapshotTable(spark, folder, cut), SnapshotTable(spark, folder, cut)
+    table.replace(values(spark, 5, "old"))
+    write = SnapshotTable._write
+
+    def overtaken(self, *args):
+        found = write(self, *args)
+        monkeypatch.setattr(SnapshotTable, "_write", write)
+        other.replace(values(spark, 7, "winner"))
+        return found
+
+    for lose in (lambda: table.replace(values(spark, 9, "loser")), lambda: table.upsert(values(spark, 9, "loser"), ["id"])):
+        monkeypatch.setattr(SnapshotTable, "_write", overtaken)
+        with pytest.raises(DestinationError, match="another run"):
+            lose()
+        assert rows(table.read()) == rows(values(spark, 7, "winner"))
+
+
+def test_unfinished_versions_are_invisible(spark, folder, monkeypatch):
+    """A crash between writing and committing changes nothing; a full refresh afterwards wins entirely."""
+    table = parted(spark, folder)
+    before = rows(table.read())
+    stage = table.read().where("id < 7").withColumn("v", F.lit("s"))
+    with monkeypatch.context() as crash:
+        crash.setattr(SnapshotTable, "_commit", lambda self, version: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            table.upsert(stage, ["id"], "at")
+    again = SnapshotTable(spark, folder)
+    assert rows(again.read()) == before
+    again.replace(values(spark, 2, "new"))
+    assert rows(SnapshotTable(spark, folder).read()) == rows(values(spark, 2, "new"))
+
+
+def test_readers_write_nothing(spark, folder):
+    table = parted(spark, folder)
+
+    def files():
+        return [(n, table.folder.names(n)) for n in table.folder.names()], [table.folder.names(f"data/{d}") for d in table.folder.names("data")]
+
+    before = files()
+    for reader in (SnapshotTable(spark, folder), table):
+        assert reader.read().count() == 50
+    assert files() == before
+
+
+def test_old_versions_stay_readable_until_vacuum(spark, folder, monkeypatch):
+    table = SnapshotTable(spark, folder, part_by_hash(["id"], 4))
+    table.replace(values(spark, 20, "a"))
+    first = table.read()
+    for v in "bcd":
+        table.upsert(values(spark, 3, v), ["id"], rows=3)
+    table.vacuum()
+    assert first.count() == 20 and first.where("v = 'a'").count() == 20
+    later = snapshot.time.time() + 3600 * 25
+    monkeypatch.setattr(snapshot.time, "time", lambda: later)
+    table.vacuum(keep=1)
+    assert rows(table.read()) == rows(values(spark, 3, "d").union(values(spark, 20, "a").where("id > 2")))
+    assert table.folder.names("commits") == ["v00000004.json"]
+    assert set(table.folder.names("data")) == set(table.current().parts.values())
 
 
 def parted(spark, folder, **kw):
     table = SnapshotTable(spark, folder, part_by_date("at", "yyyy-MM-dd"), **kw)
     at = F.timestamp_seconds(F.lit(1735689600) + F.col("id") % 5 * 86400)
-    table.replace(spark.range(50).select("id", at.alias("at"), F.lit("t").alias("v")))
+    table.replace(spark.range(50).select("id", at.alias("at"), F.lit("t").alias("v")), ["id"])
     return table
 
 
@@ -296,38 +347,79 @@ def test_parts_move_empty_and_appear(spark, folder):
     stage = table.read().where("at < '2025-01-02'").withColumn("at", F.expr("timestamp'2025-02-01'")).withColumn("v", F.lit("s"))
     table.upsert(stage, ["id"], "at")
     assert table.read().count() == 50 and table.read().where("v = 's'").count() == 10
-    names = Folder(spark, table._path(table.version())).names()
-    assert "sync_part=2025-02-01" in names and "sync_part=2025-01-01" not in names
-    assert table.read(["2025-02-01"]).count() == 10
+    names = table.current().parts
+    assert "2025-02-01" in names and "2025-01-01" not in names
+    assert table.read(["2025-02-01"]).count() == 10 and table.read(["2025-01-01"]).count() == 0
 
 
 def test_untouched_parts_keep_their_files(spark, folder):
     table = parted(spark, folder)
-    base = Folder(spark, table._path(1))
-    before = {p: base.names(p) for p in base.names() if p.startswith("sync_part")}
+    before = table.current().parts
     table.upsert(table.read().where("at < '2025-01-02'").withColumn("v", F.lit("s")), ["id"], "at")
-    after = {p: base.names(p) for p in base.names() if p.startswith("sync_part")}
-    changed = {p for p in before if before[p] != after[p]}
-    assert changed == {"sync_part=2025-01-01"}
+    after = table.current().parts
+    assert {p for p in before if before[p] != after[p]} == {"2025-01-01"}
 
 
-def test_journal_is_replayed_after_a_crash(spark, folder, monkeypatch):
-    table = parted(spark, folder)
-    stage = table.read().where("id < 7").withColumn("v", F.lit("s"))
-    monkeypatch.setattr(SnapshotTable, "recover", lambda self: None)
+def test_parts_beyond_the_stages_keys_are_not_searched(spark, folder, monkeypatch):
+    table = SnapshotTable(spark, folder, part_by_date("at", "yyyy-MM-dd"))
+    at = F.timestamp_seconds(F.lit(1735689600) + F.floor(F.col("id") / 10) * 86400)  # ids grow with the days
+    table.replace(spark.range(50).select("id", at.alias("at"), F.lit("t").alias("v")), ["id"])
+    read, seen = SnapshotTable._read, []
+    monkeypatch.setattr(SnapshotTable, "_read", lambda self, version, parts=None: seen.append(set(parts or ())) or read(self, version, parts))
+    stage = spark.range(45, 47).select("id", F.expr("timestamp'2025-01-07'").alias("at"), F.lit("s").alias("v"))
     table.upsert(stage, ["id"], "at")
-    assert table.folder.exists(JOURNAL) and table._rows().where("v = 's'").count() == 0
+    assert set.union(*seen) == {"2025-01-05", "2025-01-07"}
     monkeypatch.undo()
-    again = SnapshotTable(spark, folder, table.part)
-    assert again.read().where("v = 's'").count() == 7 and again.read().count() == 50
-    assert not again.folder.exists(JOURNAL)
+    assert table.read().count() == 50 and table.read().where("v = 's'").count() == 2
+
+
+def test_a_table_keeps_its_cut(spark, folder):
+    """Another number of parts cannot place a key twice."""
+    table = SnapshotTable(spark, folder, part_by_hash(["id"], 2))
+    table.replace(values(spark, 20, "t"))
+    with pytest.raises(DestinationError, match="full refresh"):
+        SnapshotTable(spark, folder, part_by_hash(["id"], 5)).upsert(values(spark, 1, "s"), ["id"])
+    for i in range(4):
+        SnapshotTable(spark, folder).upsert(spark.range(i, i + 1).select("id", F.lit("s").alias("v")), ["id"], rows=1)
+    assert rows(table.read()) == rows(values(spark, 4, "s").union(values(spark, 20, "t").where("id > 3")))
+    SnapshotTable(spark, folder, part_by_hash(["id"], 5)).replace(values(spark, 9, "u"))
+    assert table.current().cut.parts == 5 and table.read().count() == 9
+
+
+def test_keyed_tables_are_cut_by_their_size(spark, folder, monkeypatch):
+    rows_ = spark.range(1000)
+    assert hash_parts_for(rows_, ["id"]) == part_by_hash(["id"], 1)
+    monkeypatch.setattr(snapshot, "PART_BYTES", 1000)
+    assert hash_parts_for(rows_, ["id"]) == part_by_hash(["id"], 8)
+    sink = SnapshotSink(spark, {"connect": {"root": folder}})
+    staged = stage_dataset(dataset(Stream(StreamSpec("t", "s", "id"), marked(spark, 1000))))
+    sink.write(staged)
+    assert sink.check(staged) == {"s.t": 1000} and sink.table(staged.streams[0]).current().cut.parts > 1
+
+
+def test_a_cut_sync_takes_few_jobs(spark, folder):
+    window = Mode.window("2025-01-01", "2025-01-02")
+    for connect in ({}, {"part_buckets": 4}):
+        config = {"connect": {"root": f"{folder}/{len(connect)}", **connect}}
+        spec = StreamSpec("t", "s", "id")
+        SnapshotSink(spark, config).write(stage_dataset(dataset(Stream(spec, marked(spark, 500, "b0")))))
+        group = f"sync{len(connect)}"
+        spark.sparkContext.setJobGroup(group, group)
+        staged = stage_dataset(dataset(Stream(spec, marked(spark, 100)), mode=window))
+        sink = SnapshotSink(spark, {**config, "mode": window})
+        sink.write(staged)
+        sink.check(staged)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+        spark.sparkContext.setJobGroup("", "")
+        assert sink.target(staged.streams[0], staged).count() == 500
+        assert len(jobs) <= 7, len(jobs)
 
 
 @pytest.mark.parametrize("counted_above", [0, 1 << 40])
 def test_parts_and_plain_table_agree(spark, folder, monkeypatch, counted_above):
     monkeypatch.setattr("tablesync.functions.sizing.SMALL_WRITE_BYTES", counted_above)
     monkeypatch.setattr("tablesync.sinks.snapshot.spread_for_write", partial(spread_for_write, rows_per_writer=5))
-    plain, cut = SnapshotTable(spark, f"{folder}/a"), SnapshotTable(spark, f"{folder}/b", part_by_hash(["id"], 4), stable=True)
+    plain, cut = SnapshotTable(spark, f"{folder}/a"), SnapshotTable(spark, f"{folder}/b", part_by_hash(["id"], 4))
     base = spark.range(40).select("id", (F.col("id") % 7).alias("at"), F.lit("t").alias("v"))
     stages = [base.where("id % 3 = 0").withColumn("at", F.col("at") + 1).withColumn("v", F.lit("s")),
               spark.range(35, 60).select("id", F.lit(3).cast("bigint").alias("at"), F.lit("u").alias("v"))]
@@ -474,12 +566,6 @@ def test_e3_progress_subscribers(spark, folder):
     json.dumps(sink.written)
 
 
-def test_a_table_keeps_its_kind(spark, folder):
-    parted(spark, folder)
-    with pytest.raises(DestinationError, match="cut into parts"):
-        SnapshotTable(spark, folder).read()
-
-
 def test_surplus_copies_are_expected_to_vanish(spark, folder):
     df = spark.range(30).select((F.col("id") % 20).alias("id"), F.lit("b1").alias("sync__batch_id"))
     spec = StreamSpec("t", "s", "id")

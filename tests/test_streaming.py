@@ -26,7 +26,7 @@ def drive(spark, folder, table, batches, **kw):
 
 def test_x1_x2_late_batches_do_not_go_backwards(spark):
     folder = fresh_folder(spark, "stream")
-    table = SnapshotTable(spark, f"{folder}/target", part_by_hash(["k"], 3), stable=True)
+    table = SnapshotTable(spark, f"{folder}/target", part_by_hash(["k"], 3))
     drive(spark, folder, table, [[(1, 5, "e"), (2, 5, "e")], [(1, 3, "late"), (3, 1, "a")], [(2, 6, "f"), (2, 7, "g")]])
     assert rows(table.read()) == [(1, 5, "e"), (2, 7, "g"), (3, 1, "a")]
 
