@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablesync.llm import decontaminate, langid, licenses, linededup, mixing, neardup, quality
+from tablesync.llm import decontaminate, fingerprints, langid, licenses, linededup, mixing, neardup, pages, quality, revisits
 from tablesync.llm.common import table
 
 
@@ -13,6 +13,11 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -28,11 +33,21 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The not-modified revisits of a crawl of every page."""
+    return revisits.resolved(table(spark, sf_dir, "pages"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every document."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -45,10 +60,13 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op2_main_text": op2_main_text,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_line_dedup": op4_line_dedup,
     "op5_decontaminate": op5_decontaminate,
+    "op6_fingerprints": op6_fingerprints,
     "op7_language_id": op7_language_id,
+    "op8_warc_revisits": op8_warc_revisits,
     "op9_quality": op9_quality,
     "op10_mix_sources": op10_mix_sources,
 }
@@ -57,5 +75,6 @@ QUERIES = {
 ORACLE = {
     "op1_license_scan": licenses.SQL,
     "op4_line_dedup": linededup.SQL,
+    "op8_warc_revisits": revisits.SQL,
     "op10_mix_sources": mixing.SQL,
 }
