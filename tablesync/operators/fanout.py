@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from tablesync.functions.sizing import ROWS_PER_WRITER, broadcast_if_small, spread_for_write
 from tablesync.operators.augment import augment
 from tablesync.operators.extract import column, extract
-from tablesync.operators.integrity import holds_batch
+from tablesync.operators.integrity import BatchMarks, append_once
 from tablesync.spec import Bookkeeping, Mode, StreamSpec, SyncContext
 from tablesync.workspace import Folder
 
@@ -50,23 +50,29 @@ def export_all_tenants(
     ctx: SyncContext,
     batch_size: int | None = None,
     rows_per_writer: int = ROWS_PER_WRITER,
+    stream: str = "",
 ) -> str:
     """Write :func:`tenant_rows` as ``tenant_id=…/dt=…`` folders.
 
     Rows per tenant are counted first, on the tenant column alone, so that a tenant with
     a large share of the rows is written by many tasks and a small one by one. A batch
-    that is there already is not written again.
+    of a stream that is there already is not written again; ``stream`` tells the streams apart
+    that are exported to one root.
     """
     day = ctx.synced_at.date()
     spark = rows.sparkSession
+    there = None
     if Folder(spark, root).exists():
         schema = T.StructType([*rows.schema.fields, T.StructField("dt", T.DateType())])
-        if holds_batch(spark.read.schema(schema).parquet(root).where(F.col("dt") == F.lit(day)), rows, ctx):
-            return root
+        there = spark.read.schema(schema).parquet(root).where(F.col("dt") == F.lit(day))
     counts = rows.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n"))
-    arranged = spread_for_write(rows, "tenant_id", counts, rows_per_writer)
-    writer = arranged.withColumn("dt", F.lit(day)).write.mode("append")
-    if batch_size:
-        writer = writer.option("maxRecordsPerFile", batch_size)
-    writer.partitionBy("tenant_id", "dt").parquet(root)
+
+    def write(df: DataFrame) -> None:
+        arranged = spread_for_write(df, "tenant_id", counts, rows_per_writer)
+        writer = arranged.withColumn("dt", F.lit(day)).write.mode("append")
+        if batch_size:
+            writer = writer.option("maxRecordsPerFile", batch_size)
+        writer.partitionBy("tenant_id", "dt").parquet(root)
+
+    append_once(rows, stream, ctx, BatchMarks(spark, root), there, write)
     return root

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import json
+from collections.abc import Callable, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tablesync.errors import DestinationError, IntegrityCheckFailed
 from tablesync.operators.extract import column
 from tablesync.spec import SyncContext
+from tablesync.workspace import Folder
 
 
 def batch_count(target: DataFrame, batch_id: str, batch_column: str = "sync__batch_id") -> int:
@@ -64,16 +67,53 @@ def foreign_rows(rows: DataFrame, tenant_column: str, allowed: Sequence[Any]) ->
     return rows.where(tenant.isNull() | ~tenant.isin(*allowed))
 
 
-def holds_batch(there: DataFrame, df: DataFrame, ctx: SyncContext) -> bool:
-    """Does an append-only target hold this batch already? A part of it is an error.
+class BatchMarks:
+    """Which batches of which streams an append-only folder holds: one small file per stream and batch.
 
-    Rows without batch id cannot tell. The batch id is constant within a file, so the
-    scan skips the files of other batches by their statistics.
+    Batch ids alone cannot tell: a run gives all its streams one id, and several of them may append
+    to one folder. The files lie in a folder that Spark's readers skip.
     """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.folder = Folder(spark, f"{root.rstrip('/')}/_batches")
+
+    @staticmethod
+    def _name(text: str) -> str:
+        return hashlib.md5(text.encode()).hexdigest()
+
+    def rows(self, batch: str) -> dict[str, int]:
+        """Rows of every stream that has this batch, by stream."""
+        marks = [json.loads(self.folder.text(f"{self._name(batch)}/{n}")) for n in self.folder.names(self._name(batch)) if n.endswith(".json")]
+        return {m["stream"]: m["rows"] for m in marks}
+
+    def add(self, stream: str, batch: str, rows: int) -> None:
+        self.folder.create(f"{self._name(batch)}/{self._name(stream)}.json", json.dumps({"stream": stream, "batch": batch, "rows": rows}))
+
+
+def append_once(
+    df: DataFrame, stream: str, ctx: SyncContext, marks: BatchMarks, there: DataFrame | None, write: Callable[[DataFrame], None]
+) -> None:
+    """Append a stream's batch, unless its mark says that it is there; a mark with other rows is an error.
+
+    A run that crashed between writing and marking left rows that no mark accounts for. If those are the
+    whole batch, only the mark is missing; a part of it is an error.
+    """
+    known = marks.rows(ctx.batch_id)
+    if stream in known:
+        rows = df.count()
+        if known[stream] != rows:
+            raise DestinationError(f"the target holds {known[stream]} rows of batch {ctx.batch_id} of {stream}, not {rows}")
+        return
     marker = ctx.column("batch_id")
-    if marker not in df.columns:
-        return False
-    found = there.where(column(marker) == ctx.batch_id).count()
-    if found and found != df.count():
-        raise DestinationError(f"the target holds {found} rows of batch {ctx.batch_id}, not all of them")
-    return found > 0
+    if there is not None and marker in df.columns:
+        left = batch_count(there, ctx.batch_id, marker) - sum(known.values())
+        if left > 0:
+            rows = df.count()
+            if left != rows:
+                raise DestinationError(f"the target holds {left} rows of batch {ctx.batch_id} of {stream}, not all {rows}")
+            marks.add(stream, ctx.batch_id, rows)
+            return
+    seen = Observation()
+    write(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    # a plan that is empty for certain may be written without being observed
+    marks.add(stream, ctx.batch_id, int(seen.get.get("n", 0)))

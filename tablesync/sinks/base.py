@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import replace
 from typing import Any
 
@@ -10,13 +10,20 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tablesync.dataset import Dataset, Stream
-from tablesync.errors import IntegrityCheckFailed
+from tablesync.errors import DestinationError, IntegrityCheckFailed
 from tablesync.operators.integrity import batch_count
-from tablesync.progress import Progress
+from tablesync.progress import Listener, Progress, report
 from tablesync.spec import Mode
 from tablesync.workspace import in_parallel
 
 
+def refuse_shared_targets(keys: Sequence[str]) -> None:
+    """Raise, before anything is written, if two streams would be written to one target."""
+    shared = sorted({k for k in keys if keys.count(k) > 1})
+    if shared:
+        raise DestinationError(f"several streams would be written to one target: {shared}")
+
+
 class Sink:
     """A place streams are written to.
 
@@ -55,6 +62,22 @@ class Sink:
         """What the target holds now, or None if it cannot be read back."""
         return None
 
+    def missing(self, stream: Stream, dataset: Dataset) -> bool:
+        """Is there certainly no target of this stream yet? False where that cannot be known."""
+        return self.checkable and self.target(stream, dataset) is None
+
+    def place(self, stream: Stream, dataset: Dataset) -> str:
+        """Where a stream goes; streams of one place are written one after the other."""
+        return stream.spec.qualified_name
+
+    def target_key(self, stream: Stream, dataset: Dataset) -> str:
+        """What two streams must not have in common, as one would replace the other."""
+        return self.place(stream, dataset)
+
+    def loaded_rows(self, stream: Stream, dataset: Dataset, target: DataFrame) -> int:
+        """Rows of this run's batch that the target holds for a stream."""
+        return batch_count(target, dataset.ctx.batch_id, dataset.ctx.column("batch_id"))
+
     def finish(self, stream: Stream, dataset: Dataset) -> None:
         """Remove what a trial run wrote for one stream."""
 
@@ -63,7 +86,7 @@ class Sink:
         seen = Observation()
         return replace(stream, df=stream.df.observe(seen, F.count(F.lit(1)).alias("n"))), seen
 
-    def write(self, dataset: Dataset, on_progress: Callable[[Progress], None] | None = None) -> dict[str, dict]:
+    def write(self, dataset: Dataset, on_progress: Listener | None = None) -> dict[str, dict]:
         """Write all streams; returns the progress summary of each by entity.
 
         A stream that was not staged goes to a single-pass sink directly and is counted
@@ -71,7 +94,9 @@ class Sink:
         written at a time.
         """
         streams = list(dataset.in_schema(self.connect.get("target_schema")))
-        workers = int(self.config.get("parallel", 1))
+        targets = [self.place(s, dataset) for s in streams]
+        refuse_shared_targets([self.target_key(s, dataset) for s in streams])
+        workers = int(self.config.get("parallel", 1)) if len(set(targets)) == len(targets) else 1
         try:
             one = lambda s: self._write_one(s, dataset, on_progress)
             return dict(in_parallel(self.spark, one, streams, workers))
@@ -83,20 +108,20 @@ class Sink:
         entity = self.entity(dataset, stream)
         if stream.rows is None and self.single_pass:
             observed, seen = self._observed(stream)
-            progress = Progress(entity).subscribe(on_progress)
+            begun = report(Progress(entity), on_progress)
             self.write_stream(observed, dataset)
             # a plan that is empty for certain may be written without being observed
-            rows = progress.total = self.written[entity] = int(seen.get.get("n", 0))
-            progress.update(rows, message="written")
+            rows = self.written[entity] = int(seen.get.get("n", 0))
+            done = begun.later(rows, "written", total=rows)
         else:
             rows = self.written[entity] = dataset.size(stream)
-            progress = Progress(entity, total=rows).subscribe(on_progress)
+            begun = report(Progress(entity, total=rows), on_progress)
             if rows == 0 and self.skips_empty(stream):
-                progress.message("nothing to write")
+                done = begun.later(0, "nothing to write")
             else:
                 self.write_stream(stream, dataset)
-                progress.update(rows, message="written")
-        return entity, progress.summary()
+                done = begun.later(rows, "written")
+        return entity, report(done, on_progress).summary()
 
     def clean(self, dataset: Dataset) -> None:
         """Remove what a trial run wrote."""
@@ -118,7 +143,7 @@ class Sink:
             if marker not in target.columns:
                 continue
             expected = self.expected_rows(stream, expected)
-            loaded[name] = batch_count(target, dataset.ctx.batch_id, marker)
+            loaded[name] = self.loaded_rows(stream, dataset, target)
             if expected is not None and loaded[name] != expected:
                 raise IntegrityCheckFailed(
                     f"batch volume of {name} differs: loaded {loaded[name]}, expected {expected}"

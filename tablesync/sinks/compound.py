@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from tablesync.dataset import Dataset
-from tablesync.progress import Progress
+from tablesync.progress import Listener
 from tablesync.sinks.base import Sink
 
 
@@ -22,7 +22,7 @@ class CompoundSink(Sink):
         for sink in self.sinks:
             sink.part_of_compound = True
 
-    def write(self, dataset: Dataset, on_progress: Callable[[Progress], None] | None = None) -> dict[str, dict]:
+    def write(self, dataset: Dataset, on_progress: Listener | None = None) -> dict[str, dict]:
         summaries = {}
         try:
             for sink in self.sinks:
@@ -36,6 +36,12 @@ class CompoundSink(Sink):
         for sink in reversed(self.sinks):
             sink.clean(dataset)
 
+    def target_key(self, stream, dataset: Dataset) -> str:
+        return self.sinks[-1].target_key(stream, dataset)
+
+    def missing(self, stream, dataset: Dataset) -> bool:
+        return self.sinks[-1].missing(stream, dataset)
+
     def check(self, dataset: Dataset) -> dict[str, int]:
         return self.sinks[-1].check(dataset)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 from typing import Any
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from tablesync.dataset import Dataset, Stream
 from tablesync.errors import DestinationError
 from tablesync.functions.sizing import clustered_for_write
-from tablesync.operators.integrity import holds_batch
+from tablesync.operators.integrity import BatchMarks, append_once, batch_count
 from tablesync.sinks.base import Sink
 from tablesync.spec import StreamSpec, SyncContext
 from tablesync.workspace import Folder
@@ -55,22 +56,27 @@ def write_staging(
 
 def write_hive(
     df: DataFrame, root: str, spec: StreamSpec, ctx: SyncContext,
-    batch_size: int | None = None, compression: str = "snappy",
+    batch_size: int | None = None, compression: str = "snappy", namespace: str = "",
 ) -> str:
-    """Append one batch to the ``dt`` folder of its sync date, a map-only job.
+    """Append one batch of a stream to the ``dt`` folder of its sync date, a map-only job.
 
-    If the rows carry the batch id and the folder already holds this batch complete, a
-    repeated run adds nothing.
+    Streams of several schemas share the folder of their table name. Each batch of each leaves a
+    mark, so a repeated run adds nothing, whatever else the folder holds.
     """
     path = hive_root(root, spec)
     folder = f"{path}/dt={ctx.synced_at.date()}"
-    if Folder(df.sparkSession, folder).exists():
-        if holds_batch(df.sparkSession.read.schema(df.schema).parquet(folder), df, ctx):
-            return path
-    _writer(df, "append", batch_size, compression).parquet(folder)
+    spark = df.sparkSession
+    there = spark.read.schema(df.schema).parquet(folder) if Folder(spark, folder).exists() else None
+    write = lambda rows: _writer(rows, "append", batch_size, compression).parquet(folder)
+    append_once(df, stream_identity(spec, namespace), ctx, BatchMarks(spark, path), there, write)
     return path
 
 
+def stream_identity(spec: StreamSpec, namespace: str = "") -> str:
+    """What tells the streams apart that append to one folder: source, schema, table and tenant."""
+    return json.dumps([namespace, spec.schema_name, spec.name, sorted((k, str(v)) for k, v in spec.filters.items())])
+
+
 class ObjectStoreSink(Sink):
     """``connect``: ``root`` (any Hadoop URI) or a bucket, and ``format`` (``staging`` or ``hive``).
 
@@ -115,10 +121,28 @@ class ObjectStoreSink(Sink):
         if self.connect.get("compact"):
             df = clustered_for_write(df)
         if self.format == "hive":
-            write_hive(df, root, stream.spec, dataset.ctx, **self.file_options)
+            write_hive(df, root, stream.spec, dataset.ctx, namespace=dataset.namespace, **self.file_options)
         else:
             write_staging(df, root, dataset.namespace, stream.spec, dataset.ctx, **self.file_options)
 
+    def missing(self, stream: Stream, dataset: Dataset) -> bool:
+        """No batch of any day; a staged batch is a delivery of its own and misses nothing."""
+        return self.format == "hive" and not Folder(self.spark, self.path(stream, dataset)).exists()
+
+    def place(self, stream: Stream, dataset: Dataset) -> str:
+        return self.path(stream, dataset)
+
+    def target_key(self, stream: Stream, dataset: Dataset) -> str:
+        return f"{self.path(stream, dataset)} {stream_identity(stream.spec, dataset.namespace)}"
+
+    def loaded_rows(self, stream: Stream, dataset: Dataset, target: DataFrame) -> int:
+        """Rows of the batch, without those that the marks give to other streams of the folder."""
+        found = batch_count(target, dataset.ctx.batch_id, dataset.ctx.column("batch_id"))
+        if self.format != "hive":
+            return found
+        known = BatchMarks(self.spark, self.path(stream, dataset)).rows(dataset.ctx.batch_id)
+        return found - sum(n for s, n in known.items() if s != stream_identity(stream.spec, dataset.namespace))
+
     def target(self, stream: Stream, dataset: Dataset) -> DataFrame | None:
         path = self.path(stream, dataset)
         if self.format == "hive":

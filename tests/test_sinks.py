@@ -95,6 +95,36 @@ def test_k7_repeated_batch_adds_nothing(spark, folder):
         write_hive(marked(spark, 11), folder, SPEC, CTX)
 
 
+def test_k7_streams_of_equal_size_share_a_folder(spark, folder):
+    """Two schemas, one table name, one batch: neither is taken for the other."""
+    specs = [StreamSpec("users", schema, "id") for schema in ("eu", "us")]
+    for _ in range(2):
+        sink = ObjectStoreSink(spark, {"connect": {"root": folder, "format": "hive"}, "parallel": 2})
+        ds = dataset(*[Stream(s, marked(spark, 10)) for s in specs])
+        sink.write(ds)
+        assert sink.check(ds) == {"eu.users": 10, "us.users": 10}
+    assert spark.read.parquet(f"{folder}/users").count() == 20
+
+
+def test_k7_a_lost_mark_is_made_up_for(spark, folder):
+    path = write_hive(marked(spark), folder, SPEC, CTX)
+    Folder(spark, f"{path}/_batches").remove()
+    write_hive(marked(spark), folder, SPEC, CTX)
+    assert spark.read.parquet(path).count() == 10
+    Folder(spark, f"{path}/_batches").remove()
+    with pytest.raises(DestinationError, match="not all"):
+        write_hive(marked(spark, 11), folder, SPEC, CTX)
+
+
+@pytest.mark.parametrize("kind", ["staging", "hive"])
+def test_two_streams_of_one_target_are_refused_before_any_write(spark, folder, kind):
+    ds = dataset(Stream(SPEC, marked(spark)), Stream(SPEC, marked(spark, 3)))
+    for sink in (ObjectStoreSink(spark, {"connect": {"root": folder, "format": kind}}), SnapshotSink(spark, {"connect": {"root": folder}})):
+        with pytest.raises(DestinationError, match="one target"):
+            sink.write(ds)
+    assert Folder(spark, folder).names() == []
+
+
 def test_k9_rows_per_file(spark, folder):
     path = write_staging(marked(spark, 25).coalesce(1), folder, "ns", SPEC, CTX, batch_size=10)
     files = spark.read.parquet(path).groupBy(F.input_file_name()).count().select("count")
