@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablesync.dataset import Dataset, Stream
 from tablesync.functions.sizing import clustered_for_write
-from tablesync.progress import Progress
+from tablesync.progress import Progress, report
 from tablesync.workspace import Folder, fresh_folder, in_parallel
 
 
@@ -41,7 +41,7 @@ def stage_dataset(dataset: Dataset, folder: str | None = None, parallel: int = 4
         df, rows = stage_snapshot(stream.df, path, compact=dataset.mode.incremental)
         spec = stream.spec
         entity = f"source+{dataset.namespace}://{dataset.namespace}/{spec.schema_name}/{spec.name}"
-        Progress(entity, total=rows).subscribe(on_progress).update(rows, message="staged")
+        report(report(Progress(entity, total=rows), on_progress).later(rows, "staged"), on_progress)
         return replace(stream, df=df, rows=rows)
 
     return replace(dataset, streams=tuple(in_parallel(spark, stage, enumerate(dataset.streams), parallel)))
