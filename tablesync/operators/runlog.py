@@ -37,8 +37,11 @@ RUN_EVENT = T.StructType(
 
 RUNNING, SUCCESS, FAILURE = "RUNNING", "SUCCESS", "FAILURE"
 
-#: Bound of one page of a listing.
-MAX_PAGE = 100
+#: Rows of a page, unless the caller asks for another number.
+PAGE = 100
+
+#: Event files of a transfer before they are gathered.
+COMPACT_ABOVE = 200
 
 _PLAIN_NAME = re.compile(r"[A-Za-z0-9_.-]+")
 
@@ -70,6 +73,28 @@ def append_run_event(
     event.write.mode("append").partitionBy("transfer_id").parquet(path)
 
 
+def compact_run_log(spark: SparkSession, path: str, transfer_id: str, above: int = COMPACT_ABOVE) -> int:
+    """Gather a transfer's event files into one per month, if there are more than ``above``; returns the files left.
+
+    The gathered events are written before the small files go. A crash between leaves some events
+    twice, which no query over runs notices and the next compaction removes.
+    """
+    if not _PLAIN_NAME.fullmatch(transfer_id):
+        return 0
+    folder = Folder(spark, f"{path}/transfer_id={transfer_id}")
+    files = [n for n in folder.names() if n.endswith(".parquet")]
+    if len(files) <= above:
+        return len(files)
+    own = T.StructType([f for f in RUN_EVENT.fields if f.name != "transfer_id"])
+    events = spark.read.schema(own).parquet(*[f"{folder.path}/{n}" for n in files]).distinct()
+    month = F.date_format("created_at", "yyyy-MM")
+    months = events.select(month.alias("m")).distinct().count()
+    events.repartition(max(1, months), month).sortWithinPartitions("created_at").write.mode("append").parquet(folder.path)
+    for name in files:
+        folder.remove(name)
+    return len([n for n in folder.names() if n.endswith(".parquet")])
+
+
 def read_run_log(spark: SparkSession, path: str, transfer_id: str | None = None) -> DataFrame:
     """The events of all transfers or, without listing the others, of one; an absent log reads as empty."""
     folder = f"{path}/transfer_id={transfer_id}" if _PLAIN_NAME.fullmatch(transfer_id or "") else path
@@ -121,10 +146,10 @@ def latest_run_of(runs: DataFrame, transfer_id: str, status: str | None = None)
     return chosen.orderBy(F.col("created_at").desc_nulls_last(), F.col("run_id")).limit(1)
 
 
-def page(df: DataFrame, order: Sequence[Column], offset: int = 0, limit: int = MAX_PAGE) -> DataFrame:
-    """One page of a listing, at most :data:`MAX_PAGE` rows; ``order`` must end in a unique column."""
-    if not 0 < limit <= MAX_PAGE or offset < 0:
-        raise ValueError(f"offset must not be negative and limit must lie in 1..{MAX_PAGE}")
+def page(df: DataFrame, order: Sequence[Column], offset: int = 0, limit: int = PAGE) -> DataFrame:
+    """One page of a listing, ``limit`` rows at most; ``order`` must end in a unique column."""
+    if limit <= 0 or offset < 0:
+        raise ValueError("offset must not be negative and limit must be positive")
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
@@ -134,7 +159,7 @@ def list_runs(
     destination_id: Any,
     execution: str | None = None,
     offset: int = 0,
-    limit: int = MAX_PAGE,
+    limit: int = PAGE,
 ) -> DataFrame:
     """Runs of one destination, newest first, optionally of one execution only."""
     mine = transfers.where(F.col("destination_id") == F.lit(destination_id)).select("transfer_id")
@@ -313,18 +338,39 @@ def window_gaps(runs: DataFrame, by: str = "transfer_id", slice_width: timedelta
     )
 
 
+def scheduled_gaps(runs: DataFrame, by: str = "transfer_id", slice_width: timedelta = timedelta(days=1)) -> DataFrame:
+    """Runs whose window starts after what the last earlier success reached: ``run_id``, ``window_start``, ``reach``.
+
+    ``runs`` holds ``run_id``, ``created_at``, ``window_start``, ``window_end`` and ``ok``. A run reaches its window's
+    end, or its own start if that came first. The last success is a running maximum within a slice of time, and a
+    maximum per slice carried into later ones, so one group is one transfer's slice and not its whole history.
+    """
+    kind = runs.schema["created_at"].dataType
+    rows = runs.where(F.col("created_at").isNotNull()).withColumn("__us", wall_micros(F.col("created_at"), kind))
+    reach = F.struct(F.col("__us").alias("us"), "run_id", F.least("window_end", "created_at").alias("reach"))
+    rows = rows.withColumn("__done", F.when(F.col("ok"), reach)).withColumn("__slice", _slice(F.col("created_at"), kind, slice_width))
+    inside = Window.partitionBy(column(by), "__slice").orderBy("__us").rangeBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(column(by)).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = rows.groupBy(column(by).alias(by), "__slice").agg(F.max("__done").alias("__last"))
+    slices = slices.select(column(by), "__slice", F.max("__last").over(earlier).alias("__carry"))
+    last = F.coalesce(F.max("__done").over(inside), F.col("__carry"))
+    found = rows.join(slices, [by, "__slice"], "left").withColumn("__before", last)
+    found = found.withColumn("reach", F.col("__before.reach")).where(F.col("reach") < F.col("window_start"))
+    return found.select(column(by), "run_id", "window_start", "reach")
+
+
 def recorded_window_end(meta: Column) -> Column:
     """End of the window a run recorded in its arguments, if it did."""
     return F.try_to_timestamp(F.get_json_object(meta, "$.arguments.mode.end"))
 
 
 def last_reach(runs: DataFrame, transfer_id: str) -> datetime | None:
-    """How far the last successful run of a transfer copied: its recorded window end, or its start time.
+    """How far the last successful run of a transfer copied: its recorded window end, if that lay behind it, or its start time.
 
-    None before the first success. SUCCESS is final, so raw events serve as well as
+    A run before its slot records an end in the future; rows after its start were not there yet. None before the first success. SUCCESS is final, so raw events serve as well as
     current states.
     """
-    reach = F.coalesce(recorded_window_end(F.col("meta")), F.col("created_at"))
+    reach = F.least(recorded_window_end(F.col("meta")), F.col("created_at"))
     last = latest_run_of(runs, transfer_id, SUCCESS).select(F.unix_micros(reach)).first()
     return None if last is None else datetime.fromtimestamp(0, timezone.utc) + timedelta(microseconds=last[0])
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from typing import Any
@@ -15,8 +15,9 @@ from tablesync.errors import RunGapDetected
 from tablesync.operators import runlog
 from tablesync.operators.schedule import drifted, window_for
 from tablesync.plans.stage import drop_stage, stage_dataset
-from tablesync.progress import Progress
+from tablesync.progress import Listener, Progress
 from tablesync.sinks import Sink, get_destination, get_destination_by_vendor
+from tablesync.sinks.base import refuse_shared_targets
 from tablesync.sources import get_source, get_source_by_vendor
 from tablesync.sources.fixture import STREAM as FIXTURE_STREAM
 from tablesync.spec import (
@@ -93,11 +94,20 @@ UNSCHEDULED = {"frequency": DAILY, "type": "FULL_REFRESH"}
 def resolve_mode(spark: SparkSession, cfg: SyncConfig, now: datetime) -> tuple[Mode, bool]:
     """Mode of a scheduled run, and whether rows before its window were never copied.
 
-    The first run of a transfer is a full refresh.
+    The first run of a transfer is a full refresh. Without a run log the target decides: where a stream
+    has none yet, nothing was ever copied.
     """
     mode = window_for(cfg.destination.get("schedule") or UNSCHEDULED, now)
-    if not mode.incremental or not cfg.run_log:
+    if not mode.incremental:
         return mode, False
+    if not cfg.run_log:
+        sink = make_sink(spark, cfg.destination, mode, False)
+        missing = any(
+            sink.missing(s, dataset)
+            for dataset in read_models(spark, cfg, cfg.models, mode, SyncContext.at(now, prefix=cfg.prefix))
+            for s in dataset.in_schema(sink.connect.get("target_schema"))
+        )
+        return (Mode.full(), False) if missing else (mode, False)
     reach = runlog.last_reach(runlog.read_run_log(spark, cfg.run_log, cfg.transfer_id), cfg.transfer_id)
     return (Mode.full(), False) if reach is None else (mode, runlog.starts_after(mode, reach))
 
@@ -143,7 +153,7 @@ def run_sync(
     now: datetime | str | None = None,
     execution_id: str | None = None,
     retry_count: int = 0,
-    on_progress: Callable[[Progress], None] | None = None,
+    on_progress: Listener | None = None,
 ) -> RunResult:
     """Run one transfer. Failures are recorded and returned, not raised.
 
@@ -185,7 +195,11 @@ def run_sync(
         if gap:
             raise RunGapDetected("the last successful run ended before the window of this run starts")
         sink = make_sink(spark, cfg.destination, mode, drop_after_complete, cfg.parallel)
-        for dataset in read_models(spark, cfg, models, mode, ctx):
+        datasets = list(read_models(spark, cfg, models, mode, ctx))
+        refuse_shared_targets([
+            sink.target_key(s, d) for d in datasets for s in d.in_schema(sink.connect.get("target_schema"))
+        ])
+        for dataset in datasets:
             if sink.single_pass and not mode.incremental:
                 # one sink that reads once: the rows go straight from source to target
                 staged = dataset
@@ -207,6 +221,8 @@ def run_sync(
         for folder in stages:
             drop_stage(spark, folder)
     log.add(runlog.SUCCESS, {"success": True, "message": "complete", "progress": progress})
+    if cfg.run_log:
+        runlog.compact_run_log(spark, cfg.run_log, cfg.transfer_id)
     return RunResult(log.run_id, runlog.SUCCESS, mode, rows, progress, None, late)
 
 

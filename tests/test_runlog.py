@@ -9,7 +9,7 @@ import pytest
 from conftest import plan_of, rows
 from tablesync.operators import runlog
 from tablesync.operators.integrity import batch_volumes, check_referential, foreign_rows, orphans
-from tablesync.progress import Progress
+from tablesync.progress import Progress, percent, remaining_seconds, rows_per_second
 from tablesync.spec import Mode
 from tablesync.workspace import fresh_folder
 
@@ -84,7 +84,7 @@ def test_l2_j5_pages_tile_the_listing(spark):
     assert paged == whole
     assert runlog.list_runs(runs, transfers, "d1", execution="e1").count() == 10
     with pytest.raises(ValueError):
-        runlog.list_runs(runs, transfers, "d1", limit=101)
+        runlog.list_runs(runs, transfers, "d1", limit=0)
 
 
 def test_j6_listing_of_an_organisation(spark):
@@ -129,16 +129,15 @@ def test_a3_needs_no_shuffle(spark):
 
 
 def test_a4_progress_on_the_driver():
-    clock = iter([0.0, 2.0, 4.0]).__next__
-    p = Progress("source", total=200, clock=clock)
-    assert p.percent == 0.0 and p.eta is None
-    p.update(50)
-    assert (p.percent, p.rate, p.eta) == (25.0, 25.0, 6.0)
-    p.update(50, increment=True, message="half")
+    p = Progress("source", total=200, at=0.0)
+    assert percent(p) == 0.0 and remaining_seconds(p) is None and rows_per_second(p) == 0.0
+    p = p.later(50, at=2.0)
+    assert (percent(p), rows_per_second(p), remaining_seconds(p)) == (25.0, 25.0, 6.0)
+    p = p.later(100, "half", at=4.0)
     assert p.summary() == {
         "entity": "source", "processed": 100, "total": 200, "percent": 50.0, "rate_rps": 25.0, "eta_seconds": 4.0, "message": "half",
     }
-    assert Progress("x", total=0).update(5).percent == 0.0
+    assert percent(Progress("x").later(5)) == 0.0 and rows_per_second(p.later(120, at=4.0)) == 0.0
 
 
 def test_a4_progress_over_updates(spark):
@@ -236,3 +235,16 @@ def test_a6_orphans(spark):
 def test_foreign_rows(spark):
     df = spark.createDataFrame([("a",), ("b",), (None,)], "tenant string")
     assert rows(foreign_rows(df, "tenant", ["a"])) == [("b",), (None,)]
+
+
+def test_o7_event_files_are_gathered_by_month(spark, tmp_path):
+    path = str(tmp_path / "log")
+    for i in range(6):
+        day = dt.datetime(2025, 1 + i // 3, 1 + i, tzinfo=dt.timezone.utc)
+        runlog.append_run_event(spark, path, f"r{i}", "t1", runlog.SUCCESS, {"k": i}, None, day, day)
+    runlog.append_run_event(spark, path, "other", "t2", runlog.SUCCESS, {}, None, day, day)
+    before = rows(runlog.read_run_log(spark, path))
+    assert runlog.compact_run_log(spark, path, "t1", above=6) == 6, "few enough"
+    assert runlog.compact_run_log(spark, path, "t1", above=5) <= 2
+    assert rows(runlog.read_run_log(spark, path)) == before
+    assert rows(runlog.read_run_log(spark, path, "t1").select("run_id")) == [(f"r{i}",) for i in range(6)]

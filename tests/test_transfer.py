@@ -62,6 +62,34 @@ def test_w4_gap_fails_the_run_and_is_recorded(spark, folder, small):
     assert run_sync(spark, cfg, Mode.window("2025-01-01", "2025-01-09"), now="2025-01-09T00:02:00").ok, "an override skips the check"
 
 
+def test_w4_a_run_before_its_slot_reaches_its_own_start(spark, folder, small):
+    """Daily at 06:30: a run at 00:30 records an end that lies ahead, and copies nothing of the hours between."""
+    cfg = config(folder, small)
+    cfg.destination["schedule"] |= {"hour": 6, "minute": 30}
+    assert run_sync(spark, cfg, now="2025-01-02T00:30:00").ok  # the first run, a full refresh
+    assert runlog.last_reach(log(spark, folder), "t1") == dt.datetime(2025, 1, 2, 0, 30, tzinfo=dt.timezone.utc)
+    late = run_sync(spark, cfg, now="2025-01-03T07:00:00")  # its window starts at 03:30
+    assert not late.ok and "RunGapDetected" in late.error
+
+
+def test_o4_without_a_run_log_the_target_decides(spark, folder, small):
+    cfg = config(folder, small)
+    cfg = type(cfg)(**{**cfg.__dict__, "run_log": None})
+    first = run_sync(spark, cfg, now="2025-01-02T00:01:00")
+    assert first.ok and not first.mode.incremental and first.rows == {"fixture.transfer_test": 29}
+    second = run_sync(spark, cfg, now="2025-01-03T00:01:00")
+    assert second.ok and second.mode.incremental and second.rows == {"fixture.transfer_test": 7}
+
+
+def test_models_of_one_target_are_refused_before_any_write(spark, folder, small):
+    twin = ModelSpec("m2", "twin", "fixture", "transfer_test", "id", "customer_id", "updated_at")
+    cfg = config(folder, small, [FIXTURE, twin])
+    cfg.sources["twin"] = cfg.sources["mem"]
+    result = run_sync(spark, cfg, now="2025-01-02T00:01:00")
+    assert not result.ok and "one target" in result.error
+    assert not SnapshotTable(spark, f"{folder}/target/fixture/transfer_test").exists()
+
+
 def test_o6_rerun_repeats_mode_and_models(spark, folder, small):
     cfg = config(folder, small)
     original = run_sync(spark, cfg, Mode.window("2025-01-03", "2025-01-04"), ["m1"], now="2025-02-01")
