@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,17 @@ def safe_identifier(name: str, default: str | None = None) -> str:
     return ".".join(parts)
 
 
+def derived_identifier(name: str, suffix: str) -> str:
+    """``name`` with a suffix that survives the greatest length: a long last part is cut and marked by its hash."""
+    name = safe_identifier(name)
+    head, _, last = name.rpartition(".")
+    if len(last) + len(suffix) > MAX_IDENTIFIER:
+        mark = hashlib.md5(f"{last}{suffix}".encode()).hexdigest()[:8]
+        suffix = suffix if len(suffix) <= 24 else suffix[:24]
+        last = f"{last[: MAX_IDENTIFIER - len(suffix) - len(mark) - 1]}_{mark}"
+    return f"{head}.{last}{suffix}" if head else f"{last}{suffix}"
+
+
 def safe_identifier_column(name: Column, default: str | None = None) -> Column:
     """Column form of :func:`safe_identifier`; names without a usable form become NULL."""
     def clean(part: Column) -> Column:

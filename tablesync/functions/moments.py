@@ -37,13 +37,36 @@ def typed_literal(value: Any, data_type: T.DataType) -> Column:
             return F.lit(moment.isoformat())
         raise ValueError(f"cannot compare a {data_type.simpleString()} column with a point in time")
     if isinstance(value, dt.date):
-        return F.lit(value).cast(data_type) if not isinstance(data_type, T.StringType) else F.lit(value.isoformat())
+        return F.lit(value).try_cast(data_type) if not isinstance(data_type, T.StringType) else F.lit(value.isoformat())
     if isinstance(value, (bool, int, float, str, decimal.Decimal)):
-        literal = F.lit(value)
-        return literal if isinstance(data_type, T.DecimalType) else literal.cast(data_type)
+        return _exact_literal(value, data_type)
     raise ValueError(f"unsupported filter value type: {type(value).__name__}")
 
 
+def _exact_literal(value: bool | int | float | str | decimal.Decimal, data_type: T.DataType) -> Column:
+    """The value in the column's type, or a typed NULL, which matches nothing, if that type cannot hold it exactly."""
+    nothing = F.lit(None).cast(data_type)
+    if isinstance(data_type, T.StringType):
+        return F.lit(value).cast(data_type)
+    if isinstance(value, bool) or isinstance(data_type, T.BooleanType):
+        same = isinstance(value, (bool, str)) and isinstance(data_type, T.BooleanType)
+        return F.lit(value).try_cast(data_type) if same else nothing
+    if isinstance(value, str):
+        return F.lit(value).try_cast(data_type)
+    if isinstance(data_type, T.IntegralType):
+        # Python numbers compare by value, so 2.0 is 2 and 1.5 or a number out of range is nothing
+        if value != value or value in (float("inf"), float("-inf")) or value != int(value) or not -(2**63) <= value < 2**63:
+            return nothing
+        return F.lit(int(value)).try_cast(data_type)
+    if isinstance(data_type, (T.DoubleType, T.FloatType)):
+        exact = isinstance(value, float) or abs(value) <= 2**1023 and float(value) == value
+        return F.lit(float(value)).cast(data_type) if exact else nothing
+    if isinstance(data_type, T.DecimalType):
+        wide = isinstance(value, int) and not -(2**63) <= value < 2**63
+        return F.lit(decimal.Decimal(value)) if wide and len(str(abs(value))) <= 38 else nothing if wide else F.lit(value)
+    return nothing
+
+
 def instant_literal(moment: dt.datetime, type_name: str = "timestamp") -> Column:
     """One fixed point in time as a ``timestamp`` or ``timestamp_ntz`` literal."""
     kind = T.TimestampNTZType() if type_name == "timestamp_ntz" else T.TimestampType()

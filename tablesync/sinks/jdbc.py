@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tablesync.dataset import Dataset, Stream
 from tablesync.errors import DestinationConnectionFailed, DestinationError, DestinationStreamInvalidSchema
-from tablesync.functions.identifiers import safe_identifier
+from tablesync.functions.identifiers import derived_identifier, safe_identifier, with_safe_columns
 from tablesync.functions.types import normalise, schemas_compatible
 from tablesync.operators.upsert import prepare_stage, surplus_rows
 from tablesync.sinks import statements as sql
@@ -50,12 +50,12 @@ def driver_runner(spark: SparkSession, options: Mapping[str, str]) -> Runner:
 
 
 def portable(df: DataFrame) -> DataFrame:
-    """Column types every database has: nested values as JSON text, decimals as doubles."""
-    return normalise(df, decimals="double", nested="json")
+    """Column names and types every database has: nested values as JSON text, decimals as doubles."""
+    return normalise(with_safe_columns(df), decimals="double", nested="json")
 
 
 class JdbcSink(Sink):
-    """Full refresh of database tables: create if absent, check the schema, truncate, insert.
+    """Full refresh of database tables: load a stage table, then swap it in; readers see the old rows or the new.
 
     ``connect``: ``url`` or host/port/database, ``user``, ``password``, ``chunk_size``
     (rows per insert batch), ``writers`` (parallel connections).
@@ -82,10 +82,10 @@ class JdbcSink(Sink):
 
     def table_name(self, stream: Stream) -> str:
         name = safe_identifier(stream.spec.qualified_name)
-        return f"{name}__trial" if self.trial else name
+        return derived_identifier(name, "__trial") if self.trial else name
 
     def stage_name(self, stream: Stream, dataset: Dataset) -> str:
-        return f"{self.table_name(stream)}__stage_{safe_identifier('b' + dataset.ctx.batch_id)}"
+        return derived_identifier(self.table_name(stream), f"__stage_{safe_identifier('b' + dataset.ctx.batch_id)}")
 
     # ---- the three accesses to the database, separate so that a test can replace them
 
@@ -122,9 +122,24 @@ class JdbcSink(Sink):
     def write_stream(self, stream: Stream, dataset: Dataset) -> None:
         if self.mode.incremental:
             raise DestinationError(f"{type(self).__name__} only supports full refreshes")
-        df, table = portable(stream.df), self.table_name(stream)
-        self.ensure_table(df, table, [])
-        self.insert(df, table, "overwrite")
+        self.refresh(portable(stream.df), stream, dataset, [])
+
+    def refresh(self, df: DataFrame, stream: Stream, dataset: Dataset, keys: Sequence[str]) -> None:
+        table, stage = self.table_name(stream), self.stage_name(stream, dataset)
+        try:
+            self.insert(df, stage, "overwrite")
+            self.run(sql.swap_in(stage, table, keys, self.quote))
+        except Exception:
+            self.run([sql.drop(stage)])
+            raise
+
+    def loaded_rows(self, stream: Stream, dataset: Dataset, target: DataFrame) -> int:
+        """Counted by the database, which returns one row."""
+        query = sql.count_where(self.table_name(stream), dataset.ctx.column("batch_id"), dataset.ctx.batch_id, self.quote)
+        return int(self.ask(query).first()[0])
+
+    def ask(self, query: str) -> DataFrame:
+        return self.spark.read.format("jdbc").options(**self.options, query=query).load()
 
     def target(self, stream: Stream, dataset: Dataset) -> DataFrame | None:
         return self.load(self.table_name(stream))
@@ -153,15 +168,14 @@ class UpsertJdbcSink(JdbcSink):
 
     def write_stream(self, stream: Stream, dataset: Dataset) -> None:
         df, table = self.stage_rows(stream), self.table_name(stream)
+        if not self.mode.incremental:
+            self.refresh(df, stream, dataset, stream.spec.require_keys())
+            return
         stage = self.stage_name(stream, dataset)
-        if self.mode.incremental:
-            self.ensure_table(df, table, stream.spec.keys)
-            finish = self.merge_statements(stream, stage, df.columns)
-        else:
-            finish = sql.swap_in(stage, table, stream.spec.require_keys(), self.quote)
+        self.ensure_table(df, table, stream.spec.keys)
         try:
             self.insert(df, stage, "overwrite")
-            self.run(finish)
+            self.run(self.merge_statements(stream, stage, df.columns))
         except Exception:
             self.run([sql.drop(stage)])
             raise

@@ -86,6 +86,12 @@ def drop(table: str) -> str:
     return f"DROP TABLE IF EXISTS {safe_identifier(table)}"
 
 
+def count_where(table: str, name: str, value: str, quote: str = "") -> str:
+    """Rows of a table with a text value in a column."""
+    text = value.replace("'", "''")
+    return f"SELECT COUNT(1) AS n FROM {safe_identifier(table)} WHERE {quoted(name, quote)} = '{text}'"
+
+
 def empty_copy(table: str, like: str) -> str:
     """Create ``table`` with the columns of ``like`` and no rows, unless it exists."""
     return (
@@ -96,7 +102,7 @@ def empty_copy(table: str, like: str) -> str:
 def swap_in(stage: str, target: str, keys: Sequence[str], quote: str = "") -> list[str]:
     """Replace the target by a loaded stage; in one transaction readers see the old or the new table."""
     rename = f"ALTER TABLE {safe_identifier(stage)} RENAME TO {safe_identifier(target).split('.')[-1]}"
-    return [drop(target), rename, add_primary_key(target, keys, quote)]
+    return [drop(target), rename, *([add_primary_key(target, keys, quote)] if keys else [])]
 
 
 def add_primary_key(table: str, keys: Sequence[str], quote: str = "") -> str:

@@ -6,9 +6,14 @@ user's; ``runner`` takes the statements where Spark itself cannot run them.
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
 from tablesync.dataset import Dataset, Stream
-from tablesync.errors import DestinationError
-from tablesync.operators.upsert import prepare_stage
+from tablesync.errors import DestinationError, DestinationStreamInvalidSchema
+from tablesync.functions.identifiers import derived_identifier, safe_identifier, with_safe_columns
+from tablesync.functions.types import schemas_compatible
+from tablesync.operators.upsert import prepare_stage, surplus_rows
 from tablesync.sinks import statements as sql
 from tablesync.sinks.base import Sink
 from tablesync.sinks.jdbc import Runner, UpsertJdbcSink, portable
@@ -36,15 +41,25 @@ class RedshiftSink(UpsertJdbcSink):
         return [
             sql.redshift_stage(stage, self.table_name(stream)),
             sql.redshift_copy(stage, uri, self.connect["iam_role"], self.connect.get("s3_region")),
-            *self.merge_statements(stream, stage, stream.df.columns),
+            *self.merge_statements(stream, stage, with_safe_columns(stream.df).columns),
         ]
 
     def write_stream(self, stream: Stream, dataset: Dataset) -> None:
         table = self.table_name(stream)
-        if not self.mode.incremental:
-            self.run([sql.drop(table)])
-        self.ensure_table(stream.df, table, stream.spec.keys)
-        self.run(self.load_statements(stream, dataset))
+        if self.mode.incremental:
+            self.ensure_table(portable(stream.df), table, stream.spec.keys)
+            self.run(self.load_statements(stream, dataset))
+            return
+        # the new table is loaded beside the live one and takes its place in one transaction
+        fresh = self.stage_name(stream, dataset)
+        self.run([sql.drop(fresh)])
+        try:
+            self.ensure_table(portable(stream.df), fresh, [])
+            copy = sql.redshift_copy(fresh, self.copy_uri(stream, dataset), self.connect["iam_role"], self.connect.get("s3_region"))
+            self.run([copy, *sql.swap_in(fresh, table, stream.spec.keys, self.quote)])
+        except Exception:
+            self.run([sql.drop(fresh)])
+            raise
 
 
 class ConnectorSink(Sink):
@@ -62,12 +77,11 @@ class ConnectorSink(Sink):
         raise NotImplementedError
 
     def table_name(self, stream: Stream) -> str:
-        name = stream.spec.qualified_name
-        return f"{name}__trial" if self.trial else name
+        name = safe_identifier(stream.spec.qualified_name)
+        return derived_identifier(name, "__trial") if self.trial else name
 
     def stage_name(self, stream: Stream) -> str:
-        spec = stream.spec
-        return f"{spec.schema_name}.stage_{spec.name}" if spec.schema_name else f"stage_{spec.name}"
+        return derived_identifier(stream.spec.qualified_name, "__stage")
 
     def rows(self, stream: Stream):
         spec = stream.spec
@@ -75,11 +89,36 @@ class ConnectorSink(Sink):
         policy = self.connect.get("dedupe", "latest")
         return portable(prepare_stage(stream.df, spec.require_keys(), cursor, policy))
 
+    def expected_rows(self, stream: Stream, staged: int) -> int | None:
+        """Repeated keys are merged into one row each."""
+        if self.connect.get("dedupe", "latest") == "none" or not staged:
+            return staged
+        return staged - surplus_rows(stream.df, stream.spec.require_keys(), stream.rows)
+
+    def check_schema(self, stream: Stream, dataset: Dataset) -> None:
+        """An increment must fit the table it is merged into."""
+        existing = self.existing(stream) if self.mode.incremental and not self.trial else None
+        if existing is not None and not schemas_compatible(portable(stream.df).schema, existing):
+            raise DestinationStreamInvalidSchema(f"the existing schema of {self.table_name(stream)} does not match the stream")
+
+    def read_table(self, stream: Stream) -> DataFrame:
+        raise NotImplementedError
+
+    def existing(self, stream: Stream) -> T.StructType | None:
+        """Schema of the target, None if it cannot be read, as before the first load."""
+        try:
+            return self.read_table(stream).schema
+        except Exception:
+            return None
+
+    def target(self, stream: Stream, dataset: Dataset):
+        return None if self.trial else self.read_table(stream)
+
     def merge_statements(self, stream: Stream) -> list[str]:
         """Create the target if absent (after dropping it on a full refresh), merge, drop the stage."""
         target, stage = self.table_name(stream), self.stage_name(stream)
         before = [] if self.mode.incremental else [sql.drop(target)]
-        merge = sql.Merge(target, stage, stream.df.columns, stream.spec.require_keys(), self.quote).merge()
+        merge = sql.Merge(target, stage, with_safe_columns(stream.df).columns, stream.spec.require_keys(), self.quote).merge()
         after = [sql.drop(target)] if self.trial else []
         return [*before, sql.empty_copy(target, stage), *merge, sql.drop(stage), *after]
 
@@ -101,11 +140,10 @@ class SnowflakeSink(ConnectorSink):
         }
 
     def write_stream(self, stream: Stream, dataset: Dataset) -> None:
+        self.check_schema(stream, dataset)
         self.rows(stream).write.format("snowflake").options(**self.write_options(stream)).mode("overwrite").save()
 
-    def target(self, stream: Stream, dataset: Dataset):
-        if self.trial:
-            return None
+    def read_table(self, stream: Stream) -> DataFrame:
         return self.spark.read.format("snowflake").options(**self.options, dbtable=self.table_name(stream)).load()
 
 
@@ -128,12 +166,11 @@ class BigQuerySink(ConnectorSink):
     def write_stream(self, stream: Stream, dataset: Dataset) -> None:
         if self.runner is None:
             raise DestinationError("destination-bigquery needs a runner for its merge statements")
+        self.check_schema(stream, dataset)
         self.rows(stream).write.format("bigquery").options(**self.write_options(stream)).mode("overwrite").save()
         self.runner(self.merge_statements(stream))
 
-    def target(self, stream: Stream, dataset: Dataset):
-        if self.trial:
-            return None
+    def read_table(self, stream: Stream) -> DataFrame:
         table = f"{self.connect['project_id']}.{self.table_name(stream)}"
         return self.spark.read.format("bigquery").options(**self.options, table=table).load()
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import warnings
+from collections.abc import Mapping, Sequence
 from typing import Any
 
 from pyspark.errors import AnalysisException
@@ -75,10 +76,15 @@ def hash_predicates(column: str, slices: int, vendor: str) -> list[str]:
     return clauses
 
 
+class UnsplitRead(UserWarning):
+    """A whole table or query goes through one connection."""
+
+
 class JdbcSource(Source):
     """Any database with a JDBC driver: ``connect`` holds ``url`` or host/port/database, user, password.
 
-    ``chunk_size`` is the fetch size, ``slices`` the number of parallel reads. The window,
+    ``chunk_size`` is the fetch size, ``slices`` the number of parallel reads; ``partition_column`` (a number, date or
+    time) or ``predicates`` (one clause per slice), for all streams or by stream, say how to slice queries and text keys. The window,
     tenant filter and projection are pushed into the database by Spark.
     """
 
@@ -109,35 +115,53 @@ class JdbcSource(Source):
             lower, upper = (m.strftime("%Y-%m-%d %H:%M:%S.%f") for m in (mode.start, mode.end))
             return range_split(cursor, lower, upper, slices)
         if len(spec.keys) == 1 and isinstance(schema[spec.keys[0]].dataType, _RANGE_TYPES):
-            # as a query, so that the database aggregates and only one row travels
-            key = safe_identifier(spec.keys[0])
-            bounds = f"select min({key}) as lo, max({key}) as hi from {self.table_name(spec)}"
-            low, high = self._load({"query": bounds}).first()
-            if low is not None and low != high:
-                return range_split(spec.keys[0], low, high, slices)
+            return self.bounds_split(spec, spec.keys[0], slices)
         return {}
 
     def _load(self, extra: Mapping[str, str]) -> DataFrame:
         return self.spark.read.format("jdbc").options(**self.options(), **extra).load()
 
+    def relation(self, spec: StreamSpec) -> str:
+        """What is read: the table, or the declared query in brackets."""
+        return f"({spec.query}) q" if spec.query else self.table_name(spec)
+
+    def _for_stream(self, name: str, spec: StreamSpec) -> Any:
+        """A setting for all streams, or by stream name."""
+        value = self.connect.get(name)
+        return value.get(spec.name, value.get(spec.qualified_name)) if isinstance(value, Mapping) else value
+
+    def _by_predicates(self, spec: StreamSpec, predicates: Sequence[str]) -> DataFrame:
+        options = self.options()
+        return self.spark.read.jdbc(options.pop("url"), self.relation(spec), predicates=list(predicates), properties=options)
+
     def table(self, spec: StreamSpec) -> DataFrame:
-        source = {"query": spec.query} if spec.query else {"dbtable": self.table_name(spec)}
+        """The table or query, read in slices: by the caller's ``predicates`` or ``partition_column``, else as :meth:`split` finds."""
+        source = {"dbtable": self.relation(spec)}
+        slices = int(self.connect.get("slices", DEFAULT_SLICES))
         df = self._load(source)
-        if spec.query or int(self.connect.get("slices", DEFAULT_SLICES)) <= 1:
+        if slices <= 1:
             return df
+        predicates, chosen = self._for_stream("predicates", spec), self._for_stream("partition_column", spec)
+        if predicates:
+            return self._by_predicates(spec, predicates)
         validate(df.schema, spec, self.mode)
-        split = self.split(spec, df.schema, self.mode)
+        split = self.bounds_split(spec, chosen, slices) if chosen else self.split(spec, df.schema, self.mode)
         if split:
             return self._load({**source, **split})
-        if len(spec.keys) == 1 and self.vendor in VENDORS:
-            slices = int(self.connect.get("slices", DEFAULT_SLICES))
-            options = self.options()
-            return self.spark.read.jdbc(
-                options.pop("url"), self.table_name(spec),
-                predicates=hash_predicates(spec.keys[0], slices, self.vendor), properties=options,
-            )
+        if not chosen and len(spec.keys) == 1 and self.vendor in VENDORS:
+            return self._by_predicates(spec, hash_predicates(spec.keys[0], slices, self.vendor))
+        if not chosen:
+            warnings.warn(
+                f"{spec.qualified_name} is read by one task: give a partition_column or predicates", UnsplitRead, stacklevel=2
+            )
         return df
 
+    def bounds_split(self, spec: StreamSpec, name: str, slices: int) -> dict[str, str]:
+        """Range options by a column whose bounds the database aggregates; one row travels."""
+        key = safe_identifier(name)
+        low, high = self._load({"query": f"select min({key}) as lo, max({key}) as hi from {self.relation(spec)}"}).first()
+        return range_split(name, low, high, slices) if low is not None and low != high else {}
+
     def raw(self, spec: StreamSpec) -> DataFrame:
         try:
             return self.table(spec)

@@ -148,3 +148,16 @@ def test_e1_a_pandas_udf_may_compute_a_column(stream):
 
     out = augment(stream, CTX, extra={"next": lambda raw: plus_one(F.col("id"))})
     assert rows(out.select("next")) == [(i,) for i in range(2, 7)]
+
+
+def test_p3_values_a_type_cannot_hold_match_nothing_and_are_still_pushed(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    path = str(tmp_path / "typed")
+    spark.range(10).select(F.col("id").cast("int").alias("k"), (F.col("id") / 2).alias("x")).write.parquet(path)
+    rows = spark.read.parquet(path)
+    want = [(1, 1), (1.0, 1), (1.5, 0), (2**40, 0), (2**80, 0), ("1", 1), ("abc", 0), (True, 0)]
+    for value, n in want:
+        assert extract(rows, StreamSpec("t", filters={"k": value})).count() == n, value
+    assert extract(rows, StreamSpec("t", filters={"x": 0.5})).count() == 1
+    assert "EqualTo(k,1)" in plan_of(extract(rows, StreamSpec("t", filters={"k": "1"})))

@@ -267,3 +267,35 @@ def test_s15_tenant_slices_add_up(spark):
     df = synthetic.large_leads(spark, 2000, dt.datetime(2025, 7, 1), dt.datetime(2025, 7, 2))
     per_tenant = [df.where(F.col("customer_id") == f"Customer{i}").count() for i in (1, 2, 3)]
     assert sum(per_tenant) == 2000 and min(per_tenant) > 500
+
+
+def test_w14_queries_and_text_keys_are_split_or_said_to_be_whole(spark, monkeypatch):
+    from tablesync.sources.jdbc import JdbcSource, UnsplitRead
+
+    schema = "id string, n bigint"
+    spec = StreamSpec("bills", "", "id", query="select id, n from t")
+
+    def source(**connect):
+        made = JdbcSource(spark, {"connect": {"url": "jdbc:x://h/db", "slices": 4, **connect}})
+        asked = []
+
+        def load(extra):
+            asked.append(extra)
+            low_high = "min(" in extra.get("query", "")
+            return spark.createDataFrame([(1, 9)], "lo bigint, hi bigint") if low_high else spark.createDataFrame([], schema)
+
+        monkeypatch.setattr(made, "_load", load)
+        return made, asked
+
+    made, asked = source(partition_column={"bills": "n"})
+    made.table(spec)
+    assert asked[1] == {"query": "select min(n) as lo, max(n) as hi from (select id, n from t) q"}
+    assert asked[2]["dbtable"] == "(select id, n from t) q" and asked[2]["partitionColumn"] == "n"
+    made, asked = source(predicates=["n < 5", "n >= 5"])
+    seen = []
+    monkeypatch.setattr(made, "_by_predicates", lambda s, p: seen.append((s.name, p)))
+    made.table(spec)
+    assert seen == [("bills", ["n < 5", "n >= 5"])]
+    made, asked = source()
+    with pytest.warns(UnsplitRead):
+        made.table(spec)

@@ -74,7 +74,7 @@ def test_k3_copy_names_exactly_one_batch():
 
 
 class OnDuck:
-    """Replaces the three database accesses of a JDBC sink by DuckDB."""
+    """Replaces the database accesses of a JDBC sink by DuckDB."""
 
     def __init__(self, con):
         self.con, self.commands, self.existing = con, [], {}
@@ -99,6 +99,7 @@ class OnDuck:
             self.con.unregister("incoming")
 
         sink.load, sink.insert = load, insert
+        sink.ask = lambda query: spark.createDataFrame(self.con.execute(query).to_arrow_table())
         return sink
 
 
@@ -150,14 +151,13 @@ def test_k15_existing_table_must_fit(spark):
         sink.write(dataset(spark, [(1, "a", 1)], WINDOW))
 
 
-@pytest.mark.parametrize(("kind", "mode"), [(PostgresSink, WINDOW), (JdbcSink, Mode.full())])
-def test_an_unreadable_table_is_not_truncated(spark, kind, mode):
+def test_an_unreadable_table_is_not_truncated(spark):
     duck = OnDuck(duckdb.connect())
     duck.con.execute("create table main.users as select 7::bigint as id")
-    sink = duck.attach(kind(spark, {"connect": BASIC, "mode": mode}, duck.run), spark)
+    sink = duck.attach(PostgresSink(spark, {"connect": BASIC, "mode": WINDOW}, duck.run), spark)
     sink.load = lambda table: None
     with pytest.raises(duckdb.CatalogException):
-        sink.write(dataset(spark, [(1, "a", 1)], mode))
+        sink.write(dataset(spark, [(1, "a", 1)], WINDOW))
     assert duck.con.execute("select id from main.users").fetchall() == [(7,)]
 
 
@@ -176,8 +176,48 @@ def test_k1_generic_sink_only_refreshes(spark):
     with pytest.raises(DestinationError):
         sink.write(dataset(spark, [(1, "a", 1)], WINDOW))
     full = duck.attach(JdbcSink(spark, {"connect": BASIC}, duck.run), spark)
-    full.write(dataset(spark, [(1, "a", 1), (1, "b", 1)], Mode.full()))
-    assert duck.con.execute("select count(*) from main.users").fetchall() == [(2,)]
+    ds = dataset(spark, [(1, "a", 1), (1, "b", 1)], Mode.full())
+    for _ in range(2):
+        full.write(ds)
+        assert full.check(ds) == {"main.users": 2}
+    assert [c.split()[0] for c in duck.commands] == ["DROP", "ALTER"] * 2, "loaded beside the table, then swapped in"
+
+
+def test_w12_columns_are_renamed_before_they_are_created(spark):
+    duck = OnDuck(duckdb.connect())
+    df = spark.createDataFrame([(1, 2.0, CTX.batch_id)], "id bigint, `unit price` double, sync__batch_id string")
+    for mode in (Mode.full(), WINDOW):
+        ds = Dataset("ns", (Stream(SPEC, df, 1),), CTX, mode)
+        sink = duck.attach(PostgresSink(spark, {"connect": BASIC, "mode": mode, "dedupe": "none"}, duck.run), spark)
+        sink.write(ds)
+        assert sink.check(ds) == {"main.users": 1}
+    assert duck.con.execute("select unit_price from main.users").fetchall() == [(2.0,)]
+
+
+def test_w10_w11_connector_checks(spark):
+    class Fits(BigQuerySink):
+        def read_table(self, stream):
+            return spark.createDataFrame([], self.there)
+
+    connect = {"auth_type": "service_account", "project_id": "prj", "service_account": '{"a": 1}'}
+    ds = dataset(spark, [(1, "a", 1), (1, "b", 2), (2, "c", 1)], WINDOW)
+    sink = Fits(spark, {"connect": connect, "mode": WINDOW}, runner=print)
+    assert sink.expected_rows(ds.streams[0], 3) == 2
+    sink.there = "id bigint, name string, at bigint, sync__batch_id string"
+    sink.check_schema(ds.streams[0], ds)
+    sink.there = "id bigint, name string"
+    with pytest.raises(DestinationStreamInvalidSchema):
+        sink.check_schema(ds.streams[0], ds)
+
+
+def test_w13_redshift_refresh_swaps(spark):
+    commands = []
+    connect = {**BASIC, "s3_bucket": "s3://box", "iam_role": "role", "url": "jdbc:redshift://h/db"}
+    sink = RedshiftSink(spark, {"connect": connect, "mode": Mode.full()}, commands.extend)
+    sink.load, sink.insert = lambda table: None, lambda df, table, mode: commands.append(f"CREATE {table}")
+    sink.write(dataset(spark, [(1, "a", 1)], Mode.full()))
+    assert [c.split()[0] for c in commands] == ["DROP", "CREATE", "COPY", "DROP", "ALTER", "ALTER"]
+    assert commands[3] == "DROP TABLE IF EXISTS main.users" and commands[4].endswith("RENAME TO users")
 
 
 def test_k20_unreachable_database(spark):
@@ -213,7 +253,7 @@ def test_k5_snowflake_options_and_post_actions(spark):
     stream = dataset(spark, [(1, "a", 1)], Mode.full()).in_schema("out").streams[0]
     options = sink.write_options(stream)
     assert options["sfURL"] == "acc.snowflakecomputing.com" and options["sfSchema"] == "out"
-    assert options["dbtable"] == "out.stage_users"
+    assert options["dbtable"] == "out.users__stage"
     actions = [a.split()[0] for a in options["postactions"].split("; ")]
     assert actions == ["DROP", "CREATE", "MERGE", "DROP"]
     incremental = SnowflakeSink(spark, {"connect": connect, "mode": WINDOW})
@@ -236,7 +276,7 @@ def test_k4_bigquery_options(spark):
     sink = BigQuerySink(spark, {"connect": connect, "mode": WINDOW}, runner=print)
     stream = dataset(spark, [], WINDOW).streams[0]
     options = sink.write_options(stream)
-    assert options["table"] == "prj.main.stage_users" and options["temporaryGcsBucket"] == "box"
+    assert options["table"] == "prj.main.users__stage" and options["temporaryGcsBucket"] == "box"
     assert [c.split()[0] for c in sink.merge_statements(stream)] == ["CREATE", "MERGE", "DROP"]
     with pytest.raises(ValueError):
         BigQuerySink(spark, {"connect": {**connect, "service_account": "{"}})
@@ -286,3 +326,14 @@ def test_k2_a_rejected_statement_rolls_back():
         runner_on(jvm)(["a", "b", "c"])
     names = [c[0] for c in jvm.calls]
     assert names[-2:] == ["rollback", "close"] and "commit" not in names and names.count("execute") == 2
+
+
+def test_k19_trial_names_never_become_the_real_name():
+    from tablesync.functions.identifiers import derived_identifier, safe_identifier
+
+    for name in ("t" * 64, "s." + "t" * 64, "t" * 70, "s.short"):
+        trial = derived_identifier(name, "__trial")
+        assert trial == safe_identifier(trial) != safe_identifier(name) and trial.endswith("__trial")
+        stages = {derived_identifier(trial, f"__stage_b{b}") for b in (1, 2)}
+        assert len(stages) == 2 and all(s == safe_identifier(s) for s in stages)
+    assert derived_identifier("s.short", "__trial") == "s.short__trial"
