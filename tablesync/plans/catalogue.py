@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablesync.functions import moments
@@ -20,12 +20,12 @@ from tablesync.operators import fanout, integrity, runlog, schedule, upsert
 from tablesync.operators.augment import augment
 from tablesync.operators.extract import extract, stream_count
 from tablesync.plans.stage import stage_dataset
-from tablesync.plans.transfer import SyncConfig, run_sync
+from tablesync.plans.transfer import SyncConfig, rerun, run_sync
 from tablesync.sinks.catalog import register_table
 from tablesync.sinks.compound import CompoundSink
 from tablesync.sinks.console import preview
 from tablesync.sinks.objectstore import ObjectStoreSink, hive_root, write_hive
-from tablesync.sinks.snapshot import SnapshotTable, part_by_date, part_by_hash
+from tablesync.sinks.snapshot import SnapshotSink, SnapshotTable, part_by_date, part_by_hash
 from tablesync.sources.files import FileSource
 from tablesync.spec import DAILY, SIXHOURLY, Bookkeeping, Mode, ModelSpec, StreamSpec, SyncContext
 from tablesync.streaming.upsert import file_feed, stream_upsert
@@ -115,6 +115,54 @@ def null_filter(spark, sf_dir):
     return stream_count(table(spark, sf_dir, "customer"), spec)
 
 
+@query("SELECT c_custkey, c_name, c_nationkey, 'acme' AS vendor, CAST(7 AS INTEGER) AS edition FROM customer")
+def constant_columns(spark, sf_dir):
+    """Constants of the configuration as columns of every row."""
+    spec = StreamSpec("customer", "", "c_custkey", include_columns=("c_name", "c_nationkey"))
+    config = {"connect": {"root": sf_dir}, "streams": [spec], "context": context(), "extra": {"vendor": ("string", "acme"), "edition": ("int", 7)}}
+    return FileSource(spark, config).read().stream("customer").df
+
+
+@query("""
+SELECT o_custkey, sum(o_totalprice) AS total, count(1) AS n FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey HAVING count(1) > 1
+""")
+def query_stream(spark, sf_dir):
+    """A stream that is a SQL query, with the filters of any stream on top of it."""
+    text = f"SELECT o_orderpriority, o_custkey, sum(o_totalprice) AS total, count(1) AS n FROM parquet.`{sf_dir}/orders.parquet` GROUP BY ALL HAVING count(1) > 1"
+    spec = StreamSpec("bills", "", "o_custkey", filters={"o_orderpriority": "1-URGENT"}, drop_fields=("o_orderpriority",), query=text)
+    return file_source(spark, sf_dir, spec).read().stream("bills").df
+
+
+#: Column, filter value, and the SQL of what the value is in the column's type.
+_FILTERS = (
+    ("nation", 7, "7"), ("nation", 7.0, "7"), ("nation", 7.5, "NULL"), ("nation", 2**40, "NULL"), ("nation", 2**70, "NULL"),
+    ("nation", "7", "7"), ("nation", "abc", "NULL"), ("nation", True, "NULL"), ("nation", float("nan"), "NULL"),
+    ("balance", 0.5, "0.5"), ("balance", 2**53 + 1, "NULL"), ("balance", "x", "NULL"),
+    ("segment", "FURNITURE", "'FURNITURE'"), ("segment", 5, "'5'"),
+    ("rich", True, "true"), ("rich", "false", "false"), ("rich", 1, "NULL"),
+    ("day", "2024-01-08", "DATE '2024-01-08'"), ("day", "no day", "NULL"), ("day", 3, "NULL"),
+)
+
+
+@query(
+    "WITH c AS (SELECT CAST(c_nationkey AS INTEGER) AS nation, CAST(c_custkey AS DOUBLE) / 2 AS balance, c_mktsegment AS segment,"
+    " c_nationkey < 9 AS rich, DATE '2024-01-01' + CAST(c_nationkey AS INTEGER) AS day FROM customer) "
+    + " UNION ALL ".join(f"SELECT {i} AS test, count(1) AS n FROM c WHERE {c} = {s}" for i, (c, _, s) in enumerate(_FILTERS))
+)
+def filter_types(spark, sf_dir):
+    """Filter values that a column's type holds exactly, inexactly or not at all."""
+    rows = table(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").cast("int").alias("nation"), (F.col("c_custkey").cast("double") / 2).alias("balance"),
+        F.col("c_mktsegment").alias("segment"), (F.col("c_nationkey") < 9).alias("rich"),
+        F.date_add(F.lit("2024-01-01").cast("date"), F.col("c_nationkey").cast("int")).alias("day"),
+    )
+    out = None
+    for i, (name, value, _) in enumerate(_FILTERS):
+        one = stream_count(rows, StreamSpec("customer", filters={name: value})).select(F.lit(i).alias("test"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("SELECT c_custkey, c_name, 'b1' AS sync__batch_id, '1.0.0' AS sync__version FROM customer")
 def augment_constants(spark, sf_dir):
     spec = StreamSpec("customer", "", "c_custkey", include_columns=("c_name",))
@@ -273,19 +321,42 @@ def upsert_replace(spark, sf_dir):
 
 
 @query("""
-WITH stage AS (SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-18'),
-     target AS (SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-01-20')
-SELECT count(1) AS n, count(DISTINCT event_id) AS n_keys FROM (SELECT event_id FROM stage UNION SELECT event_id FROM target)
+SELECT event_id, ts, user_id, event_type, value + CASE WHEN ts >= TIMESTAMP '2024-01-18' THEN 1 ELSE 0 END AS value FROM events
 """)
 def upsert_idempotent(spark, sf_dir):
-    """The same stage upserted twice into a snapshot table leaves the row count unchanged."""
+    """The same stage upserted twice into a snapshot table leaves its rows as after the first time."""
     events = _event_values(spark, sf_dir)
     target = SnapshotTable(spark, fresh_folder(spark, "idempotent"))
     target.replace(extract(events, EVENTS, _until("2024-01-20")))
-    stage = extract(events, EVENTS, _from("2024-01-18"))
+    stage = extract(events, EVENTS, _from("2024-01-18")).withColumn("value", F.col("value") + 1)
     for _ in range(2):
         target.upsert(stage, ["event_id"], "ts")
-    return target.read().agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("n_keys"))
+    return target.read()
+
+
+class _CrashingTable(SnapshotTable):
+    """Loses its run after the rows were written and before they were committed."""
+
+    def _commit(self, version):
+        raise OSError("the run was lost")
+
+
+@query("""
+SELECT event_id, ts, user_id, event_type, value + CASE WHEN ts >= TIMESTAMP '2024-01-18' THEN 1 ELSE 0 END AS value FROM events
+""")
+def upsert_after_crash(spark, sf_dir):
+    """A run that was lost before its commit leaves no trace; the next upsert finds the rows of before."""
+    events = _event_values(spark, sf_dir)
+    folder = fresh_folder(spark, "crash")
+    cut = part_by_hash(["event_id"], 4)
+    SnapshotTable(spark, folder, cut).replace(extract(events, EVENTS, _until("2024-01-20")))
+    lost = extract(events, EVENTS, _until("2024-01-05")).withColumn("value", F.col("value") - 7)
+    try:
+        _CrashingTable(spark, folder, cut).upsert(lost, ["event_id"], "ts")
+    except OSError:
+        stage = extract(events, EVENTS, _from("2024-01-18")).withColumn("value", F.col("value") + 1)
+        SnapshotTable(spark, folder).upsert(stage, ["event_id"], "ts")
+    return SnapshotTable(spark, folder).read()
 
 
 @query("""
@@ -440,6 +511,84 @@ def transfer_runs(spark, sf_dir):
     return SnapshotTable(spark, f"{folder}/target/events").read().drop("sync__last_synced_at")
 
 
+def _purchases(sf_dir: str, folder: str) -> SyncConfig:
+    return SyncConfig(
+        "t1", "purchase",
+        [ModelSpec("m1", "s1", "", "events", "event_id", "event_type", "ts")],
+        {"s1": {"vendor_type": "files", "connection_info": {"root": sf_dir}}},
+        {
+            "vendor_type": "snapshot",
+            "connection_info": {"root": f"{folder}/target"},
+            "schedule": {"frequency": DAILY, "hour": 6, "minute": 30},
+        },
+        run_log=f"{folder}/runs",
+    )
+
+
+def _must(result):
+    if not result.ok:
+        raise RuntimeError(result.error)
+    return result
+
+
+@query("""
+SELECT event_id, ts, user_id, value, props,
+       ts >= TIMESTAMP '2024-01-19 03:30:00' AND ts < TIMESTAMP '2024-01-20 06:30:00' AS again
+FROM events WHERE event_type = 'purchase'
+""")
+def rerun_window(spark, sf_dir):
+    """A recorded run repeated: its window is copied again, under a new batch id, and nothing else changes."""
+    cfg = _purchases(sf_dir, fresh_folder(spark, "rerun"))
+    _must(run_sync(spark, cfg, now="2024-01-20T04:30:00"))
+    second = _must(run_sync(spark, cfg, now="2024-01-20T07:00:00"))
+    _must(rerun(spark, cfg, second.run_id, now="2024-01-20T09:00:00"))
+    rows = SnapshotTable(spark, f"{cfg.destination['connection_info']['root']}/events").read()
+    again = F.col("sync__batch_id") == SyncContext.at("2024-01-20T09:00:00").batch_id
+    return rows.withColumn("again", again).drop("sync__batch_id", "sync__last_synced_at")
+
+
+@query("""
+SELECT 'SUCCESS' AS status, n AS rows_transferred, 1 AS n_runs FROM (SELECT count(1) AS n FROM events WHERE event_type = 'purchase')
+UNION ALL SELECT 'SUCCESS', n, 1 FROM (SELECT count(1) AS n FROM events WHERE event_type = 'purchase'
+  AND ts >= TIMESTAMP '2024-01-19 03:30:00' AND ts < TIMESTAMP '2024-01-20 06:30:00')
+UNION ALL SELECT 'FAILURE', NULL, 1
+""")
+def run_states(spark, sf_dir):
+    """States of three runs in the log: a backfill, an increment, and one whose source is gone."""
+    folder = fresh_folder(spark, "states")
+    cfg = _purchases(sf_dir, folder)
+    for now in ("2024-01-20T04:30:00", "2024-01-20T07:00:00"):
+        _must(run_sync(spark, cfg, now=now))
+    run_sync(spark, _purchases(f"{folder}/nowhere", folder), now="2024-01-20T08:00:00")
+    runs = runlog.current_runs(runlog.read_run_log(spark, cfg.run_log))
+    counts = runs.join(runlog.rows_transferred(runs), "run_id").select("status", "rows_transferred", F.lit(1).alias("n_runs"))
+    return counts.withColumn("rows_transferred", F.when(F.col("status") == "SUCCESS", F.col("rows_transferred")))
+
+
+@query("""
+SELECT 'customer' AS stream, c_custkey AS k FROM customer WHERE c_mktsegment = 'FURNITURE'
+UNION ALL SELECT 'bills', o_orderkey FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE c.c_mktsegment = 'FURNITURE'
+""")
+def two_source_transfer(spark, sf_dir):
+    """One transfer whose models come from two sources."""
+    folder = fresh_folder(spark, "sources")
+    owner = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
+    table(spark, sf_dir, "orders").join(owner, "o_custkey").write.parquet(f"{folder}/second/bills.parquet")
+    cfg = SyncConfig(
+        "t2", "FURNITURE",
+        [ModelSpec("m1", "s1", "", "customer", "c_custkey", "c_mktsegment"), ModelSpec("m2", "s2", "", "bills", "o_orderkey", "c_mktsegment")],
+        {
+            "s1": {"vendor_type": "files", "connection_info": {"root": sf_dir}},
+            "s2": {"vendor_type": "files", "connection_info": {"root": f"{folder}/second"}},
+        },
+        {"vendor_type": "snapshot", "connection_info": {"root": f"{folder}/target"}},
+    )
+    _must(run_sync(spark, cfg, now="2024-01-20T04:30:00"))
+    keys = {"customer": "c_custkey", "bills": "o_orderkey"}
+    found = [SnapshotTable(spark, f"{folder}/target/{t}").read().select(F.lit(t).alias("stream"), F.col(k).alias("k")) for t, k in keys.items()]
+    return found[0].unionByName(found[1])
+
+
 @query("""
 SELECT c.c_mktsegment AS tenant_id, o.o_orderkey, o.o_totalprice
 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
@@ -457,7 +606,7 @@ def tenant_fanout(spark, sf_dir):
 
 
 @query("""
-SELECT sink, n FROM (VALUES ('staging'), ('hive')) AS s(sink) CROSS JOIN (SELECT count(1) AS n FROM orders)
+SELECT sink, o_orderkey, o_totalprice FROM (VALUES ('staging'), ('hive')) AS s(sink) CROSS JOIN orders
 """)
 def multi_sink_counts(spark, sf_dir):
     """A compound sink: the staged rows reach every sink."""
@@ -469,11 +618,85 @@ def multi_sink_counts(spark, sf_dir):
     compound.write(staged)
     compound.check(staged)
     stream = staged.stream("orders")
-    counts = [
-        s.target(stream, staged).agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("sink"), "n")
-        for k, s in zip(kinds, sinks)
-    ]
-    return counts[0].unionByName(counts[1])
+    found = [s.target(stream, staged).select(F.lit(k).alias("sink"), "o_orderkey", "o_totalprice") for k, s in zip(kinds, sinks)]
+    return found[0].unionByName(found[1])
+
+
+@query("""
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS rn FROM orders
+           WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')),
+     m AS (SELECT min(n) AS n FROM (SELECT max(rn) AS n FROM r GROUP BY o_orderpriority))
+SELECT o_orderkey, o_orderpriority, o_totalprice FROM r WHERE rn <= (SELECT n FROM m)
+""")
+def hive_two_schemas(spark, sf_dir):
+    """Two schemas with one table name and equally many rows, in one batch: the folder they share holds all rows."""
+    orders = table(spark, sf_dir, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
+    rank = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_orderkey"))
+    ranked = orders.withColumn("rn", rank)
+    least = ranked.groupBy("o_orderpriority").agg(F.max("rn").alias("n")).agg(F.min("n").alias("n"))
+    chosen = ranked.join(F.broadcast(least), F.col("rn") <= F.col("n")).select("o_orderkey", "o_orderpriority", "o_totalprice")
+    root = fresh_folder(spark, "schemas")
+    for schema, priority in (("urgent", "1-URGENT"), ("high", "2-HIGH")):
+        chosen.where(F.col("o_orderpriority") == priority).write.parquet(f"{root}/source/{schema}/orders.parquet")
+    specs = [StreamSpec("orders", schema, "o_orderkey") for schema in ("urgent", "high")]
+    dataset = file_source(spark, f"{root}/source", *specs, batch_id=True).read()
+    for _ in range(2):  # the batch again adds nothing
+        sink = ObjectStoreSink(spark, {"connect": {"root": f"{root}/target", "format": "hive"}})
+        sink.write(dataset)
+        sink.check(dataset)
+    return spark.read.parquet(hive_root(f"{root}/target", specs[0])).select("o_orderkey", "o_orderpriority", "o_totalprice")
+
+
+@query("SELECT count(1) AS n, least(1000, count(1)) AS most FROM orders")
+def rows_per_file(spark, sf_dir):
+    """No file has more rows than the batch size; together they have all."""
+    staged = stage_dataset(file_source(spark, sf_dir, ORDERS).read())
+    sink = ObjectStoreSink(spark, {"connect": {"root": fresh_folder(spark, "files")}, "batch_size": 1000})
+    sink.write(staged)
+    files = sink.target(staged.stream("orders"), staged).groupBy(F.input_file_name().alias("file"))
+    files = files.agg(F.count(F.lit(1)).alias("n"))
+    return files.agg(F.sum("n").alias("n"), F.max("n").alias("most"))
+
+
+@query("""
+SELECT on_empty, CASE WHEN on_empty = 'skip' THEN n ELSE 0 END AS n
+FROM (VALUES ('skip'), ('replace')) AS v(on_empty) CROSS JOIN (SELECT count(1) AS n FROM customer)
+""")
+def empty_refresh(spark, sf_dir):
+    """A full refresh without rows empties the target, unless it is told to skip."""
+    out = None
+    for policy in ("skip", "replace"):
+        connect = {"root": fresh_folder(spark, "empty"), "on_empty": policy}
+        full = stage_dataset(file_source(spark, sf_dir, CUSTOMER).read())
+        none = stage_dataset(file_source(spark, sf_dir, StreamSpec("customer", "", "c_custkey", filters={"c_custkey": -1})).read())
+        for dataset in (full, none):
+            SnapshotSink(spark, {"connect": connect}).write(dataset)
+        target = SnapshotSink(spark, {"connect": connect}).target(full.stream("customer"), full)
+        one = target.agg(F.count(F.lit(1)).alias("n")).select(F.lit(policy).alias("on_empty"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""
+SELECT sink, c_custkey, c_name FROM (VALUES ('snapshot'), ('hive')) AS s(sink) CROSS JOIN customer WHERE c_nationkey < 12
+""")
+def trial_leaves_target(spark, sf_dir):
+    """A trial run loads other rows beside the target and drops them; the target keeps its own."""
+    source = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    root = fresh_folder(spark, "trial")
+    source.where("c_nationkey < 12").write.parquet(f"{root}/real/customer.parquet")
+    source.where("c_nationkey >= 12").write.parquet(f"{root}/other/customer.parquet")
+    out = None
+    for kind, make in (("snapshot", SnapshotSink), ("hive", ObjectStoreSink)):
+        connect = {"root": f"{root}/{kind}", "format": "hive"}
+        real = stage_dataset(file_source(spark, f"{root}/real", CUSTOMER, batch_id=True).read())
+        make(spark, {"connect": connect}).write(real)
+        other = stage_dataset(file_source(spark, f"{root}/other", CUSTOMER, batch_id=True).read())
+        make(spark, {"connect": connect, "drop_after_complete": True}).write(other)
+        rows = make(spark, {"connect": connect}).target(real.stream("customer"), real)
+        one = rows.select(F.lit(kind).alias("sink"), "c_custkey", "c_name")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("SELECT o_orderpriority, count(1) AS n, DATE '2025-01-10' AS dt FROM orders GROUP BY o_orderpriority")
@@ -483,7 +706,9 @@ def catalog_table(spark, sf_dir):
     path = write_hive(table(spark, sf_dir, "orders"), root, ORDERS, context())
     name = f"orders_{uuid.uuid4().hex}"
     registered = register_table(spark, name, path, partitioned=True)
-    return registered.groupBy("o_orderpriority", "dt").agg(F.count(F.lit(1)).alias("n"))
+    counts = written(registered.groupBy("o_orderpriority", "dt").agg(F.count(F.lit(1)).alias("n")), "catalog-counts")
+    spark.sql(f"DROP TABLE {name}")
+    return counts
 
 
 @query("""
@@ -504,6 +729,23 @@ def streaming_upsert(spark, sf_dir):
     return target.read()
 
 
+@query("""
+SELECT user_id, event_id, ts, value FROM (SELECT *, row_number() OVER
+  (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1
+""")
+def streaming_replay(spark, sf_dir):
+    """The whole feed again, in the order it came and with no memory of the first time: the target stays as it is."""
+    folder = fresh_folder(spark, "replay")
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value")
+    target = SnapshotTable(spark, f"{folder}/target", part_by_hash(["user_id"], 4))
+    for window in (_from("2024-01-16"), _until("2024-01-16")):
+        extract(rows, EVENTS, window).write.mode("append").parquet(f"{folder}/feed")
+    for attempt in range(2):
+        feed = file_feed(spark, f"{folder}/feed", rows.schema)
+        stream_upsert(feed, target, ["user_id"], "ts", f"{folder}/checkpoint-{attempt}").awaitTermination()
+    return target.read()
+
+
 @query("SELECT event_id, ts, event_type FROM events ORDER BY event_id LIMIT 100")
 def console_preview(spark, sf_dir):
     """The first rows under a stated order (a top-k)."""
@@ -540,20 +782,26 @@ def schema_compat(spark, sf_dir):
 
 
 @query("""
-SELECT strftime(ts, '%Y%m%d') AS batch_id, count(1) AS loaded, count(1) AS expected, true AS ok FROM events GROUP BY 1
+WITH b AS (SELECT strftime(ts, '%Y%m%d') AS batch_id, count(1) AS n,
+             count(1) FILTER (WHERE ts < TIMESTAMP '2024-01-15' OR ts >= TIMESTAMP '2024-01-16' + INTERVAL 12 HOUR) AS kept
+           FROM events GROUP BY 1)
+SELECT batch_id, kept AS loaded, n AS expected, kept = n AS ok FROM b
 """)
 def batch_volume(spark, sf_dir):
-    """Staged against loaded rows per batch; a batch is a cursor day here."""
+    """Staged against loaded rows per batch; a batch is a cursor day here, of which the target lost one and a half."""
     staged = table(spark, sf_dir, "events").withColumn("sync__batch_id", F.date_format("ts", "yyyyMMdd"))
-    target = written(staged, "volume")
+    lost = "ts >= timestamp_ntz'2024-01-15 00:00:00' and ts < timestamp_ntz'2024-01-16 12:00:00'"
+    target = written(staged.where(f"not ({lost})"), "volume")
     return integrity.batch_volumes(target, staged)
 
 
 @query("""
-SELECT count(1) AS orphans FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey)
+SELECT count(1) AS orphans FROM lineitem l
+WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey AND o.o_orderpriority <> '3-MEDIUM')
 """)
 def referential_check(spark, sf_dir):
-    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    """Lines whose order is missing, with the orders of one priority taken away."""
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").where("o_orderpriority <> '3-MEDIUM'")
     return integrity.check_referential(lines, orders, {"l_orderkey": "o_orderkey"})
 
 
@@ -749,6 +997,25 @@ def window_gaps(spark, sf_dir):
     return runlog.window_gaps(runs, by="user_id")
 
 
+@query("""
+WITH r AS (SELECT user_id, event_id, event_type, ts, epoch_us(ts) AS us, date_trunc('day', ts) + INTERVAL 390 MINUTE AS we,
+                  date_trunc('day', ts) + INTERVAL 390 MINUTE - INTERVAL 27 HOUR AS ws FROM events),
+     s AS (SELECT user_id, us, least(we, ts) AS reach, event_id FROM r WHERE event_type <> 'error'),
+     l AS (SELECT r.user_id, r.event_id, arg_max(s.reach, (s.us, s.event_id)) AS reach
+           FROM r JOIN s ON s.user_id = r.user_id AND s.us < r.us GROUP BY 1, 2)
+SELECT r.user_id, r.event_id, r.ws AS window_start, l.reach FROM r JOIN l ON l.user_id = r.user_id AND l.event_id = r.event_id
+WHERE l.reach < r.ws
+""")
+def scheduled_gaps(spark, sf_dir):
+    """Runs whose daily window starts after what the last success copied: its window's end, or its start if that was earlier."""
+    runs = table(spark, sf_dir, "events").select(
+        "user_id", F.col("event_id").alias("run_id"), "ts", (F.col("event_type") != "error").alias("ok")
+    )
+    runs = schedule.with_windows(runs, "ts", DAILY, 6, 30, prefix="window_").withColumnRenamed("ts", "created_at")
+    gaps = runlog.scheduled_gaps(runs, by="user_id")
+    return gaps.select("user_id", F.col("run_id").alias("event_id"), "window_start", "reach")
+
+
 # ---------------------------------------------------------------- schedule
 
 
