@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Texts that a Python worker holds at once.
+BATCH_ROWS = 1_000
+
+
+def map_texts(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` in batches of at most :data:`BATCH_ROWS` rows, since texts are long; sets the session's limit."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df.mapInArrow(fn, schema)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """``names``, each lengthened until no column of ``df`` has it (Spark ignores case)."""
     taken = {c.lower() for c in df.columns}
@@ -30,8 +44,9 @@ def unused(df: DataFrame, *names: str) -> list[str]:
 
 
 def row_key(df: DataFrame) -> Column:
-    """A document row's identity for joins back to its table: id and text; repeated rows share one."""
-    return F.xxhash64(F.col("doc_id").cast("string"), F.col("doc_id").isNull(), F.col("text"), F.col("text").isNull())
+    """A document row's identity for joins back to its table: its id, and a hash of its text; repeated rows share one."""
+    text = F.hex(F.xxhash64(F.col("text"), F.col("text").isNull()))
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text)
 
 
 def only(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:

@@ -8,7 +8,7 @@ any order, so reordered passages count. A document is contaminated by an item if
 least 80 % of the item's words.
 
 Scale: benchmark seeds first fill a bitmap of at most 2 MB, which goes to all tasks; only document
-positions that pass it leave their task (8 bytes of hash, key and position, never text), and the
+positions that pass it leave their task (a hash, key and position, never text), and the
 exact join by seed follows. The benchmark side is broadcast only if a count allows it. Tiling runs
 per document and item, on positions.
 
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablesync.functions.sizing import broadcast_if_small
-from tablesync.llm.common import only, row_key
+from tablesync.llm.common import map_texts, only, row_key
 from tablesync.workspace import written
 
 #: Words of a seed, which is also the shortest tile; the share of an item that makes a document go.
@@ -76,7 +76,7 @@ def item_seeds(benchmark: DataFrame) -> DataFrame:
     """``item_id``, ``item`` (key of id and text), ``n_words``, ``ipos`` and ``seed`` of every seed of every item."""
     key = F.xxhash64(F.col("item_id").cast("string"), F.col("item_id").isNull(), F.col("text"))
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), key.alias("item"), "text")
-    return items.distinct().mapInArrow(_item_seeds, "item_id long, item long, n_words int, ipos int, seed long")
+    return map_texts(items.distinct(), _item_seeds, "item_id long, item long, n_words int, ipos int, seed long")
 
 
 def bitmap(found: DataFrame) -> np.ndarray:
@@ -109,7 +109,7 @@ def _passing(bits: np.ndarray):
                     out[2].append(hit.astype(np.int32))
                     out[3].append(found[hit].view(np.int64))
             if out[0]:
-                columns = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(np.concatenate(out[2])), pa.array(np.concatenate(out[3]))]
+                columns = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(np.concatenate(out[2])), pa.array(np.concatenate(out[3]))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "dpos", "seed"])
 
     return run
@@ -161,14 +161,14 @@ def tiled(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Every document and item that share a seed: ``doc_id``, ``row``, ``item_id``, ``n_words`` (of the item), ``n_tiles``, ``matched``."""
     known = written(item_seeds(benchmark), "item-seeds")
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("row"), "text")
-    passing = rows.mapInArrow(_passing(bitmap(known)), "doc_id long, row long, dpos int, seed long")
+    passing = map_texts(rows, _passing(bitmap(known)), "doc_id long, row string, dpos int, seed long")
     hits = passing.join(broadcast_if_small(known), "seed")
     pairs = hits.groupBy("row", "item").agg(
         F.first("doc_id").alias("doc_id"), F.first("item_id").alias("item_id"), F.first("n_words").alias("n_words"),
         F.collect_set(F.struct("dpos", "ipos")).alias("hits"),
     )
     pairs = pairs.select("doc_id", "row", "item_id", "n_words", "hits")
-    return pairs.mapInArrow(_tiled, "doc_id long, row long, item_id long, n_words int, n_tiles int, matched int")
+    return map_texts(pairs, _tiled, "doc_id long, row string, item_id long, n_words int, n_tiles int, matched int")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:

@@ -31,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablesync.llm.common import map_texts
 from tablesync.workspace import written
 
 BITS, RADIUS = 128, 3
@@ -134,14 +135,14 @@ def paired(docs: DataFrame) -> DataFrame:
     ranges = min(MAX_RANGES, max(1, math.ceil(rows.count() / RANGE_ROWS)))
     order = [F.col("doc_id").desc_nulls_last(), F.col("tie")]
     ordered = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(ranges, *order).sortWithinPartitions(*order)
-    found = ordered.select("doc_id", "text").mapInArrow(_in_order, f"{_SCHEMA}, place long, first string, last string")
+    found = map_texts(ordered.select("doc_id", "text"), _in_order, f"{_SCHEMA}, place long, first string, last string")
     found = written(found, "fingerprints")
     places = sorted(r.place for r in found.where("last is not null").select("place").collect())  # one per range
     following = [(a, b) for a, b in zip(places, places[1:] + places[:1], strict=True)]
     steps = spark.createDataFrame(following, "place long, after long")
     first = found.where("first is not null").select(F.col("place").alias("after"), "first")
     ends = found.where("last is not null").select("doc_id", "last", "place").join(steps, "place").join(first, "after")
-    rest = ends.select("doc_id", "last", "first").mapInArrow(_at_ends, _SCHEMA)
+    rest = map_texts(ends.select("doc_id", "last", "first"), _at_ends, _SCHEMA)
     return found.where("edited_sha256 is not null").select(*_DONE).union(rest)
 
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablesync.llm.common import row_key, unused
+from tablesync.llm.common import map_texts, row_key, unused
 from tablesync.llm.components import components
 from tablesync.workspace import written
 
@@ -68,7 +68,7 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``row`` (the row key) and ``fp`` (the fingerprint's 64 bits) of every document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("row"), "text")
-    return rows.mapInArrow(_hashed, "doc_id long, row long, fp long")
+    return map_texts(rows, _hashed, "doc_id long, row string, fp long")
 
 
 def links(distinct: DataFrame) -> DataFrame:

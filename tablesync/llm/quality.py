@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablesync.llm.common import map_texts
+
 #: Of five folds by ``crc32(id) mod 5``, this one is held out; from this score on, a document is predicted good.
 FOLDS, HELD, GOOD_FROM = 5, 0, 0.3
 
@@ -196,7 +198,7 @@ def learned(docs: DataFrame, labels: DataFrame) -> Field:
     marks = marks.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    chains = texts.select("doc_id", "quality", "text").mapInArrow(_chains, "doc_id long, at int, quality int, rows binary")
+    chains = map_texts(texts.select("doc_id", "quality", "text"), _chains, "doc_id long, at int, quality int, rows binary")
     sample = chains.orderBy(F.xxhash64("doc_id", "at"), "doc_id", "at", "rows").limit(SAMPLE_CHAINS).select("doc_id", "quality", "rows")
     found = sample.toArrow()
     lists = [np.frombuffer(x, np.float32).reshape(-1, WIDTH) for x in found.column("rows").to_pylist()]
@@ -224,7 +226,7 @@ def scored(docs: DataFrame, field: Field) -> DataFrame:
             scores = pa.array([field.score(t.as_py()) for t in batch.column("text").cast(pa.binary())], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), scores], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

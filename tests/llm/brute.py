@@ -1,0 +1,106 @@
+"""Plain Python versions of the operators that SQL cannot express; for small tables only."""
+
+from __future__ import annotations
+
+import re
+from collections import Counter
+from itertools import combinations
+
+import xxhash
+
+ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def simhash(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(ASCII))
+    if not words:
+        return 0
+    parts = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    hashes = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+
+
+def find(parent, x):
+    while parent[x] != x:
+        x = parent[x]
+    return x
+
+
+def joined(nodes, links):
+    parent = {n: n for n in nodes}
+    for a, b in links:
+        a, b = find(parent, a), find(parent, b)
+        parent[max(a, b)] = min(a, b)
+    return {n: find(parent, n) for n in nodes}
+
+
+def near_duplicates(docs):
+    """(doc_id, fingerprint, smallest id reachable) of (doc_id, text) pairs, by comparing all pairs."""
+    prints = [simhash(t) for _, t in docs]
+    distinct = sorted(set(prints))
+    root = joined(distinct, [(a, b) for a, b in combinations(distinct, 2) if (a ^ b).bit_count() <= 2])
+    least = {}
+    for (i, _), p in zip(docs, prints, strict=True):
+        if i is not None:
+            least[root[p]] = min(i, least.get(root[p], i))
+    return [(i, f"{p:016x}", least.get(root[p])) for (i, _), p in zip(docs, prints, strict=True)]
+
+
+def words(text):
+    return re.findall(r"[0-9a-z\x80-\U0010ffff]+", (text or "").translate(ASCII))
+
+
+def tiled(a, b, least=5):
+    """Words of ``b`` that greedy tiles of ``a`` cover: the textbook loop over all pairs of positions."""
+    used_a, used_b, total = [False] * len(a), [False] * len(b), 0
+    while True:
+        best = (least - 1, 0, 0)
+        for j in range(len(b)):
+            for i in range(len(a)):
+                k = 0
+                while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k] and not used_a[i + k] and not used_b[j + k]:
+                    k += 1
+                if k > best[0]:
+                    best = (k, j, i)
+        if best[0] < least:
+            return total
+        k, j, i = best
+        used_a[i : i + k], used_b[j : j + k] = [True] * k, [True] * k
+        total += k
+
+
+def grams(text):
+    found = Counter()
+    run = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+    run = " ".join(run.split())
+    if not run:
+        return found
+    run = f" {run}  "  # the stream ends with the space after its last word and one more
+    for i in range(len(run)):
+        if run[i] != " ":
+            found[run[i]] += 1
+        if i + 1 < len(run):
+            found[run[i : i + 2]] += 1
+        if i + 2 < len(run) and run[i + 1] != " ":
+            found[run[i : i + 3]] += 1
+    return found
+
+
+def ranked(counts, top=400):
+    return {g: r for r, (g, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], _packed(x[0])))[:top])}
+
+
+def _packed(gram):
+    value = 0
+    for c in gram:
+        value = value << 21 | ord(c)
+    return value
+
+
+def language(text, profiles, top=400):
+    own = ranked(grams(text))
+    if not own or not profiles:
+        return "und", 0.0
+    away = {lang: sum(abs(r - p[g]) if g in p else top for g, r in own.items()) for lang, p in profiles.items()}
+    best = min(sorted(away), key=away.__getitem__)
+    return best, 1 - away[best] / (top * len(own))
