@@ -3,17 +3,17 @@
 Templates of license notices are sets of words; so is every line of a text. A line meets a template
 if it contains at least 80 % of the template's words. The join finds all such lines exactly:
 
-* words are ordered by how many lines of the whole table have them, rarest first;
+* words are ordered by how many documents of the whole table have them, rarest first;
 * prefix filter: a line that meets a template has one of the ``n - ceil(0.8 n) + 1`` rarest of its
   ``n`` words, so only lines with a word of some template's prefix are looked at;
 * length filter: the line has at least ``ceil(0.8 n)`` words of the templates' vocabulary;
 * positional filter: the first common word, at its places in both orders, leaves enough words after it;
-* what remains is verified on the whole sets.
+* what remains is verified on the whole sets; a line is labelled by the templates it contains most of.
 
 Beside it, three fixed phrases are found wherever their words stand one after the other.
 
-Scale: texts are read twice, to count the vocabulary's words and to join; only (template, line)
-candidates are shuffled, back to their document. The template index is a fixed list of a few dozen
+Scale: texts are read twice, to count the vocabulary's words (and find the phrases) and to join; only
+(template, line) candidates are shuffled, back to their document. The template index is a fixed list of a few dozen
 rows, so it is broadcast.
 
 Defined cases: null or empty text: no words, no labels, score 0; words that are equally frequent go
@@ -24,8 +24,10 @@ other columns are ignored.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablesync.llm.common import TERM, row_key
@@ -56,64 +58,64 @@ TEMPLATES = (
 #: Share of a template's words that a line must contain.
 CONTAINMENT = 0.8
 
-_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_BYTES = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+#: The one character beyond ASCII whose lower case is an ASCII letter.
+_KELVIN = "\u212a"
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-def _phrase(words: str) -> str:
-    """A pattern (ASCII case ignored) for the words in a row, whole words only."""
-    return rf"(?i)(?<!{_BYTES}){_GAP.join(words.split())}(?!{_BYTES})"
 
+def _literal(values: list[str]) -> Column:
+    return F.array(*[F.lit(v) for v in values])
 
-def _words(text: Column) -> Column:
-    """The words of a text with A-Z lower-cased."""
-    return F.regexp_extract_all(text, F.lit(f"({TERM})"), F.lit(1))
 
+def _lowered(text: Column) -> Column:
+    """Lower case, with A-Z the only characters that become ASCII letters."""
+    return F.lower(F.replace(text, F.lit(_KELVIN), F.lit("\u00ff")))
 
-#: The one character beyond ASCII whose lower case is an ASCII letter.
-_KELVIN = "\u212a"
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+def _cut(lowered: Column) -> Column:
+    return F.regexp_extract_all(lowered, F.lit(f"({TERM})"), F.lit(1))
 
 
-def _literal(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+def _lines(docs: DataFrame, order: list[str], seeds: list[str]) -> DataFrame:
+    """``row``, ``no`` and ``words`` (distinct, of ``order``, in that order) of every line that has a seed word.
+
+    Texts in which no seed stands, as a string, are passed over before they are cut into words.
+    """
+    texts = docs.where("text is not null").select(row_key(docs).alias("row"), _lowered(F.col("text")).alias("text"))
+    some = reduce(or_, [F.contains("text", F.lit(w)) for w in seeds])
+    lines = texts.where(some).select("row", F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    words = F.array_intersect(_literal(order), _cut(F.col("line")))
+    return lines.select("row", "no", words.alias("words")).where(F.arrays_overlap("words", _literal(seeds)))
 
 
-def _lines(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """``row``, ``no`` and ``words`` (distinct, of the vocabulary, in its order) of every line that has any of them."""
-    lines = docs.where("text is not null").select(row_key(docs).alias("row"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    lower = F.lower(F.replace("line", F.lit(_KELVIN), F.lit("\u00ff")))
-    words = F.array_intersect(_literal(vocabulary), F.regexp_extract_all(lower, F.lit(f"({TERM})"), F.lit(1)))
-    return lines.select("row", "no", words.alias("words")).where(F.size("words") > 0)
+def _all_words(templates) -> list[str]:
+    return sorted({w for text, _ in templates for w in text.split()})
 
 
-def vocabulary(docs: DataFrame, templates=TEMPLATES) -> list[str]:
-    """All words of the templates, rarest in the lines of the whole table first."""
-    words = sorted({w for text, _ in templates for w in text.split()})
-    counts = _lines(docs, words).select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+def vocabulary(base: DataFrame, templates=TEMPLATES) -> list[str]:
+    """All words of the templates, rarest first; ``base`` has the ``vocabulary`` of every document."""
+    counts = base.select(F.explode("vocabulary").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     n = dict(counts.collect())  # one row per word of the templates
-    return sorted(words, key=lambda w: (n.get(w, 0), w))
+    return sorted(_all_words(templates), key=lambda w: (n.get(w, 0), w))
 
 
-def index(spark: SparkSession, order: list[str], templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """The prefix words of every template: ``word``, ``at`` (in the template), ``t``, ``label``, ``size``, ``need``, ``all``."""
+def index(order: list[str], templates=TEMPLATES, containment: float = CONTAINMENT) -> list[tuple]:
+    """The prefix words of every template: word, place (in the template), template, label, size, need, all words."""
     rank = {w: i for i, w in enumerate(order)}
     rows = []
     for t, (text, label) in enumerate(templates):
         words = sorted(set(text.split()), key=rank.__getitem__)
         need = math.ceil(containment * len(words) - 1e-9)
         rows += [(w, i, t, label, len(words), need, words) for i, w in enumerate(words[: len(words) - need + 1])]
-    return spark.createDataFrame(rows, "word string, at int, t int, label string, size int, need int, all array<string>")
+    return rows
 
 
-def matches(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
+def matches(docs: DataFrame, order: list[str], templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """Every line that meets a template: ``row`` (row key), ``no`` (of the line, from 0), ``t``, ``label``, ``share``."""
-    order = vocabulary(docs, templates)
-    prefixes = index(docs.sparkSession, order, templates, containment)
-    lines = _lines(docs, order)
-    seeds = _literal(sorted({r.word for r in prefixes.select("word").collect()}))
-    lines = lines.where(F.arrays_overlap("words", seeds))
+    rows = index(order, templates, containment)
+    prefixes = docs.sparkSession.createDataFrame(rows, "word string, at int, t int, label string, size int, need int, all array<string>")
+    lines = _lines(docs, order, sorted({r[0] for r in rows}))
     first = lines.select("row", "no", "words", F.posexplode("words").alias("place", "word"))
     pairs = first.join(F.broadcast(prefixes), "word")
     long = F.size("words") >= F.col("need")
@@ -137,21 +139,22 @@ def _places(words: Column, phrase: str) -> Column:
     return F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.coalesce(here(i), F.lit(False)))
 
 
-def phrases(docs: DataFrame) -> DataFrame:
-    """Words, places of the fixed phrases and their labels, per document; with the row key ``row``."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("row"), text.alias("text"))
-    hits = [F.col("text").rlike(_phrase(p)) for p, _ in PHRASES]
-    some = hits[0] | hits[1] | hits[2]
-    rows = rows.select("doc_id", "row", F.regexp_count("text", F.lit(TERM)).cast("long").alias("n_words"), F.when(some, F.col("text")).alias("text"))
-    lower = F.transform(_words(F.col("text")), lambda w: F.translate(w, _UPPER, _LOWER))
-    rows = rows.select("doc_id", "row", "n_words", F.when(F.col("text").isNotNull(), lower).alias("words"))
-    at = [_places(F.col("words"), p) for p, _ in PHRASES]
-    rows = rows.select("doc_id", "row", "n_words", *[F.coalesce(a, F.array().cast("array<int>")).alias(f"p{i}") for i, a in enumerate(at)])
+def phrases(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
+    """Words, places of the fixed phrases, their labels and the templates' words (``vocabulary``), per document with its row key."""
+    text = _lowered(F.coalesce(F.col("text"), F.lit("")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("row"), _cut(text).alias("words"))
+    known = F.array_intersect(_literal(sorted({*_all_words(templates), *" ".join(p for p, _ in PHRASES).split()})), F.col("words"))
+    rows = rows.select("doc_id", "row", F.size("words").cast("long").alias("n_words"), known.alias("known"), "words")
+    none = F.array().cast("array<int>")
+    at = [
+        F.when(F.size(F.array_except(_literal(p.split()), F.col("known"))) == 0, _places(F.col("words"), p)).otherwise(none).alias(f"p{i}")
+        for i, (p, _) in enumerate(PHRASES)
+    ]
+    rows = rows.select("doc_id", "row", "n_words", F.array_intersect("known", _literal(_all_words(templates))).alias("vocabulary"), *at)
     every = F.concat(*[F.col(f"p{i}") for i in range(len(PHRASES))])
     labels = F.array(*[F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(PHRASES)])
     return rows.select(
-        "doc_id", "row", "n_words",
+        "doc_id", "row", "n_words", "vocabulary",
         F.size(every).cast("long").alias("n_base"),
         F.array_min(every).cast("long").alias("first_word"),
         F.array_max(every).cast("long").alias("last_word"),
@@ -162,8 +165,13 @@ def phrases(docs: DataFrame) -> DataFrame:
 def scan(docs: DataFrame) -> DataFrame:
     """One row per document: words, places of the fixed phrases, labels, score (the best containment; 1 for a phrase)."""
     base = written(phrases(docs), "phrases")
-    found = matches(docs).groupBy("row").agg(
-        F.collect_set("label").alias("more"), F.max("share").alias("share"), F.countDistinct("no").cast("long").alias("n_lines")
+    # a line's labels are those of the templates that it contains most of
+    lines = matches(docs, vocabulary(base)).groupBy("row", "no").agg(
+        F.max("share").alias("share"), F.collect_set(F.struct("share", "label")).alias("met")
+    )
+    most = F.transform(F.filter("met", lambda m: m["share"] == F.col("share")), lambda m: m["label"])
+    found = lines.select("row", "share", most.alias("labels")).groupBy("row").agg(
+        F.array_distinct(F.flatten(F.collect_set("labels"))).alias("more"), F.max("share").alias("share"), F.count(F.lit(1)).alias("n_lines")
     )
     rows = base.join(found, "row", "left")
     labels = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))))
@@ -195,7 +203,8 @@ met AS (
     SELECT s.doc_id, s.text, s.no, t.label, len(list_intersect(list_distinct(t.words), s.words)) AS common, len(list_distinct(t.words)) AS size
     FROM sets s, template t)
   WHERE common >= ceil({CONTAINMENT} * size - 1e-9)),
-more AS (SELECT doc_id, text, list(DISTINCT label) AS more, max(common / CAST(size AS DOUBLE)) AS share, count(DISTINCT no) AS n_lines FROM met GROUP BY ALL)
+most AS (SELECT *, common / CAST(size AS DOUBLE) AS share FROM met QUALIFY share = max(share) OVER (PARTITION BY doc_id, text, no)),
+more AS (SELECT doc_id, text, list(DISTINCT label) AS more, max(share) AS share, count(DISTINCT no) AS n_lines FROM most GROUP BY ALL)
 SELECT d.doc_id, CAST(len(l.words) AS BIGINT) AS n_words, CAST(coalesce(b.n_base, 0) AS BIGINT) AS n_base, b.first_word, b.last_word,
        coalesce(array_to_string(b.base, ','), '') AS base_labels,
        coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.base, []), coalesce(m.more, [])))), ','), '') AS labels,
