@@ -75,7 +75,7 @@ def grams(text):
     run = " ".join(run.split())
     if not run:
         return found
-    run = f" {run}  "  # the stream ends with the space after its last word and one more
+    run = f" {run} "
     for i in range(len(run)):
         if run[i] != " ":
             found[run[i]] += 1

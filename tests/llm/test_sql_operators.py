@@ -27,7 +27,7 @@ def test_license_places_and_labels(spark):
         3: "CC BY-NC, cc_by_nc and xcc by nc",
         4: "This work is licensed under the GNU General Public License, version 3.",
         5: "under the mit licenses",
-        6: "released into the public\ndomain",
+        6: "released into\nthe public\ndomain",
         7: "É under the mit license; under the mit license",
     }
     found = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
@@ -101,8 +101,8 @@ def test_mixed_keeps_what_is_taken(odd, none):
 
 
 def test_revisits(spark):
-    def row(i, url, ts, kind, etag=None, modified=None, **headers):
-        return i, url, ts, kind, etag, modified, headers or None
+    def row(i, url, ts, kind, tag=None, time=None, **headers):
+        return i, url, ts, kind, tag, time, headers or None
 
     page = "http://www.Example.org:80/a/?b=2&utm_source=x&a=1#top"
     rows = [
