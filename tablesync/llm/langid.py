@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablesync.llm.common import row_key, unused
+from tablesync.llm.common import map_texts, row_key, unused
 from tablesync.workspace import written
 
 #: N-grams in a profile, the longest n-gram, bits of a code point in a packed n-gram.
@@ -36,8 +36,8 @@ FOLDS, HELD = 4, 2
 
 UNKNOWN = "und"
 
-#: Letters that are counted at once.
-PIECE = 1 << 20
+#: Letters that are counted at once; n-grams (of 8 bytes) that wait to be added up.
+PIECE, WAITING = 1 << 20, 1 << 21
 
 
 #: Which code points of the first plane are letters; filled where it is first used.
@@ -55,13 +55,13 @@ def is_letter(points: np.ndarray) -> np.ndarray:
 
 def grams(text: str) -> np.ndarray:
     """All n-grams of a text, packed into integers, in no order; empty without a letter."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
+    points = np.frombuffer((text.lower() + " ").encode("utf-32-le", "replace"), np.uint32)
     letter = is_letter(points)
     if not letter.any():
         return np.empty(0, np.int64)
     kept = letter.copy()
     kept[1:] |= letter[:-1]  # one space after each word
-    run = np.concatenate(([32], np.where(letter, points, 32)[kept], [32])).astype(np.int64)
+    run = np.concatenate(([32], np.where(letter, points, 32)[kept])).astype(np.int64)
     two = (run[:-1] << BITS) | run[1:]
     inner = run[1:-1] != 32
     three = ((two[:-1] << BITS) | run[2:])[inner]
@@ -83,15 +83,26 @@ def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    waiting: dict[str, list[np.ndarray]] = {}
+    held = 0
+
+    def flush() -> None:
+        for lang, lists in waiting.items():
+            new = np.unique(np.concatenate(lists), return_counts=True)
+            sums[lang] = _added([sums[lang], new]) if lang in sums else new
+        waiting.clear()
+
     for batch in batches:
-        waiting: dict[str, list[np.ndarray]] = {}
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
             body = text.as_py()
             for i in range(0, len(body), PIECE):
-                waiting.setdefault(lang, []).append(grams(body[i : i + PIECE]))
-        for lang, lists in waiting.items():
-            new = np.unique(np.concatenate(lists), return_counts=True)
-            sums[lang] = _added([sums[lang], new]) if lang in sums else new
+                found = grams(body[i : i + PIECE])
+                waiting.setdefault(lang, []).append(found)
+                held += len(found)
+                if held > WAITING:
+                    flush()
+                    held = 0
+    flush()
     for lang, (keys, n) in sums.items():
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys), pa.array(n)], ["lang", "gram", "n"])
 
@@ -103,7 +114,7 @@ def held_out(name: str = "doc_id") -> F.Column:
 def profiles(docs: DataFrame) -> DataFrame:
     """``lang``, ``gram``, ``rank`` (from 0): the profile of each language, from all learning documents."""
     learn = docs.where(F.col("doc_id").isNotNull() & ~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = learn.select("lang", "text").mapInArrow(_by_language, "lang string, gram long, n long")
+    counts = map_texts(learn.select("lang", "text"), _by_language, "lang string, gram long, n long")
     sums = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     return sums.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < PROFILE).drop("n")
@@ -150,7 +161,7 @@ def predicted(docs: DataFrame, model: Profiles) -> DataFrame:
 
     names = ["doc_id", "row", "lang_pred", "score"]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("row"), "text")
-    return rows.mapInArrow(run, "doc_id long, row long, lang_pred string, score double")
+    return map_texts(rows, run, "doc_id long, row string, lang_pred string, score double")
 
 
 def learned(docs: DataFrame) -> Profiles:
