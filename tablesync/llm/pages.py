@@ -31,15 +31,22 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablesync.functions.sizing import broadcast_if_small
+from tablesync.llm.common import map_texts
 from tablesync.workspace import written
 
 #: Fewest pages and tokens of a valid class; share of a host's text in its content slot, if no tag names it.
 MIN_PAGES, MIN_TOKENS, MOST_TEXT = 3, 2, 0.5
 
+#: Tags that name the content slot, the higher the better; the whole page never is one.
+NAMED = {"article": 2, "main": 1, "": -1, "html": -1}
+
+#: No tag lies deeper.
+DEEPEST = 1 << 30
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp template svg math".split())
 BLOCKS = frozenset(
@@ -173,11 +180,11 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = sums[host, key]
                 own[0] ^= _mixed(page, n)
                 own[1] += 1
-    rows = [(host, key, s[2].up.key, s[2].tag, s[2].depth, s[2].drop, s[0], s[1], s[3]) for (host, key), s in sums.items()]
+    rows = [(host, key, s[2].up.key, NAMED.get(s[2].tag, 0), s[2].depth, s[2].drop, s[0], s[1], s[3]) for (host, key), s in sums.items()]
     if rows:
         columns = [pa.array(list(c)) for c in zip(*rows, strict=True)]
-        columns[4], columns[6] = columns[4].cast(pa.int32()), columns[6].cast(pa.int64())
-        yield pa.RecordBatch.from_arrays(columns, ["host", "token", "parent", "tag", "depth", "dropped", "vector", "pages", "chars"])
+        columns[3], columns[4], columns[6] = columns[3].cast(pa.int32()), columns[4].cast(pa.int32()), columns[6].cast(pa.int64())
+        yield pa.RecordBatch.from_arrays(columns, ["host", "token", "parent", "named", "depth", "dropped", "vector", "pages", "chars"])
 
 
 def _rows(pages: DataFrame) -> DataFrame:
@@ -187,12 +194,13 @@ def _rows(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """Every host's template: ``host``, ``token``, ``parent``, ``tag``, ``depth``, ``dropped``, ``chars`` and ``class_id``."""
-    schema = "host string, token long, parent long, tag string, depth int, dropped boolean, vector long, pages long, chars long"
-    rows = _rows(pages).select("host", "page", "html").mapInArrow(_occurrences, schema)
+    """Every host's template: ``host``, ``token``, ``parent``, ``named`` (as in :data:`NAMED`), ``depth``, ``dropped``, ``chars``, ``class_id``."""
+    schema = "host string, token long, parent long, named int, depth int, dropped boolean, vector long, pages long, chars long"
+    rows = map_texts(_rows(pages).select("host", "page", "html"), _occurrences, schema)
+    # all but the host is of fixed width, so the aggregate hashes; a token has one parent, name and depth
     tokens = rows.groupBy("host", "token").agg(
-        F.first("parent").alias("parent"), F.first("tag").alias("tag"), F.first("depth").alias("depth"),
-        F.first("dropped").alias("dropped"), F.bit_xor("vector").alias("class_id"), F.sum("pages").alias("pages"), F.sum("chars").alias("chars"),
+        F.max("parent").alias("parent"), F.max("named").alias("named"), F.max("depth").alias("depth"),
+        F.max("dropped").alias("dropped"), F.bit_xor("vector").alias("class_id"), F.sum("pages").alias("pages"), F.sum("chars").alias("chars"),
     )
     tokens = written(tokens, "page-tokens")
     frequent = tokens.where(F.col("pages") >= MIN_PAGES)
@@ -201,17 +209,18 @@ def templates(pages: DataFrame) -> DataFrame:
     outside = outside.withColumn("outer", F.when(F.col("outer") != F.col("class_id"), F.col("outer")))
     classes = outside.groupBy("host", "class_id").agg(F.count(F.lit(1)).alias("size"), F.min("outer").alias("a"), F.max("outer").alias("b"))
     valid = classes.where((F.col("size") >= MIN_TOKENS) & F.coalesce(F.col("a") == F.col("b"), F.lit(True)))
-    return frequent.join(valid.select("host", "class_id"), ["host", "class_id"]).drop("pages")
+    return written(frequent.join(valid.select("host", "class_id"), ["host", "class_id"], "left_semi").drop("pages"), "page-templates")
 
 
 def content(template: DataFrame) -> DataFrame:
     """``host`` and ``slots``: the tokens that hold its content."""
-    kept = template.where(~F.col("dropped") & ~F.col("tag").isin("", "html"))
-    half = F.col("chars") >= MOST_TEXT * F.max("chars").over(Window.partitionBy("host"))
-    rank = F.when(F.col("tag") == "article", 1 << 30).when(F.col("tag") == "main", 1 << 29).when(half, F.col("depth")).otherwise(-1)
-    ranked = kept.withColumn("rank", rank)
-    best = ranked.groupBy("host").agg(F.max("rank").alias("best")).where("best >= 0")
-    return ranked.join(best, "host").where("rank = best").groupBy("host").agg(F.sort_array(F.collect_set("token")).alias("slots"))
+    kept = template.where(~F.col("dropped") & (F.col("named") >= 0))
+    most = kept.groupBy("host").agg(F.max("chars").alias("most"))
+    enough = F.col("chars") >= MOST_TEXT * F.col("most")
+    ranked = kept.join(most, "host").withColumn("rank", F.when(F.col("named") > 0, F.col("named") + DEEPEST).when(enough, F.col("depth")))
+    best = ranked.groupBy("host").agg(F.max("rank").alias("best"))
+    chosen = ranked.join(best, "host").where("rank = best")
+    return chosen.groupBy("host").agg(F.sort_array(F.collect_set("token")).alias("slots"))
 
 
 def main_text(page: str, slots: list[int] | None = None) -> str:
@@ -264,4 +273,4 @@ def extract(pages: DataFrame) -> DataFrame:
     """One row per page: ``page_id``, ``url``, ``text`` (empty if none), ``n_chars`` (code points)."""
     slots = written(content(templates(pages)), "page-slots")
     rows = _rows(pages).join(broadcast_if_small(slots), "host", "left").select("page_id", "url", "html", "slots")
-    return rows.mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
+    return map_texts(rows, _extracted, "page_id long, url string, text string, n_chars long")
