@@ -14,6 +14,12 @@ boilerplate but the text of a group of copies. Likewise a document with 80 % of
 recurring lines is a copy as a whole. Copies are left to near-duplicate removal and are not emptied
 here. Lines of fewer than six tokens are not parsed: they recur by chance.
 
+That is the rule of the query, as its SQL has it. It lets a line pass that is itself the least hash of
+most of its documents, that also stands in a large group of copies, or that makes up most of a short
+document. The pipeline knows which documents are near copies and gives them as ``related``: documents
+are then related only if they are in one group, a template recurs as soon as it stands in three groups,
+and its lines are dropped wherever they stand.
+
 Scale: a first pass writes two hashes per line; kinds are counted by aggregates that combine before
 they shuffle, so a line that a third of all documents share is harmless. Only lines of recurring
 leaves are looked at again, as distinct lines with counts. Templates come from aggregates per leaf
@@ -63,9 +69,10 @@ def parsed(docs: DataFrame) -> DataFrame:
     return rows.select(row_key(docs).alias("row"), F.xxhash64("text").alias("copy"), lines.alias("lines"))
 
 
-def hashed(docs: DataFrame) -> DataFrame:
+def hashed(docs: DataFrame, related: DataFrame | None = None) -> DataFrame:
     """A row per line of six tokens or more: ``row``, ``copy``, ``all`` (tokens of the document),
-    ``kind`` (least hash of its lines' leading tokens), ``no``, ``leaf``, ``line`` (hash) and ``n`` (tokens).
+    ``kind`` (least hash of its lines' leading tokens; with ``related``, its document's ``root`` there),
+    ``no``, ``leaf``, ``line`` (hash) and ``n`` (tokens).
     """
 
     def entry(tokens: Column, no: Column) -> Column:
@@ -77,12 +84,19 @@ def hashed(docs: DataFrame) -> DataFrame:
     total = F.aggregate("lines", F.lit(0).cast("long"), lambda sum_, x: sum_ + x["n"])
     rows = rows.withColumn("all", total)
     rows = rows.withColumn("lines", F.filter("lines", lambda x: x["leaf"].isNotNull()))
-    rows = rows.select("row", "copy", "all", F.array_min(F.col("lines.lead")).alias("kind"), F.explode("lines").alias("l"))
+    rows = rows.withColumn("kind", F.array_min(F.col("lines.lead")))
+    if related is not None:
+        roots = related.groupBy("row").agg(F.min("root").alias("kind"))
+        rows = rows.drop("kind").join(roots, "row")
+    rows = rows.select("row", "copy", "all", "kind", F.explode("lines").alias("l"))
     return rows.select("row", "copy", "all", "kind", "l.no", "l.leaf", "l.line", "l.n")
 
 
-def _recurring(lines: DataFrame, by: str) -> DataFrame:
-    """Values of ``by`` that stand in enough unrelated documents."""
+def _recurring(lines: DataFrame, by: str, known: bool = False) -> DataFrame:
+    """Values of ``by`` that stand in enough unrelated documents; ``known``: kinds are groups of near copies."""
+    if known:
+        kinds = lines.select(by, "kind").distinct().groupBy(by).agg(F.count(F.lit(1)).alias("kinds"))
+        return kinds.where(F.col("kinds") >= MIN_KINDS).select(by)
     texts = lines.select(by, "kind", "copy").distinct().groupBy(by, "kind").agg(F.count(F.lit(1)).alias("texts"))
     sums = texts.groupBy(by).agg(F.count(F.lit(1)).alias("kinds"), F.sum("texts").alias("texts"))
     return sums.where((F.col("kinds") >= MIN_KINDS) & (F.col("kinds") >= KINDS_PER_TEXT * F.col("texts"))).select(by)
@@ -98,9 +112,9 @@ def templates(lines: DataFrame) -> DataFrame:
     return rows.groupBy("leaf").agg(F.transform(F.sort_array(F.collect_list("t")), lambda t: t["token"]).alias("template"))
 
 
-def dropped(docs: DataFrame) -> DataFrame:
+def dropped(docs: DataFrame, related: DataFrame | None = None) -> DataFrame:
     """``row`` and ``gone``: the numbers (from 0) of a document's dropped lines, for documents that lose any."""
-    lines = written(hashed(docs), "lines")
+    lines = written(hashed(docs, related), "lines")
     kinds = lines.select("leaf", "kind").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds"))
     leaves = written(kinds.where(F.col("kinds") >= MIN_KINDS).select("leaf"), "leaves")
 
@@ -119,18 +133,22 @@ def dropped(docs: DataFrame) -> DataFrame:
     group = F.when(share >= SIMILAR, F.col("leaf")).otherwise(F.col("line").cast("string"))
     groups = written(known.join(templates(known), "leaf").select("line", group.alias("template")), "line-templates")
     placed = lines.join(broadcast_if_small(groups), "line")
-    recurring = written(_recurring(placed, "template"), "recurring")
+    recurring = written(_recurring(placed, "template", related is not None), "recurring")
     bad = groups.join(recurring, "template", "left_semi").select("line")
     found = lines.join(broadcast_if_small(written(bad, "bad-lines")), "line", "left_semi")
     marks = found.groupBy("row").agg(F.collect_set(F.struct("no", "n")).alias("gone"), F.max("all").alias("all"))
     tokens = F.aggregate("gone", F.lit(0).cast("long"), lambda sum_, x: sum_ + x["n"])
-    return marks.where(tokens < COPY * F.col("all")).select("row", F.col("gone.no").alias("gone"))
+    marks = marks.where(tokens < COPY * F.col("all")) if related is None else marks
+    return marks.select("row", F.col("gone.no").alias("gone"))
+
 
+def dedupe(docs: DataFrame, counts: bool = False, related: DataFrame | None = None) -> DataFrame:
+    """``docs`` without the lines of recurring templates; with ``counts``, also ``n_lines`` and ``n_dropped``.
 
-def dedupe(docs: DataFrame, counts: bool = False) -> DataFrame:
-    """``docs`` without the lines of recurring templates; with ``counts``, also ``n_lines`` and ``n_dropped``."""
+    ``related`` (``row``, the row key, and ``root``) names every document's group of near copies.
+    """
     key, gone = unused(docs, "row_key", "gone_lines")
-    marks = dropped(docs).toDF(key, gone)
+    marks = dropped(docs, related).toDF(key, gone)
     rows = docs.withColumn(key, row_key(docs)).join(marks, key, "left")
     lines = F.split(F.col("text"), "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
