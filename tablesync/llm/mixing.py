@@ -9,7 +9,9 @@ its first ``slots`` blocks are taken.
 Scale: texts are read once, to count words. Prefix sums over a source go through buckets of the
 shuffle hash (sum within a bucket, offsets between buckets), and ranks of slots through runs of
 slots, so a source with a third of all rows never meets in one task. The schedule has at most
-``slots`` slots whatever the corpus, and blocks grow with it.
+``slots`` slots whatever the corpus, and blocks grow with it. Where blocks hold several words, a source
+whose target is under ``FEW`` blocks is not left to the schedule, which may give it no slot or one too
+many: it gives its target to the word, spread evenly over the slots from a point of its own.
 
 Defined cases: null text or only white space: size 0, nothing taken; null source: a source of its
 own, ordered last; null or repeated ids: every row is a document of its own; ties of the shuffle
@@ -21,7 +23,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablesync.functions.sizing import broadcast_if_small
@@ -37,6 +39,9 @@ MAX_REPEATS = 3
 #: Most slots of a schedule. Blocks hold ``total / SLOTS`` words, at least one.
 SLOTS = 1 << 20
 
+#: Blocks under which a source gives its target to the word.
+FEW = 64
+
 #: Golden-ratio points as 32-bit fractions: ``n * GOLDEN mod 2**32``.
 GOLDEN = 2654435769
 ONE = 1 << 32
@@ -102,6 +107,12 @@ def schedule(per: DataFrame, total: int, slots: int = SLOTS) -> DataFrame:
     return ranked.select("sid", (F.col("base") + F.col("inner")).alias("rank"), "slot")
 
 
+def spread(count: int) -> Column:
+    """The slot, of ``count``, of a word at ``start`` of the ``own`` words of a source: even steps from the source's golden-ratio point."""
+    begin = F.floor(F.lit(count) * ((F.col("sid") * GOLDEN) % ONE) / ONE)
+    return ((begin + F.floor(F.col("start") * count / F.col("own"))) % count).cast("long")
+
+
 def placed(
     docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_REPEATS, slots: int = SLOTS
 ) -> DataFrame:
@@ -117,7 +128,10 @@ def placed(
     block = max(1, math.ceil(total / slots))
     plan = written(schedule(per, total, slots), "mix-slots")
     filled = plan.groupBy("sid").agg(F.count(F.lit(1)).alias("filled"))
-    per = per.join(filled, "sid", "left").withColumn("reach", F.coalesce(F.col("filled"), F.lit(0)) * block)
+    few = F.lit(block > 1) & (F.col("target") < FEW * block)
+    own = F.when(few, F.round("target").cast("long"))
+    per = per.join(filled, "sid", "left").withColumn("own", own)
+    per = per.withColumn("reach", F.coalesce("own", F.col("filled") * block, F.lit(0)))
     per = per.withColumnRenamed("source", "its")
     at = sizes.join(broadcast_if_small(per), F.col("source").eqNullSafe(F.col("its")))
 
@@ -139,7 +153,8 @@ def placed(
     rank = F.when(F.col("size") > 0, F.floor(F.col("start") / block)).otherwise(F.lit(-1) - F.abs(F.xxhash64("h") % RUN))
     first = plan.select("sid", "rank", F.col("slot").alias("first_slot"))
     out = at.withColumn("rank", rank).join(first, ["sid", "rank"], "left")
-    return out.select("doc_id", "row", "size", "source_size", "target", "taken", F.coalesce("first_slot", F.lit(-1)).alias("first_slot"))
+    slot = F.when(F.col("own").isNull(), F.col("first_slot")).when((F.col("size") > 0) & (F.col("start") < F.col("own")), spread(math.ceil(total / block)))
+    return out.select("doc_id", "row", "size", "source_size", "target", "taken", F.coalesce(slot, F.lit(-1)).alias("first_slot"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
