@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablesync.llm import decontaminate, fingerprints, langid, licenses, linededup, mixing, neardup, pages, quality, revisits
+from tablesync.llm import decontaminate, fingerprints, fptree, langid, licenses, linededup, mixing, neardup, pages, quality, revisits
 from tablesync.llm.common import table
 
 
@@ -58,6 +58,11 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return fptree.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_main_text": op2_main_text,
@@ -69,6 +74,7 @@ QUERIES = {
     "op8_warc_revisits": op8_warc_revisits,
     "op9_quality": op9_quality,
     "op10_mix_sources": op10_mix_sources,
+    "op11_lexical_search": op11_lexical_search,
 }
 
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute force.
@@ -77,4 +83,5 @@ ORACLE = {
     "op4_line_dedup": linededup.SQL,
     "op8_warc_revisits": revisits.SQL,
     "op10_mix_sources": mixing.SQL,
+    "op11_lexical_search": fptree.SQL,
 }
