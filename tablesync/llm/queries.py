@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablesync.llm import decontaminate, fingerprints, fptree, langid, licenses, linededup, mixing, neardup, pages, quality, revisits
+from tablesync.llm import decontaminate, fingerprints, fptree, langid, licenses, linededup, mixing, neardup, pages, phrases, quality, revisits
 from tablesync.llm.common import table
 
 
@@ -63,6 +63,11 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fptree.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every language's best collocations."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_main_text": op2_main_text,
@@ -75,6 +80,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_mix_sources": op10_mix_sources,
     "op11_lexical_search": op11_lexical_search,
+    "op12_collocations": op12_collocations,
 }
 
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute force.
@@ -84,4 +90,5 @@ ORACLE = {
     "op8_warc_revisits": revisits.SQL,
     "op10_mix_sources": mixing.SQL,
     "op11_lexical_search": fptree.SQL,
+    "op12_collocations": phrases.SQL,
 }
