@@ -13,7 +13,7 @@ and of both parts. Phrases that a longer one mostly explains are dropped, and ea
 2,000 are returned.
 
 Scale: a task sums up equal prefixes and suffixes of some megabytes of text before they leave it, as
-columns of one row per group. Prefixes are dealt by a hash of the whole prefix, so a frequent word
+compressed columns in one row per group. Prefixes are dealt by a hash of the whole prefix, so a frequent word
 or pair is no hot group. Two-word prefixes above the budget (at most 10,000 by construction) are
 extended: their suffixes are dealt by all their words, and partial totals of the shared nodes are
 added up after. So a group holds about the budget, whatever the corpus. A bitmap of at most 2 MB
@@ -53,7 +53,7 @@ BEST = 2_000
 GROUP_BYTES, GROUP_SUFFIXES, EXTENDED = 1 << 23, 1 << 20, 10_000
 
 #: Bytes of text that a task sums up at once.
-HELD_BYTES = 1 << 24
+HELD_BYTES = 1 << 22
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else 10 if chr(c) in ".,;:!?\n\x0b\x0c\r" else c for c in range(256))
@@ -122,23 +122,35 @@ def _equal(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, count
 
 
-_GROUPED = "grp int, lang string, " + ", ".join(f"w{i} array<string>" for i in range(1, WORDS + 1)) + ", n array<long>"
+#: A group's rows of a task: columns ``lang``, ``w1`` and on, ``n``, as one compressed Arrow stream.
+_GROUPED = "grp int, payload binary"
 
 
 def _rows(held: Held, group: np.ndarray, lang: np.ndarray, numbers: list[np.ndarray], count: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row per group and language, whose columns are lists."""
+    """One row per group, which holds the group's rows in order."""
     order = np.lexsort((*numbers[::-1], lang, group))
-    group, lang, count, numbers = group[order], lang[order], count[order], [x[order] for x in numbers]
-    if not len(group):
-        return
-    cuts = np.flatnonzero(np.concatenate(([True], (np.diff(group) != 0) | (np.diff(lang) != 0))))
-    ends = pa.array(np.concatenate((cuts, [len(group)])), pa.int32())
-    lists = [pa.ListArray.from_arrays(ends, held.column(x)) for x in numbers]
-    lists += [pa.ListArray.from_arrays(ends, pa.nulls(len(group), pa.string()))] * (WORDS - len(numbers))
-    columns = [pa.array(group[cuts], pa.int32()), pa.array([held.langs[i] for i in lang[cuts]], pa.string()), *lists]
-    names = ["grp", "lang", *(f"w{i}" for i in range(1, WORDS + 1)), "n"]
-    whole = pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(ends, pa.array(count, pa.int64()))], names)
-    yield from (whole.slice(at, 64) for at in range(0, len(whole), 64))
+    group, lang, numbers = group[order], lang[order], [x[order] for x in numbers]
+    columns = [pa.array(held.langs, pa.string()).take(pa.array(lang)), *map(held.column, numbers)]
+    columns += [pa.nulls(len(group), pa.string())] * (WORDS - len(numbers)) + [pa.array(count[order], pa.int64())]
+    whole = pa.RecordBatch.from_arrays(columns, _COLUMNS)
+    cuts = np.flatnonzero(np.diff(group, prepend=-2))
+    for at in range(0, len(cuts), _PAYLOADS):
+        some = cuts[at : at + _PAYLOADS + 1]
+        ends = [*some[1:], *[len(group)] * (len(some) <= _PAYLOADS)]
+        payloads = []
+        for begin, end in zip(some, ends, strict=False):
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_batch(whole.slice(begin, end - begin))
+            payloads.append(out.getvalue().to_pybytes())
+        numbers_ = pa.array(group[some[: len(payloads)]], pa.int32())
+        yield pa.RecordBatch.from_arrays([numbers_, pa.array(payloads, pa.binary())], ["grp", "payload"])
+
+
+_COLUMNS = ["lang", *(f"w{i}" for i in range(1, WORDS + 1)), "n"]
+
+#: Payloads of a batch.
+_PAYLOADS = 64
 
 
 def _parts(lang: str, text: bytes) -> Iterator[tuple[str, bytes]]:
@@ -225,9 +237,8 @@ def _sorted_totals(columns: list[np.ndarray], n: np.ndarray) -> tuple[np.ndarray
     return order[at], np.add.reduceat(n[order], at) if len(at) else n
 
 
-def _codes(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    held = pc.dictionary_encode(column, null_encoding="encode")
-    return held.indices.to_numpy(zero_copy_only=False).astype(np.int64), held.dictionary
+def _codes(column: pa.Array) -> np.ndarray:
+    return pc.dictionary_encode(column, null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 _COUNTED = "lang string, k int, phrase string, f long"
@@ -237,15 +248,16 @@ def _subtree(depths: tuple[int, ...], least: int):
     """Builds a group's subtree and reads the totals at ``depths``; below ``least`` they are left out."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        counts = table.column("n").combine_chunks()
-        n = counts.flatten().to_numpy()
+        first_group = table.column("grp")[0].as_py()
+        held = [pa.ipc.open_stream(x.as_buffer()).read_all() for x in table.column("payload")]
+        table = pa.concat_tables(held).combine_chunks()
+        n = table.column("n").to_numpy()
         langs = table.column("lang").combine_chunks().dictionary_encode()
-        lang = np.repeat(langs.indices.to_numpy().astype(np.int64), pc.list_value_length(counts).to_numpy())
-        words = [table.column(f"w{i}").combine_chunks().flatten() for i in range(1, WORDS + 1)]
-        codes = [_codes(w)[0] for w in words[: max(depths)]]
+        lang = langs.indices.to_numpy().astype(np.int64)
+        words = [table.column(f"w{i}").combine_chunks() for i in range(1, WORDS + 1)]
+        codes = [_codes(w) for w in words[: max(depths)]]
         parts = []
-        if table.column("grp")[0].as_py() < 0:
+        if first_group < 0:
             first, total = _sorted_totals([lang], n)
             parts.append([langs.dictionary.take(pa.array(lang[first])), pa.array([0] * len(first), pa.int32()), pa.array([""] * len(first)), pa.array(total)])
             depths_here: tuple[int, ...] = ()
