@@ -56,6 +56,9 @@ INSERTED, SHARD_ROOT, SHARD_MOST = 512, 64, 131_072
 #: Distinct query vectors of a block; queries that walk the graph side by side.
 QUERY_BLOCK, ABREAST = 16_384, 256
 
+#: Distances between proposals that pruning holds at once.
+PAIRS = 1 << 22
+
 _FAR = np.float32(np.inf)
 
 
@@ -112,6 +115,9 @@ def beam(data: np.ndarray, edges: np.ndarray, starts: np.ndarray, queries: np.nd
 def prune(data: np.ndarray, own: np.ndarray, proposed: np.ndarray, alpha: float = ALPHA, degree: int = DEGREE) -> np.ndarray:
     """Diverse neighbours of the nodes ``own`` among their ``proposed`` rows (-1: none), nearest first, padded with -1."""
     m, k = proposed.shape
+    if m > 1 and m * k * k > PAIRS:
+        rows = max(1, PAIRS // (k * k))
+        return np.concatenate([prune(data, own[at : at + rows], proposed[at : at + rows], alpha, degree) for at in range(0, m, rows)])
     ordered = np.sort(proposed, axis=1)
     ordered[:, 1:][ordered[:, 1:] == ordered[:, :-1]] = -1
     ordered[ordered == own[:, None]] = -1

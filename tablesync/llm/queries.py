@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablesync.llm import decontaminate, fingerprints, fptree, langid, licenses, linededup, mixing, neardup, pages, phrases, quality, revisits
+from tablesync.llm import decontaminate, fingerprints, fptree, langid, licenses, linededup, mixing, neardup, neighbours, pages, phrases, quality, revisits
 from tablesync.llm.common import table
 
 
@@ -68,6 +68,11 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors of every 20th vector."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_main_text": op2_main_text,
@@ -81,6 +86,7 @@ QUERIES = {
     "op10_mix_sources": op10_mix_sources,
     "op11_lexical_search": op11_lexical_search,
     "op12_collocations": op12_collocations,
+    "op13_nearest_neighbours": op13_nearest_neighbours,
 }
 
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute force.
