@@ -23,8 +23,8 @@ Recall against brute force, on sf0.1 and check tables, is stated in the README;
 
 Defined cases: vectors that are null, zero, empty or hold null or non-finite components, and rows
 without id, take no part, neither as queries nor as candidates; vectors of different lengths never
-meet (each length has shards of its own); rows of equal id and vector are one, rows of equal id and
-different vectors are candidates of their own, but never neighbours of their own id; equal scores
+meet (each length has shards of its own); rows of equal id and vector are one; rows of equal id and
+different vectors are different rows, which may find each other and are answered each; equal scores
 rank by id; fewer than 20 candidates: all that are found; empty tables give no rows; other columns
 are ignored.
 """
@@ -32,7 +32,6 @@ are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -208,12 +207,12 @@ def _built(table: pa.Table) -> pa.Table:
 
 
 _GRAPH = "shard string, node string, at int, start boolean, vec array<double>, ids array<long>, edges array<int>"
-_FOUND = "node string, vec_id long, score double"
+_FOUND = "node string, vec_id long, score double, twin boolean"
 
 
-def _searched(key: tuple, index: pa.Table, asked: pa.Table) -> Iterator[pa.RecordBatch] | pa.Table:
-    names = ["node", "vec_id", "score"]
-    types = [pa.string(), pa.int64(), pa.float64()]
+def _searched(index: pa.Table, asked: pa.Table) -> pa.Table:
+    names = ["node", "vec_id", "score", "twin"]
+    types = [pa.string(), pa.int64(), pa.float64(), pa.bool_()]
     if not len(index) or not len(asked):
         return pa.table([pa.array([], t) for t in types], names)
     index = index.sort_by("at")
@@ -221,26 +220,28 @@ def _searched(key: tuple, index: pa.Table, asked: pa.Table) -> Iterator[pa.Recor
     data, edges = lifted(vectors), _matrix(index.column("edges"), np.int64)
     starts = np.flatnonzero(index.column("start").to_numpy())
     flat = np.concatenate((queries, np.zeros((len(queries), 1))), axis=1).astype(np.float32)
-    ids = index.column("ids").to_pylist()
-    owners, found, scores = [], [], []
+    ids, names_of, askers = (index.column("ids").to_pylist(), index.column("node").to_pylist(), asked.column("node").to_pylist())
+    owners, found, scores, twins = [], [], [], []
     for at in range(0, len(queries), ABREAST):
         nodes, _ = beam(data, edges, starts, flat[at : at + ABREAST], QUERY_BEAM)
         for i, near in enumerate(nodes, at):
             near = near[near >= 0]
             score = np.einsum("ij,j->i", vectors[near], queries[i])
             order = np.argsort(-score, kind="stable")
-            own, own_scores = [], []
+            own, own_scores, own_twins = [], [], []
             for x in order:  # a node's ids tie; nodes beyond the last score that fits cannot enter
                 if len(own) > NEAREST and score[x] < own_scores[-1]:
                     break
                 own += ids[near[x]]
                 own_scores += [score[x]] * len(ids[near[x]])
+                own_twins += [names_of[near[x]] == askers[i]] * len(ids[near[x]])
             best = np.lexsort((np.array(own, np.int64), -np.array(own_scores)))[: NEAREST + 1]
             owners += [i] * len(best)
             found += [own[b] for b in best]
             scores += [own_scores[b] for b in best]
+            twins += [own_twins[b] for b in best]
     node = asked.column("node").combine_chunks().take(pa.array(owners, pa.int64()))
-    return pa.table([node, pa.array(found, pa.int64()), pa.array(scores, pa.float64())], names)
+    return pa.table([node, pa.array(found, pa.int64()), pa.array(scores, pa.float64()), pa.array(twins, pa.bool_())], names)
 
 
 def usable(embeddings: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -284,8 +285,8 @@ def nearest(embeddings: DataFrame, vec_id: str = "vec_id", vector: str = "embedd
     found = copies.groupBy("shard", "block").cogroup(visits.groupBy("shard", "block")).applyInArrow(_searched, _FOUND)
     place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("score"), "vec_id"))
     best = written(found.withColumn("place", place).where(F.col("place") <= NEAREST + 1).drop("place"), "found")
-    lists = best.groupBy("node").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))).alias("near"))
+    lists = best.groupBy("node").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id", "twin"))).alias("near"))
     answers = asking.withColumnRenamed("vec_id", "query_id").join(lists, "node")
-    others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, NEAREST)
+    others = F.slice(F.filter("near", lambda x: ~x["twin"] | (x["vec_id"] != F.col("query_id"))), 1, NEAREST)
     answers = answers.select("query_id", F.posexplode(others).alias("place", "x"))
     return answers.select("query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.far")).alias("score"))

@@ -341,9 +341,9 @@ def collocations(docs: DataFrame, least: int = LEAST, best: int = BEST) -> DataF
     kept = kept.where(F.col("longer").isNull() | ~explained)
 
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("c.score"), F.desc("a"), "phrase"))
-    ranked = kept.withColumn("rank", place.cast("long")).where(F.col("rank") <= best)
+    ranked = kept.withColumn("rank", place).where(F.col("rank") <= best)
     sizes = found.where("k = 0").select("lang", F.col("f").alias("n"))
-    return ranked.join(sizes, "lang").select("lang", "rank", "phrase", "a", "c.l", "c.r", "n", "c.score")
+    return ranked.join(sizes, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "c.l", "c.r", "n", "c.score")
 
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
