@@ -7,26 +7,23 @@ and ``<*>`` where no token has half of them. A line that equals the template in
 positions or more belongs to it; any other line is a template of its own. Lines of a template that
 recurs across documents are dropped, wherever they stand.
 
-A template recurs if it stands in three or more unrelated documents. Documents are related if they
-share the least hash among their lines' leading tokens, as copies with some edits mostly do; and a template whose
-documents are nearly all related to each other (fewer than a quarter as many kinds as texts) is no
-boilerplate but the text of a group of copies. Likewise a document with 80 % of its tokens or more in
-recurring lines is a copy as a whole. Copies are left to near-duplicate removal and are not emptied
-here. Lines of fewer than six tokens are not parsed: they recur by chance.
-
-That is the rule of the query, as its SQL has it. It lets a line pass that is itself the least hash of
-most of its documents, that also stands in a large group of copies, or that makes up most of a short
-document. The pipeline knows which documents are near copies and gives them as ``related``: documents
-are then related only if they are in one group, a template recurs as soon as it stands in three groups,
-and its lines are dropped wherever they stand.
-
-Scale: a first pass writes two hashes per line; kinds are counted by aggregates that combine before
-they shuffle, so a line that a third of all documents share is harmless. Only lines of recurring
-leaves are looked at again, as distinct lines with counts. Templates come from aggregates per leaf
-and position, never from a list of a leaf's lines. The last pass joins each document with the
-numbers of its dropped lines.
-
-Defined cases: null text stays null, empty text empty; every document keeps its row; repeated rows (same id and text) are the same document; of tokens that are
+A template recurs if three documents vouch for it; shorter lines recur by chance and need more: twice
+as many for each token under six. A document vouches if at least half of the tokens of its other
+lines are its own, that is stand in leaves that no other text reaches. So the lines of a group of
+copies are not taken for boilerplate, however large the group is and wherever its members were
+edited: nearly all their lines are each other's. Copies are left to near-duplicate removal, but lose
+a template like any document once others vouch for it. Texts count once, whatever their copies.
+
+Scale: a first pass writes hashes of every line. Whether a leaf is shared is an aggregate of its
+least and largest text hash, so a line that a third of all documents share is harmless; only lines
+of shared leaves go on, once per text. Templates come from aggregates per leaf and position, never
+from a list of a leaf's lines, and are written before lines join them, so that the join can split a
+leaf with many lines. Vouching documents are counted by plain aggregates. The last pass joins each
+document with the numbers of its dropped lines.
+
+Defined cases: null text stays null, empty text empty; lines of spaces alone separate paragraphs and
+stay; every document keeps its row, also one that loses all lines; a document without other lines
+vouches for nothing; rows of equal text have equal results, and ids do not matter; of tokens that are
 equally frequent, the last in code point order enters the template; empty table: no rows; other
 columns are kept as they are.
 """
@@ -37,17 +34,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablesync.functions.sizing import broadcast_if_small
-from tablesync.llm.common import row_key, unused
+from tablesync.llm.common import unused
 from tablesync.workspace import written
 
 #: Leading tokens on a line's path; the share of positions in which a line must equal its template.
 DEPTH, SIMILAR = 4, 0.7
 
-#: Fewest tokens of a line that is parsed; unrelated documents that make a template recur; kinds per text.
-MIN_TOKENS, MIN_KINDS, KINDS_PER_TEXT = 6, 3, 0.25
-
-#: A document with this share of its tokens in recurring lines is a copy and stays whole.
-COPY = 0.8
+#: Documents that must vouch for a template; tokens under which it takes twice as many for each token less.
+VOUCHING, SHORT = 3, 6
 
 FIELD = "<*>"
 
@@ -58,48 +52,47 @@ def _tokens(line: Column) -> Column:
     return F.when(line.rlike("[0-9]"), masked).otherwise(plain)
 
 
-def _path(tokens: Column) -> Column:
-    return F.concat_ws(" ", F.size(tokens).cast("string"), F.slice(tokens, 1, DEPTH))
+def _leaf(tokens: Column) -> Column:
+    return F.xxhash64(F.size(tokens), F.slice(tokens, 1, DEPTH))
+
+
+def text_key() -> list[Column]:
+    """Two hashes that stand for a text."""
+    return [F.xxhash64("text").alias("t"), F.xxhash64("text", F.lit(1)).alias("u")]
 
 
 def parsed(docs: DataFrame) -> DataFrame:
-    """Every text: ``row`` (row key), ``copy`` (hash of the text) and ``lines``, an array of token arrays."""
-    lines = F.transform(F.split(F.col("text"), "\n"), _tokens)
-    rows = docs.where("text is not null")
-    return rows.select(row_key(docs).alias("row"), F.xxhash64("text").alias("copy"), lines.alias("lines"))
+    """Every text: ``t``, ``u`` (its key) and ``lines``: numbers and tokens of those that are not blank."""
+    lines = F.transform(F.split(F.col("text"), "\n"), lambda s, i: F.struct(i.alias("no"), s.alias("s")))
+    lines = F.filter(lines, lambda x: F.trim(x["s"]) != "")
+    lines = F.transform(lines, lambda x: F.struct(x["no"].alias("no"), _tokens(x["s"]).alias("tokens")))
+    return docs.where("text is not null").select(*text_key(), lines.alias("lines"))
 
 
-def hashed(docs: DataFrame, related: DataFrame | None = None) -> DataFrame:
-    """A row per line of six tokens or more: ``row``, ``copy``, ``all`` (tokens of the document),
-    ``kind`` (least hash of its lines' leading tokens; with ``related``, its document's ``root`` there),
-    ``no``, ``leaf``, ``line`` (hash) and ``n`` (tokens).
-    """
+def hashed(docs: DataFrame) -> DataFrame:
+    """A row per line: ``t``, ``u`` (key of its text), ``all`` (tokens of the text), ``no``, ``leaf``, ``line`` (hash) and ``n`` (tokens)."""
 
-    def entry(tokens: Column, no: Column) -> Column:
-        leaf = F.when(F.size(tokens) >= MIN_TOKENS, F.substring(F.md5(_path(tokens).cast("binary")), 1, 16))
-        lead = F.substring(F.md5(F.concat_ws(" ", F.slice(tokens, 1, DEPTH)).cast("binary")), 1, 16)
-        return F.struct(no.alias("no"), leaf.alias("leaf"), F.xxhash64(tokens).alias("line"), F.size(tokens).alias("n"), lead.alias("lead"))
+    def entry(x: Column) -> Column:
+        tokens = x["tokens"]
+        return F.struct(x["no"].alias("no"), _leaf(tokens).alias("leaf"), F.xxhash64(tokens).alias("line"), F.size(tokens).alias("n"))
 
-    rows = parsed(docs).select("row", "copy", F.transform("lines", entry).alias("lines"))
+    rows = parsed(docs).select("t", "u", F.transform("lines", entry).alias("lines"))
     total = F.aggregate("lines", F.lit(0).cast("long"), lambda sum_, x: sum_ + x["n"])
-    rows = rows.withColumn("all", total)
-    rows = rows.withColumn("lines", F.filter("lines", lambda x: x["leaf"].isNotNull()))
-    rows = rows.withColumn("kind", F.array_min(F.col("lines.lead")))
-    if related is not None:
-        roots = related.groupBy("row").agg(F.min("root").alias("kind"))
-        rows = rows.drop("kind").join(roots, "row")
-    rows = rows.select("row", "copy", "all", "kind", F.explode("lines").alias("l"))
-    return rows.select("row", "copy", "all", "kind", "l.no", "l.leaf", "l.line", "l.n")
-
-
-def _recurring(lines: DataFrame, by: str, known: bool = False) -> DataFrame:
-    """Values of ``by`` that stand in enough unrelated documents; ``known``: kinds are groups of near copies."""
-    if known:
-        kinds = lines.select(by, "kind").distinct().groupBy(by).agg(F.count(F.lit(1)).alias("kinds"))
-        return kinds.where(F.col("kinds") >= MIN_KINDS).select(by)
-    texts = lines.select(by, "kind", "copy").distinct().groupBy(by, "kind").agg(F.count(F.lit(1)).alias("texts"))
-    sums = texts.groupBy(by).agg(F.count(F.lit(1)).alias("kinds"), F.sum("texts").alias("texts"))
-    return sums.where((F.col("kinds") >= MIN_KINDS) & (F.col("kinds") >= KINDS_PER_TEXT * F.col("texts"))).select(by)
+    rows = rows.withColumn("all", total).select("t", "u", "all", F.explode("lines").alias("l"))
+    return rows.select("t", "u", "all", "l.no", "l.leaf", "l.line", "l.n")
+
+
+def enough(count: str, tokens: str) -> Column:
+    """Do ``count`` documents make a line of that many ``tokens`` recur?"""
+    return F.col(count) >= VOUCHING * F.pow(F.lit(2), F.greatest(F.lit(0), SHORT - F.col(tokens)))
+
+
+def shared_lines(docs: DataFrame) -> DataFrame:
+    """The lines of leaves that stand in several texts, once per text: the columns of :func:`hashed`."""
+    lines = written(hashed(docs), "lines")
+    leaves = lines.groupBy("leaf").agg(F.min("t").alias("least"), F.max("t").alias("most"))
+    leaves = written(leaves.where("least != most").select("leaf"), "shared-leaves")
+    return lines.join(broadcast_if_small(leaves), "leaf", "left_semi").distinct()
 
 
 def templates(lines: DataFrame) -> DataFrame:
@@ -112,44 +105,42 @@ def templates(lines: DataFrame) -> DataFrame:
     return rows.groupBy("leaf").agg(F.transform(F.sort_array(F.collect_list("t")), lambda t: t["token"]).alias("template"))
 
 
-def dropped(docs: DataFrame, related: DataFrame | None = None) -> DataFrame:
-    """``row`` and ``gone``: the numbers (from 0) of a document's dropped lines, for documents that lose any."""
-    lines = written(hashed(docs, related), "lines")
-    kinds = lines.select("leaf", "kind").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds"))
-    leaves = written(kinds.where(F.col("kinds") >= MIN_KINDS).select("leaf"), "leaves")
-
-    def entry(tokens: Column) -> Column:
-        leaf = F.substring(F.md5(_path(tokens).cast("binary")), 1, 16)
-        return F.struct(leaf.alias("leaf"), tokens.alias("tokens"))
-
-    long = F.filter("lines", lambda t: F.size(t) >= MIN_TOKENS)
-    again = parsed(docs).select(F.explode(F.transform(long, entry)).alias("l")).select("l.leaf", "l.tokens")
-    again = again.join(broadcast_if_small(leaves), "leaf", "left_semi")
-    known = again.groupBy("leaf", "tokens").agg(F.count(F.lit(1)).alias("n"))
-    known = written(known.withColumn("line", F.xxhash64("tokens")), "known-lines")
-
+def placed_lines(docs: DataFrame, shared: DataFrame) -> DataFrame:
+    """``line`` and ``template`` (a key) of the distinct lines whose leaves stand in enough texts to recur."""
+    texts = shared.select("leaf", "t", "u", "n").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("texts"), F.max("n").alias("n"))
+    leaves = written(texts.where(enough("texts", "n")).select("leaf"), "leaves")
+    again = parsed(docs).select(F.explode(F.transform("lines", lambda x: F.struct(_leaf(x["tokens"]).alias("leaf"), x["tokens"].alias("tokens")))).alias("l"))
+    again = again.select("l.leaf", "l.tokens").join(broadcast_if_small(leaves), "leaf", "left_semi").distinct()
+    counts = shared.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+    known = written(again.withColumn("line", F.xxhash64("tokens")).join(counts, "line"), "known-lines")
     fits = F.zip_with("tokens", "template", lambda a, b: (a == b) & (b != FIELD))
     share = F.size(F.filter(fits, lambda x: x)) / F.size("tokens")
-    group = F.when(share >= SIMILAR, F.col("leaf")).otherwise(F.col("line").cast("string"))
-    groups = written(known.join(templates(known), "leaf").select("line", group.alias("template")), "line-templates")
-    placed = lines.join(broadcast_if_small(groups), "line")
-    recurring = written(_recurring(placed, "template", related is not None), "recurring")
-    bad = groups.join(recurring, "template", "left_semi").select("line")
-    found = lines.join(broadcast_if_small(written(bad, "bad-lines")), "line", "left_semi")
-    marks = found.groupBy("row").agg(F.collect_set(F.struct("no", "n")).alias("gone"), F.max("all").alias("all"))
-    tokens = F.aggregate("gone", F.lit(0).cast("long"), lambda sum_, x: sum_ + x["n"])
-    marks = marks.where(tokens < COPY * F.col("all")) if related is None else marks
-    return marks.select("row", F.col("gone.no").alias("gone"))
-
-
-def dedupe(docs: DataFrame, counts: bool = False, related: DataFrame | None = None) -> DataFrame:
-    """``docs`` without the lines of recurring templates; with ``counts``, also ``n_lines`` and ``n_dropped``.
-
-    ``related`` (``row``, the row key, and ``root``) names every document's group of near copies.
-    """
-    key, gone = unused(docs, "row_key", "gone_lines")
-    marks = dropped(docs, related).toDF(key, gone)
-    rows = docs.withColumn(key, row_key(docs)).join(marks, key, "left")
+    group = F.when(share >= SIMILAR, F.concat(F.lit("leaf "), F.col("leaf"))).otherwise(F.concat(F.lit("line "), F.col("line")))
+    found = known.join(broadcast_if_small(written(templates(known), "templates")), "leaf")
+    return found.select("line", group.alias("template"))
+
+
+def dropped(docs: DataFrame) -> DataFrame:
+    """``t``, ``u`` (a text's key) and ``gone``: the numbers (from 0) of its dropped lines, for texts that lose any."""
+    shared = written(shared_lines(docs), "shared-lines")
+    groups = written(placed_lines(docs, shared), "line-templates")
+    placed = shared.join(broadcast_if_small(groups), "line")
+    stand = placed.groupBy("template", "t", "u").agg(F.sum("n").alias("here"), F.max("n").alias("n"))
+    texts = shared.groupBy("t", "u").agg(F.max("all").alias("all"), F.sum("n").alias("shared"))
+    others = F.col("all") - F.col("here")
+    vouching = stand.join(texts, ["t", "u"]).where((others > 0) & ((F.col("all") - F.col("shared")) * 2 >= others))
+    votes = vouching.groupBy("template").agg(F.count(F.lit(1)).alias("votes"), F.max("n").alias("n"))
+    recurring = written(votes.where(enough("votes", "n")).select("template"), "recurring")
+    bad = written(groups.join(broadcast_if_small(recurring), "template", "left_semi").select("line"), "bad-lines")
+    return shared.join(broadcast_if_small(bad), "line", "left_semi").groupBy("t", "u").agg(F.collect_set("no").alias("gone"))
+
+
+def dedupe(docs: DataFrame, counts: bool = False) -> DataFrame:
+    """``docs`` without the lines of recurring templates; with ``counts``, also ``n_lines`` and ``n_dropped``."""
+    t, u, gone = unused(docs, "text_hash", "text_hash_2", "gone_lines")
+    marks = dropped(docs).toDF(t, u, gone)
+    keys = [F.when(F.col("text").isNotNull(), key).alias(name) for key, name in zip(text_key(), (t, u), strict=True)]
+    rows = docs.select("*", *keys).join(broadcast_if_small(written(marks, "dropped-lines")), [t, u], "left")
     lines = F.split(F.col("text"), "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
     kept = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
@@ -168,37 +159,32 @@ def dedupe_lines(docs: DataFrame) -> DataFrame:
 
 
 _TOK = "CASE WHEN regexp_matches({0}, '[0-9]') THEN list_transform(string_split({0}, ' '), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) ELSE string_split({0}, ' ') END"
+_ENOUGH = f"{{0}} >= {VOUCHING} * power(2, greatest(0, {SHORT} - {{1}}))"
 
 SQL = f"""
-WITH doc AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
-split AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM doc),
-tok AS (SELECT doc_id, text, no, {_TOK.format("s")} AS tokens FROM split),
-total AS (SELECT doc_id, text, sum(len(tokens)) AS total FROM tok GROUP BY ALL),
-lines AS (SELECT *, substr(md5(array_to_string(list_concat([CAST(len(tokens) AS VARCHAR)], tokens[1:{DEPTH}]), ' ')), 1, 16) AS leaf
-          FROM tok WHERE len(tokens) >= {MIN_TOKENS}),
-kinds AS (SELECT *, min(substr(md5(array_to_string(tokens[1:{DEPTH}], ' ')), 1, 16)) OVER (PARTITION BY doc_id, text) AS kind FROM lines),
-leaves AS (SELECT leaf FROM kinds GROUP BY leaf HAVING count(DISTINCT kind) >= {MIN_KINDS}),
-tokrows AS (SELECT l.leaf, l.tokens FROM lines l JOIN documents d ON d.doc_id IS NOT DISTINCT FROM l.doc_id AND d.text = l.text
-            WHERE l.leaf IN (SELECT leaf FROM leaves)),
-known AS (SELECT leaf, tokens, count(*) AS n FROM tokrows GROUP BY ALL),
+WITH doc AS (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL),
+split AS (SELECT text, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM doc),
+tok AS (SELECT text, no, {_TOK.format("s")} AS tokens FROM split WHERE trim(s) <> ''),
+lines AS (SELECT *, len(tokens) AS n, array_to_string(list_concat([CAST(len(tokens) AS VARCHAR)], tokens[1:{DEPTH}]), ' ') AS leaf FROM tok),
+texts AS (SELECT leaf, max(n) AS n, count(DISTINCT text) AS texts FROM lines GROUP BY leaf),
+stats AS (SELECT text, sum(l.n) AS total, sum(CASE WHEN x.texts = 1 THEN l.n ELSE 0 END) AS own FROM lines l JOIN texts x USING (leaf) GROUP BY text),
+known AS (SELECT leaf, tokens, count(*) AS n FROM lines
+          WHERE leaf IN (SELECT leaf FROM texts WHERE texts > 1 AND {_ENOUGH.format("texts", "n")}) GROUP BY ALL),
 spread AS (SELECT leaf, n, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM known),
 votes AS (SELECT leaf, pos, token, sum(n) AS n FROM spread GROUP BY ALL),
 best AS (SELECT leaf, pos, CASE WHEN 2 * max(n) >= sum(n) THEN arg_max(token, (n, token)) ELSE '<*>' END AS token FROM votes GROUP BY ALL),
 templ AS (SELECT leaf, list(token ORDER BY pos) AS template FROM best GROUP BY leaf),
 groups AS (SELECT k.leaf, k.tokens,
              CASE WHEN len(list_filter(list_zip(k.tokens, t.template), lambda x: x[1] = x[2] AND x[2] <> '<*>')) / CAST(len(k.tokens) AS DOUBLE) >= {SIMILAR}
-                  THEN k.leaf ELSE 'own ' || array_to_string(k.tokens, ' ') END AS template
+                  THEN 'leaf ' || k.leaf ELSE 'line ' || array_to_string(k.tokens, ' ') END AS template
            FROM known k JOIN templ t ON t.leaf = k.leaf),
-placed AS (SELECT g.template, k.kind, k.text, k.doc_id, k.no, len(k.tokens) AS n FROM kinds k JOIN groups g ON g.leaf = k.leaf AND g.tokens = k.tokens),
-recurring AS (SELECT template FROM placed GROUP BY template
-              HAVING count(DISTINCT kind) >= {MIN_KINDS} AND count(DISTINCT kind) >= {KINDS_PER_TEXT} * count(DISTINCT text)),
-found AS (SELECT DISTINCT doc_id, text, no, n FROM placed WHERE template IN (SELECT template FROM recurring)),
-gone AS (SELECT f.* FROM found f JOIN (
-           SELECT x.doc_id, x.text FROM (SELECT doc_id, text, sum(n) AS n FROM found GROUP BY ALL) x
-           JOIN total t ON t.doc_id IS NOT DISTINCT FROM x.doc_id AND t.text = x.text WHERE x.n < {COPY} * t.total) y
-         ON y.doc_id IS NOT DISTINCT FROM f.doc_id AND y.text = f.text),
-kept AS (SELECT s.doc_id, s.text, count(*) AS n_lines, count(g.no) AS n_dropped, coalesce(string_agg(s.s, chr(10) ORDER BY s.no) FILTER (WHERE g.no IS NULL), '') AS rest
-         FROM split s LEFT JOIN gone g ON g.doc_id IS NOT DISTINCT FROM s.doc_id AND g.text = s.text AND g.no = s.no GROUP BY s.doc_id, s.text)
+placed AS (SELECT g.template, l.text, l.no, l.n FROM lines l JOIN groups g ON g.leaf = l.leaf AND g.tokens = l.tokens),
+stand AS (SELECT template, text, sum(n) AS here, max(n) AS n FROM placed GROUP BY ALL),
+vouch AS (SELECT template, count(*) AS votes, max(s.n) AS n FROM stand s JOIN stats x USING (text)
+          WHERE x.total > s.here AND 2 * x.own >= x.total - s.here GROUP BY template),
+gone AS (SELECT DISTINCT text, no FROM placed WHERE template IN (SELECT template FROM vouch WHERE {_ENOUGH.format("votes", "n")})),
+kept AS (SELECT s.text, count(*) AS n_lines, count(g.no) AS n_dropped, coalesce(string_agg(s.s, chr(10) ORDER BY s.no) FILTER (WHERE g.no IS NULL), '') AS rest
+         FROM split s LEFT JOIN gone g ON g.text = s.text AND g.no = s.no GROUP BY s.text)
 SELECT d.doc_id, CAST(coalesce(k.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(k.n_dropped, 0) AS BIGINT) AS n_dropped, k.rest AS text
-FROM documents d LEFT JOIN kept k ON k.doc_id IS NOT DISTINCT FROM d.doc_id AND k.text = d.text
+FROM documents d LEFT JOIN kept k ON k.text = d.text
 """
