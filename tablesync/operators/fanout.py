@@ -4,15 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tablesync.functions.sizing import ROWS_PER_WRITER, broadcast_if_small, spread_for_write
 from tablesync.operators.augment import augment
+from tablesync.operators.batches import append_batch, batch_place
 from tablesync.operators.extract import column, extract
-from tablesync.operators.integrity import BatchMarks, append_once
 from tablesync.spec import Bookkeeping, Mode, StreamSpec, SyncContext
-from tablesync.workspace import Folder
-
 
 def tenant_rows(
     df: DataFrame,
@@ -47,32 +44,23 @@ def tenant_rows(
 def export_all_tenants(
     rows: DataFrame,
     root: str,
+    spec: StreamSpec,
     ctx: SyncContext,
     batch_size: int | None = None,
     rows_per_writer: int = ROWS_PER_WRITER,
-    stream: str = "",
+    namespace: str = "",
 ) -> str:
-    """Write :func:`tenant_rows` as ``tenant_id=…/dt=…`` folders.
+    """Write :func:`tenant_rows` of a stream as ``tenant_id=…/dt=…`` folders, in which every batch of every stream has its own.
 
     Rows per tenant are counted first, on the tenant column alone, so that a tenant with
-    a large share of the rows is written by many tasks and a small one by one. A batch
-    of a stream that is there already is not written again; ``stream`` tells the streams apart
-    that are exported to one root.
+    a large share of the rows is written by many tasks and a small one by one. A batch that is
+    written again replaces itself; several streams may share a root and a batch id.
     """
-    day = ctx.synced_at.date()
-    spark = rows.sparkSession
-    there = None
-    if Folder(spark, root).exists():
-        schema = T.StructType([*rows.schema.fields, T.StructField("dt", T.DateType())])
-        there = spark.read.schema(schema).parquet(root).where(F.col("dt") == F.lit(day))
     counts = rows.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n"))
 
-    def write(df: DataFrame) -> None:
-        arranged = spread_for_write(df, "tenant_id", counts, rows_per_writer)
-        writer = arranged.withColumn("dt", F.lit(day)).write.mode("append")
-        if batch_size:
-            writer = writer.option("maxRecordsPerFile", batch_size)
-        writer.partitionBy("tenant_id", "dt").parquet(root)
+    def arranged(df: DataFrame) -> DataFrame:
+        return spread_for_write(df, "tenant_id", counts, rows_per_writer)
 
-    append_once(rows, stream, ctx, BatchMarks(spark, root), there, write)
+    options = {"maxRecordsPerFile": batch_size} if batch_size else {}
+    append_batch(rows, root, batch_place(spec, ctx, namespace), ["tenant_id"], arranged, **options)
     return root

@@ -18,6 +18,7 @@ from tablesync.functions.identifiers import safe_identifier_column
 from tablesync.functions.types import normalise, schemas_compatible
 from tablesync.operators import fanout, integrity, runlog, schedule, upsert
 from tablesync.operators.augment import augment
+from tablesync.operators.batches import BATCH, STREAM
 from tablesync.operators.extract import extract, stream_count
 from tablesync.plans.stage import stage_dataset
 from tablesync.plans.transfer import SyncConfig, rerun, run_sync
@@ -89,7 +90,7 @@ def tenant_incremental_export(spark, sf_dir):
     sink = ObjectStoreSink(spark, {"connect": {"root": root, "format": "hive"}, "mode": WINDOW})
     sink.write(staged)
     sink.check(staged)
-    return spark.read.parquet(hive_root(root, spec))
+    return spark.read.parquet(hive_root(root, spec)).drop(STREAM, BATCH)
 
 
 @query("""
@@ -601,10 +602,26 @@ def tenant_fanout(spark, sf_dir):
     recipients = customer.select(F.col("c_mktsegment").alias("tenant_id")).distinct()
     spec = StreamSpec("orders", "", "o_orderkey", include_columns=("o_totalprice", "segment"))
     rows = fanout.tenant_rows(fact, recipients, spec, "segment", ctx=context())
-    root = fanout.export_all_tenants(rows, fresh_folder(spark, "fanout"), context())
+    root = fanout.export_all_tenants(rows, fresh_folder(spark, "fanout"), spec, context())
     return spark.read.parquet(root).select("tenant_id", "o_orderkey", "o_totalprice")
 
 
+@query("""
+SELECT c_mktsegment AS tenant_id, 'customer' AS stream, c_custkey AS id FROM customer WHERE c_mktsegment <> 'FURNITURE'
+UNION ALL SELECT c_mktsegment, 'debtor', c_custkey FROM customer WHERE c_mktsegment <> 'FURNITURE'
+""")
+def fanout_two_streams(spark, sf_dir):
+    """Two streams of equally many rows exported to one root in one batch, each of them twice: a folder holds all rows of both."""
+    customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_mktsegment")
+    recipients = customer.select(F.col("c_mktsegment").alias("tenant_id")).where("tenant_id <> 'FURNITURE'").distinct()
+    root = fresh_folder(spark, "fanout-two")
+    for name in ("customer", "debtor") * 2:
+        spec = StreamSpec(name, "", "id")
+        rows = fanout.tenant_rows(customer, recipients, spec, "c_mktsegment", ctx=context())
+        fanout.export_all_tenants(rows, root, spec, context())
+    return spark.read.parquet(root).select("tenant_id", F.regexp_replace(STREAM, "-.*", "").alias("stream"), "id")
+
+
 @query("""
 SELECT sink, o_orderkey, o_totalprice FROM (VALUES ('staging'), ('hive')) AS s(sink) CROSS JOIN orders
 """)
@@ -629,7 +646,10 @@ WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_
 SELECT o_orderkey, o_orderpriority, o_totalprice FROM r WHERE rn <= (SELECT n FROM m)
 """)
 def hive_two_schemas(spark, sf_dir):
-    """Two schemas with one table name and equally many rows, in one batch: the folder they share holds all rows."""
+    """Two schemas with one table name and equally many rows, in one batch: the folder they share holds all rows.
+
+    The first run is lost after it wrote a part of one stream, and a second time before it began the other.
+    """
     orders = table(spark, sf_dir, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
     rank = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_orderkey"))
     ranked = orders.withColumn("rn", rank)
@@ -640,6 +660,9 @@ def hive_two_schemas(spark, sf_dir):
         chosen.where(F.col("o_orderpriority") == priority).write.parquet(f"{root}/source/{schema}/orders.parquet")
     specs = [StreamSpec("orders", schema, "o_orderkey") for schema in ("urgent", "high")]
     dataset = file_source(spark, f"{root}/source", *specs, batch_id=True).read()
+    lost = dataset.stream("orders", "urgent").df
+    write_hive(lost.where("o_orderkey % 2 = 0"), f"{root}/target", specs[0], dataset.ctx, namespace=dataset.namespace)
+    write_hive(lost, f"{root}/target", specs[0], dataset.ctx, namespace=dataset.namespace)
     for _ in range(2):  # the batch again adds nothing
         sink = ObjectStoreSink(spark, {"connect": {"root": f"{root}/target", "format": "hive"}})
         sink.write(dataset)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Mapping
 from typing import Any
 
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame
 from tablesync.dataset import Dataset, Stream
 from tablesync.errors import DestinationError
 from tablesync.functions.sizing import clustered_for_write
-from tablesync.operators.integrity import BatchMarks, append_once, batch_count
+from tablesync.operators.batches import BATCH, append_batch, batch_place, batch_rows, stream_identity
 from tablesync.sinks.base import Sink
 from tablesync.spec import StreamSpec, SyncContext
 from tablesync.workspace import Folder
@@ -35,7 +34,7 @@ def staging_path(root: str, namespace: str, spec: StreamSpec, ctx: SyncContext)
 
 
 def hive_root(root: str, spec: StreamSpec) -> str:
-    """``root/table``, below which lie ``dt=YYYY-MM-DD`` folders of the sync date."""
+    """``root/table``, below which lie ``dt=YYYY-MM-DD`` folders of the sync date, and in them one per stream and batch."""
     return f"{root.rstrip('/')}/{spec.name}"
 
 
@@ -58,25 +57,16 @@ def write_hive(
     df: DataFrame, root: str, spec: StreamSpec, ctx: SyncContext,
     batch_size: int | None = None, compression: str = "snappy", namespace: str = "",
 ) -> str:
-    """Append one batch of a stream to the ``dt`` folder of its sync date, a map-only job.
+    """Write one batch of a stream below the ``dt`` folder of its sync date, a map-only job.
 
-    Streams of several schemas share the folder of their table name. Each batch of each leaves a
-    mark, so a repeated run adds nothing, whatever else the folder holds.
+    Streams of several schemas share the folder of their table name; each batch of each has a folder
+    of its own in it, so a repeated run replaces its rows, whatever else the table holds.
     """
-    path = hive_root(root, spec)
-    folder = f"{path}/dt={ctx.synced_at.date()}"
-    spark = df.sparkSession
-    there = spark.read.schema(df.schema).parquet(folder) if Folder(spark, folder).exists() else None
-    write = lambda rows: _writer(rows, "append", batch_size, compression).parquet(folder)
-    append_once(df, stream_identity(spec, namespace), ctx, BatchMarks(spark, path), there, write)
+    path, options = hive_root(root, spec), {"compression": compression.lower()}
+    append_batch(df, path, batch_place(spec, ctx, namespace), **options, **({"maxRecordsPerFile": batch_size} if batch_size else {}))
     return path
 
 
-def stream_identity(spec: StreamSpec, namespace: str = "") -> str:
-    """What tells the streams apart that append to one folder: source, schema, table and tenant."""
-    return json.dumps([namespace, spec.schema_name, spec.name, sorted((k, str(v)) for k, v in spec.filters.items())])
-
-
 class ObjectStoreSink(Sink):
     """``connect``: ``root`` (any Hadoop URI) or a bucket, and ``format`` (``staging`` or ``hive``).
 
@@ -136,20 +126,21 @@ class ObjectStoreSink(Sink):
         return f"{self.path(stream, dataset)} {stream_identity(stream.spec, dataset.namespace)}"
 
     def loaded_rows(self, stream: Stream, dataset: Dataset, target: DataFrame) -> int:
-        """Rows of the batch, without those that the marks give to other streams of the folder."""
-        found = batch_count(target, dataset.ctx.batch_id, dataset.ctx.column("batch_id"))
+        """Rows of the batch's own folder."""
         if self.format != "hive":
-            return found
-        known = BatchMarks(self.spark, self.path(stream, dataset)).rows(dataset.ctx.batch_id)
-        return found - sum(n for s, n in known.items() if s != stream_identity(stream.spec, dataset.namespace))
+            return super().loaded_rows(stream, dataset, target)
+        place = batch_place(stream.spec, dataset.ctx, dataset.namespace)
+        return batch_rows(self.spark, self.path(stream, dataset), stream.df.schema, place).count()
 
     def target(self, stream: Stream, dataset: Dataset) -> DataFrame | None:
+        """The staged batch; of a hive table the stream's rows of all batches of the day."""
         path = self.path(stream, dataset)
-        if self.format == "hive":
-            path = f"{path}/dt={dataset.ctx.synced_at.date()}"
         if not Folder(self.spark, path).exists():
             return None
-        return self.spark.read.schema(stream.df.schema).parquet(path)
+        if self.format != "hive":
+            return self.spark.read.schema(stream.df.schema).parquet(path)
+        place = batch_place(stream.spec, dataset.ctx, dataset.namespace)
+        return batch_rows(self.spark, path, stream.df.schema, {k: v for k, v in place.items() if k != BATCH})
 
     def clean(self, dataset: Dataset) -> None:
         if self.trial:

@@ -217,7 +217,7 @@ def fanned(spark, folder, events, tenants, ctx=SyncContext.at("2025-01-10")):
     recipients = spark.createDataFrame([(t,) for t in tenants], "tenant_id string")
     out = tenant_rows(events, recipients, StreamSpec("events", "", "event_id", "ts"), "event_type", ctx=ctx,
                       marks=Bookkeeping(batch_id=True))
-    return export_all_tenants(out, folder, ctx)
+    return export_all_tenants(out, folder, StreamSpec("events", "", "event_id", "ts"), ctx)
 
 
 def test_j7_fanout_equals_one_export_per_tenant(spark, folder, events):
@@ -241,6 +241,18 @@ def test_j7_a_repeated_batch_adds_nothing(spark, folder, events):
     assert spark.read.parquet(root).count() == events.where("event_type = 'click'").count()
 
 
+def test_j7_two_streams_of_one_root_and_batch(spark, folder, events):
+    """Equally many rows under one batch id: neither replaces the other, each replaces itself."""
+    recipients = spark.createDataFrame([("click",), ("purchase",)], "tenant_id string")
+    for name in ("a", "b", "a"):
+        spec = StreamSpec(name, "", "event_id", "ts")
+        out = tenant_rows(events, recipients, spec, "event_type", ctx=SyncContext.at("2025-01-10"))
+        export_all_tenants(out, folder, spec, SyncContext.at("2025-01-10"))
+    n = events.where("event_type in ('click', 'purchase')").count()
+    assert spark.read.parquet(folder).count() == 2 * n
+    assert {r["count"] for r in spark.read.parquet(folder).groupBy("sync__stream").count().collect()} == {n}
+
+
 def test_j7_repeated_recipients_and_number_tenants(spark, folder, events):
     recipients = spark.createDataFrame([("1",), ("1",), ("x",), ("02",)], "tenant_id string")
     out = tenant_rows(events, recipients, StreamSpec("events", "", "event_id"), "user_id")
@@ -260,7 +272,7 @@ def test_j7_a_hot_tenant_is_written_by_several_tasks(spark, folder, monkeypatch)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     spark.conf.set("spark.sql.shuffle.partitions", "32")
     try:
-        root = export_all_tenants(out, folder, SyncContext.at("2025-01-10"), rows_per_writer=10_000)
+        root = export_all_tenants(out, folder, StreamSpec("x", "", "id"), SyncContext.at("2025-01-10"), rows_per_writer=10_000)
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
         spark.conf.set("spark.sql.shuffle.partitions", "4")
