@@ -30,9 +30,8 @@ def _row_bytes(schema: T.StructType) -> Column:
 def measure(
     df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES
 ) -> tuple[int, bool]:
-    """Rows of ``df``, counted up to ``max_rows + 1``, and whether it fits both bounds."""
-    size = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(df.schema)).alias("bytes"))
-    n, total = size.first()
+    """Rows of ``df``, and whether it fits both bounds; a plain aggregate, so only sums leave a task."""
+    n, total = df.agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(df.schema)).alias("bytes")).first()
     return n, n <= max_rows and (total or 0) <= max_bytes
 
 
@@ -61,6 +60,13 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Spark's estimate of all that a plan reads; what it cannot estimate, such as rows of the driver, counts nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(n for n in sizes if n < 1 << 60)
+
+
 def clustered_for_write(df: DataFrame) -> DataFrame:
     """Gather the rows of a selective read of many files into few files of the advisory size."""
     return df.hint("rebalance") if estimated_bytes(df) > GATHER_ABOVE_BYTES else df

@@ -203,3 +203,16 @@ def upsert_replace(
 def upsert_delete_insert(target: DataFrame, stage: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Delete every target row whose key is staged, then insert the whole stage, copies included."""
     return upsert_replace(target, stage, keys)
+
+
+def merge_into(stage: DataFrame, table: str, keys: Sequence[str], guard: str = "none", cursor: str | None = None) -> None:
+    """The same upsert as one ``MERGE`` of a catalog table whose format supports it; the table's format commits it.
+
+    The stage's keys must be unique. NULL keys match nothing and are inserted.
+    """
+    name = "stage"
+    on = reduce(and_, [F.col(f"{table}.{k}") == F.col(f"{name}.{k}") for k in keys])
+    newer = F.col(f"{name}.{cursor}") >= F.col(f"{table}.{cursor}") if guard == "cursor" else None
+    matched = stage.alias(name).mergeInto(table, on)
+    matched = matched.whenMatched(newer).updateAll() if newer is not None else matched.whenMatched().updateAll()
+    matched.whenNotMatched().insertAll().merge()

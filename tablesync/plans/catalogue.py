@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ from tablesync.sinks.catalog import register_table
 from tablesync.sinks.compound import CompoundSink
 from tablesync.sinks.console import preview
 from tablesync.sinks.objectstore import ObjectStoreSink, hive_root, write_hive
-from tablesync.sinks.snapshot import SnapshotSink, SnapshotTable, part_by_date, part_by_hash
+from tablesync.sinks.snapshot import SnapshotSink, SnapshotTable
 from tablesync.sources.files import FileSource
 from tablesync.spec import DAILY, SIXHOURLY, Bookkeeping, Mode, ModelSpec, StreamSpec, SyncContext
 from tablesync.streaming.upsert import file_feed, stream_upsert
@@ -335,29 +336,22 @@ def upsert_idempotent(spark, sf_dir):
     return target.read()
 
 
-class _CrashingTable(SnapshotTable):
-    """Loses its run after the rows were written and before they were committed."""
-
-    def _commit(self, version):
-        raise OSError("the run was lost")
-
-
 @query("""
 SELECT event_id, ts, user_id, event_type, value + CASE WHEN ts >= TIMESTAMP '2024-01-18' THEN 1 ELSE 0 END AS value FROM events
 """)
 def upsert_after_crash(spark, sf_dir):
-    """A run that was lost before its commit leaves no trace; the next upsert finds the rows of before."""
+    """A run that is lost while it writes leaves no trace; the next upsert finds the rows of before."""
     events = _event_values(spark, sf_dir)
-    folder = fresh_folder(spark, "crash")
-    cut = part_by_hash(["event_id"], 4)
-    SnapshotTable(spark, folder, cut).replace(extract(events, EVENTS, _until("2024-01-20")))
+    target = SnapshotTable(spark, fresh_folder(spark, "crash"), 4)
+    target.replace(extract(events, EVENTS, _until("2024-01-20")), ["event_id"])
     lost = extract(events, EVENTS, _until("2024-01-05")).withColumn("value", F.col("value") - 7)
+    fails = F.when(F.col("event_id") % 97 == 0, F.raise_error(F.lit("the run was lost")).cast("double")).otherwise(F.col("value"))
     try:
-        _CrashingTable(spark, folder, cut).upsert(lost, ["event_id"], "ts")
-    except OSError:
+        target.upsert(lost.withColumn("value", fails), ["event_id"], "ts", dedupe="none", on_disk=True, rows=10**9)
+    except PySparkException:
         stage = extract(events, EVENTS, _from("2024-01-18")).withColumn("value", F.col("value") + 1)
-        SnapshotTable(spark, folder).upsert(stage, ["event_id"], "ts")
-    return SnapshotTable(spark, folder).read()
+        target.upsert(stage, ["event_id"], "ts")
+    return target.read()
 
 
 @query("""
@@ -368,10 +362,10 @@ SELECT * FROM stage
 UNION ALL SELECT t.* FROM target t WHERE NOT EXISTS (SELECT 1 FROM stage s WHERE s.event_id = t.event_id)
 """)
 def upsert_parts(spark, sf_dir):
-    """A table cut by day rewrites touched days only; replaced rows move to another day."""
+    """A table in many parts rewrites those of staged keys; replaced rows move to another day."""
     events = _event_values(spark, sf_dir)
-    target = SnapshotTable(spark, fresh_folder(spark, "parts"), part_by_date("ts", "yyyy-MM-dd"))
-    target.replace(extract(events, EVENTS, _until("2024-01-20")))
+    target = SnapshotTable(spark, fresh_folder(spark, "parts"), 16)
+    target.replace(extract(events, EVENTS, _until("2024-01-20")), ["event_id"])
     stage = extract(events, EVENTS, _from("2024-01-18")).withColumn("value", F.col("value") + 1)
     stage = stage.withColumn("ts", F.col("ts") + F.lit(timedelta(days=40)))
     target.upsert(stage, ["event_id"], "ts")
@@ -742,7 +736,7 @@ def streaming_upsert(spark, sf_dir):
     """Three feeds, the newest first: late rows must not overwrite newer ones."""
     folder = fresh_folder(spark, "stream")
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value")
-    target = SnapshotTable(spark, f"{folder}/target", part_by_hash(["user_id"], 8))
+    target = SnapshotTable(spark, f"{folder}/target", 8)
     slices = (_from("2024-01-21"), Mode.window("2024-01-11", "2024-01-21"), _until("2024-01-11"))
     for window in slices:
         extract(rows, EVENTS, window).write.mode("append").parquet(f"{folder}/feed")
@@ -760,7 +754,7 @@ def streaming_replay(spark, sf_dir):
     """The whole feed again, in the order it came and with no memory of the first time: the target stays as it is."""
     folder = fresh_folder(spark, "replay")
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value")
-    target = SnapshotTable(spark, f"{folder}/target", part_by_hash(["user_id"], 4))
+    target = SnapshotTable(spark, f"{folder}/target", 4)
     for window in (_from("2024-01-16"), _until("2024-01-16")):
         extract(rows, EVENTS, window).write.mode("append").parquet(f"{folder}/feed")
     for attempt in range(2):

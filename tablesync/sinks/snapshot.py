@@ -1,22 +1,18 @@
-"""Upsert targets in plain Parquet: immutable part folders and a manifest per version.
-
-Every write goes to a new folder of its own name. A commit file then names, for every part
-of the table, the folder that holds it; parts that a version leaves alone stay with the
-folder of an older one. Creating the commit file is the only switch: readers see the old
-version or the new one, a run that loses the race has touched nothing of the winner's, and
-what a crashed run leaves behind is named by no commit. Readers never write.
+"""Upsert targets in plain Parquet folders.
+
+Below a table's root lie ``sync__parts=<n>/sync__part=<i>`` folders; a row's part is a hash of its key, so a
+key never moves. An upsert merges the parts that hold staged keys and writes them with dynamic
+partition overwrite: Spark stages their files and exchanges the folders when the job commits, and a
+lost run leaves the table as it was. A full refresh loads a folder beside the table and renames it.
+Any Parquet reader can read the table. Writers of one table must take turns; where that cannot be
+had, use a table format of the session's catalog (:func:`tablesync.operators.upsert.merge_into`).
 """
 
 from __future__ import annotations
 
-import datetime as dt
-import json
 import math
-import time
 import uuid
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass, field
-from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,303 +20,130 @@ from pyspark.sql import types as T
 
 from tablesync.dataset import Dataset, Stream
 from tablesync.errors import DestinationError, DestinationStreamInvalidSchema
-from tablesync.functions.sizing import estimated_bytes, spread_for_write
-from tablesync.functions.types import schemas_compatible
+from tablesync.functions.sizing import input_bytes, spread_for_write
+from tablesync.functions.types import comparable, schemas_compatible
 from tablesync.operators.extract import column
-from tablesync.operators.upsert import distinct_keys, gathered, prepare_stage, surplus_rows, upsert_replace
+from tablesync.operators.upsert import any_null, gathered, prepare_stage, surplus_rows, upsert_replace
 from tablesync.sinks.base import Sink
-from tablesync.workspace import Folder, fresh_folder, written
+from tablesync.workspace import Folder, written
 
-PART = "sync_part"
+PARTS, PART = "sync__parts", "sync__part"
 
 #: Up to this share of repeated rows, only the rows of repeated keys are sorted.
 SPARSE_SHARE = 0.05
 
-#: A keyed table without a cut of its own is cut by a hash of its key into parts of about this size.
-PART_BYTES = 256 * 1024 * 1024
-
-#: With this many staged rows per hash part, all parts are taken as touched without looking.
-ROWS_TOUCH_ALL = 16
-
-#: Versions that are kept, and hours for which readers may still use an older one.
-KEEP_VERSIONS, KEEP_HOURS = 2, 24
-
-
-@dataclass(frozen=True)
-class Cut:
-    """Where a row lives: by a hash of ``columns`` into ``parts``, or by a formatted date column."""
-
-    kind: str
-    columns: tuple[str, ...]
-    parts: int = 0
-    pattern: str = ""
-
-    def of(self, df: DataFrame) -> Column:
-        """The part of a row, as a plain folder name."""
-        if self.kind == "hash":
-            part = F.pmod(F.xxhash64(*[column(c) for c in self.columns]), F.lit(self.parts)).cast("string")
-        else:
-            part = F.date_format(column(self.columns[0]), self.pattern)
-        return F.coalesce(F.regexp_replace(part, "[^A-Za-z0-9_.-]", "_"), F.lit("none"))
-
-    def stable(self, keys: Sequence[str]) -> bool:
-        """Does a key always stay in its part?"""
-        return self.kind == "hash" and set(self.columns) <= set(keys)
-
-
-def part_by_date(name: str, pattern: str = "yyyy-MM") -> Cut:
-    """Parts by a formatted date column, e.g. one per month."""
-    return Cut("date", (name,), pattern=pattern)
-
-
-def part_by_hash(keys: Sequence[str], parts: int) -> Cut:
-    """Parts by a hash of the key: a key never moves, whatever else changes in its row."""
-    return Cut("hash", tuple(keys), parts)
-
-
-def hash_parts_for(df: DataFrame, keys: Sequence[str]) -> Cut:
-    """Hash parts of about :data:`PART_BYTES`, by Spark's estimate of the rows."""
-    return part_by_hash(keys, max(1, math.ceil(estimated_bytes(df) / PART_BYTES)))
-
+#: Bytes of a part at a full load; a table whose parts have grown to so many times that is cut anew by its next upsert.
+PART_BYTES, GROWN = 256 * 1024 * 1024, 4
 
-@dataclass
-class Version:
-    """A commit: the schema, the cut, and for every part its folder and the bounds of its first key, if known."""
+#: With this many staged rows per part, or this many touched parts, all parts are merged without naming them.
+ROWS_TOUCH_ALL, MOST_NAMED = 16, 10_000
 
-    number: int
-    schema: T.StructType
-    cut: Cut | None
-    parts: dict[str, str] = field(default_factory=dict)
-    bounds: dict[str, list] = field(default_factory=dict)
 
-    def text(self) -> str:
-        return json.dumps({
-            "version": self.number, "schema": self.schema.jsonValue(), "cut": asdict(self.cut) if self.cut else None,
-            "parts": self.parts, "bounds": self.bounds,
-        })
-
-    @classmethod
-    def load(cls, text: str) -> Version:
-        commit = json.loads(text)
-        cut = commit["cut"] and Cut(**{**commit["cut"], "columns": tuple(commit["cut"]["columns"])})
-        return cls(commit["version"], T.StructType.fromJson(commit["schema"]), cut, commit["parts"], commit["bounds"])
-
-
-def _plain(value: Any) -> Any:
-    """A bound as JSON can hold it; None if its order would be lost."""
-    if isinstance(value, (dt.date, dt.datetime)):
-        return value.isoformat()
-    return value if isinstance(value, (int, str)) and not isinstance(value, bool) else None
+def part_of(df: DataFrame, keys: Sequence[str], parts: int) -> Column:
+    """The part of a row: a hash of its key, or of the whole row where a key is NULL, as such rows match nothing."""
+    whole = [column(f.name) for f in sorted(df.schema.fields, key=lambda f: f.name) if comparable(f.dataType)]
+    key = F.xxhash64(*[column(k) for k in keys])
+    return F.pmod(F.when(any_null(keys), F.xxhash64(*whole)).otherwise(key), F.lit(parts)).cast("int")
 
 
 class SnapshotTable:
-    """A Parquet table under ``root`` that supports full replacement and upsert.
-
-    ``cut`` says how a new table is cut into parts. A table keeps its cut until it is
-    replaced; readers need not know it.
-    """
+    """A Parquet table under ``root`` with full replacement and upsert; ``parts`` (else by size) is how a full load cuts it."""
 
-    def __init__(self, spark: SparkSession, root: str, cut: Cut | None = None):
-        self.spark, self.root, self.cut = spark, root.rstrip("/"), cut
+    def __init__(self, spark: SparkSession, root: str, parts: int | None = None):
+        self.spark, self.root, self.cut = spark, root.rstrip("/"), parts
         self.folder = Folder(spark, self.root)
+        self.known: T.StructType | None = None  # the schema, once this object has read or written the table
 
-    # ---- versions
-
-    def version(self) -> int:
-        """Number of the current version, 0 if the table does not exist."""
-        names = self.folder.names("commits")
-        return max((int(n.removesuffix(".json")[1:]) for n in names if n.endswith(".json")), default=0)
+    def parts(self) -> int:
+        """Into how many parts the table is cut, 0 if it does not exist."""
+        return max((int(n.partition("=")[2]) for n in self.folder.names() if n.startswith(f"{PARTS}=")), default=0)
 
     def exists(self) -> bool:
-        return self.version() > 0
+        return self.parts() > 0
 
-    def _load(self, number: int) -> Version:
-        return Version.load(self.folder.text(f"commits/v{number:08d}.json"))
-
-    def current(self) -> Version:
-        number = self.version()
-        if not number:
+    def _placed(self, schema: T.StructType | None = None) -> DataFrame:
+        if not self.exists():
             raise DestinationError(f"{self.root} does not exist")
-        return self._load(number)
+        reader = self.spark.read
+        if schema is not None:  # spares the job that reads a footer
+            reader = reader.schema(T.StructType([*schema.fields, T.StructField(PARTS, T.IntegerType()), T.StructField(PART, T.IntegerType())]))
+        return reader.parquet(self.root).drop(PARTS)
+
+    def read(self, schema: T.StructType | None = None) -> DataFrame:
+        return self._placed(schema).drop(PART)
 
     def schema(self) -> T.StructType:
-        return self.current().schema
-
-    def _commit(self, version: Version) -> int:
-        """Make a version the current one; its new folders go if another run was first."""
-        try:
-            self.folder.create(f"commits/v{version.number:08d}.json", version.text())
-        except Exception as cause:
-            raise DestinationError(f"version {version.number} of {self.root} was committed by another run") from cause
-        return version.number
-
-    # ---- reading
-
-    def _path(self, version: Version, part: str) -> str:
-        folder = f"{self.root}/data/{version.parts[part]}"
-        return f"{folder}/{PART}={part}" if version.cut else folder
-
-    def _read(self, version: Version, parts: Sequence[str] | None = None) -> DataFrame:
-        paths = [self._path(version, p) for p in sorted(version.parts if parts is None else parts)]
-        if not paths:
-            return self.spark.createDataFrame([], version.schema)
-        return self.spark.read.schema(version.schema).parquet(*paths)
-
-    def read(self, parts: Sequence[str] | None = None) -> DataFrame:
-        """The current rows; ``parts`` prunes to some parts."""
-        version = self.current()
-        return self._read(version, None if parts is None else [p for p in parts if p in version.parts])
-
-    # ---- writing
-
-    def _write(self, df: DataFrame, cut: Cut | None, sized_by: DataFrame | None = None) -> dict[str, str]:
-        """Write ``df`` to a new folder; returns the parts in it. ``sized_by`` has the part of (about) every row."""
-        name = f"{int(time.time())}-{uuid.uuid4().hex}"
-        path = f"{self.root}/data/{name}"
-        if cut is None:
-            df.write.parquet(path)
-            return {"": name}
-        if cut.kind == "hash" and cut.parts == 1:
-            df.write.parquet(f"{path}/{PART}=0")
-            return {"0": name}
-        rows = df.withColumn(PART, cut.of(df))
-        counts = (rows if sized_by is None else sized_by).groupBy(PART).agg(F.count(F.lit(1)).alias("n"))
-        spread_for_write(rows, PART, counts).write.partitionBy(PART).parquet(path)
-        found = Folder(self.spark, path).names()
-        return {n.removeprefix(f"{PART}="): name for n in found if n.startswith(f"{PART}=")}
-
-    def _bounds(self, version: Version, parts: Sequence[str], keys: Sequence[str]) -> dict[str, list]:
-        """Least and greatest first key of new parts, for cuts that must be searched for old rows of a key."""
-        if not version.cut or not keys or version.cut.stable(keys) or not parts:
-            return {}
-        rows = self._read(version, parts)
-        found = rows.groupBy(version.cut.of(rows).alias(PART)).agg(F.min(column(keys[0])), F.max(column(keys[0]))).collect()
-        return {p: [_plain(lo), _plain(hi)] for p, lo, hi in found if _plain(lo) is not None and _plain(hi) is not None}
-
-    def replace(self, df: DataFrame, keys: Sequence[str] = ()) -> int:
-        """Make ``df`` the whole content; schema and cut may change. Returns the new version."""
-        version = Version(self.version() + 1, df.schema, self.cut)
-        version.parts = self._write(df, self.cut)
-        version.bounds = self._bounds(version, list(version.parts), keys)
-        return self._commit(version)
-
-    def check_schema(self, schema: T.StructType, existing: T.StructType) -> None:
-        if not schemas_compatible(schema, existing):
-            raise DestinationStreamInvalidSchema(f"the existing schema of {self.root} does not match the stream")
+        return self.read().schema
+
+    def _write(self, df: DataFrame, keys: Sequence[str], parts: int, root: str, sized_by: DataFrame | None = None) -> None:
+        """Write ``df`` over the parts that it has rows of; ``sized_by`` has the part of (about) every row."""
+        place = F.lit(0) if parts == 1 else part_of(df, keys, parts)
+        rows = df.withColumn(PART, place) if PART not in df.columns else df
+        if parts > 1:
+            rows = spread_for_write(rows, PART, (rows if sized_by is None else sized_by).groupBy(PART).agg(F.count(F.lit(1)).alias("n")))
+        writer = rows.withColumn(PARTS, F.lit(parts)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy(PARTS, PART).parquet(root)
+
+    def replace(self, df: DataFrame, keys: Sequence[str] = ()) -> None:
+        """Make ``df`` the whole content; schema and cut may change. The old rows stay until the new ones are complete."""
+        parts = (self.cut or max(1, math.ceil(input_bytes(df) / PART_BYTES))) if keys else 1
+        load = Folder(self.spark, f"{self.root}.load-{uuid.uuid4().hex}")
+        self._write(df, keys, parts, load.path)
+        if not any(n.startswith(PARTS) for n in load.names()):  # no row, no folder; the schema must be kept
+            self.spark.createDataFrame([], df.schema).write.parquet(f"{load.path}/{PARTS}={parts}/{PART}=0")
+        load.take_place_of(self.folder)
+        self.known = df.schema
 
     def upsert(
-        self,
-        stage: DataFrame,
-        keys: Sequence[str],
-        cursor: str | None = None,
-        dedupe: str = "latest",
-        guard: str = "none",
-        on_disk: bool = False,
-        unique: bool = False,
-        rows: int | None = None,
-    ) -> int:
-        """Merge a stage by key; creates the table if it does not exist. Returns the version.
+        self, stage: DataFrame, keys: Sequence[str], cursor: str | None = None, dedupe: str = "latest", guard: str = "none",
+        on_disk: bool = False, unique: bool = False, rows: int | None = None,
+    ) -> None:
+        """Merge a stage by key; creates the table if it does not exist.
 
         ``on_disk`` tells that reading the stage again is cheap, so it is not copied;
         ``unique`` that no key of it repeats; ``rows`` how many it has.
         """
-        if not self.exists():
+        parts = self.parts()
+        if not parts:
             return self.replace(prepare_stage(stage, keys, cursor, dedupe), keys)
-        old = self.current()
-        if self.cut is not None and self.cut != old.cut:
-            raise DestinationError(f"{self.root} is cut by {old.cut}, not by {self.cut}; a full refresh can change that")
-        self.check_schema(stage.schema, old.schema)
-        # a guarded upsert and one into several parts read the stage more than once
-        again = guard != "none" or old.cut is not None and old.cut.parts != 1
-        copy = None
-        if again and not (on_disk and dedupe == "none"):
-            copy = fresh_folder(self.spark, "stage")
-            stage = written(prepare_stage(stage, keys, cursor, dedupe), folder=copy)
+        if self.cut not in (None, parts):
+            raise DestinationError(f"{self.root} is cut into {parts} parts, not into {self.cut}; a full refresh can change that")
+        target = self._placed()
+        self.known = target.drop(PART).schema
+        if not schemas_compatible(stage.schema, self.known):
+            raise DestinationStreamInvalidSchema(f"the existing schema of {self.root} does not match the stream")
+        if (guard != "none" or parts > 1) and not (on_disk and dedupe == "none"):  # such a stage is read more than once
+            stage = written(prepare_stage(stage, keys, cursor, dedupe), "stage")
             unique, dedupe = unique or dedupe != "none", "none"
-        touched = self._touched(old, stage, keys, rows)
-        new = Version(old.number + 1, old.schema, old.cut)
-        merged = upsert_replace(self._read(old, touched), stage, keys, guard, cursor, dedupe, unique)
-        sized_by = None
-        if old.cut is not None and old.cut.parts != 1:
-            before = self._read(old, touched)
-            sized_by = before.select(old.cut.of(before).alias(PART)).unionByName(stage.select(old.cut.of(stage).alias(PART)))
-        fresh = self._write(merged, old.cut, sized_by)
-        new.parts = {p: f for p, f in old.parts.items() if p not in touched} | fresh
-        new.bounds = {p: b for p, b in old.bounds.items() if p in new.parts and p not in fresh}
-        new.bounds |= self._bounds(new, list(fresh), keys)
-        number = self._commit(new)
-        if copy is not None:
-            Folder(self.spark, copy).remove()
-        return number
-
-    def _touched(self, old: Version, stage: DataFrame, keys: Sequence[str], rows: int | None) -> set[str]:
-        """Parts that receive stage rows or hold old rows of their keys, among those that exist.
-
-        What comes to the driver are part names, of which the manifest has no more. Parts whose key bounds
-        the stage does not meet are not searched.
-        """
-        if old.cut is None or len(old.parts) == 1 and old.cut.stable(keys):
-            return set(old.parts)
-        if old.cut.stable(keys) and (rows or 0) >= ROWS_TOUCH_ALL * old.cut.parts:
-            return set(old.parts)
-        key = column(keys[0])
-        narrow = gathered(stage.select(old.cut.of(stage).alias(PART), key.alias("key")), rows)
-        names, low, high = narrow.agg(F.collect_set(PART), F.min("key"), F.max("key")).first()
-        touched = set(names) & set(old.parts)
-        if old.cut.stable(keys):
-            return touched
-        low, high = _plain(low), _plain(high)
-
-        def may_hold(part: str) -> bool:
-            bounds = old.bounds.get(part)
-            return not bounds or low is None or high is None or (bounds[0] <= high and low <= bounds[1])
-
-        search = [p for p in old.parts if p not in touched and may_hold(p)]
-        if search:
-            there = self._read(old, search)
-            there = there.select(*[column(k) for k in keys], old.cut.of(there).alias(PART))
-            hits = there.join(distinct_keys(stage, keys), list(keys), "left_semi").select(PART).distinct()
-            touched |= {r[0] for r in hits.collect()}
-        return touched
-
-    def vacuum(self, keep: int = KEEP_VERSIONS, hours: float = KEEP_HOURS) -> None:
-        """Drop versions beyond the newest ``keep`` that were replaced ``hours`` ago, then folders that no version names.
-
-        Folders carry the time of their writing, so those of a run in progress stay.
-        """
-        last, limit = self.version(), time.time() - hours * 3600
-        kept = {}
-        for name in self.folder.names("commits"):
-            number = int(name.removesuffix(".json")[1:])
-            kept[number] = self._load(number)
-
-        def born(version: Version) -> float:
-            return max((int(f.partition("-")[0]) for f in version.parts.values()), default=0)
-
-        for number in sorted(kept):
-            after = kept.get(number + 1)
-            if number <= last - keep and (after is None or born(after) <= limit):
-                self.folder.remove(f"commits/v{number:08d}.json")
-                del kept[number]
-        named = {f for v in kept.values() for f in v.parts.values()}
-        for name in self.folder.names("data"):
-            if name not in named and int(name.partition("-")[0]) <= limit:
-                self.folder.remove(f"data/{name}")
+        if parts == 1:
+            old, place = target.drop(PART), None
+        else:
+            old, place = self._touched(target, stage, keys, parts, rows)
+        merged = upsert_replace(old, stage, keys, guard, cursor, dedupe, unique)
+        if self.cut is None and self.folder.bytes() > GROWN * PART_BYTES * parts:
+            return self.replace(upsert_replace(target.drop(PART), stage, keys, guard, cursor, dedupe, unique), keys)
+        self._write(merged, keys, parts, self.root, place)
+
+    def _touched(self, target: DataFrame, stage: DataFrame, keys: Sequence[str], parts: int, rows: int | None):
+        """The rows of the parts that receive staged rows, and the part of every row old and new. Part names are few by construction."""
+        staged = stage.select(part_of(stage, keys, parts).alias(PART))
+        if (rows or 0) < ROWS_TOUCH_ALL * parts:
+            names = gathered(staged, rows).agg(F.collect_set(PART)).first()[0]
+            target = target.where(F.col(PART).isin(names)) if len(names) <= MOST_NAMED else target
+        own = part_of(target.drop(PART), keys, parts)
+        other = F.raise_error(F.lit(f"{self.root} is cut by other keys than {list(keys)}; a full refresh can change that"))
+        key, kind = column(keys[0]), target.schema[keys[0]].dataType
+        checked = target.withColumn(keys[0], F.when(own == F.col(PART), key).otherwise(other.cast(kind)))
+        return checked.drop(PART), target.select(PART).unionByName(staged)
 
     def drop(self) -> None:
         self.folder.remove()
 
 
 def write_snapshot(
-    df: DataFrame,
-    path: str,
-    incremental: bool = False,
-    keys: Sequence[str] = (),
-    cursor: str | None = None,
-    on_empty: str = "replace",
-    dry_run: bool = False,
-    **options,
-) -> SnapshotTable:
+    df: DataFrame, path: str, incremental: bool = False, keys: Sequence[str] = (), cursor: str | None = None,
+    on_empty: str = "replace", dry_run: bool = False, **options,
+) -> SnapshotTable:
     """Full refresh or upsert of one table by path.
 
     An empty full refresh empties the table unless ``on_empty='skip'``; an empty upsert
@@ -341,10 +164,8 @@ def write_snapshot(
 class SnapshotSink(Sink):
     """Upsert sink over :class:`SnapshotTable`: tables at ``root/schema/table``.
 
-    ``connect``: ``root``; ``dedupe`` and ``guard`` policies; and how to cut tables,
-    ``part_date`` (``name`` of a date column and ``pattern``) or ``part_buckets`` (a number of hash
-    parts). A table with keys is otherwise cut by their hash, into parts of 256 MiB at its first
-    load or full refresh. ``keep_hours``: how long readers may use a replaced version.
+    ``connect``: ``root``; ``dedupe`` and ``guard`` policies; ``part_buckets``, a number of hash parts. A table
+    with keys is otherwise cut by its size, and cut anew when it has outgrown that.
     """
 
     label = "snapshot"
@@ -353,18 +174,15 @@ class SnapshotSink(Sink):
     def __init__(self, spark, config=None):
         super().__init__(spark, config)
         self.surplus: dict[str, int] = {}
+        self.known: dict[str, T.StructType | None] = {}
+        if "part_date" in self.connect:
+            raise DestinationError("tables are cut by a hash of their key; use part_buckets")
 
     def table(self, stream: Stream) -> SnapshotTable:
         spec = stream.spec
         path = "/".join(p for p in (self.connect["root"].rstrip("/"), spec.schema_name, spec.name) if p)
-        if self.trial:
-            path += ".trial"
-        cut = None
-        if self.connect.get("part_buckets"):
-            cut = part_by_hash(spec.require_keys(), int(self.connect["part_buckets"]))
-        elif self.connect.get("part_date"):
-            cut = part_by_date(**self.connect["part_date"])
-        return SnapshotTable(self.spark, path, cut)
+        parts = self.connect.get("part_buckets")
+        return SnapshotTable(self.spark, f"{path}.trial" if self.trial else path, int(parts) if parts and spec.require_keys() else None)
 
     def write_stream(self, stream: Stream, dataset: Dataset) -> None:
         table, spec = self.table(stream), stream.spec
@@ -376,16 +194,12 @@ class SnapshotSink(Sink):
             surplus = self.surplus[spec.qualified_name] = surplus_rows(stream.df, keys, stream.rows)
             if surplus <= stream.rows * SPARSE_SHARE:
                 policy = "sparse" if surplus else "none"
-        unique = self.surplus.get(spec.qualified_name) == 0
-        if table.cut is None and keys and not (self.mode.incremental and table.exists()):
-            table.cut = hash_parts_for(stream.df, keys)
         if self.mode.incremental:
-            guard = self.connect.get("guard", "none")
+            unique, guard = self.surplus.get(spec.qualified_name) == 0, self.connect.get("guard", "none")
             table.upsert(stream.df, keys, cursor, policy, guard, on_disk=staged, unique=unique, rows=stream.rows)
         else:
             table.replace(prepare_stage(stream.df, keys, cursor, policy) if keys else stream.df, keys)
-        if not self.trial:
-            table.vacuum(hours=float(self.connect.get("keep_hours", KEEP_HOURS)))
+        self.known[table.root] = table.known
 
     def expected_rows(self, stream: Stream, staged: int) -> int | None:
         spec = stream.spec
@@ -399,7 +213,7 @@ class SnapshotSink(Sink):
 
     def target(self, stream: Stream, dataset: Dataset) -> DataFrame | None:
         table = self.table(stream)
-        return table.read() if table.exists() else None
+        return table.read(self.known.get(table.root)) if table.exists() else None
 
     def finish(self, stream: Stream, dataset: Dataset) -> None:
         self.table(stream).drop()

@@ -101,5 +101,20 @@ class Folder:
         finally:
             stream.close()
 
+    def bytes(self) -> int:
+        """Size of all files below."""
+        return int(self._fs.getContentSummary(self._jpath()).getLength())
+
+    def take_place_of(self, other: Folder) -> None:
+        """Rename this folder to ``other``; what was there is kept until the new one is in place, then removed."""
+        old = f"{other.path}.old-{uuid.uuid4().hex}"
+        target, aside = other._jpath(), self._jvm.org.apache.hadoop.fs.Path(old)
+        if self._fs.exists(target) and not self._fs.rename(target, aside):
+            raise OSError(f"{other.path} cannot be renamed")
+        if not self._fs.rename(self._jpath(), target):
+            self._fs.rename(aside, target)
+            raise OSError(f"{self.path} cannot take the place of {other.path}")
+        self._fs.delete(aside, True)
+
     def remove(self, name: str = "") -> None:
         self._fs.delete(self._jpath(name), True)

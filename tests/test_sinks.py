@@ -13,6 +13,7 @@ from tablesync import get_destination, get_destination_by_vendor, register_sink
 from tablesync.dataset import Dataset, Stream
 from tablesync.errors import DestinationError, DestinationStreamInvalidSchema, IntegrityCheckFailed, StreamError
 from tablesync.functions.sizing import spread_for_write
+from tablesync.operators.upsert import merge_into
 from tablesync.plans.stage import stage_dataset, stage_snapshot
 from tablesync.sinks.base import Sink
 from tablesync.sinks.catalog import CatalogSink, register_table
@@ -22,7 +23,7 @@ from tablesync.sinks.objectstore import (
     ObjectStoreSink, bucket_root, hadoop_settings, hive_root, staging_path, write_hive, write_staging,
 )
 from tablesync.sinks import snapshot
-from tablesync.sinks.snapshot import SnapshotSink, SnapshotTable, hash_parts_for, part_by_date, part_by_hash, write_snapshot
+from tablesync.sinks.snapshot import PART, SnapshotSink, SnapshotTable, write_snapshot
 from tablesync.sources.fixture import FixtureSource
 from tablesync.spec import Mode, StreamSpec, SyncContext
 from tablesync.workspace import Folder, fresh_folder
@@ -294,9 +295,6 @@ def test_k17_snapshot_upsert_is_idempotent(spark, folder):
         table.upsert(stage, ["id"])
     want = [(i, "t") for i in range(5)] + [(i, "s") for i in range(5, 15)]
     assert rows(table.read()) == sorted(want, key=lambda t: str(t[0]))
-    assert table.version() == 4
-    table.vacuum(keep=1, hours=0)
-    assert table.read().count() == 15
 
 
 def test_k16_full_refresh_may_change_the_schema(spark, folder):
@@ -317,129 +315,121 @@ def values(spark, n, v):
     return spark.range(n).select("id", F.lit(v).alias("v"))
 
 
-@pytest.mark.parametrize("cut", [None, part_by_hash(["id"], 3)])
-def test_a_losing_writer_leaves_the_winners_rows(spark, folder, monkeypatch, cut):
-    table, other = SnapshotTable(spark, folder, cut), SnapshotTable(spark, folder, cut)
-    table.replace(values(spark, 5, "old"))
-    write = SnapshotTable._write
+def parted(spark, folder, parts=5):
+    table = SnapshotTable(spark, folder, parts)
+    table.replace(spark.range(50).select("id", (F.col("id") % 7).alias("at"), F.lit("t").alias("v")), ["id"])
+    return table
 
-    def overtaken(self, *args):
-        found = write(self, *args)
-        monkeypatch.setattr(SnapshotTable, "_write", write)
-        other.replace(values(spark, 7, "winner"))
-        return found
 
-    for lose in (lambda: table.replace(values(spark, 9, "loser")), lambda: table.upsert(values(spark, 9, "loser"), ["id"])):
-        monkeypatch.setattr(SnapshotTable, "_write", overtaken)
-        with pytest.raises(DestinationError, match="another run"):
-            lose()
-        assert rows(table.read()) == rows(values(spark, 7, "winner"))
+def files_by_part(spark, folder):
+    found = spark.read.parquet(folder).select(PART, F.input_file_name().alias("f")).distinct().collect()
+    return {p: {r.f for r in found if r[PART] == p} for p in {r[PART] for r in found}}
 
 
-def test_unfinished_versions_are_invisible(spark, folder, monkeypatch):
-    """A crash between writing and committing changes nothing; a full refresh afterwards wins entirely."""
-    table = parted(spark, folder)
+@pytest.mark.parametrize("parts", [1, 5])
+def test_a_lost_run_changes_nothing(spark, folder, parts):
+    """Lost while it writes, after other tasks of it have written; a full refresh that is lost keeps the old rows too."""
+    table = parted(spark, folder, parts)
     before = rows(table.read())
-    stage = table.read().where("id < 7").withColumn("v", F.lit("s"))
-    with monkeypatch.context() as crash:
-        crash.setattr(SnapshotTable, "_commit", lambda self, version: (_ for _ in ()).throw(OSError("lost")))
-        with pytest.raises(OSError):
-            table.upsert(stage, ["id"], "at")
-    again = SnapshotTable(spark, folder)
-    assert rows(again.read()) == before
-    again.replace(values(spark, 2, "new"))
+    lost = F.when(F.col("id") == 6, F.raise_error(F.lit("lost"))).otherwise(F.lit("s"))
+    stage = table.read().where("id < 7").withColumn("v", lost)
+    for run in (lambda: table.upsert(stage, ["id"], "at", "none", on_disk=True), lambda: table.replace(stage, ["id"])):
+        with pytest.raises(Exception, match="lost"):
+            run()
+        assert rows(SnapshotTable(spark, folder).read()) == before
+    table.replace(values(spark, 2, "new"), ["id"])
     assert rows(SnapshotTable(spark, folder).read()) == rows(values(spark, 2, "new"))
 
 
 def test_readers_write_nothing(spark, folder):
-    table = parted(spark, folder)
-
-    def files():
-        return [(n, table.folder.names(n)) for n in table.folder.names()], [table.folder.names(f"data/{d}") for d in table.folder.names("data")]
-
-    before = files()
-    for reader in (SnapshotTable(spark, folder), table):
-        assert reader.read().count() == 50
-    assert files() == before
-
-
-def test_old_versions_stay_readable_until_vacuum(spark, folder, monkeypatch):
-    table = SnapshotTable(spark, folder, part_by_hash(["id"], 4))
-    table.replace(values(spark, 20, "a"))
-    first = table.read()
-    for v in "bcd":
-        table.upsert(values(spark, 3, v), ["id"], rows=3)
-    table.vacuum()
-    assert first.count() == 20 and first.where("v = 'a'").count() == 20
-    later = snapshot.time.time() + 3600 * 25
-    monkeypatch.setattr(snapshot.time, "time", lambda: later)
-    table.vacuum(keep=1)
-    assert rows(table.read()) == rows(values(spark, 3, "d").union(values(spark, 20, "a").where("id > 2")))
-    assert table.folder.names("commits") == ["v00000004.json"]
-    assert set(table.folder.names("data")) == set(table.current().parts.values())
-
-
-def parted(spark, folder, **kw):
-    table = SnapshotTable(spark, folder, part_by_date("at", "yyyy-MM-dd"), **kw)
-    at = F.timestamp_seconds(F.lit(1735689600) + F.col("id") % 5 * 86400)
-    table.replace(spark.range(50).select("id", at.alias("at"), F.lit("t").alias("v")), ["id"])
-    return table
-
-
-def test_parts_move_empty_and_appear(spark, folder):
-    table = parted(spark, folder)
-    # every row of the first day moves to a day that did not exist
-    stage = table.read().where("at < '2025-01-02'").withColumn("at", F.expr("timestamp'2025-02-01'")).withColumn("v", F.lit("s"))
-    table.upsert(stage, ["id"], "at")
-    assert table.read().count() == 50 and table.read().where("v = 's'").count() == 10
-    names = table.current().parts
-    assert "2025-02-01" in names and "2025-01-01" not in names
-    assert table.read(["2025-02-01"]).count() == 10 and table.read(["2025-01-01"]).count() == 0
+    parted(spark, folder)
+    before = files_by_part(spark, folder), Folder(spark, folder).names()
+    assert SnapshotTable(spark, folder).read().count() == 50
+    assert (files_by_part(spark, folder), Folder(spark, folder).names()) == before
 
 
 def test_untouched_parts_keep_their_files(spark, folder):
     table = parted(spark, folder)
-    before = table.current().parts
-    table.upsert(table.read().where("at < '2025-01-02'").withColumn("v", F.lit("s")), ["id"], "at")
-    after = table.current().parts
-    assert {p for p in before if before[p] != after[p]} == {"2025-01-01"}
+    before = files_by_part(spark, folder)
+    stage = spark.createDataFrame([(3, 9, "s")], "id long, at long, v string")
+    table.upsert(stage, ["id"], "at", rows=1)
+    after = files_by_part(spark, folder)
+    assert len(before) == len(after) == 5 and sum(before[p] != after[p] for p in before) == 1
+    assert table.read().where("v = 's'").count() == 1 and table.read().count() == 50
 
 
-def test_parts_beyond_the_stages_keys_are_not_searched(spark, folder, monkeypatch):
-    table = SnapshotTable(spark, folder, part_by_date("at", "yyyy-MM-dd"))
-    at = F.timestamp_seconds(F.lit(1735689600) + F.floor(F.col("id") / 10) * 86400)  # ids grow with the days
-    table.replace(spark.range(50).select("id", at.alias("at"), F.lit("t").alias("v")), ["id"])
-    read, seen = SnapshotTable._read, []
-    monkeypatch.setattr(SnapshotTable, "_read", lambda self, version, parts=None: seen.append(set(parts or ())) or read(self, version, parts))
-    stage = spark.range(45, 47).select("id", F.expr("timestamp'2025-01-07'").alias("at"), F.lit("s").alias("v"))
-    table.upsert(stage, ["id"], "at")
-    assert set.union(*seen) == {"2025-01-05", "2025-01-07"}
-    monkeypatch.undo()
-    assert table.read().count() == 50 and table.read().where("v = 's'").count() == 2
+def test_any_parquet_reader_sees_the_table(spark, folder):
+    table = parted(spark, folder)
+    table.upsert(values(spark, 3, "s").withColumn("at", F.lit(1).cast("bigint")), ["id"], "at")
+    assert spark.read.parquet(folder).select("id", "at", "v").exceptAll(table.read()).isEmpty()
 
 
 def test_a_table_keeps_its_cut(spark, folder):
-    """Another number of parts cannot place a key twice."""
-    table = SnapshotTable(spark, folder, part_by_hash(["id"], 2))
-    table.replace(values(spark, 20, "t"))
+    """Another number of parts, or another key, cannot place a row twice."""
+    table = SnapshotTable(spark, folder, 2)
+    table.replace(values(spark, 20, "t"), ["id"])
     with pytest.raises(DestinationError, match="full refresh"):
-        SnapshotTable(spark, folder, part_by_hash(["id"], 5)).upsert(values(spark, 1, "s"), ["id"])
+        SnapshotTable(spark, folder, 5).upsert(values(spark, 1, "s"), ["id"])
+    by_id = SnapshotTable(spark, f"{folder}-other", 2)
+    by_id.replace(spark.range(40).select("id", F.col("id").cast("string").alias("v")), ["id"])
+    with pytest.raises(Exception, match="other keys"):
+        by_id.upsert(values(spark, 1, "s"), ["v"])
     for i in range(4):
         SnapshotTable(spark, folder).upsert(spark.range(i, i + 1).select("id", F.lit("s").alias("v")), ["id"], rows=1)
     assert rows(table.read()) == rows(values(spark, 4, "s").union(values(spark, 20, "t").where("id > 3")))
-    SnapshotTable(spark, folder, part_by_hash(["id"], 5)).replace(values(spark, 9, "u"))
-    assert table.current().cut.parts == 5 and table.read().count() == 9
+    SnapshotTable(spark, folder, 5).replace(values(spark, 9, "u"), ["id"])
+    assert table.parts() == 5 and table.read().count() == 9
+
+
+def test_null_keys_are_spread_over_the_parts(spark, folder):
+    table = SnapshotTable(spark, folder, 4)
+    base = spark.range(200).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("k"), F.col("id").alias("v"))
+    table.replace(base, ["k"])
+    loaded = spark.read.parquet(folder).where("k is null").groupBy(PART).count().collect()
+    assert len(loaded) == 4 and max(r["count"] for r in loaded) < 60
+    table.upsert(base.where("v < 10").withColumn("v", F.col("v") + 1000), ["k"])
+    assert table.read().where("k is null").count() == 105 and table.read().count() == 205
 
 
 def test_keyed_tables_are_cut_by_their_size(spark, folder, monkeypatch):
-    rows_ = spark.range(1000)
-    assert hash_parts_for(rows_, ["id"]) == part_by_hash(["id"], 1)
+    table = SnapshotTable(spark, folder)
+    table.replace(spark.range(1000), ["id"])
+    assert table.parts() == 1
     monkeypatch.setattr(snapshot, "PART_BYTES", 1000)
-    assert hash_parts_for(rows_, ["id"]) == part_by_hash(["id"], 8)
     sink = SnapshotSink(spark, {"connect": {"root": folder}})
     staged = stage_dataset(dataset(Stream(StreamSpec("t", "s", "id"), marked(spark, 1000))))
     sink.write(staged)
-    assert sink.check(staged) == {"s.t": 1000} and sink.table(staged.streams[0]).current().cut.parts > 1
+    assert sink.check(staged) == {"s.t": 1000} and sink.table(staged.streams[0]).parts() > 1
+
+
+def test_a_table_that_has_grown_is_cut_anew(spark, folder, monkeypatch):
+    """A small first load is not one part for ever."""
+    table = SnapshotTable(spark, folder)
+    table.replace(values(spark, 10, "t"), ["id"])
+    monkeypatch.setattr(snapshot, "PART_BYTES", 1500)
+    for i in range(1, 4):
+        stage = spark.range(300 * i).select("id", F.sha2(F.concat(F.col("id"), F.lit(i)), 256).alias("v"))
+        table.upsert(stage, ["id"])
+    assert table.parts() > 2 and table.read().count() == 900
+    assert table.read().select("id").distinct().count() == 900
+
+
+def test_empty_tables_keep_schema_and_cut(spark, folder):
+    table = SnapshotTable(spark, folder, 3)
+    table.replace(values(spark, 0, "t"), ["id"])
+    assert table.read().columns == ["id", "v"] and table.read().count() == 0 and table.parts() == 3
+    table.upsert(values(spark, 5, "s"), ["id"])
+    assert table.read().count() == 5
+
+
+def test_merge_needs_a_table_format(spark):
+    """Plain tables have no MERGE: Spark itself refuses, which shows that the statement was complete."""
+    spark.sql("create table plain_target (id bigint, at bigint, v string) using parquet")
+    stage = values(spark, 2, "s").withColumn("at", F.lit(1).cast("bigint"))
+    for options in ({}, {"guard": "cursor", "cursor": "at"}):
+        with pytest.raises(Exception, match="(?i)merge into table|UNSUPPORTED"):
+            merge_into(stage, "plain_target", ["id"], **options)
+    spark.sql("drop table plain_target")
 
 
 def test_a_cut_sync_takes_few_jobs(spark, folder):
@@ -464,12 +454,12 @@ def test_a_cut_sync_takes_few_jobs(spark, folder):
 def test_parts_and_plain_table_agree(spark, folder, monkeypatch, counted_above):
     monkeypatch.setattr("tablesync.functions.sizing.SMALL_WRITE_BYTES", counted_above)
     monkeypatch.setattr("tablesync.sinks.snapshot.spread_for_write", partial(spread_for_write, rows_per_writer=5))
-    plain, cut = SnapshotTable(spark, f"{folder}/a"), SnapshotTable(spark, f"{folder}/b", part_by_hash(["id"], 4))
+    plain, cut = SnapshotTable(spark, f"{folder}/a"), SnapshotTable(spark, f"{folder}/b", 4)
     base = spark.range(40).select("id", (F.col("id") % 7).alias("at"), F.lit("t").alias("v"))
     stages = [base.where("id % 3 = 0").withColumn("at", F.col("at") + 1).withColumn("v", F.lit("s")),
               spark.range(35, 60).select("id", F.lit(3).cast("bigint").alias("at"), F.lit("u").alias("v"))]
     for table in (plain, cut):
-        table.replace(base)
+        table.replace(base, ["id"])
         for stage in stages:
             table.upsert(stage, ["id"], "at", guard="cursor")
     assert rows(plain.read()) == rows(cut.read())

@@ -173,7 +173,7 @@ def test_e3_progress_reaches_the_caller(spark, folder, small):
 # ---- properties on the given tables
 
 
-@pytest.mark.parametrize("cut", [{}, {"part_date": {"name": "ts", "pattern": "yyyy-MM-dd"}}, {"part_buckets": 4}])
+@pytest.mark.parametrize("cut", [{}, {"part_buckets": 4}])
 def test_increments_over_all_windows_equal_a_full_refresh(spark, folder, events, cut):
     """A target full of stale values becomes the table itself once every window was copied."""
     from tablesync.dataset import Dataset, Stream
