@@ -73,6 +73,30 @@ def infer_schema(spark: SparkSession, columns: Sequence[str], sample: Sequence[A
     return spark.createDataFrame([tuple(sample)], list(columns)).schema
 
 
+def infer_json_schema(rows: DataFrame, text: str) -> T.StructType:
+    """The schema of JSON objects in a text column, merged over all rows by an aggregate.
+
+    A field that is missing or null in some rows has the type of the others; whole and broken numbers
+    become doubles together; a field that is null everywhere, or of types that do not merge, is
+    kept as text. Texts that are no JSON, and JSON that is no object, say nothing about columns.
+    """
+    parsed = F.try_parse_json(F.col(f"`{text}`"))
+    objects = rows.select(parsed.alias("v")).where(F.schema_of_variant("v").startswith("OBJECT<"))
+    found = objects.agg(F.schema_of_variant_agg("v")).first()[0]
+    if not found or not found.startswith("OBJECT<"):
+        return T.StructType()
+    return _declared(T.DataType.fromDDL(found.replace("OBJECT<", "STRUCT<").replace(": VOID", ": STRING").replace("VARIANT", "STRING")))
+
+
+def _declared(kind: T.DataType) -> T.DataType:
+    """Merged numbers with a fraction as doubles, at every level."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _declared(f.dataType)) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_declared(kind.elementType))
+    return T.DoubleType() if isinstance(kind, T.DecimalType) else kind
+
+
 def type_family(data_type: T.DataType, decimals: str = "keep") -> str:
     """The name under which two column types count as the same when loading into a target."""
     if isinstance(data_type, _INTEGERS):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,18 @@ from tablesync.spec import Bookkeeping, SyncContext
 Extra = tuple[str, Any] | Callable[[DataFrame], Column]
 
 
+def vectorised(fn: Callable[..., pd.Series], kind: str, *names: str) -> Callable[[DataFrame], Column]:
+    """A computed field that Column functions cannot express: ``fn`` gets the columns ``names`` as pandas Series.
+
+    It runs over Arrow batches beside the plan's other columns, in the tasks that have the rows; nothing moves.
+    """
+
+    def batch(*columns: pd.Series) -> pd.Series:
+        return fn(*columns)
+
+    return lambda raw: F.pandas_udf(batch, kind)(*[column(n) for n in names])
+
+
 def bookkeeping_columns(raw: DataFrame, ctx: SyncContext, marks: Bookkeeping) -> list[Column]:
     """The label columns in their fixed order; the checksum sees the raw columns, before drops."""
     out = []

@@ -16,21 +16,24 @@ from pyspark.sql import functions as F
 
 from tablesync.functions import moments
 from tablesync.functions.identifiers import safe_identifier_column
-from tablesync.functions.types import normalise, schemas_compatible
+from tablesync.functions.types import build_schema, infer_json_schema, normalise, schemas_compatible
 from tablesync.operators import fanout, integrity, runlog, schedule, upsert
-from tablesync.operators.augment import augment
+from tablesync.operators.augment import augment, vectorised
 from tablesync.operators.batches import BATCH, STREAM
 from tablesync.operators.extract import extract, stream_count
 from tablesync.plans.stage import stage_dataset
-from tablesync.plans.transfer import SyncConfig, rerun, run_sync
+from tablesync.plans.transfer import SyncConfig, adhoc_mode, inspect_source, rerun, run_sync
 from tablesync.sinks.catalog import register_table
 from tablesync.sinks.compound import CompoundSink
 from tablesync.sinks.console import preview
 from tablesync.sinks.objectstore import ObjectStoreSink, hive_root, write_hive
 from tablesync.sinks.snapshot import SnapshotSink, SnapshotTable
+from tablesync.sources.datasource import JsonLines, PluginSource, register_data_source
 from tablesync.sources.files import FileSource
+from tablesync.sources.footers import file_footers, footer_counts
 from tablesync.spec import DAILY, SIXHOURLY, Bookkeeping, Mode, ModelSpec, StreamSpec, SyncContext
-from tablesync.streaming.upsert import file_feed, stream_upsert
+from tablesync.streaming.progress import StreamProgress, observed_feed
+from tablesync.streaming.upsert import file_feed, stream_append, stream_upsert
 from tablesync.workspace import fresh_folder, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -769,6 +772,155 @@ def console_preview(spark, sf_dir):
     return preview(table(spark, sf_dir, "events").select("event_id", "ts", "event_type"), 100, ["event_id"])
 
 
+# ---------------------------------------------------------------- connectors of one's own, footers, inference
+
+
+@query("""
+SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate, '7' AS sync__version FROM orders
+WHERE o_orderstatus = 'F' AND o_orderdate >= TIMESTAMP '1996-03-01' AND o_orderdate < TIMESTAMP '1998-01-01'
+""")
+def plugin_source(spark, sf_dir):
+    """Orders written and read by a Python data source of the library, behind the source contract: filter, window, bookkeeping."""
+    root = fresh_folder(spark, "plugin")
+    orders = table(spark, sf_dir, "orders").drop("o_orderpriority")
+    name = register_data_source(spark, JsonLines)
+    orders.write.format(name).mode("overwrite").option("path", f"{root}/orders").option("compression", "gzip").save()
+    spec = StreamSpec("orders", "", "o_orderkey", "o_orderdate", {"o_orderstatus": "F"}, ("o_orderstatus",))
+    connect = {"format": name, "root": root, "schemas": {"orders": orders.schema}}
+    config = {"connect": connect, "streams": [spec], "mode": Mode.window("1996-03-01", "1998-01-01"), "context": context(), "with": {"version": "7"}}
+    return PluginSource(spark, config).read().stream("orders").df
+
+
+@query("""
+SELECT 'orders' AS stream, count(1) AS n, min(o_orderkey) AS least, max(o_orderkey) AS most FROM orders
+UNION ALL SELECT 'customer', count(1), min(c_custkey), max(c_custkey) FROM customer
+UNION ALL SELECT 'lineitem', count(1), min(l_orderkey), max(l_orderkey) FROM lineitem
+""")
+def counts_from_footers(spark, sf_dir):
+    """Unfiltered counts and key bounds of three tables, answered by the statistics of their row groups."""
+    out = None
+    for name, key in (("orders", "o_orderkey"), ("customer", "c_custkey"), ("lineitem", "l_orderkey")):
+        n, least, most = footer_counts(spark, f"{sf_dir}/{name}.parquet", key).first()
+        one = spark.createDataFrame([(name, n, least, most)], "stream string, n long, least long, most long")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""
+SELECT codec, count(1) AS n FROM (VALUES ('UNCOMPRESSED'), ('SNAPPY'), ('ZSTD')) AS c(codec) CROSS JOIN orders GROUP BY codec
+""")
+def file_codecs(spark, sf_dir):
+    """Rows per codec, as the footers of the written files tell."""
+    staged = stage_dataset(file_source(spark, sf_dir, ORDERS).read())
+    out = None
+    for codec in ("none", "snappy", "zstd"):
+        sink = ObjectStoreSink(spark, {"connect": {"root": fresh_folder(spark, codec)}, "parquet": {"compression": codec}, "batch_size": 5000})
+        sink.write(staged)
+        files = file_footers(spark, sink.path(staged.stream("orders"), staged)).select(F.explode("codecs").alias("codec"), "n_rows")
+        one = files.groupBy("codec").agg(F.sum("n_rows").alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""
+SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS priority, o_totalprice AS price,
+       CASE WHEN o_orderkey % 3 = 0 THEN o_custkey ELSE o_custkey + 0.5 END AS mixed, o_orderstatus AS status
+FROM orders
+""")
+def schema_from_all_rows(spark, sf_dir):
+    """Columns inferred from JSON texts of all rows: one is null in two of three rows, one is whole here and broken there, one is nested."""
+    third = F.col("o_orderkey") % 3 == 0
+    mixed = F.when(third, F.col("o_custkey").cast("string")).otherwise(F.concat(F.col("o_custkey").cast("string"), F.lit(".5")))
+    head = F.to_json(F.struct(
+        F.col("o_orderkey").alias("k"), F.when(third, F.col("o_orderpriority")).alias("priority"), F.col("o_totalprice").alias("price"),
+        F.struct(F.col("o_orderstatus").alias("status")).alias("inner"),
+    ))
+    texts = table(spark, sf_dir, "orders").select(F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(', "mixed": '), mixed, F.lit("}")).alias("j"))
+    rows = texts.select(F.from_json("j", infer_json_schema(texts, "j")).alias("r")).select("r.*")
+    return rows.select("k", "priority", "price", "mixed", "inner.status")
+
+
+@query("SELECT doc_id, strip_accents(text) AS plain FROM documents")
+def computed_by_batches(spark, sf_dir):
+    """A computed field that Column functions cannot express, texts without accents, by pandas over Arrow batches."""
+    spec = StreamSpec("documents", "", "doc_id", include_columns=("text",), drop_fields=("text",))
+    plain = vectorised(lambda s: s.str.normalize("NFD").str.replace("[\u0300-\u036f]", "", regex=True).str.normalize("NFC"), "string", "text")
+    config = {"connect": {"root": sf_dir}, "streams": [spec], "context": context(), "extra": {"plain": plain}}
+    return FileSource(spark, config).read().stream("documents").df
+
+
+@query("SELECT event_id, ts, user_id, DATE_TRUNC('day', ts)::DATE AS dt FROM events")
+def streaming_append(spark, sf_dir):
+    """Two overlapping halves, the later days first, appended with the keys of both as state: a restart goes on from its checkpoint."""
+    folder = fresh_folder(spark, "append")
+    rows = table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
+    for window in (_from("2024-01-10"), _until("2024-01-20")):
+        extract(rows, EVENTS, window).write.mode("append").parquet(f"{folder}/feed")
+        feed = file_feed(spark, f"{folder}/feed", rows.schema).withColumn("ts", F.col("ts").cast("timestamp"))
+        stream_append(feed, f"{folder}/target", ["event_id"], "ts", "60 days", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/target").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("""
+WITH b AS (SELECT CAST(floor(epoch(ts - TIMESTAMP '2024-01-01') / 864000) AS BIGINT) AS batch, count(1) AS n FROM events GROUP BY ALL)
+SELECT batch, n AS n_rows, CAST(sum(n) OVER (ORDER BY batch) AS BIGINT) AS processed FROM b
+""")
+def stream_progress(spark, sf_dir):
+    """Observations of a running stream: the events of ten days are one file and one micro-batch, counted on their way."""
+    folder, heard = fresh_folder(spark, "progress"), []
+    rows = table(spark, sf_dir, "events")
+    for start in ("2024-01-01", "2024-01-11", "2024-01-21"):
+        window = Mode.window(start, datetime.fromisoformat(start) + timedelta(days=10))
+        extract(rows, EVENTS, window).coalesce(1).write.mode("append").parquet(f"{folder}/feed")
+    progress = StreamProgress("events", lambda p: heard.append((p.processed, p.message)))
+    spark.streams.addListener(progress)
+    try:
+        feed = observed_feed(file_feed(spark, f"{folder}/feed", rows.schema, maxFilesPerTrigger=1))
+        writer = feed.writeStream.format("parquet").option("path", f"{folder}/target").option("checkpointLocation", f"{folder}/checkpoint")
+        batches = progress.watch(writer.trigger(availableNow=True).start())
+    finally:
+        spark.streams.removeListener(progress)
+    found = [(i, batches[b], p) for i, (b, (p, _)) in enumerate(zip(sorted(batches), heard, strict=True))]
+    return spark.createDataFrame(found, "batch long, n_rows long, processed long")
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, 'clients' AS stream FROM customer")
+def renamed_stream(spark, sf_dir):
+    """A stream written under another name and schema."""
+    dataset = file_source(spark, sf_dir, StreamSpec("customer", "", "c_custkey", include_columns=("c_name", "c_nationkey"))).read()
+    renamed = dataset.rename_stream("customer", "", "clients", "crm")
+    connect = {"root": fresh_folder(spark, "renamed")}
+    SnapshotSink(spark, {"connect": connect}).write(stage_dataset(renamed))
+    return spark.read.parquet(f"{connect['root']}/crm/clients").select("c_custkey", "c_name", "c_nationkey", F.lit("clients").alias("stream"))
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice, o_totalprice > 100000 AS large FROM orders")
+def declared_schema(spark, sf_dir):
+    """A text file read by declared types."""
+    folder = fresh_folder(spark, "declared")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", (F.col("o_totalprice") > 100000).alias("large"))
+    orders.write.option("header", "false").csv(f"{folder}/orders")
+    schema = build_schema([("o_orderkey", int), ("o_orderstatus", str), ("o_totalprice", float), ("large", bool)])
+    connect = {"root": folder, "format": "csv", "schemas": {"orders": schema}}
+    return FileSource(spark, {"connect": connect, "streams": [StreamSpec("orders", "", "o_orderkey")], "context": context()}).read().stream("orders").df
+
+
+@query("SELECT event_id, ts, user_id, value, props FROM events WHERE ts >= TIMESTAMP '2024-01-19' AND ts < TIMESTAMP '2024-01-20' AND event_type = 'purchase'")
+def adhoc_run(spark, sf_dir):
+    """A run outside its schedule: one day back from a moment, into an empty target."""
+    folder = fresh_folder(spark, "adhoc")
+    mode = adhoc_mode(end="2024-01-20", start="2024-01-19")
+    _must(run_sync(spark, _purchases(sf_dir, folder), mode, now="2024-01-20T04:30:00"))
+    return SnapshotTable(spark, f"{folder}/target/events").read().select("event_id", "ts", "user_id", "value", "props")
+
+
+@query("SELECT 'orders' AS stream_name, column_name AS name FROM (DESCRIBE orders) UNION ALL SELECT 'nation', column_name FROM (DESCRIBE nation)")
+def inspect_job(spark, sf_dir):
+    """The job that tells what a source offers."""
+    found = inspect_source(spark, {"vendor_type": "files", "connection_info": {"root": sf_dir}})
+    return found.where(F.col("stream_name").isin("orders", "nation")).select("stream_name", F.explode("fields.name").alias("name"))
+
+
 # ---------------------------------------------------------------- checks
 
 

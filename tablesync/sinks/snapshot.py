@@ -14,7 +14,7 @@ import math
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,6 +53,8 @@ class SnapshotTable:
         self.spark, self.root, self.cut = spark, root.rstrip("/"), parts
         self.folder = Folder(spark, self.root)
         self.known: T.StructType | None = None  # the schema, once this object has read or written the table
+        self.watched: Column | None = None  # a condition; rows that meet it are counted while they are written
+        self.counted: int | None = None
 
     def parts(self) -> int:
         """Into how many parts the table is cut, 0 if it does not exist."""
@@ -81,8 +83,11 @@ class SnapshotTable:
         rows = df.withColumn(PART, place) if PART not in df.columns else df
         if parts > 1:
             rows = spread_for_write(rows, PART, (rows if sized_by is None else sized_by).groupBy(PART).agg(F.count(F.lit(1)).alias("n")))
+        seen = Observation()
+        rows = rows.observe(seen, F.count_if(F.lit(False) if self.watched is None else self.watched).alias("n"))
         writer = rows.withColumn(PARTS, F.lit(parts)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy(PARTS, PART).parquet(root)
+        self.counted = int(seen.get.get("n", 0)) if self.watched is not None else None
 
     def replace(self, df: DataFrame, keys: Sequence[str] = ()) -> None:
         """Make ``df`` the whole content; schema and cut may change. The old rows stay until the new ones are complete."""
@@ -175,6 +180,7 @@ class SnapshotSink(Sink):
         super().__init__(spark, config)
         self.surplus: dict[str, int] = {}
         self.known: dict[str, T.StructType | None] = {}
+        self.counted: dict[str, int] = {}
         if "part_date" in self.connect:
             raise DestinationError("tables are cut by a hash of their key; use part_buckets")
 
@@ -189,6 +195,8 @@ class SnapshotSink(Sink):
         keys = spec.require_keys() if self.mode.incremental else spec.keys
         cursor = spec.cursor_field if spec.cursor_field in stream.df.columns else None
         policy, staged = self.connect.get("dedupe", "latest"), stream.rows is not None
+        marker = dataset.ctx.column("batch_id")
+        table.watched = column(marker) == F.lit(dataset.ctx.batch_id) if marker in stream.df.columns else None
         if keys and staged and policy == "latest":
             # keys of a sound source are unique: a count of the keys alone usually spares the sort of all rows
             surplus = self.surplus[spec.qualified_name] = surplus_rows(stream.df, keys, stream.rows)
@@ -200,6 +208,13 @@ class SnapshotSink(Sink):
         else:
             table.replace(prepare_stage(stream.df, keys, cursor, policy) if keys else stream.df, keys)
         self.known[table.root] = table.known
+        if table.counted is not None:
+            self.counted[table.root] = table.counted
+
+    def loaded_rows(self, stream: Stream, dataset: Dataset, target: DataFrame) -> int:
+        """Rows of the batch, counted by the write itself in its last stage; a sink that did not write them counts the target."""
+        counted = self.counted.get(self.table(stream).root)
+        return super().loaded_rows(stream, dataset, target) if counted is None else counted
 
     def expected_rows(self, stream: Stream, staged: int) -> int | None:
         spec = stream.spec

@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import SparkSession
 
 from tablesync.sources.base import Source
+from tablesync.sources.datasource import PluginSource
 from tablesync.sources.files import CatalogSource, FileSource
 from tablesync.sources.fixture import FixtureSource
 from tablesync.sources.jdbc import JdbcSource, PostgresSource, RedshiftSource
@@ -23,6 +24,7 @@ SOURCES: dict[str, type[Source]] = {
     "source-memory": FixtureSource,
     "source-files": FileSource,
     "source-catalog": CatalogSource,
+    "source-plugin": PluginSource,
 }
 
 VENDOR_SOURCES = {
@@ -35,6 +37,7 @@ VENDOR_SOURCES = {
     "athena": "source-sql",
     "files": "source-files",
     "catalog": "source-catalog",
+    "plugin": "source-plugin",
 }
 
 

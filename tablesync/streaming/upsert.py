@@ -82,7 +82,11 @@ def stream_append(
     checkpoint: str,
     trigger: Mapping[str, object] | None = None,
 ) -> StreamingQuery:
-    """Append-only hive layout: copies of a key that arrive within ``delay`` of each other are dropped."""
+    """Append-only hive layout: copies of a key that arrive within ``delay`` of each other are dropped.
+
+    The keys seen are state of the query: a restart from the checkpoint knows those of earlier runs. Rows older
+    than the watermark, the newest time seen less ``delay``, are dropped; keys leave the state with it.
+    """
     rows = feed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
     dated = rows.withColumn("dt", F.to_date(column(event_time)))
     writer = dated.writeStream.format("parquet").partitionBy("dt").option("path", root)
