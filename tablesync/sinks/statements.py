@@ -99,6 +99,11 @@ def empty_copy(table: str, like: str) -> str:
     )
 
 
+def replace_by(target: str, stage: str) -> str:
+    """Replace the target, if there is one, by the rows of a loaded stage, in one statement of warehouses that have it."""
+    return f"CREATE OR REPLACE TABLE {safe_identifier(target)} AS SELECT * FROM {safe_identifier(stage)}"
+
+
 def swap_in(stage: str, target: str, keys: Sequence[str], quote: str = "") -> list[str]:
     """Replace the target by a loaded stage; in one transaction readers see the old or the new table."""
     rename = f"ALTER TABLE {safe_identifier(stage)} RENAME TO {safe_identifier(target).split('.')[-1]}"

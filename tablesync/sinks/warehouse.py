@@ -6,6 +6,8 @@ user's; ``runner`` takes the statements where Spark itself cannot run them.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -21,6 +23,10 @@ from tablesync.sinks.objectstore import ObjectStoreSink, bucket_root, staging_pa
 from tablesync.sources.warehouse import bigquery_options, snowflake_options
 
 
+#: What warehouses say of a table that does not exist.
+_ABSENT = re.compile("not found|does not exist|no such table", re.IGNORECASE)
+
+
 class RedshiftSink(UpsertJdbcSink):
     """Loads the batch an S3 sink staged with COPY, then deletes and inserts by key.
 
@@ -105,22 +111,26 @@ class ConnectorSink(Sink):
         raise NotImplementedError
 
     def existing(self, stream: Stream) -> T.StructType | None:
-        """Schema of the target, None if it cannot be read, as before the first load."""
+        """Schema of the target, None if there is none, as before the first load; any other failure is one."""
         try:
             return self.read_table(stream).schema
-        except Exception:
-            return None
+        except Exception as cause:
+            if _ABSENT.search(str(cause)):
+                return None
+            raise
 
     def target(self, stream: Stream, dataset: Dataset):
         return None if self.trial else self.read_table(stream)
 
     def merge_statements(self, stream: Stream) -> list[str]:
-        """Create the target if absent (after dropping it on a full refresh), merge, drop the stage."""
+        """Create the target if absent and merge; a full refresh replaces it in one statement; the stage goes."""
         target, stage = self.table_name(stream), self.stage_name(stream)
-        before = [] if self.mode.incremental else [sql.drop(target)]
-        merge = sql.Merge(target, stage, with_safe_columns(stream.df).columns, stream.spec.require_keys(), self.quote).merge()
-        after = [sql.drop(target)] if self.trial else []
-        return [*before, sql.empty_copy(target, stage), *merge, sql.drop(stage), *after]
+        if self.mode.incremental:
+            merge = sql.Merge(target, stage, with_safe_columns(stream.df).columns, stream.spec.require_keys(), self.quote).merge()
+            load = [sql.empty_copy(target, stage), *merge]
+        else:  # the stage holds each key once already
+            load = [sql.replace_by(target, stage)]
+        return [*load, sql.drop(stage), *([sql.drop(target)] if self.trial else [])]
 
 
 class SnowflakeSink(ConnectorSink):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import warnings
 from collections.abc import Mapping, Sequence
 from typing import Any
@@ -80,12 +81,24 @@ class UnsplitRead(UserWarning):
     """A whole table or query goes through one connection."""
 
 
+def snapshot_options(vendor: str | None, snapshot: str | None) -> dict[str, str]:
+    """Options that open every connection of a read in one exported snapshot of the database."""
+    if snapshot is None:
+        return {}
+    if vendor != "postgresql":
+        raise ValueError(f"{vendor} has no exported snapshots")
+    if not re.fullmatch("[0-9A-Fa-f-]+", snapshot):
+        raise ValueError(f"no snapshot id: {snapshot!r}")
+    return {"sessionInitStatement": f"SET TRANSACTION ISOLATION LEVEL REPEATABLE READ; SET TRANSACTION SNAPSHOT '{snapshot}'"}
+
+
 class JdbcSource(Source):
     """Any database with a JDBC driver: ``connect`` holds ``url`` or host/port/database, user, password.
 
     ``chunk_size`` is the fetch size, ``slices`` the number of parallel reads; ``partition_column`` (a number, date or
     time) or ``predicates`` (one clause per slice), for all streams or by stream, say how to slice queries and text keys. The window,
-    tenant filter and projection are pushed into the database by Spark.
+    tenant filter and projection are pushed into the database by Spark. ``exported_snapshot`` (PostgreSQL) is the id of a snapshot that
+    another session exported and keeps open: all slices, and the counts beside them, then see the same rows.
     """
 
     vendor: str | None = None
@@ -102,7 +115,8 @@ class JdbcSource(Source):
 
     def options(self) -> dict[str, str]:
         fetch = str(self.connect.get("chunk_size", DEFAULT_FETCH))
-        return {**jdbc_options(self.connect, self.vendor), "fetchsize": fetch}
+        shared = snapshot_options(self.vendor, self.connect.get("exported_snapshot"))
+        return {**jdbc_options(self.connect, self.vendor), "fetchsize": fetch, **shared}
 
     def table_name(self, spec: StreamSpec) -> str:
         return safe_identifier(spec.qualified_name)

@@ -13,7 +13,7 @@ from tablesync.sources import synthetic
 from tablesync.sources.base import Source, inspect_columns
 from tablesync.sources.files import CatalogSource, FileSource
 from tablesync.sources.fixture import ROWS_PER_DAY, FixtureSource
-from tablesync.sources.jdbc import JdbcSource, PostgresSource, hash_predicates, jdbc_options, jdbc_url, range_split
+from tablesync.sources.jdbc import JdbcSource, PostgresSource, RedshiftSource, hash_predicates, jdbc_options, jdbc_url, range_split
 from tablesync.sources.warehouse import BigQuerySource, SnowflakeSource
 from tablesync.spec import Mode, StreamSpec
 from tablesync.workspace import fresh_folder
@@ -299,3 +299,15 @@ def test_w14_queries_and_text_keys_are_split_or_said_to_be_whole(spark, monkeypa
     made, asked = source()
     with pytest.warns(UnsplitRead):
         made.table(spec)
+
+
+def test_s1_slices_share_an_exported_snapshot(spark):
+    connect = {"auth_type": "basic", "host": "h", "database": "d", "user": "u", "password": "p", "exported_snapshot": "00000003-0000001B-1"}
+    options = PostgresSource(spark, {"connect": connect}).options()
+    assert options["sessionInitStatement"].endswith("SET TRANSACTION SNAPSHOT '00000003-0000001B-1'")
+    assert options["sessionInitStatement"].startswith("SET TRANSACTION ISOLATION LEVEL REPEATABLE READ;")
+    assert "sessionInitStatement" not in PostgresSource(spark, {"connect": {**connect, "exported_snapshot": None}}).options()
+    with pytest.raises(ValueError):
+        PostgresSource(spark, {"connect": {**connect, "exported_snapshot": "x'; drop table t; --"}}).options()
+    with pytest.raises(ValueError):
+        RedshiftSource(spark, {"connect": connect}).options()

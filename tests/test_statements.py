@@ -210,6 +210,37 @@ def test_w10_w11_connector_checks(spark):
         sink.check_schema(ds.streams[0], ds)
 
 
+def test_k4_k5_a_full_refresh_never_leaves_no_table(spark):
+    """The target is replaced by one statement, so a failure before it keeps the old rows and one after it the new ones."""
+    con = duckdb.connect()
+    con.execute("create schema main2; create table main2.users as select 9 as id, 'old' as name")
+    con.execute("create table main2.users__stage as select 1 as id, 'new' as name")
+    connect = {"auth_type": "service_account", "project_id": "prj", "service_account": '{"a": 1}'}
+    sink = BigQuerySink(spark, {"connect": connect, "mode": Mode.full()}, runner=print)
+    stream = dataset(spark, [(1, "a", 1)], Mode.full()).in_schema("main2").streams[0]
+    statements = sink.merge_statements(stream)
+    assert [c for c in statements if c.startswith("DROP")] == ["DROP TABLE IF EXISTS main2.users__stage"]
+    for statement in statements:
+        con.execute(statement)
+        assert con.execute("select name from main2.users").fetchall() in ([("old",)], [("new",)])
+    assert con.execute("select * from main2.users").fetchall() == [(1, "new")]
+
+
+def test_k4_only_a_missing_table_is_no_table(spark):
+    class Failing(BigQuerySink):
+        def read_table(self, stream):
+            raise RuntimeError(self.says)
+
+    connect = {"auth_type": "service_account", "project_id": "prj", "service_account": '{"a": 1}'}
+    ds = dataset(spark, [(1, "a", 1)], WINDOW)
+    sink = Failing(spark, {"connect": connect, "mode": WINDOW}, runner=print)
+    sink.says = "404 Not found: Table prj:main.users"
+    sink.check_schema(ds.streams[0], ds)
+    sink.says = "403 access denied"
+    with pytest.raises(RuntimeError, match="403"):
+        sink.check_schema(ds.streams[0], ds)
+
+
 def test_w13_redshift_refresh_swaps(spark):
     commands = []
     connect = {**BASIC, "s3_bucket": "s3://box", "iam_role": "role", "url": "jdbc:redshift://h/db"}
@@ -255,7 +286,7 @@ def test_k5_snowflake_options_and_post_actions(spark):
     assert options["sfURL"] == "acc.snowflakecomputing.com" and options["sfSchema"] == "out"
     assert options["dbtable"] == "out.users__stage"
     actions = [a.split()[0] for a in options["postactions"].split("; ")]
-    assert actions == ["DROP", "CREATE", "MERGE", "DROP"]
+    assert actions == ["CREATE", "DROP"] and options["postactions"].startswith("CREATE OR REPLACE TABLE out.users AS")
     incremental = SnowflakeSink(spark, {"connect": connect, "mode": WINDOW})
     assert incremental.merge_statements(stream)[0].startswith("CREATE TABLE IF NOT EXISTS")
     with pytest.raises(ValueError):
