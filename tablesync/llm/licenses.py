@@ -97,20 +97,29 @@ def _cut(lowered: Column) -> Column:
     return F.regexp_extract_all(lowered, F.lit(f"({TERM})"), F.lit(1))
 
 
-def _blocks(docs: DataFrame, order: list[str], seeds: list[str]) -> DataFrame:
-    """``row``, ``no``, ``cut`` (all words) and ``words`` (distinct, of ``order``, in that order) of every sentence that has a seed word.
+def _may_meet(vocabulary: Column, rows: list[tuple]) -> Column:
+    """Can a text with these words of the templates hold a block that meets one? Its words bound those of its blocks."""
+    tests = {t: (all_, need, must) for _, _, t, _, _, need, all_, must, *_ in rows}
+    return reduce(or_, [
+        (F.size(F.array_intersect(vocabulary, _literal(all_))) >= need) & (F.size(F.array_intersect(vocabulary, _literal(must))) == len(must))
+        for all_, need, must in tests.values()
+    ])
 
-    Texts and sentences in which no seed stands, as a string, are passed over before they are cut into words.
-    """
-    texts = docs.where("text is not null").select(row_key(docs).alias("row"), F.translate(_lowered(F.col("text")), "\n", " ").alias("text"))
 
-    def some(name: str) -> Column:
-        return reduce(or_, [F.contains(name, F.lit(w)) for w in seeds])
+def _blocks(docs: DataFrame, order: list[str], rows: list[tuple]) -> DataFrame:
+    """``row``, ``no``, ``cut`` (all words) and ``words`` (distinct, of ``order``, in that order) of every sentence with a prefix word.
 
-    blocks = texts.where(some("text")).select("row", F.posexplode(F.split("text", SENTENCE)).alias("no", "block")).where(some("block"))
-    blocks = blocks.select("row", "no", _cut(F.col("block")).alias("cut"))
-    words = F.array_intersect(_literal(order), F.col("cut"))
-    return blocks.withColumn("words", words).where(F.arrays_overlap("words", _literal(seeds)))
+    The same set filter looks at whole texts first: most of them have too few words of any template, and are not cut into sentences.
+    """
+    seeds = _literal(sorted({r[0] for r in rows}))
+    texts = docs.where("text is not null").select(row_key(docs).alias("row"), F.translate(_lowered(F.col("text")), "\n", " ").alias("text"))
+    known = F.array_intersect(_literal(order), _cut(F.col("text")))
+    # the running number keeps the optimizer from computing the words once for every test of them
+    texts = texts.select("row", "text", known.alias("known"), F.monotonically_increasing_id().alias("one"))
+    texts = texts.where(F.arrays_overlap("known", seeds)).where(_may_meet(F.col("known"), rows))
+    blocks = texts.select("row", F.posexplode(F.split("text", SENTENCE)).alias("no", "block")).select("row", "no", _cut(F.col("block")).alias("cut"))
+    blocks = blocks.withColumn("words", F.array_intersect(_literal(order), F.col("cut")))
+    return blocks.where(F.arrays_overlap("words", seeds))
 
 
 def _pairs(words: list[str]) -> list[str]:
@@ -152,7 +161,7 @@ def matches(docs: DataFrame, order: list[str], templates=TEMPLATES, containment:
     """Every block that meets a template: ``row`` (row key), ``no`` (of the block, from 0), ``t``, ``label``, ``share``."""
     rows = index(order, templates, containment)
     prefixes = docs.sparkSession.createDataFrame(rows, _INDEX)
-    first = _blocks(docs, order, sorted({r[0] for r in rows})).select("row", "no", "cut", "words", F.posexplode("words").alias("place", "word"))
+    first = _blocks(docs, order, rows).select("row", "no", "cut", "words", F.posexplode("words").alias("place", "word"))
     met = first.join(F.broadcast(prefixes), "word")
     long = F.size("words") >= F.col("need")
     after = F.least(F.size("words") - F.col("place"), F.col("size") - F.col("at")) >= F.col("need")
