@@ -18,7 +18,8 @@ or pair is no hot group. Two-word prefixes above the budget (at most 10,000 by c
 extended: their suffixes are dealt by all their words, and partial totals of the shared nodes are
 added up after. So a group holds about the budget, whatever the corpus. A bitmap of at most 2 MB
 tells which pairs to follow; what passes by chance is counted too and dropped by its exact count.
-Cuts and containment are joins of the counted phrases; a language's ranking keeps 2,000 rows per task.
+Cuts and containment are joins of the counted phrases. A language is ranked in 64 parts first, each of which
+passes 2,000 rows on, so the last ranking of a language sees 128,000 rows at most.
 
 Defined cases: null or empty text: no words; null language: ``und``, as a language of that name;
 repeated rows and null ids count like any row; ties rank by count, then by the phrase's bytes;
@@ -46,8 +47,8 @@ from tablesync.workspace import written
 #: Words of a phrase at most, its fewest occurrences, the share (in percent) of them that a longer phrase explains.
 WORDS, LEAST, EXPLAINED = 4, 30, 80
 
-#: Rows of a language in the result.
-BEST = 2_000
+#: Rows of a language in the result; parts of a language that are ranked by themselves first.
+BEST, RANKED = 2_000, 64
 
 #: Bytes of text whose prefixes a group counts, suffixes whose subtrees a group builds (about), prefixes that are extended at most.
 GROUP_BYTES, GROUP_SUFFIXES, EXTENDED = 1 << 23, 1 << 20, 10_000
@@ -340,8 +341,10 @@ def collocations(docs: DataFrame, least: int = LEAST, best: int = BEST) -> DataF
     explained = F.expr(f"cast(longer as decimal(20, 0)) * 100 >= cast(a as decimal(20, 0)) * {EXPLAINED}")
     kept = kept.where(F.col("longer").isNull() | ~explained)
 
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("c.score"), F.desc("a"), "phrase"))
-    ranked = kept.withColumn("rank", place).where(F.col("rank") <= best)
+    order = (F.desc("c.score"), F.desc("a"), "phrase")
+    parts = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(RANKED))).orderBy(*order)
+    kept = kept.withColumn("place", F.row_number().over(parts)).where(F.col("place") <= best).drop("place")
+    ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= best)
     sizes = found.where("k = 0").select("lang", F.col("f").alias("n"))
     return ranked.join(sizes, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "c.l", "c.r", "n", "c.score")
 
