@@ -7,7 +7,8 @@ it. The language of least total distance wins.
 
 Scale: learning counts n-grams per task and adds them up per language and n-gram, so no task sees
 more than sums; the profiles (400 rows per language) go to all tasks with the function. Prediction
-is one pass without a shuffle. Whole texts are counted, in pieces of bounded length.
+is one pass without a shuffle. Whole texts are counted, in pieces that end between words, so no
+n-gram is lost or made up where a long text is cut.
 
 Defined cases: null text or text without a letter: ``und``, score 0; no learning document: all are
 ``und``; null id: not held out and not learned from; null language: not learned from; ties between
@@ -36,7 +37,7 @@ FOLDS, HELD = 4, 2
 
 UNKNOWN = "und"
 
-#: Letters that are counted at once; n-grams (of 8 bytes) that wait to be added up.
+#: Code points that are counted at once (more only where one word is longer); n-grams (of 8 bytes) that wait to be added up.
 PIECE, WAITING = 1 << 20, 1 << 21
 
 
@@ -53,9 +54,25 @@ def is_letter(points: np.ndarray) -> np.ndarray:
     return found
 
 
+def pieces(text: str) -> Iterator[str]:
+    """The text in lower case, cut between words only."""
+    text, at = text.lower(), 0
+    while len(text) - at > PIECE:
+        end = at + PIECE
+        while end > at and text[end - 1].isalpha():
+            end -= 1
+        if end == at:  # one word fills the piece
+            end = at + PIECE
+            while end < len(text) and text[end].isalpha():
+                end += 1
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
 def grams(text: str) -> np.ndarray:
-    """All n-grams of a text, packed into integers, in no order; empty without a letter."""
-    points = np.frombuffer((text.lower() + " ").encode("utf-32-le", "replace"), np.uint32)
+    """All n-grams of a text in lower case, packed into integers, in no order; empty without a letter."""
+    points = np.frombuffer((text + " ").encode("utf-32-le", "replace"), np.uint32)
     letter = is_letter(points)
     if not letter.any():
         return np.empty(0, np.int64)
@@ -70,10 +87,8 @@ def grams(text: str) -> np.ndarray:
 
 def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams in ascending order, and how often each occurs."""
-    if len(text) <= PIECE:
-        return np.unique(grams(text), return_counts=True)
-    parts = [np.unique(grams(text[i : i + PIECE]), return_counts=True) for i in range(0, len(text), PIECE)]
-    return _added(parts)
+    parts = [np.unique(grams(piece), return_counts=True) for piece in pieces(text)]
+    return parts[0] if len(parts) == 1 else _added(parts)
 
 
 def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -94,9 +109,8 @@ def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-            body = text.as_py()
-            for i in range(0, len(body), PIECE):
-                found = grams(body[i : i + PIECE])
+            for piece in pieces(text.as_py()):
+                found = grams(piece)
                 waiting.setdefault(lang, []).append(found)
                 held += len(found)
                 if held > WAITING:

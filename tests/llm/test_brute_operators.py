@@ -188,6 +188,31 @@ def test_languages_match_plain_profiles(spark, small, table):
         assert got[r.doc_id].held_out == (crc32(str(r.doc_id).encode()) % 4 == 2)
 
 
+def packed(text):
+    return {brute._packed(g): n for g, n in brute.grams(text).items()}
+
+
+def test_long_texts_are_cut_between_words(monkeypatch):
+    """Over a seam as elsewhere: the n-grams of the whole text, a word longer than a piece included."""
+    long = "abcdefg " * 150_000
+    assert len(long) > langid.PIECE
+    keys, n = langid.counted(long)
+    assert dict(zip(keys.tolist(), n.tolist(), strict=True)) == packed(long)
+    rng = random.Random(2)
+    for size in (1, 2, 3, 7, 20):
+        monkeypatch.setattr(langid, "PIECE", size)
+        for _ in range(40):
+            text = "".join(rng.choice("abÀĞİΣ世 .1'\U00010400\n") for _ in range(rng.randrange(60)))
+            keys, n = langid.counted(text)
+            assert dict(zip(keys.tolist(), n.tolist(), strict=True)) == packed(text)
+
+
+def test_learning_counts_the_same_over_a_seam(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "one word after another " * 60_000, "en")], "doc_id long, text string, lang string")
+    got = {r.gram for r in langid.profiles(docs).collect()}
+    assert got == set(packed(docs.first().text)) and crc32(b"1") % 4 != 2
+
+
 def test_held_out_languages(spark):
     sf_dir = "/root/testdata/sf0.01"
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang").collect()}
