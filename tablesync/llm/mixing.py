@@ -176,7 +176,9 @@ def mixed(docs: DataFrame) -> DataFrame:
     return out.select(*[F.col(f"`{c}`") for c in own], "size", "taken", "first_slot")
 
 
-SQL = f"""
+def sql(slots: int = SLOTS) -> str:
+    """The same rows in SQL, small sources to the word included."""
+    return f"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
          md5(coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h
@@ -189,21 +191,32 @@ per3 AS (SELECT *, CAST(total - coalesce(sum(cap) OVER w, 0) AS DOUBLE)
                    / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS DOUBLE) AS lev
          FROM per2 WINDOW w AS (ORDER BY cap / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 per4 AS (SELECT *, round(least(CAST(cap AS DOUBLE), max(lev) OVER () * weight), 6) AS target FROM per3),
-size0 AS (SELECT coalesce(max(total), 0) AS total, greatest(1, CAST(ceil(coalesce(max(total), 0) / {SLOTS}.0) AS BIGINT)) AS block FROM per4),
+size0 AS (SELECT coalesce(max(total), 0) AS total, greatest(1, CAST(ceil(coalesce(max(total), 0) / {slots}.0) AS BIGINT)) AS block FROM per4),
 shares AS (SELECT sid, CAST(sum(share) OVER (ORDER BY sid) AS BIGINT) AS hi, CAST(share AS BIGINT) AS share
            FROM (SELECT sid, CAST(floor(target / greatest(1, total) * {ONE}) AS BIGINT) AS share FROM per4)),
 slots AS (SELECT range AS slot, (range * {GOLDEN}) % {ONE} AS p
           FROM range((SELECT CAST(ceil(total / CAST(block AS DOUBLE)) AS BIGINT) FROM size0))),
 plan AS (SELECT sid, slot, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS rank
          FROM slots JOIN shares ON p >= hi - share AND p < hi),
-reach AS (SELECT sid, count(*) * (SELECT block FROM size0) AS reach FROM plan GROUP BY sid),
+filled AS (SELECT sid, count(*) AS filled FROM plan GROUP BY sid),
+reach AS (SELECT sid, block, CAST(ceil(total / CAST(block AS DOUBLE)) AS BIGINT) AS slots, own, CAST(coalesce(own, filled * block, 0) AS BIGINT) AS reach
+          FROM (SELECT p.sid, f.filled, z.block, z.total,
+                       CASE WHEN z.block > 1 AND p.target < {FEW} * z.block THEN CAST(round(p.target) AS BIGINT) END AS own
+                FROM per4 p CROSS JOIN size0 z LEFT JOIN filled f ON f.sid = p.sid)),
 placed AS (
-  SELECT s.doc_id, s.size, p.sid, p.source_size, p.target, coalesce(r.reach, 0) AS reach,
+  SELECT s.doc_id, s.size, p.sid, p.source_size, p.target, r.reach, r.own, r.block, r.slots,
          coalesce(sum(s.size) OVER (PARTITION BY p.sid ORDER BY s.h, s.size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM sized s JOIN per4 p ON s.source IS NOT DISTINCT FROM p.source LEFT JOIN reach r ON r.sid = p.sid)
+  FROM sized s JOIN per4 p ON s.source IS NOT DISTINCT FROM p.source JOIN reach r ON r.sid = p.sid)
 SELECT d.doc_id, d.size, d.source_size, d.target,
        CAST(greatest(0, least(reach - start, size)) + greatest(0, least(reach - start - source_size, size))
             + greatest(0, least(reach - start - 2 * source_size, size)) AS BIGINT) AS taken,
-       CASE WHEN size > 0 THEN coalesce(q.slot, -1) ELSE -1 END AS first_slot
-FROM placed d LEFT JOIN plan q ON q.sid = d.sid AND q.rank = CAST(floor(start / CAST((SELECT block FROM size0) AS DOUBLE)) AS BIGINT)
+       CAST(CASE WHEN size > 0 AND own IS NULL THEN coalesce(q.slot, -1)
+                 WHEN size > 0 AND start < own
+                 THEN (CAST(floor(slots * ((d.sid * {GOLDEN}) % {ONE}) / CAST({ONE} AS DOUBLE)) AS BIGINT)
+                       + CAST(floor(start * slots / CAST(own AS DOUBLE)) AS BIGINT)) % slots
+                 ELSE -1 END AS BIGINT) AS first_slot
+FROM placed d LEFT JOIN plan q ON q.sid = d.sid AND q.rank = CAST(floor(start / CAST(d.block AS DOUBLE)) AS BIGINT)
 """
+
+
+SQL = sql()

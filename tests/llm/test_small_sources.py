@@ -33,3 +33,12 @@ def test_large_sources_keep_their_blocks(docs):
     assert got.taken.sum() <= got["size"].sum()
     big = got[got.doc_id < 10_000]
     assert abs(big.taken.sum() - big.target.iloc[0]) <= 20
+
+
+@pytest.mark.parametrize("slots", [37, 100, 1_000, mixing.SLOTS])
+def test_sql_has_the_same_rule_for_small_sources(docs, over, slots):
+    got = mixing.placed(docs, slots=slots).drop("row").toPandas().sort_values("doc_id").reset_index(drop=True)
+    want = over(mixing.sql(slots), documents=docs).sort_values("doc_id").reset_index(drop=True)
+    for name in got.columns:
+        assert (got[name] == want[name]).all(), name
+    assert len(got) == len(want)
