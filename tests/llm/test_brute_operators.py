@@ -74,14 +74,55 @@ def test_one_of_each_group_stays(odd, spark):
 # benchmark decontamination
 
 
-def test_tiles_match_the_textbook():
+def tiles_of(a, b, size=5):
+    x, y = (decontaminate.seeds([w.encode() for w in t], size) for t in (a, b))
+    at = np.flatnonzero(np.isin(x, y))
+    return decontaminate.tile(at, x[at].view(np.int64), y.view(np.int64), size) if len(at) else []
+
+
+@pytest.mark.parametrize("piece", [1, 7, 1 << 20])
+@pytest.mark.parametrize("letters", ["a", "ab", "abcd"])
+def test_tiles_match_the_textbook(monkeypatch, piece, letters):
+    monkeypatch.setattr(decontaminate, "PIECE", piece)
     rng = random.Random(3)
     for _ in range(60):
-        a, b = ([rng.choice(["a", "b", "c", "d"]) for _ in range(rng.randrange(5, 40))] for _ in range(2))
-        x, y = (decontaminate.seeds([w.encode() for w in t]) for t in (a, b))
-        hits = [(i, j) for i, j in product(range(len(x)), range(len(y))) if x[i] == y[j]]
-        found = decontaminate.tile(*(np.array(c, np.int32) for c in zip(*hits, strict=True))) if hits else []
+        a, b = ([rng.choice(letters) for _ in range(rng.randrange(5, 40))] for _ in range(2))
+        found = tiles_of(a, b)
         assert sum(t[0] for t in found) == brute.tiled(a, b)
+        assert all(a[d : d + n] == b[i : i + n] for n, i, d in found)
+        for side in (1, 2):
+            taken = [t[side] + k for t in found for k in range(t[0])]
+            assert len(taken) == len(set(taken))
+        x, y = (decontaminate.seeds([w.encode() for w in t]) for t in (a, b))
+        assert sum(t[0] for t in found) <= decontaminate.reachable(x, y, 5)
+
+
+def test_repetitive_texts_hold_passages_not_pairs(monkeypatch):
+    """One phrase over and over: 4 million pairs of positions lie on 12,000 diagonals at most."""
+    most, plain = [], decontaminate._passages
+
+    def counted(*args):
+        found = plain(*args)
+        most.append(len(found))
+        return found
+
+    monkeypatch.setattr(decontaminate, "_passages", counted)
+    phrase = ["one", "phrase", "again", "and", "again"]
+    found = tiles_of(phrase * 2_000, phrase * 400)
+    assert [t[0] for t in found] == [2_000] and max(most) <= 12_000
+    assert sum(t[0] for t in tiles_of(["no"] * 10_000, ["no"] * 2_000)) == 2_000
+    rng = random.Random(4)
+    a, b = ([rng.choice("ab") for _ in range(n)] for n in (500, 150))
+    assert sum(t[0] for t in tiles_of(a, b)) == brute.tiled(a, b)
+
+
+def test_short_items_are_found_where_all_of_them_stands(spark):
+    bench = spark.createDataFrame([(1, "what is two plus"), (2, "Seldom!"), (3, "a b"), (4, " . "), (5, "one two three four five")], "item_id long, text string")
+    rows = [(1, "so what is two plus two"), (2, "what is two and plus"), (3, "it is seldom so"), (4, "b a"), (5, "x A, b; a b"), (6, "one two three four"), (7, "zero one two three four five")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in decontaminate.contaminated(docs, bench).select("doc_id", "item_id", "n_words", "n_tiles", "matched").collect())
+    assert got == [(1, 1, 4, 1, 4), (3, 2, 1, 1, 1), (5, 3, 2, 1, 2), (7, 5, 5, 1, 5)]
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect()) == [2, 4, 6]
 
 
 def test_contamination_matches_all_pairs(spark, small, table):
