@@ -3,17 +3,21 @@
 A document's fingerprint has a bit for every bit that over half of its shingles' hashes set. Two
 fingerprints link at a distance of two bits or fewer, and components of links are groups.
 
-Multi-index hashing: a fingerprint is cut into two segments of 32 bits and every segment has a
-table. Each fingerprint is entered under all values of a segment within one bit of its own (the
-small ball, 33 values), beside its other segment unchanged. Two fingerprints within two bits always
-meet under a common entry, since each of them can go half of the way: so the entries fetched are
-complete, and an entry has 65 members at most, whatever the size of a group of copies. An entry's
-members are kept as a bit set, so an aggregate of fixed width finds them, without a list of pairs.
-Every link that is made is verified on complete distances.
+Multi-index hashing: a fingerprint is cut into two segments of 32 bits, and a table holds every
+fingerprint under (segment number, segment value). Of two fingerprints within two bits, either the
+first segments are within one bit or the second ones are equal. So each fingerprint looks up the ball
+of radius one around its first segment (33 values) and the one value of its second segment, and
+every match is verified on the complete distance. The links are all pairs within two bits, of which a
+fingerprint has at most 2,080.
+
+Copies edited in few places share segment values in large numbers. The members of a value are counted
+first; in one with more than ``BUSY`` the other segment is looked up too, by a value within one bit of it on
+either side (two segments two bits apart have such a value in common). That is exact as well, and no
+entry has more than 33 members, whatever the size of a group.
 
 Scale: texts go once through an Arrow batch function that returns 8 bytes per document; links are
-sought among distinct fingerprints, so exact copies cost nothing; components are contracted by
-joins. Nothing is collected.
+sought among distinct fingerprints, so exact copies cost nothing; 34 short entries of each are
+shuffled once. Components are contracted by joins. Nothing is collected.
 
 Defined cases: null or blank text: fingerprint zero, linked like any other; fewer than three words:
 one shingle of all of them; null ids: such a document links, but gives no component id; repeated
@@ -27,9 +31,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablesync.functions.sizing import broadcast_if_small
 from tablesync.llm.common import map_texts, row_key, unused
 from tablesync.llm.components import components
 from tablesync.workspace import written
@@ -37,6 +42,13 @@ from tablesync.workspace import written
 SHINGLE = 3
 SEED = 42
 
+#: Bits of a segment, and what to flip in one for the values of its ball (radius one, itself included).
+SEGMENT = 32
+BALL = [0, *(1 << i for i in range(SEGMENT))]
+
+#: Distinct fingerprints under one segment value, above which the other segment is looked up too.
+BUSY = 64
+
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
 
@@ -71,20 +83,43 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return map_texts(rows, _hashed, "doc_id long, row string, fp long")
 
 
+def _flips() -> Column:
+    return F.explode(F.array(*[F.lit(x).cast("long") for x in BALL]))
+
+
+def entries(distinct: DataFrame) -> DataFrame:
+    """The tables: ``segment`` (0 or 1), ``value``, the ``other`` segment's value, and ``fp``."""
+    high, low = F.shiftrightunsigned("fp", SEGMENT), F.col("fp").bitwiseAND(F.lit((1 << SEGMENT) - 1))
+    both = distinct.select("fp", high.alias("high"), low.alias("low"))
+    sides = F.array(F.struct(F.lit(0).alias("segment"), F.col("high").alias("value"), F.col("low").alias("other")),
+                    F.struct(F.lit(1).alias("segment"), F.col("low").alias("value"), F.col("high").alias("other")))
+    return both.select("fp", F.explode(sides).alias("e")).select("e.*", "fp")
+
+
 def links(distinct: DataFrame) -> DataFrame:
-    """Links ``a``, ``b`` that connect what the distances of the distinct ``fp`` connect; not all pairs."""
-    spot = F.explode(F.sequence(F.lit(0), F.lit(64)))
-    entry = distinct.select("fp", spot.alias("i"))
-    bit = F.when(F.col("i") < 64, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("i"))).otherwise(F.lit(0).cast("long"))
-    entry = entry.select(F.col("fp").bitwiseXOR(bit).alias("key"), bit.alias("bit"), (F.col("i") == 64).alias("own"))
-    met = entry.groupBy("key").agg(F.bit_or("bit").alias("bits"), F.max("own").alias("own"))
-    met = met.where(F.bit_count("bits") + F.col("own").cast("int") > 1)
-    one = F.lit(1).cast("long")
-    flips = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("getbit", F.col("bits"), i) == 1)
-    members = F.transform(flips, lambda i: F.col("key").bitwiseXOR(F.call_function("shiftleft", one, i)))
-    members = F.concat(members, F.when(F.col("own"), F.array("key")).otherwise(F.array().cast("array<bigint>")))
-    pairs = met.select(members.alias("m")).select(F.element_at("m", 1).alias("a"), F.explode(F.slice("m", 2, 64)).alias("b"))
-    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)
+    """All pairs ``a`` < ``b`` of the distinct ``fp`` that differ in two bits or fewer."""
+    table = entries(distinct)
+    busy = written(table.groupBy("segment", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUSY), "simhash-busy")
+    busy = broadcast_if_small(busy.select("segment", "value"))
+    first = table.where("segment = 0").select("segment", "value", "other", "fp", _flips().alias("flip"))
+    first = first.withColumn("value", F.col("value").bitwiseXOR(F.col("flip")))
+    asked = first.union(table.where("segment = 1").withColumn("flip", F.lit(0).cast("long")))
+    at = ["segment", "value"]
+
+    def match(asking: DataFrame, held: DataFrame, on: list[str]) -> DataFrame:
+        pairs = asking.withColumnRenamed("fp", "a").join(held.withColumnRenamed("fp", "b"), on)
+        return pairs.where("a < b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2).select("a", "b")
+
+    plain = match(asked.join(busy, at, "left_anti").select(*at, "fp"), table.select(*at, "fp"), at)
+    if busy.isEmpty():
+        return plain
+    held = table.join(busy, at, "left_semi").select(*at, "other", "fp", _flips().alias("own"))
+    held = held.select(*at, F.col("other").bitwiseXOR(F.col("own")).alias("other"), "fp")
+    asked = asked.join(busy, at, "left_semi")
+    near = asked.where("flip = 0").select(*at, "other", "fp", _flips().alias("own"))  # equal segments leave two bits to the others
+    near = near.select(*at, F.col("other").bitwiseXOR(F.col("own")).alias("other"), "fp")
+    asked = near.union(asked.where("flip != 0").select(*at, "other", "fp"))  # else there is one bit left
+    return plain.union(match(asked, held, [*at, "other"]).distinct())
 
 
 def groups(docs: DataFrame) -> DataFrame:

@@ -55,6 +55,35 @@ def test_links_connect_exactly_what_two_bits_connect(spark):
     assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
 
 
+@pytest.mark.parametrize("busy", [1, 20, 1 << 20])
+def test_segment_tables_find_all_pairs_also_under_busy_values(spark, monkeypatch, busy):
+    """300 fingerprints that share one segment, or differ in few of its bits, among others; whatever counts as busy."""
+    monkeypatch.setattr(neardup, "BUSY", busy)
+    rng = random.Random(11)
+    prints = {rng.getrandbits(64) for _ in range(50)}
+    for shift in (0, 32):
+        shared, seeds = rng.getrandbits(32) << shift, [rng.getrandbits(32) for _ in range(25)]
+        for _ in range(300):
+            p = shared | rng.choice(seeds) << (32 - shift)
+            for _ in range(rng.randrange(4)):
+                p ^= 1 << rng.randrange(64)
+            prints.add(p)
+    prints |= {0, 1, 1 << 63, 2**64 - 1, 2**64 - 2}
+    signed = [(p - (1 << 64) if p >> 63 else p,) for p in prints]
+    got = [(a & (2**64 - 1), b & (2**64 - 1)) for a, b in neardup.links(spark.createDataFrame(signed, "fp long")).collect()]
+    want = {frozenset(p) for p in product(prints, prints) if p[0] < p[1] and (p[0] ^ p[1]).bit_count() <= 2}
+    assert {frozenset(p) for p in got} == want and len(want) > 300
+
+
+def test_a_large_busy_value_gives_all_its_links(spark):
+    """5,000 fingerprints under one value of the first segment: 12.5 million pairs."""
+    rng = np.random.default_rng(12)
+    low = np.unique(np.concatenate((rng.integers(0, 1 << 32, 4_990), [5, 6, 7, 4, 1 << 31])))
+    found = neardup.links(spark.createDataFrame([(int(x) | 7 << 32,) for x in low], "fp long")).collect()
+    want = {(a, b) for x, a in enumerate(low) for b in low[x + 1 :][np.bitwise_count(low[x + 1 :] ^ a) <= 2]}
+    assert {(a & (2**32 - 1), b & (2**32 - 1)) for a, b in found} == want and len(found) == len(want) > 6
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(400)] + [(1000, 1001 + i) for i in range(300)] + [(5000, 5000), (1001, 1000)]
     got = components.components(spark.createDataFrame(links, "a long, b long")).collect()
