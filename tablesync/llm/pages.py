@@ -1,25 +1,34 @@
 """Main text of web pages by equivalence-class template deduction (operator 2).
 
-A page's tokens are its tags in context: a tag with its class and id, below the tags around it. Over
-all pages of a host, a token has an occurrence vector: how often it stands on each page. Tokens of
-one host with the same vector form an equivalence class. A class is valid if it is frequent (three
-pages or more), large (two tokens or more) and nested: those of its tokens that lie outside of it lie
-in one other class. Valid classes, nested, are the host's template; what stands between its tokens
-are slots. The content slot is the template's ``article`` (else ``main``; else the deepest token that
-holds half of the host's text). Its text is extracted on every page, without the slots that menus,
-headers, footers, side bars, notices, adverts, forms, scripts, styles or reader comments hold. On a
-host of fewer pages, or a page without its host's content slot, the page's own ``article``, ``main``
-or body is taken.
+A page's tokens are its tags and its words, both in context: a tag with its class and id, below the
+tags around it, and a word within the text between two tags. Words of one such run of text always
+stand together, so a run is kept as one token that counts as its words. Over all pages of a host, a
+token has an occurrence vector: how often it stands on each page. Tokens of one host with the same
+vector and within the same outer class form an equivalence class. A class is valid if it is frequent
+(three pages or more; words also on half of the host's pages) and large (two tags or words or more).
+Valid classes, nested in each other, are the host's template: its tags frame slots, its words are
+text that is the same from page to page. What is left is the text of the slots.
+
+The content slot is chosen by the text that varies over the host's pages and is no link. Template tags
+that hold other blocks and half of that text may be it: the outermost that directly holds a varying
+heading; else the outermost whose own blocks hold a tenth of it; else the innermost. Within it, blocks
+made of template words alone are left out, and template blocks whose text is links (lists of other
+stories). So are menus, headers, footers, side bars, notices, adverts, forms, scripts, styles
+and reader comments that say so by tag, role or name. A host has no template if it has too few pages, or
+if the content slot holds more text that stays than text that varies (copies of one page); there, and
+on a page without its host's content slot, the page's own ``article``, ``main`` or body is taken.
 
 Scale: an occurrence vector is kept as the exclusive or of a hash of (page, count), so vectors come
-from a combining aggregate and a host with a third of all pages is not gathered. Classes and nesting
-are joins over template tokens. A host's content tokens (a few numbers) join its pages, as a
-broadcast if they are counted to be small; html is shuffled only if they are not.
+from a combining aggregate and a host with a third of all pages is not gathered; a task hands its sums
+on whenever they are many. Classes and nesting are joins over frequent tokens, by pointer jumping up the
+tree. Pages are walked three times: for vectors, for what the slots hold, for the text. A host's
+template (a few numbers) joins its pages, as a broadcast if it is counted to be small; html is
+shuffled only if it is not.
 
 Defined cases: null or empty html: empty text; null url: a host of its own name, the empty one;
 markup that does not close: an open tag ends with its parent, and a paragraph with the next block; a
 ``<`` that starts no tag is text; repeated rows are each returned, and cancel out in vectors without
-harm; hosts whose content tokens tie: all of them are content; empty table: no rows; other columns
+harm; content slots that tie: all of them are content; empty table: no rows; other columns
 are ignored.
 """
 
@@ -38,14 +47,14 @@ from tablesync.functions.sizing import broadcast_if_small
 from tablesync.llm.common import map_texts
 from tablesync.workspace import written
 
-#: Fewest pages and tokens of a valid class; share of a host's text in its content slot, if no tag names it.
-MIN_PAGES, MIN_TOKENS, MOST_TEXT = 3, 2, 0.5
+#: Fewest pages of a template token, fewest tags and words of a class; share of a host's pages that its words need.
+MIN_PAGES, MIN_TOKENS, WORD_PAGES = 3, 2, 0.5
 
-#: Tags that name the content slot, the higher the better; the whole page never is one.
-NAMED = {"article": 2, "main": 1, "": -1, "html": -1}
+#: Shares: of a host's varying text in its content slot, of it in the slot's own blocks, of links in a list of links.
+MOST_TEXT, OWN_TEXT, LINKS = 0.5, 0.1, 0.8
 
-#: No tag lies deeper.
-DEEPEST = 1 << 30
+#: Sums that a task holds before it hands them on.
+HELD = 50_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp template svg math".split())
@@ -95,18 +104,30 @@ def dropped(tag: str, attrs: dict[str, str]) -> bool:
     return False
 
 
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
 class Node:
-    """An open tag: its key (hash of its context), the tag around it, and whether it holds dropped things."""
+    """An open tag: its key (hash of its context), the tag around it, its block, and whether it holds dropped things or a link."""
 
-    __slots__ = ("tag", "key", "up", "depth", "drop")
+    __slots__ = ("tag", "key", "up", "depth", "drop", "link", "block", "home")
 
     def __init__(self, tag: str, key: int, up: Node | None, drop: bool):
         self.tag, self.key, self.up, self.drop = tag, key, up, drop
         self.depth = up.depth + 1 if up else 0
+        self.link = tag == "a" or (up is not None and up.link)
+        self.block = tag in BLOCKS and tag not in VOID
+        self.home = self if self.block or up is None else up.home
 
 
 ROOT = Node("", 0, None, False)
 
+
+def run_key(node: Node, text: str) -> int:
+    """The token of a run of words below a tag."""
+    return xxhash.xxh64_intdigest("\0" + " ".join(text.split()), node.key) >> 1
+
+
 #: What may stand in a head; any other tag ends it.
 HEAD = frozenset("base link meta noscript script style template title".split())
 
@@ -162,29 +183,48 @@ def _mixed(page: int, count: int) -> int:
     return (x ^ (x >> 29)) - (1 << 63)
 
 
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+_TOKENS = pa.schema(
+    [("host", pa.string()), ("token", pa.int64()), ("parent", pa.int64()), ("depth", pa.int32()), ("words", pa.int32())]
+    + [("plain", pa.bool_()), ("dropped", pa.bool_()), ("vector", pa.int64()), ("pages", pa.int64())]
+)
+
+
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task, host and token: the vector of its pages, how many they are, and the text below it."""
+    """Per task, host and token: what it is, the vector of its pages, and how many they are.
+
+    ``words`` is 0 for a tag; ``plain`` is true for a block that is no heading.
+    """
     sums: dict[tuple[str, int], list] = {}
+
+    def rows() -> pa.RecordBatch:
+        out = _batch([(host, key, *s) for (host, key), s in sums.items()], _TOKENS)
+        sums.clear()
+        return out
+
     for batch in batches:
         for host, page, html in zip(batch.column("host").to_pylist(), batch.column("page").to_pylist(), batch.column("html"), strict=True):
-            counts: dict[int, int] = {}
+            counts: dict[int, list] = {}
             for kind, node, text in walk(html.as_py()):
                 if kind == "open":
-                    counts[node.key] = counts.get(node.key, 0) + 1
-                    sums.setdefault((host, node.key), [0, 0, node, 0])
-                elif kind == "text" and not node.drop:
-                    while node.up:  # text of all tags that hold it
-                        sums[host, node.key][3] += len(text)
-                        node = node.up
-            for key, n in counts.items():
-                own = sums[host, key]
-                own[0] ^= _mixed(page, n)
-                own[1] += 1
-    rows = [(host, key, s[2].up.key, NAMED.get(s[2].tag, 0), s[2].depth, s[2].drop, s[0], s[1], s[3]) for (host, key), s in sums.items()]
-    if rows:
-        columns = [pa.array(list(c)) for c in zip(*rows, strict=True)]
-        columns[3], columns[4], columns[6] = columns[3].cast(pa.int32()), columns[4].cast(pa.int32()), columns[6].cast(pa.int64())
-        yield pa.RecordBatch.from_arrays(columns, ["host", "token", "parent", "named", "depth", "dropped", "vector", "pages", "chars"])
+                    known = counts.get(node.key)
+                    if known:
+                        known[0] += 1
+                    else:
+                        counts[node.key] = [1, node.up.key, node.depth, 0, node.block and node.tag not in HEADINGS, node.drop]
+                elif kind == "text" and not node.drop and (words := len(text.split())):
+                    counts.setdefault(run_key(node, text), [0, node.key, node.depth + 1, words, False, False])[0] += 1
+            for key, (n, *what) in counts.items():
+                own = sums.setdefault((host, key), [*what, 0, 0])
+                own[-2] ^= _mixed(page, n)
+                own[-1] += 1
+            if len(sums) > HELD:
+                yield rows()
+    if sums:
+        yield rows()
 
 
 def _rows(pages: DataFrame) -> DataFrame:
@@ -193,45 +233,128 @@ def _rows(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(host, F.lit("")).alias("host"), page.alias("page"), F.coalesce("html", F.lit("")).alias("html"))
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """Every host's template: ``host``, ``token``, ``parent``, ``named`` (as in :data:`NAMED`), ``depth``, ``dropped``, ``chars``, ``class_id``."""
-    schema = "host string, token long, parent long, named int, depth int, dropped boolean, vector long, pages long, chars long"
+def deduced(pages: DataFrame) -> DataFrame:
+    """Every host's template: ``host``, ``token``, ``parent``, ``depth``, ``words`` (0: a tag), ``plain``, ``dropped``, ``class_id``."""
+    schema = "host string, token long, parent long, depth int, words int, plain boolean, dropped boolean, vector long, pages long"
     rows = map_texts(_rows(pages).select("host", "page", "html"), _occurrences, schema)
-    # all but the host is of fixed width, so the aggregate hashes; a token has one parent, name and depth
-    tokens = rows.groupBy("host", "token").agg(
-        F.max("parent").alias("parent"), F.max("named").alias("named"), F.max("depth").alias("depth"),
-        F.max("dropped").alias("dropped"), F.bit_xor("vector").alias("class_id"), F.sum("pages").alias("pages"), F.sum("chars").alias("chars"),
-    )
-    tokens = written(tokens, "page-tokens")
-    frequent = tokens.where(F.col("pages") >= MIN_PAGES)
-    outer = tokens.select("host", F.col("token").alias("parent"), F.col("class_id").alias("outer"))
-    outside = frequent.join(outer, ["host", "parent"], "left").withColumn("outer", F.coalesce("outer", F.lit(0)))
-    outside = outside.withColumn("outer", F.when(F.col("outer") != F.col("class_id"), F.col("outer")))
-    classes = outside.groupBy("host", "class_id").agg(F.count(F.lit(1)).alias("size"), F.min("outer").alias("a"), F.max("outer").alias("b"))
-    valid = classes.where((F.col("size") >= MIN_TOKENS) & F.coalesce(F.col("a") == F.col("b"), F.lit(True)))
-    return written(frequent.join(valid.select("host", "class_id"), ["host", "class_id"], "left_semi").drop("pages"), "page-templates")
-
-
-def content(template: DataFrame) -> DataFrame:
-    """``host`` and ``slots``: the tokens that hold its content."""
-    kept = template.where(~F.col("dropped") & (F.col("named") >= 0))
-    most = kept.groupBy("host").agg(F.max("chars").alias("most"))
-    enough = F.col("chars") >= MOST_TEXT * F.col("most")
-    ranked = kept.join(most, "host").withColumn("rank", F.when(F.col("named") > 0, F.col("named") + DEEPEST).when(enough, F.col("depth")))
-    best = ranked.groupBy("host").agg(F.max("rank").alias("best"))
-    chosen = ranked.join(best, "host").where("rank = best")
-    return chosen.groupBy("host").agg(F.sort_array(F.collect_set("token")).alias("slots"))
-
-
-def main_text(page: str, slots: list[int] | None = None) -> str:
-    """The text of the slots (given as token keys), else of the page's ``article``, ``main`` or body; a line per block."""
+    # all but the host is of fixed width, so the aggregate hashes; a token's own columns are all alike
+    same = [F.max(c).alias(c) for c in ("parent", "depth", "words", "plain", "dropped")]
+    tokens = rows.groupBy("host", "token").agg(*same, F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"))
+    frequent = written(tokens.where(F.col("pages") >= MIN_PAGES), "page-tokens")
+    hosts = frequent.groupBy("host").agg(F.max(F.when(F.col("words") == 0, F.col("pages"))).alias("of"))
+    enough = (F.col("words") == 0) | (F.col("pages") >= WORD_PAGES * F.col("of"))
+    frequent = written(frequent.join(hosts, "host").where(enough).drop("of", "pages"), "page-frequent")
+
+    # a token of its parent's vector belongs to the parent's class; a top token's class lies in its parent's
+    around = frequent.select("host", F.col("token").alias("parent"), F.col("vector").alias("around"))
+    inner = F.coalesce(F.col("around") == F.col("vector"), F.lit(False))
+    nests = frequent.join(around, ["host", "parent"], "left").select(
+        "host", "token", F.when(inner, F.col("parent")).otherwise(F.col("token")).alias("top"), F.when(~inner, F.coalesce("around", F.lit(0))).alias("outer")
+    )
+    nests = written(nests, "page-nests")
+    deepest = frequent.agg(F.max("depth")).first()[0] or 0
+    for _ in range(deepest.bit_length()):  # each round doubles the way up
+        above = nests.select("host", F.col("token").alias("top"), F.col("top").alias("next"), F.col("outer").alias("its"))
+        nests = written(nests.join(above, ["host", "top"]).select("host", "token", F.col("next").alias("top"), F.coalesce("outer", "its").alias("outer")), "page-nests")
+    classed = frequent.join(nests, ["host", "token"]).withColumn("class_id", F.xxhash64("vector", "outer"))
+    size = F.sum(F.when(F.col("words") == 0, 1).otherwise(F.col("words")))
+    valid = classed.groupBy("host", "class_id").agg(size.alias("size")).where(F.col("size") >= MIN_TOKENS)
+    kept = classed.join(valid.select("host", "class_id"), ["host", "class_id"], "left_semi")
+    return written(kept.select("host", "token", "parent", "depth", "words", "plain", "dropped", "class_id"), "page-templates")
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """The tags of every host's template; columns as in :func:`deduced`."""
+    return deduced(pages).where("words = 0")
+
+
+_HELD = pa.schema(
+    [("host", pa.string()), ("token", pa.int64()), ("chars", pa.int64()), ("varying", pa.int64()), ("links", pa.int64())]
+    + [("own", pa.int64()), ("holds", pa.bool_()), ("title", pa.bool_())]
+)
+
+
+def _holdings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per task, host and tag: the text below it, that which varies, links, that of its own blocks; holds it blocks, a varying heading?"""
+    sums: dict[tuple[str, int], list] = {}
+
+    def rows() -> pa.RecordBatch:
+        out = _batch([(host, key, *s) for (host, key), s in sums.items()], _HELD)
+        sums.clear()
+        return out
+
+    for batch in batches:
+        for host, html, words in zip(batch.column("host").to_pylist(), batch.column("html"), batch.column("words").to_pylist(), strict=True):
+            template = set(words)
+
+            def held(node: Node, host: str = host) -> list:
+                known = sums.get((host, node.key))
+                if known is None:
+                    known = sums[host, node.key] = [0, 0, 0, 0, False, False]
+                return known
+
+            for kind, node, text in walk(html.as_py()):
+                if kind == "open" and node.block:
+                    held(node.up.home)[4] = True
+                elif kind == "text" and not node.drop and text.strip():
+                    n, varies, home = len(text), not node.link and run_key(node, text) not in template, node.home
+                    if varies:
+                        held(home)[3] += n
+                        if home.up:
+                            outer = held(home.up.home)
+                            outer[3] += n
+                            outer[5] |= home.tag in ("h1", "h2")
+                    link = node.link
+                    while node.up:  # text of all tags that hold it
+                        sum_ = held(node)
+                        sum_[0] += n
+                        sum_[1] += n if varies else 0
+                        sum_[2] += n if link else 0
+                        node = node.up
+            if len(sums) > HELD:
+                yield rows()
+    if sums:
+        yield rows()
+
+
+def content(pages: DataFrame, template: DataFrame) -> DataFrame:
+    """Per host with a template: ``slots``, the tokens that hold its content, ``outside``, those in them that do not, and its ``words``."""
+    words = template.groupBy("host").agg(F.collect_set(F.when(F.col("words") > 0, F.col("token"))).alias("words"))
+    words = written(words, "page-words")
+    rows = _rows(pages).join(broadcast_if_small(words), "host").select("host", "html", "words")
+    schema = "host string, token long, chars long, varying long, links long, own long, holds boolean, title boolean"
+    sums = [F.sum(c).alias(c) for c in ("chars", "varying", "links", "own")] + [F.max(c).alias(c) for c in ("holds", "title")]
+    held = map_texts(rows, _holdings, schema).groupBy("host", "token").agg(*sums)
+    tags = written(template.where("words = 0 and not dropped").join(held, ["host", "token"]), "page-slots")
+    tags = tags.join(tags.groupBy("host").agg(F.max("varying").alias("most")), "host")
+    most = F.col("varying") >= MOST_TEXT * F.col("most")
+    level = F.when(F.col("title"), 2).when(F.col("own") >= OWN_TEXT * F.col("most"), 1).otherwise(0)
+    rank = level * (1 << 40) + F.when(level > 0, (1 << 36) - F.col("depth")).otherwise(F.col("depth"))
+    ranked = tags.where((F.col("varying") > 0) & F.col("holds") & most).withColumn("rank", rank.cast("long"))
+    chosen = ranked.join(ranked.groupBy("host").agg(F.max("rank").alias("best")), "host").where("rank = best")
+    slots = chosen.groupBy("host").agg(
+        F.sort_array(F.collect_set("token")).alias("slots"), F.sum("varying").alias("varies"), F.sum(F.col("chars") - F.col("links")).alias("text")
+    )
+    slots = slots.where(F.col("varies") * 2 >= F.col("text")).select("host", "slots")
+    lists = tags.where(F.col("plain") & ~most & (F.col("chars") > 0) & (F.col("links") >= LINKS * F.col("chars")))
+    lists = lists.groupBy("host").agg(F.sort_array(F.collect_set("token")).alias("outside"))
+    return slots.join(lists, "host", "left").join(words, "host")
+
+
+def main_text(page: str, slots: list[int] | None = None, outside: list[int] | None = None, words: list[int] | None = None) -> str:
+    """The text of the slots, without the tags outside of them and blocks of template words (all given as token keys).
+
+    Else that of the page's ``article``, ``main`` or body; a line per block.
+    """
     found: dict[str, list[str]] = {"slots": [], "article": [], "main": [], "body": []}
-    wanted = set(slots or ())
+    wanted, left_out, template = set(slots or ()), set(outside or ()), set(words or ())
     inside: dict[int, frozenset] = {0: frozenset()}
     block: list[str] = []
     where: frozenset = frozenset()
+    varies = False
 
     def close() -> None:
+        nonlocal varies
         if block:
             raw = "".join(block)
             line = " ".join((html_lib.unescape(raw) if "&" in raw else raw).split())
@@ -239,7 +362,9 @@ def main_text(page: str, slots: list[int] | None = None) -> str:
             if line:
                 found["body"].append(line)
                 for name in where:
-                    found[name].append(line)
+                    if name != "slots" or varies:
+                        found[name].append(line)
+        varies = False
 
     for kind, node, text in walk(page):
         if kind == "break":
@@ -250,6 +375,8 @@ def main_text(page: str, slots: list[int] | None = None) -> str:
                 within |= {node.tag}
             if node.key in wanted:
                 within |= {"slots"}
+            elif node.key in left_out:
+                within -= {"slots"}
             inside[node.key] = within
         elif not node.drop:
             if not block:
@@ -258,19 +385,22 @@ def main_text(page: str, slots: list[int] | None = None) -> str:
                 close()
                 where = inside.get(node.key, frozenset())
             block.append(text)
+            if not varies and text.strip():
+                varies = not template or run_key(node, text) not in template
     close()
     return "\n".join(found["slots"] or found["article"] or found["main"] or found["body"])
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [main_text(h.as_py(), s) for h, s in zip(batch.column("html"), batch.column("slots").to_pylist(), strict=True)]
+        given = zip(batch.column("html"), *(batch.column(c).to_pylist() for c in ("slots", "outside", "words")), strict=True)
+        texts = [main_text(h.as_py(), *template) for h, *template in given]
         columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
         yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """One row per page: ``page_id``, ``url``, ``text`` (empty if none), ``n_chars`` (code points)."""
-    slots = written(content(templates(pages)), "page-slots")
-    rows = _rows(pages).join(broadcast_if_small(slots), "host", "left").select("page_id", "url", "html", "slots")
+    slots = written(content(pages, deduced(pages)), "page-content")
+    rows = _rows(pages).join(broadcast_if_small(slots), "host", "left").select("page_id", "url", "html", "slots", "outside", "words")
     return map_texts(rows, _extracted, "page_id long, url string, text string, n_chars long")
