@@ -104,3 +104,34 @@ def language(text, profiles, top=400):
     away = {lang: sum(abs(r - p[g]) if g in p else top for g, r in own.items()) for lang, p in profiles.items()}
     best = min(sorted(away), key=away.__getitem__)
     return best, 1 - away[best] / (top * len(own))
+
+
+def page_classes(rows, min_pages=3, min_tokens=2, word_pages=0.5):
+    """Valid equivalence classes of tokens (tags and runs of words) of every host, from whole occurrence vectors."""
+    from tablesync.llm import pages
+
+    hosts = {}
+    for page_id, url, html in rows:
+        counts, tokens = hosts.setdefault(url.split("/")[2], ({}, {}))
+        for kind, node, text in pages.walk(html):
+            if kind == "open":
+                token, tokens[node.key] = node.key, (node.up.key, 0)
+            elif kind == "text" and not node.drop and text.strip():
+                token = pages.run_key(node, text)
+                tokens[token] = (node.key, len(text.split()))
+            else:
+                continue
+            counts.setdefault(token, Counter())[page_id] += 1
+    out = []
+    for counts, tokens in hosts.values():
+        of = max(len(c) for t, c in counts.items() if not tokens[t][1])
+        kept = {t for t, c in counts.items() if len(c) >= (max(min_pages, word_pages * of) if tokens[t][1] else min_pages)}
+        classes = {}
+        for token in kept:
+            vector, up = counts[token], tokens[token][0]
+            while up and counts[up] == vector:
+                up = tokens[up][0]
+            outer = frozenset(counts[up].items()) if up else None
+            classes.setdefault((frozenset(vector.items()), outer), set()).add(token)
+        out += [c for c in classes.values() if sum(tokens[t][1] or 1 for t in c) >= min_tokens]
+    return out

@@ -1,0 +1,103 @@
+"""Templates of pages: the deduction against a plain version, constant text, other stories, hosts without telling tags."""
+
+from collections import Counter, defaultdict
+
+import pytest
+
+from tablesync.llm import pages
+from tests.llm import brute
+
+SCHEMA = "page_id long, url string, html string"
+TALES = ["the ferry left before dawn", "prices of tin fell again", "a bridge opened in the north", "her garden won no prize", "trains were late all week"]
+
+
+def body(n, times=6):
+    return " ".join(f"{TALES[(n + k) % 5]} {n * k}" for k in range(times))
+
+
+def site(shape, host="h.example", count=8):
+    return [(i, f"http://{host}/{i}", shape(i)) for i in range(count)]
+
+
+def extracted(spark, rows):
+    return {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+
+
+def named(i):
+    return f"<html><body><nav><ul><li><a>Home</a></ul></nav><article><h1>Tale {i}</h1><p>{body(i)}</p><p>{body(i + 1)}</p><p>Follow us on all channels</p></article></body></html>"
+
+
+def unnamed(i):
+    cards = "".join(f"<div class=card><h3><a>Other story {i + k}</a></h3></div>" for k in range(i % 3 + 1))
+    return (
+        f"<html><body><div class=top><a>Start {i}</a> <a>Archive</a></div><div class=wrap><div class=text><h1>Tale {i}</h1><p>{body(i)}</p>"
+        f"<ul><li>{body(i + 2)}</li></ul><p>Write to <b>the desk</b> at any time</p></div><div class=more>{cards}</div></div><div class=end>Printed here</div></body></html>"
+    )
+
+
+def teasers(i):
+    cards = "".join(f"<article><h3>Other story {k}</h3></article>" for k in range(3))
+    return f"<html><body><article><h1>Tale {i}</h1><p>{body(i)}</p></article><div class=more>{cards}</div></body></html>"
+
+
+def inside(i):
+    cards = "".join(f"<div class=card><h4><a>Tale {i + k}</a></h4></div>" for k in range(i % 4 + 1))
+    return f"<html><body><article><h1>Tale {i}</h1><p>{body(i)} <a>see there {i}</a></p>{cards}<p>{body(i + 3)}</p></article></body></html>"
+
+
+def test_text_of_all_pages_is_template(spark):
+    assert extracted(spark, site(named)) == {i: f"Tale {i}\n{body(i)}\n{body(i + 1)}" for i in range(8)}
+
+
+def test_hosts_without_telling_tags(spark):
+    assert extracted(spark, site(unnamed)) == {i: f"Tale {i}\n{body(i)}\n{body(i + 2)}" for i in range(8)}
+
+
+def test_other_stories_are_no_content(spark):
+    assert extracted(spark, site(teasers)) == {i: f"Tale {i}\n{body(i)}" for i in range(8)}
+
+
+def test_lists_of_links_inside_go_and_links_in_text_stay(spark):
+    assert extracted(spark, site(inside)) == {i: f"Tale {i}\n{body(i)} see there {i}\n{body(i + 3)}" for i in range(8)}
+
+
+def test_few_pages_and_copies_have_no_template(spark):
+    few, copies = site(named, "few.example", 2), [(10 + i, f"http://copy.example/{i}", named(1)) for i in range(6)]
+    got = extracted(spark, few + copies)
+    assert got == {i: f"Tale {n}\n{body(n)}\n{body(n + 1)}\nFollow us on all channels" for i, n in [(0, 0), (1, 1), *((10 + k, 1) for k in range(6))]}
+
+
+def test_text_that_some_pages_share_stays(spark):
+    shared = [(i, u, h.replace("Follow us on all channels", "Set in Garamond by hand" if i < 3 else f"Set by hand {i}")) for i, u, h in site(named)]
+    got = extracted(spark, shared)
+    assert got[0].endswith("Set in Garamond by hand") and got[5].endswith("Set by hand 5")
+
+
+def test_very_long_pages_and_clashing_columns(spark):
+    rows = [(i, f"http://h.example/{i}", named(i), "x", "y", [1], True) for i in range(4)]
+    long = " ".join(f"word{k}" for k in range(300_000))
+    rows.append((9, "http://h.example/9", f"<html><body><article><h1>Long</h1><p>{long}</p></article></body></html>", "x", "y", [1], False))
+    df = spark.createDataFrame(rows, SCHEMA + ", host string, page string, words array<int>, token boolean")
+    got = {r.page_id: (r.text, r.n_chars) for r in pages.extract(df).collect()}
+    assert got[9] == (f"Long\n{long}", len(long) + 5) and got[2][0].startswith("Tale 2\n")
+
+
+@pytest.mark.parametrize("shape", [named, unnamed, teasers, inside])
+def test_deduction_matches_a_plain_version(spark, shape):
+    rows = site(shape) + site(lambda i: unnamed(i * 2), "other.example", 5)
+    template = pages.deduced(spark.createDataFrame(rows, SCHEMA)).collect()
+    got = defaultdict(set)
+    for r in template:
+        got[r.host, r.class_id].add(r.token)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, brute.page_classes(rows)))
+
+
+def test_tables_without_article_tags(spark, small, table):
+    """The given pages with their ``article`` made a ``div``: hosts of a template keep the text, and need the template for it."""
+    rows = [(r.page_id, r.url, r.html) for r in table("pages").collect()]
+    hosts = Counter(u.split("/")[2] for _, u, _ in rows)
+    bare = [(i, u, h.replace("<article>", "<div id=a1>").replace("</article>", "</div>").replace('<div class="ad">', "<div class=box>")) for i, u, h in rows]
+    got = extracted(spark, bare)
+    several = [(i, h, b) for (i, u, h), (_, _, b) in zip(rows, bare, strict=True) if hosts[u.split("/")[2]] >= 3]
+    assert several and sum(got[i] == pages.main_text(h) for i, h, _ in several) >= 0.9 * len(several)
+    assert sum(got[i] != pages.main_text(b) for i, _, b in several) >= 0.9 * len(several)
