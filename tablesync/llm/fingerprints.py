@@ -1,12 +1,14 @@
 """Document fingerprints: SimHash of weighted terms, and permuted block tables (operator 6).
 
 Terms are pairs of neighbouring words, a term's weight is one plus the binary logarithm of its count,
-and each bit of a term's 128-bit hash votes its weight up or down. A fingerprint has the bits whose
-votes end above zero. Likeness is the share of equal bits.
+in whole sixteenths, and each bit of a term's 128-bit hash votes its weight up or down. A fingerprint has
+the bits whose votes end above zero; sums of whole weights are exact in any order, so on any machine. Likeness is the share of equal bits.
 
 To find all fingerprints within ``radius`` bits, fingerprints are cut into ``radius + 1`` blocks, of
 which one must be equal; each of as many permuted tables leads with another block, is joined on it,
-and whole distances are verified.
+and whole distances are verified. Where a block leads more than ``BUSY`` fingerprints (a large group of
+near copies), the remaining bits are cut into as many blocks again, of which one must be equal too, so
+a table of two blocks is joined there. No pair is lost by it.
 
 Editing: each text's last third is replaced by the start of the next document's, in descending order
 of ids. Texts are sorted by id ranges, once, and each task reads its range in order; only the first
@@ -31,11 +33,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablesync.functions.sizing import broadcast_if_small
 from tablesync.llm.common import map_texts
 from tablesync.workspace import written
 
 BITS, RADIUS = 128, 3
 
+#: Distinct fingerprints that a block may lead before the remaining bits are cut, too.
+BUSY = 64
+
 #: Documents of a range, on average; ranges at most; terms whose votes are counted at once.
 RANGE_ROWS, MAX_RANGES, CHUNK = 4_000, 100_000, 1 << 14
 
@@ -56,7 +62,7 @@ def fingerprint(text: str) -> tuple[int, int]:
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     terms = hashes[:-1] * _B + hashes[1:] if len(words) > 1 else hashes
     terms, counts = np.unique(terms, return_counts=True)
-    weights = (1 + np.log2(counts)).astype(np.float32)
+    weights = np.rint(16 * (1 + np.log2(counts))).astype(np.float32)  # a chunk's sum is below 2^24, hence exact
     votes = np.zeros(BITS, np.float64)
     for at in range(0, len(terms), CHUNK):
         part = terms[at : at + CHUNK]
@@ -146,26 +152,46 @@ def paired(docs: DataFrame) -> DataFrame:
     return found.where("edited_sha256 is not null").select(*_DONE).union(rest)
 
 
+def _bits(high: str, low: str) -> Column:
+    return F.concat(*[F.lpad(F.bin(c), 64, "0") for c in (high, low)])
+
+
 def _blocks(high: str, low: str, radius: int) -> Column:
     """The leading block of each permuted table: ``radius + 1`` runs of bits that make up the fingerprint."""
-    text = F.concat(*[F.lpad(F.bin(c), 64, "0") for c in (high, low)])
     cuts = [BITS * i // (radius + 1) for i in range(radius + 2)]
-    blocks = [F.conv(F.substring(text, a + 1, b - a), 2, 36) for a, b in zip(cuts, cuts[1:], strict=False)]
+    blocks = [F.conv(F.substring(_bits(high, low), a + 1, b - a), 2, 36) for a, b in zip(cuts, cuts[1:], strict=False)]
     return F.array(*blocks)
 
 
+def _second_blocks(high: str, low: str, radius: int) -> Column:
+    """Within the table ``permutation``: ``radius + 1`` runs of the bits that its leading block leaves."""
+    text, pieces = _bits(high, low), radius + 1
+    cut = [F.floor(BITS * (F.col("permutation") + i) / pieces).cast("int") for i in (0, 1)]
+    rest = F.concat(F.substr(text, F.lit(1), cut[0]), F.substr(text, cut[1] + 1, F.lit(BITS)))
+    cuts = [F.floor(F.length(rest) * i / pieces).cast("int") for i in range(pieces + 1)]
+    return F.array(*[F.conv(F.substr(rest, a + 1, b - a), 2, 36) for a, b in zip(cuts, cuts[1:], strict=False)])
+
+
 def within(queries: DataFrame, table: DataFrame, radius: int = RADIUS) -> DataFrame:
     """All pairs of fingerprints at most ``radius`` bits apart, once each.
 
     ``queries`` and ``table`` have distinct ``high``, ``low`` and any other columns with other names;
     all are returned, the table's fingerprint as ``its_high`` and ``its_low``.
     """
-    left = queries.select("*", F.posexplode(_blocks("high", "low", radius)).alias("permutation", "block"))
+    at, then = ["permutation", "block"], ["second", "second_block"]
+    left = queries.select("*", F.posexplode(_blocks("high", "low", radius)).alias(*at))
     right = table.withColumnsRenamed({"high": "its_high", "low": "its_low"})
-    right = right.select("*", F.posexplode(_blocks("its_high", "its_low", radius)).alias("permutation", "block"))
-    pairs = left.join(right, ["permutation", "block"])
+    right = right.select("*", F.posexplode(_blocks("its_high", "its_low", radius)).alias(*at))
+    busy = written(right.groupBy(at).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUSY).select(at), "fingerprint-busy")
+    pairs = left.join(right, at)
+    if not busy.isEmpty():
+        busy = broadcast_if_small(busy)
+        pairs = left.join(busy, at, "left_anti").join(right, at)
+        asked = left.join(busy, at, "left_semi").select("*", F.posexplode(_second_blocks("high", "low", radius)).alias(*then))
+        held = right.join(busy, at, "left_semi").select("*", F.posexplode(_second_blocks("its_high", "its_low", radius)).alias(*then))
+        pairs = pairs.unionByName(asked.join(held, at + then).drop(*then))
     apart = F.bit_count(F.col("high").bitwiseXOR(F.col("its_high"))) + F.bit_count(F.col("low").bitwiseXOR(F.col("its_low")))
-    return pairs.where(apart <= radius).drop("permutation", "block").distinct()
+    return pairs.where(apart <= radius).drop(*at).distinct()
 
 
 def fingerprints(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -135,3 +135,25 @@ def page_classes(rows, min_pages=3, min_tokens=2, word_pages=0.5):
             classes.setdefault((frozenset(vector.items()), outer), set()).add(token)
         out += [c for c in classes.values() if sum(tokens[t][1] or 1 for t in c) >= min_tokens]
     return out
+
+
+def weighted_simhash(text):
+    """128 bits as (high, low), signed: one vote of ``1 + log2(count)`` in whole sixteenths for every bit of every distinct pair of neighbouring words."""
+    from math import log2
+
+    full = (1 << 64) - 1
+    a, b = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+
+    def mix(x, by):
+        x = (x ^ (x >> 30)) * by & full
+        x = (x ^ (x >> 27)) * a & full
+        return x ^ (x >> 31)
+
+    hashes = [xxhash.xxh3_64_intdigest(w) for w in text.encode("utf-8", "replace").lower().split()]
+    terms = Counter((x * b + y) & full for x, y in zip(hashes, hashes[1:], strict=False)) if len(hashes) > 1 else Counter(hashes)
+    out = []
+    for by in (a, b):
+        votes = [sum(round(16 * (1 + log2(n))) * (1 if mix(t, by) >> bit & 1 else -1) for t, n in terms.items()) for bit in range(64)]
+        word = sum(1 << bit for bit in range(64) if votes[bit] > 0)
+        out.append(word - (1 << 64) if word >> 63 else word)
+    return tuple(out)
