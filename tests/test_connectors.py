@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from conftest import rows
 from tablesync import get_source
 from tablesync.functions.types import infer_json_schema
-from tablesync.operators.augment import augment, vectorised
+from tablesync.operators.augment import BATCH, augment, vectorised
 from tablesync.progress import percent
 from tablesync.sources.datasource import FilePartition, JsonLines, JsonLinesReader, register_data_source
 from tablesync.sources.footers import file_footers, footer_counts
@@ -164,6 +164,42 @@ def test_e1_batches_beside_columns(spark):
     assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan
 
 
+def test_e1_batches_are_bounded(spark):
+    """Rows and bytes that ``fn`` gets at once, whatever a task holds."""
+    names = list(BATCH)
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n, most in BATCH.items():
+            spark.conf.set(n, str(most * 100))
+        size = vectorised(lambda s: s.str.len().sum() + 0 * s.str.len(), "long", "s")
+        rows = vectorised(lambda s: len(s) + 0 * s.str.len(), "long", "s")
+        df = spark.range(0, 6000, 1, 1).withColumn("s", F.expr("repeat('x', if(id < 5000, 10, 50000))"))
+        got = augment(df, SyncContext.at("2025-01-10"), extra={"bytes": size, "rows": rows}, drop=["s"]).agg(F.max("bytes"), F.max("rows"), F.count("id")).first()
+        assert got[0] <= BATCH[names[1]] + 50000 and got[1] <= BATCH[names[0]] and got[2] == 6000
+        assert [int(spark.conf.get(n).rstrip("bB")) for n in names] == list(BATCH.values())
+        spark.conf.set(names[0], "10")
+        augment(df, SyncContext.at("2025-01-10"), extra={"rows": rows})
+        assert spark.conf.get(names[0]) == "10"
+    finally:
+        for n, value in before.items():
+            spark.conf.set(n, value)
+
+
+def test_e1_batches_are_let_go(spark):
+    """A worker holds the texts of a few batches, not of all that it has read."""
+
+    def alive(s):
+        import gc
+
+        s.str.len()
+        held = [x for x in gc.get_objects() if type(x) is type(s) and x.name == s.name]
+        return 0 * s.str.len() + len(held)
+
+    df = spark.range(0, 20_000, 1, 1).withColumn("s", F.repeat(F.lit("x"), 10))
+    held = augment(df, SyncContext.at("2025-01-10"), extra={"n": vectorised(alive, "long", "s")}).agg(F.max("n")).first()[0]
+    assert 0 < held <= 8
+
+
 # ---- E3, A4, X2: streams
 
 
